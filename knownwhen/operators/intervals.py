@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
@@ -124,41 +125,64 @@ def resolve_latest(df: DataFrame, key: Sequence[str], start: str, end: str, rank
         F.max_by("_kw_v", "_kw_rank").alias("_kw_v"), F.max("_kw_rank").alias("_kw_rank"))
     best = best.select(*key, _BIN, F.coalesce("_kw_s_g", "_kw_lo").alias("_kw_s"),
                        F.coalesce("_kw_e_g", "_kw_hi").alias("_kw_e"), "_kw_rank", "_kw_v")
-    # Ranks become integers inside the bin; the heap compares nothing else.
-    flat = best.select(*key, _BIN, "_kw_s", "_kw_e", *[F.col("_kw_rank")[r].alias(f"_kw_r{i}") for i, r in enumerate(rank)],
+    # The row number is the rank inside the bin, and a row number of 1 marks a new bin.
+    w = Window.partitionBy(*key, _BIN).orderBy("_kw_rank")
+    flat = best.select(*key, "_kw_s", "_kw_e", F.row_number().over(w).alias("_kw_rn"),
                        *[F.col("_kw_v")[n].alias(n) for n in values])
-    out_cols = [*key, *values]
     types = {f.name: f.dataType.simpleString() for f in flat.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in out_cols] + ["seg_start timestamp_ntz", "seg_end timestamp_ntz"])
-    ranks = [f"_kw_r{i}" for i in range(len(rank))]
-
-    def sweep(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(ranks, kind="stable", na_position="first").reset_index(drop=True)   # row number = rank
-        order = g["_kw_s"].argsort(kind="stable").to_numpy()
-        s_, e_ = g["_kw_s"].to_numpy(), g["_kw_e"].to_numpy()
-        points = sorted(set(s_.tolist()) | set(e_.tolist()))
+    kept = [*key, *values]
+    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + ["_kw_s long", "_kw_e long"])
+    out = flat.mapInPandas(_sweep_bins, schema)
+    return out.select(*kept, T.from_micros("_kw_s").alias("seg_start"), T.from_micros("_kw_e").alias("seg_end"))
+
+
+def _sweep_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sweeps the bins of a partition; rows arrive bin by bin in ascending rank."""
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        starts = np.flatnonzero(rows["_kw_rn"].to_numpy() == 1)
+        last = int(starts[-1]) if len(starts) else 0
+        rest = rows.iloc[last:].reset_index(drop=True)   # the last bin may continue in the next batch
+        if last:
+            yield _visible(rows.iloc[:last], starts[:-1])
+    if rest is not None and len(rest):
+        yield _visible(rest, np.array([0]))
+
+
+def _visible(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    begin, end = rows["_kw_s"].to_numpy(), rows["_kw_e"].to_numpy()
+    picked: list[int] = []
+    spans: list[tuple[int, int]] = []
+    for a, b in zip(starts, [*starts[1:], len(rows)]):
+        if b - a == 1:
+            picked.append(a)
+            spans.append((begin[a], end[a]))
+            continue
+        order = a + np.argsort(begin[a:b], kind="stable")
+        points = np.unique(np.concatenate([begin[a:b], end[a:b]])).tolist()
         active: list[int] = []
-        pieces: list[tuple[int, int, int]] = []
         nxt = 0
+        fresh = len(picked)
         for p, q in zip(points[:-1], points[1:]):
-            while nxt < len(order) and s_[order[nxt]] <= p:
+            while nxt < len(order) and begin[order[nxt]] <= p:
                 heapq.heappush(active, -int(order[nxt]))
                 nxt += 1
-            while active and e_[-active[0]] <= p:
+            while active and end[-active[0]] <= p:
                 heapq.heappop(active)
             if not active:
                 continue
-            win = -active[0]
-            if pieces and pieces[-1][0] == win and pieces[-1][2] == p:
-                pieces[-1] = (win, pieces[-1][1], q)
+            top = -active[0]
+            if len(picked) > fresh and picked[-1] == top and spans[-1][1] == p:
+                spans[-1] = (spans[-1][0], q)
             else:
-                pieces.append((win, p, q))
-        chosen = g.loc[[w for w, _, _ in pieces], out_cols].reset_index(drop=True)
-        chosen["seg_start"] = pd.to_datetime([a for _, a, _ in pieces], unit="us")
-        chosen["seg_end"] = pd.to_datetime([b for _, _, b in pieces], unit="us")
-        return chosen
-
-    return flat.groupBy(*key, _BIN).applyInPandas(sweep, schema)
+                picked.append(top)
+                spans.append((p, q))
+    out = rows.iloc[picked].drop(columns="_kw_rn").reset_index(drop=True)
+    out["_kw_s"] = np.array([x for x, _ in spans], dtype="int64")
+    out["_kw_e"] = np.array([x for _, x in spans], dtype="int64")
+    value_columns = [c for c in out.columns if c not in ("_kw_s", "_kw_e")]
+    return out[[*value_columns, "_kw_s", "_kw_e"]]
 
 
 def time_weighted(segs: DataFrame, value: str, window: tuple[str, str], keys: Sequence[str], name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("grids",)
+MODULES = ("grids", "shaping", "asof")
 
 
 def load() -> tuple[dict, dict]:

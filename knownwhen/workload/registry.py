@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeaxis import floor_time
@@ -35,14 +35,21 @@ def query(name: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- shared shapes
+def exact_sum(name: str) -> Column:
+    """Sum of two-decimal amounts that does not depend on the order of the rows."""
+    return F.sum(F.col(name).cast("decimal(18,2)")).cast("double")
+
+
 def hourly(t) -> DataFrame:
     """events -> one row per (event_type, hour) that has events."""
     return (t("events").groupBy("event_type", floor_time("ts", "1 hour").alias("hour"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value"), F.sum("value").alias("total")))
+            .agg(F.count(F.lit(1)).alias("n"), exact_sum("value").alias("total"))
+            .select("event_type", "hour", "n", (F.col("total") / F.col("n")).alias("value"), "total"))
 
 
 HOURLY = """hourly AS (
-  SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, avg(value) AS value, sum(value) AS total
+  SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n,
+         CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS value, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total
   FROM events GROUP BY 1, 2)"""
 
 
@@ -50,13 +57,14 @@ def daily_orders(t) -> DataFrame:
     """orders -> one row per (priority, day): number, mean price, total."""
     return (t("orders").groupBy(F.col("o_orderpriority").alias("priority"),
                                 F.col("o_orderdate").cast("date").alias("day"))
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("price"),
-                 F.sum("o_totalprice").alias("total")))
+            .agg(F.count(F.lit(1)).alias("n"), exact_sum("o_totalprice").alias("total"))
+            .select("priority", "day", "n", (F.col("total") / F.col("n")).alias("price"), "total"))
 
 
 DAILY_ORDERS = """daily AS (
   SELECT o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS day, count(*) AS n,
-         avg(o_totalprice) AS price, sum(o_totalprice) AS total
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS price,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
   FROM orders GROUP BY 1, 2)"""
 
 
