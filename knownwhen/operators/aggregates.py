@@ -234,22 +234,22 @@ def curve_features(curves: DataFrame, key: Sequence[str], side: str, price: str,
         slope = (hi["v"] - lo["v"]) / F.nullif(hi["p"] - lo["p"], F.lit(0.0))
         return F.coalesce(F.col(c), lo["v"] + slope * (F.col("p") - lo["p"]), lo["v"], hi["v"])
 
-    rows = rows.withColumns({"S": at("s"), "D": at("d")}).withColumn("_kw_raw", F.col("S") - F.col("D"))
+    rows = rows.withColumns({"supply": at("s"), "demand": at("d")}).withColumn("_kw_raw", F.col("supply") - F.col("demand"))
     # Running maximum: the chunk inherits the maximum of the chunks before it.
     keyed = O.keyed(rows.drop("s_lo", "s_hi", "d_lo", "d_hi"), key, "axis", chunk)
     keyed = O.inherit(keyed, {"_kw_m": F.max("_kw_raw")}, lambda w: {"_kw_before": F.max("_kw_m").over(w)})
     top = F.max("_kw_raw").over(O.inside(["p"]).rowsBetween(O.UNBOUNDED, 0))
     rows = O.unkeyed(keyed.withColumn("E", F.greatest(top, F.col("_kw_before")))).drop("_kw_before", "_kw_raw")
-    rows = O.previous(rows, key, "axis", {"E0": "E", "p0": "p", "S0": "S"}, ["p"], chunk)
+    rows = O.previous(rows, key, "axis", {"E0": "E", "p0": "p", "S0": "supply"}, ["p"], chunk)
 
     def solve(x: float) -> tuple[Column, Column]:
         first = (F.col("E") >= x) & (F.col("E0").isNull() | (F.col("E0") < x))
         inner = F.col("p0") + (F.lit(x) - F.col("E0")) * (F.col("p") - F.col("p0")) / (F.col("E") - F.col("E0"))
         hit = F.when(F.col("E0").isNull(), F.col("p")).otherwise(inner)
         return (F.coalesce(F.max(F.when(first, hit)), F.max("p")),
-                F.coalesce(F.max(F.when(first, F.when(F.col("E0").isNull(), F.col("S")).otherwise(
-                    F.col("S0") + (F.col("S") - F.col("S0")) * (inner - F.col("p0"))
-                    / F.nullif(F.col("p") - F.col("p0"), F.lit(0.0))))), F.max_by("S", "p")))
+                F.coalesce(F.max(F.when(first, F.when(F.col("E0").isNull(), F.col("supply")).otherwise(
+                    F.col("S0") + (F.col("supply") - F.col("S0")) * (inner - F.col("p0"))
+                    / F.nullif(F.col("p") - F.col("p0"), F.lit(0.0))))), F.max_by("supply", "p")))
 
     aggs = [F.max("s").alias("sell_max"), F.max("d").alias("buy_max"), F.min("s").alias("sell_inelastic"),
             F.min("d").alias("buy_inelastic"), F.count("s").alias("_kw_ns"), F.count("d").alias("_kw_nd")]

@@ -226,23 +226,44 @@ def explode_intervals(df: DataFrame, start: str, end: str, step: str | int, name
 
 
 def nearest(left: DataFrame, right: DataFrame, left_pos: tuple[str, str], right_pos: tuple[str, str],
-            left_id: str, right_id: str, k: int = 1, cell: float = 1.0, reach: int = 1) -> DataFrame:
-    """The ``k`` nearest right points within ``reach`` cells of ``cell`` degrees, by great-circle distance.
+            left_id: str, right_id: str, k: int = 1, cells: Sequence[float] = (1.0, 6.0, 36.0)) -> DataFrame:
+    """The ``k`` nearest right points of every left point by great-circle distance, exactly.
 
-    Both sides hash on latitude / longitude cells; a left point looks at its own and the
-    neighbouring cells only. Distances beyond ``reach * cell`` degrees are out of scope, which
-    the caller chooses to be larger than any admissible match.
+    A pass hashes both sides on cells of some degrees and looks at the neighbouring cells. A
+    left point is settled once its k-th match is nearer than anything outside those cells can
+    be; the rest goes to the next, coarser pass, and what remains then (points with no right
+    point within a quarter of the globe, or close to a pole) meets the whole right table.
     """
     from ..functions.numeric import haversine_km
     from .ranks import pick_top
 
-    def cell_of(c: str) -> Column:
-        return F.floor(F.col(c) / cell).cast("int")
-
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    l = left.withColumn("_kw_dy", F.explode(around)).withColumn("_kw_dx", F.explode(around)).withColumns(
-        {"_kw_y": cell_of(left_pos[0]) + F.col("_kw_dy"), "_kw_x": cell_of(left_pos[1]) + F.col("_kw_dx")})
-    r = right.withColumns({"_kw_y": cell_of(right_pos[0]), "_kw_x": cell_of(right_pos[1])})
-    pairs = l.join(r, ["_kw_y", "_kw_x"]).drop("_kw_y", "_kw_x", "_kw_dy", "_kw_dx")
     km = haversine_km(F.col(left_pos[0]), F.col(left_pos[1]), F.col(right_pos[0]), F.col(right_pos[1]))
-    return pick_top(pairs.withColumn("km", km), [left_id], k, F.col("km"), F.col(right_id))
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        return pick_top(pairs.withColumn("km", km), [left_id], k, F.col("km"), F.col(right_id))
+
+    done: DataFrame | None = None
+    open_: DataFrame = left
+    for cell in (*cells, 360.0):
+        if cell >= 360:
+            found = ranked(open_.withColumn("_kw_all", F.lit(0)).join(right.withColumn("_kw_all", F.lit(0)), "_kw_all")
+                           .drop("_kw_all"))
+            return found if done is None else done.unionByName(found)
+        columns = int(360 / cell)
+        near = F.sequence(F.lit(-1), F.lit(1))
+        row = F.floor((F.col(left_pos[0]) + 90) / cell)
+        col_ = F.floor((F.col(left_pos[1]) + 180) / cell)
+        l = open_.withColumn("_kw_y", F.explode(F.transform(near, lambda d: row + d))).withColumn(
+            "_kw_x", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(col_ + d, F.lit(columns))))))
+        r = right.withColumns({"_kw_y": F.floor((F.col(right_pos[0]) + 90) / cell),
+                               "_kw_x": F.pmod(F.floor((F.col(right_pos[1]) + 180) / cell), F.lit(columns))})
+        found = ranked(l.join(r, ["_kw_y", "_kw_x"]).drop("_kw_y", "_kw_x"))
+        width = F.radians(F.lit(float(cell)))
+        safe = 6371.0 * F.least(width, F.asin(F.cos(F.radians(left_pos[0])) * F.sin(F.least(width, F.lit(1.5)))))
+        settled = (found.withColumn("_kw_safe", safe).groupBy(left_id)
+                   .agg(F.count(F.lit(1)).alias("_kw_n"), F.max("km").alias("_kw_far"), F.first("_kw_safe").alias("_kw_safe"))
+                   .where((F.col("_kw_n") == k) & (F.col("_kw_far") <= F.col("_kw_safe"))).select(left_id))
+        part = found.join(settled, left_id, "left_semi")
+        done = part if done is None else done.unionByName(part)
+        open_ = open_.join(settled, left_id, "left_anti")
+    raise AssertionError("unreachable")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("grids", "shaping", "asof")
+MODULES = ("grids", "shaping", "asof", "joins", "bids", "aggregates", "sequences")
 
 
 def load() -> tuple[dict, dict]:
