@@ -226,8 +226,8 @@ def curve_features(curves: DataFrame, key: Sequence[str], side: str, price: str,
     per = per.withColumn("axis", F.floor(F.col("p") * 10_000).cast("long"))
     chunk = price_chunk * 10_000
     point = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("p").alias("p"), F.col(c).alias("v"))) for c in ("s", "d")}
-    rows = O.last_known(per, key, "axis", {f"{c}_lo": e for c, e in point.items()}, ["p"], chunk)
-    rows = O.next_known(rows, key, "axis", {f"{c}_hi": e for c, e in point.items()}, ["p"], chunk)
+    rows = O.scan(per, key, "axis", last={f"{c}_lo": e for c, e in point.items()},
+                  upcoming={f"{c}_hi": e for c, e in point.items()}, ties=["p"], chunk=chunk)
 
     def at(c: str) -> Column:
         lo, hi = F.col(f"{c}_lo"), F.col(f"{c}_hi")
@@ -235,12 +235,16 @@ def curve_features(curves: DataFrame, key: Sequence[str], side: str, price: str,
         return F.coalesce(F.col(c), lo["v"] + slope * (F.col("p") - lo["p"]), lo["v"], hi["v"])
 
     rows = rows.withColumns({"supply": at("s"), "demand": at("d")}).withColumn("_kw_raw", F.col("supply") - F.col("demand"))
-    # Running maximum: the chunk inherits the maximum of the chunks before it.
+    # Running maximum and the point before, inherited across chunks in one pass.
     keyed = O.keyed(rows.drop("s_lo", "s_hi", "d_lo", "d_hi"), key, "axis", chunk)
-    keyed = O.inherit(keyed, {"_kw_m": F.max("_kw_raw")}, lambda w: {"_kw_before": F.max("_kw_m").over(w)})
-    top = F.max("_kw_raw").over(O.inside(["p"]).rowsBetween(O.UNBOUNDED, 0))
-    rows = O.unkeyed(keyed.withColumn("E", F.greatest(top, F.col("_kw_before")))).drop("_kw_before", "_kw_raw")
-    rows = O.previous(rows, key, "axis", {"E0": "E", "p0": "p", "S0": "supply"}, ["p"], chunk)
+    here = F.struct("p", "supply")
+    keyed = O.inherit(keyed, {"_kw_m": F.max("_kw_raw"), "_kw_at": F.max_by(here, O.position(["p"]))},
+                      lambda earlier, _: {"_kw_top": F.max("_kw_m").over(earlier), "_kw_at": F.last("_kw_at").over(earlier)})
+    w = O.inside(["p"])
+    below = F.greatest(F.max("_kw_raw").over(w.rowsBetween(O.UNBOUNDED, -1)), F.col("_kw_top"))
+    before = F.coalesce(F.lag(here, 1).over(w), F.col("_kw_at"))
+    rows = O.unkeyed(keyed.withColumns({"E0": below, "_kw_at": before}))
+    rows = rows.withColumns({"E": F.greatest("_kw_raw", "E0"), "p0": F.col("_kw_at.p"), "S0": F.col("_kw_at.supply")})
 
     def solve(x: float) -> tuple[Column, Column]:
         first = (F.col("E") >= x) & (F.col("E0").isNull() | (F.col("E0") < x))

@@ -45,7 +45,7 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str,
     is_right = F.col(_RIGHT).isNotNull()
     rows = O.inherit(
         rows, {"_kw_edge": F.max_by(_RIGHT, F.when(is_right, F.struct(O.KEY, _TIE)))},
-        lambda w: {"_kw_edge": F.last("_kw_edge", ignorenulls=True).over(w)})
+        lambda earlier, _: {"_kw_edge": F.last("_kw_edge", ignorenulls=True).over(earlier)})
     frame = O.inside([_SIDE, _TIE]).rowsBetween(O.UNBOUNDED, 0)
     found = F.coalesce(F.last(_RIGHT, ignorenulls=True).over(frame), F.col("_kw_edge"))
     rows = rows.withColumn("_kw_found", F.when(F.col(_AT).isNotNull(), found)).where(F.col(_LEFT).isNotNull())

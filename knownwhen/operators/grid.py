@@ -136,8 +136,7 @@ def regularize(df: DataFrame, by: Sequence[str], ts: str, value: str, step: str
     per = df.groupBy(*by, T.floor_time(ts, us).alias(ts)).agg(F.avg(value).alias(value))
     full = on_grid(per, span_grid(per, ts, us, by), [*by, ts])
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))
-    full = O.last_known(full, by, ts, {"_kw_last": known}, chunk=chunk)
-    full = O.next_known(full, by, ts, {"_kw_next": known}, chunk=chunk)
+    full = O.scan(full, by, ts, last={"_kw_last": known}, upcoming={"_kw_next": known}, chunk=chunk)
     run = (T.micros(F.col("_kw_next.t")) - T.micros(F.col("_kw_last.t"))) / us - 1
     fill = F.col(value).isNull() & (run <= max_fill)
     return full.withColumns({

@@ -47,25 +47,24 @@ def position(ties: Sequence[str] = ()) -> Column:
     return F.struct(F.col(KEY), *[F.col(t) for t in ties])
 
 
-def inside(ties: Sequence[str] = (), descending: bool = False) -> WindowSpec:
-    cols = [F.col(KEY), *[F.col(t) for t in ties]]
-    return Window.partitionBy(GROUP, CHUNK).orderBy(*[c.desc() if descending else c.asc() for c in cols])
+def inside(ties: Sequence[str] = ()) -> WindowSpec:
+    return Window.partitionBy(GROUP, CHUNK).orderBy(KEY, *ties)
 
 
 def inherit(rows: DataFrame, summary: Mapping[str, Column],
-            carried: Callable[[WindowSpec], Mapping[str, Column]], backwards: bool = False,
+            carried: Callable[[WindowSpec, WindowSpec], Mapping[str, Column]],
             whole: Mapping[str, Column] | None = None) -> DataFrame:
-    """Joins to every row what its chunk inherits from the chunks before (or after) it.
+    """Joins to every row what its chunk inherits from the chunks before and after it.
 
-    ``summary`` is aggregated per chunk; ``carried`` maps a window over the earlier summary
-    rows to output columns; ``whole`` gives per-series totals of the summary.
+    ``summary`` is aggregated per chunk; ``carried`` maps the windows over the earlier and the
+    later summary rows (nearest last) to output columns; ``whole`` gives per-series totals.
     """
     totals = rows.groupBy(GROUP, CHUNK).agg(*[c.alias(n) for n, c in summary.items()])
-    along = F.col(CHUNK).desc() if backwards else F.col(CHUNK).asc()
-    earlier = Window.partitionBy(GROUP).orderBy(along).rowsBetween(UNBOUNDED, -1)
-    everything = Window.partitionBy(GROUP)
-    cols = [c.alias(n) for n, c in carried(earlier).items()]
-    cols += [c.over(everything).alias(n) for n, c in (whole or {}).items()]
+    series = Window.partitionBy(GROUP)
+    earlier = series.orderBy(F.col(CHUNK).asc()).rowsBetween(UNBOUNDED, -1)
+    later = series.orderBy(F.col(CHUNK).desc()).rowsBetween(UNBOUNDED, -1)
+    cols = [c.alias(n) for n, c in carried(earlier, later).items()]
+    cols += [c.over(series).alias(n) for n, c in (whole or {}).items()]
     state = totals.select(F.col(GROUP).alias("_kw_g"), F.col(CHUNK).alias("_kw_c"), *cols)
     return (rows.join(state, (F.col(GROUP) == F.col("_kw_g")) & (F.col(CHUNK) == F.col("_kw_c")))
             .drop("_kw_g", "_kw_c"))
@@ -81,7 +80,7 @@ def accumulate(rows: DataFrame, sums: Mapping[str, Column], ties: Sequence[str]
     out = inherit(
         rows,
         {f"_kw_t_{n}": F.sum(e) for n, e in sums.items()},
-        lambda w: {f"_kw_b_{n}": F.sum(f"_kw_t_{n}").over(w) for n in sums},
+        lambda earlier, _: {f"_kw_b_{n}": F.sum(f"_kw_t_{n}").over(earlier) for n in sums},
         whole={name: F.sum(f"_kw_t_{n}") for name, n in (totals or {}).items()},
     )
     frame = inside(ties).rowsBetween(UNBOUNDED, 0 if inclusive else -1)
@@ -103,58 +102,81 @@ def row_index(df: DataFrame, by: Sequence[str], order: str, name: str,
     return running(df, by, order, {name: F.lit(1).cast("long")}, ties, chunk)
 
 
-def _known(df, by, order, values, ties, chunk, backwards):
-    rows = keyed(df, by, order, chunk)
-    pick = F.min_by if backwards else F.max_by
-    here = {n: (v if isinstance(v, Column) else F.col(v)) for n, v in values.items()}
-    out = inherit(
-        rows,
-        {f"_kw_t_{n}": pick(v, F.when(v.isNotNull(), position(ties))) for n, v in here.items()},
-        lambda w: {f"_kw_b_{n}": F.last(f"_kw_t_{n}", ignorenulls=True).over(w) for n in here},
-        backwards=backwards,
-    )
-    frame = inside(ties, descending=backwards).rowsBetween(UNBOUNDED, 0)
-    out = out.withColumns({
-        n: F.coalesce(F.last(v, ignorenulls=True).over(frame), F.col(f"_kw_b_{n}"))
-        for n, v in here.items()})
-    return unkeyed(out.drop(*[f"_kw_b_{n}" for n in here]))
+Values = Mapping[str, "Column | str"]
 
 
-def last_known(df: DataFrame, by: Sequence[str], order: str, values: Mapping[str, Column | str],
-               ties: Sequence[str] = (), chunk: str | int = "1 day") -> DataFrame:
-    """Latest non-null value at or before each row."""
-    return _known(df, by, order, values, ties, chunk, backwards=False)
+def scan(df: DataFrame, by: Sequence[str], order: str, *, last: Values | None = None, upcoming: Values | None = None,
+         before: Values | None = None, after: Values | None = None, sums: Values | None = None,
+         ties: Sequence[str] = (), chunk: str | int = "1 day") -> DataFrame:
+    """Several ordered look-ups in one pass over the rows and one over the chunk summaries.
 
+    ``last`` / ``upcoming``: nearest non-null value at or before / after the row; ``before`` /
+    ``after``: value of the neighbouring row; ``sums``: running sums. Asking for everything in
+    one call matters: each call reads its input twice, once for the summaries.
+    """
+    def columns(values: Values | None) -> dict[str, Column]:
+        return {n: v if isinstance(v, Column) else F.col(v) for n, v in (values or {}).items()}
 
-def next_known(df: DataFrame, by: Sequence[str], order: str, values: Mapping[str, Column | str],
-               ties: Sequence[str] = (), chunk: str | int = "1 day") -> DataFrame:
-    """Earliest non-null value at or after each row."""
-    return _known(df, by, order, values, ties, chunk, backwards=True)
+    last_, next_, before_, after_, sums_ = map(columns, (last, upcoming, before, after, sums))
+    rows = keyed(df, by, order, chunk)
+    pos = position(ties)
+    summary = {f"_kw_l_{n}": F.max_by(v, F.when(v.isNotNull(), pos)) for n, v in last_.items()}
+    summary |= {f"_kw_n_{n}": F.min_by(v, F.when(v.isNotNull(), pos)) for n, v in next_.items()}
+    summary |= {f"_kw_s_{n}": F.sum(v) for n, v in sums_.items()}
+    here_b = F.struct(*[v.alias(n) for n, v in before_.items()]) if before_ else None
+    here_a = F.struct(*[v.alias(n) for n, v in after_.items()]) if after_ else None
+    if before_:
+        summary["_kw_edge_before"] = F.max_by(here_b, pos)
+    if after_:
+        summary["_kw_edge_after"] = F.min_by(here_a, pos)
+
+    def carried(earlier: WindowSpec, later: WindowSpec) -> dict[str, Column]:
+        out = {f"_kw_l_{n}": F.last(f"_kw_l_{n}", ignorenulls=True).over(earlier) for n in last_}
+        out |= {f"_kw_n_{n}": F.last(f"_kw_n_{n}", ignorenulls=True).over(later) for n in next_}
+        out |= {f"_kw_s_{n}": F.sum(f"_kw_s_{n}").over(earlier) for n in sums_}
+        out |= {"_kw_edge_before": F.last("_kw_edge_before").over(earlier)} if before_ else {}
+        out |= {"_kw_edge_after": F.last("_kw_edge_after").over(later)} if after_ else {}
+        return out
+
+    out = inherit(rows, summary, carried)
+    up_to = inside(ties).rowsBetween(UNBOUNDED, 0)
+    onwards = inside(ties).rowsBetween(0, Window.unboundedFollowing)
+    near = inside(ties)
+    new = {n: F.coalesce(F.last(v, ignorenulls=True).over(up_to), F.col(f"_kw_l_{n}")) for n, v in last_.items()}
+    new |= {n: F.coalesce(F.first(v, ignorenulls=True).over(onwards), F.col(f"_kw_n_{n}")) for n, v in next_.items()}
+    new |= {n: F.coalesce(F.col(f"_kw_s_{n}"), F.lit(0)) + F.coalesce(F.sum(v).over(up_to), F.lit(0)) for n, v in sums_.items()}
+    if before_:
+        new["_kw_near_before"] = F.coalesce(F.lag(here_b, 1).over(near), F.col("_kw_edge_before"))
+    if after_:
+        new["_kw_near_after"] = F.coalesce(F.lead(here_a, 1).over(near), F.col("_kw_edge_after"))
+    out = out.withColumns(new)
+    out = out.withColumns({**{n: F.col("_kw_near_before")[n] for n in before_}, **{n: F.col("_kw_near_after")[n] for n in after_}})
+    return unkeyed(out.drop("_kw_near_after", "_kw_near_before", "_kw_edge_before", "_kw_edge_after", *[f"_kw_l_{n}" for n in last_],
+                            *[f"_kw_n_{n}" for n in next_], *[f"_kw_s_{n}" for n in sums_]))
+
+
+def last_known(df: DataFrame, by: Sequence[str], order: str, values: Values, ties: Sequence[str] = (),
+               chunk: str | int = "1 day") -> DataFrame:
+    """Latest non-null value at or before each row."""
+    return scan(df, by, order, last=values, ties=ties, chunk=chunk)
 
 
-def _neighbour(df, by, order, values, ties, chunk, backwards):
-    rows = keyed(df, by, order, chunk)
-    here = F.struct(*[(v if isinstance(v, Column) else F.col(v)).alias(n) for n, v in values.items()])
-    pick = F.min_by if backwards else F.max_by
-    out = inherit(
-        rows, {"_kw_edge": pick(here, position(ties))},
-        lambda w: {"_kw_edge": F.last("_kw_edge").over(w)}, backwards=backwards)
-    shift = F.lead if backwards else F.lag
-    near = F.coalesce(shift(here, 1).over(inside(ties)), F.col("_kw_edge"))
-    out = out.withColumn("_kw_near", near).withColumns({n: F.col("_kw_near")[n] for n in values})
-    return unkeyed(out.drop("_kw_near", "_kw_edge"))
+def next_known(df: DataFrame, by: Sequence[str], order: str, values: Values, ties: Sequence[str] = (),
+               chunk: str | int = "1 day") -> DataFrame:
+    """Earliest non-null value at or after each row."""
+    return scan(df, by, order, upcoming=values, ties=ties, chunk=chunk)
 
 
-def previous(df: DataFrame, by: Sequence[str], order: str, values: Mapping[str, Column | str],
-             ties: Sequence[str] = (), chunk: str | int = "1 day") -> DataFrame:
+def previous(df: DataFrame, by: Sequence[str], order: str, values: Values, ties: Sequence[str] = (),
+             chunk: str | int = "1 day") -> DataFrame:
     """Values of the row before; NULL on the first row of a series."""
-    return _neighbour(df, by, order, values, ties, chunk, backwards=False)
+    return scan(df, by, order, before=values, ties=ties, chunk=chunk)
 
 
-def following(df: DataFrame, by: Sequence[str], order: str, values: Mapping[str, Column | str],
-              ties: Sequence[str] = (), chunk: str | int = "1 day") -> DataFrame:
+def following(df: DataFrame, by: Sequence[str], order: str, values: Values, ties: Sequence[str] = (),
+              chunk: str | int = "1 day") -> DataFrame:
     """Values of the row after; NULL on the last row of a series."""
-    return _neighbour(df, by, order, values, ties, chunk, backwards=True)
+    return scan(df, by, order, after=values, ties=ties, chunk=chunk)
 
 
 def halo(df: DataFrame, by: Sequence[str], order: str, before: int, after: int,

@@ -14,32 +14,33 @@ from . import ordered as O
 from .ranks import quantiles
 
 
-def mark_runs(df: DataFrame, by: Sequence[str], order: str, pred: Column, name: str = "run_start",
+def mark_runs(df: DataFrame, by: Sequence[str], order: str, pred: Column, name: str = "run",
               chunk: str | int = "1 day", ties: Sequence[str] = ()) -> DataFrame:
-    """Adds the first ``order`` value of the run of true rows a row belongs to (NULL outside runs).
+    """Adds a run number to the rows for which the predicate holds (NULL elsewhere).
 
-    A NULL predicate ends a run. The start of a run identifies it.
+    All rows of a run follow the same last row on which the predicate did not hold, so the
+    number of such rows so far identifies the run: one running count, no look at neighbours.
+    A NULL predicate ends a run.
     """
-    rows = df.withColumn("_kw_on", F.coalesce(pred, F.lit(False)))
-    rows = O.previous(rows, by, order, {"_kw_was": "_kw_on"}, ties, chunk)
-    begins = F.col("_kw_on") & ~F.coalesce(F.col("_kw_was"), F.lit(False))
-    rows = O.last_known(rows, by, order, {name: F.when(begins, F.col(order))}, ties, chunk)
-    return rows.withColumn(name, F.when(F.col("_kw_on"), F.col(name))).drop("_kw_on", "_kw_was")
+    on = F.coalesce(pred, F.lit(False))
+    rows = O.running(df.withColumn("_kw_on", on), by, order, {name: (~F.col("_kw_on")).cast("long")}, ties, chunk)
+    return rows.withColumn(name, F.when(F.col("_kw_on"), F.col(name))).drop("_kw_on")
 
 
 def episodes(df: DataFrame, by: Sequence[str], order: str, pred: Column, measures: Sequence[Column] = (),
              chunk: str | int = "1 day") -> DataFrame:
     """One row per run: start, end, length and measures."""
-    rows = mark_runs(df, by, order, pred, "start", chunk).where(F.col("start").isNotNull())
-    return rows.groupBy(*by, "start").agg(F.max(order).alias("end"), F.count(F.lit(1)).alias("length"), *measures)
+    rows = mark_runs(df, by, order, pred, "_kw_run", chunk).where(F.col("_kw_run").isNotNull())
+    return rows.groupBy(*by, "_kw_run").agg(F.min(order).alias("start"), F.max(order).alias("end"),
+                                            F.count(F.lit(1)).alias("length"), *measures).drop("_kw_run")
 
 
 def label_episodes(df: DataFrame, by: Sequence[str], order: str, pred: Column, chunk: str | int = "1 day") -> DataFrame:
     """Adds ``episode_start``, ``episode_length`` and ``is_start`` to every row."""
-    rows = mark_runs(df, by, order, pred, "episode_start", chunk)
-    sizes = (rows.where(F.col("episode_start").isNotNull()).groupBy(*by, "episode_start")
-             .agg(F.count(F.lit(1)).alias("episode_length")))
-    out = rows.join(sizes, [*by, "episode_start"], "left")
+    rows = mark_runs(df, by, order, pred, "_kw_run", chunk)
+    sizes = (rows.where(F.col("_kw_run").isNotNull()).groupBy(*by, "_kw_run")
+             .agg(F.min(order).alias("episode_start"), F.count(F.lit(1)).alias("episode_length")))
+    out = rows.join(sizes, [*by, "_kw_run"], "left").drop("_kw_run")
     return out.withColumn("is_start", F.coalesce(F.col("episode_start") == F.col(order), F.lit(False)))
 
 
@@ -60,26 +61,24 @@ def interpolate(df: DataFrame, by: Sequence[str], start: str, end: str | Column,
     Values that exist are never changed; ``<column>_imputed`` marks what was filled.
     """
     rows = df.withColumn("_kw_end", end if isinstance(end, Column) else F.col(end))
-    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(start).alias("t"), F.col(c).cast("double").alias("v"))) for c in columns}
-    rows = O.last_known(rows, by, start, {f"_kw_l_{c}": e for c, e in known.items()}, chunk=chunk)
-    rows = O.next_known(rows, by, start, {f"_kw_n_{c}": e for c, e in known.items()}, chunk=chunk)
-    # First missing start and last missing end of each gap: neighbours of the values around it.
-    rows = O.previous(rows, by, start, {f"_kw_p_{c}": F.col(c).isNotNull() for c in columns}, chunk=chunk)
-    rows = O.following(rows, by, start, {f"_kw_f_{c}": F.col(c).isNotNull() for c in columns}, chunk=chunk)
-    rows = O.last_known(rows, by, start, {
-        f"_kw_s_{c}": F.when(F.col(c).isNull() & F.coalesce(F.col(f"_kw_p_{c}"), F.lit(True)), F.col(start)) for c in columns}, chunk=chunk)
-    rows = O.next_known(rows, by, start, {
-        f"_kw_e_{c}": F.when(F.col(c).isNull() & F.coalesce(F.col(f"_kw_f_{c}"), F.lit(True)), F.col("_kw_end")) for c in columns}, chunk=chunk)
+    # A value also remembers where the row after it starts and where the row before it ends:
+    # these bound the gap on either side of it.
+    rows = O.scan(rows, by, start, before={"_kw_gap_end": "_kw_end"}, after={"_kw_gap_start": start}, chunk=chunk)
+    known = {c: F.when(F.col(c).isNotNull(), F.struct(
+        F.col(start).alias("t"), F.col(c).cast("double").alias("v"), F.col("_kw_gap_start").alias("opens"),
+        F.col("_kw_gap_end").alias("closes"))) for c in columns}
+    rows = O.scan(rows, by, start, last={f"_kw_lo_{c}": e for c, e in known.items()},
+                  upcoming={f"_kw_hi_{c}": e for c, e in known.items()}, chunk=chunk)
     cols = {}
     for c in columns:
-        lo, hi = F.col(f"_kw_l_{c}"), F.col(f"_kw_n_{c}")
-        span = T.micros(f"_kw_e_{c}") - T.micros(f"_kw_s_{c}")
-        fill = F.coalesce(F.col(c).isNull() & lo.isNotNull() & hi.isNotNull() & (span <= T.span(max_span)), F.lit(False))
-        part = (T.micros(start) - T.micros(lo["t"])) / (T.micros(hi["t"]) - T.micros(lo["t"]))
+        lo, hi = F.col(f"_kw_lo_{c}"), F.col(f"_kw_hi_{c}")
+        span = T.micros(hi["closes"]) - T.micros(lo["opens"])
+        fill = F.coalesce(F.col(c).isNull() & (span <= T.span(max_span)), F.lit(False))
+        part = (T.micros(start) - T.micros(lo["t"])) / F.nullif(T.micros(hi["t"]) - T.micros(lo["t"]), F.lit(0))
         cols[c] = F.when(fill, lo["v"] + (hi["v"] - lo["v"]) * part).otherwise(F.col(c))
         cols[f"{c}_imputed"] = fill
-    helpers = [f"_kw_{x}_{c}" for c in columns for x in "lnpfse"]
-    return rows.withColumns(cols).drop("_kw_end", *helpers)
+    return rows.withColumns(cols).drop("_kw_end", "_kw_gap_start", "_kw_gap_end",
+                                       *[f"_kw_{x}_{c}" for c in columns for x in ("lo", "hi")])
 
 
 def rolling_thresholds(df: DataFrame, by: Sequence[str], day: str, value: str, qs: Mapping[str, float], days: int,
@@ -183,11 +182,12 @@ def decluster(df: DataFrame, by: Sequence[str], order: str, value: str, threshol
     rows = rows.withColumns({"_kw_excess": excess, "_kw_thr": threshold}).where(F.col("_kw_excess") > 0)
     rows = O.previous(rows, by, order, {"_kw_last": "_kw_pos"}, chunk=chunk)
     fresh = F.col("_kw_last").isNull() | (F.col("_kw_pos") - F.col("_kw_last") > run)
-    rows = O.last_known(rows, by, order, {"start": F.when(fresh, F.col(order))}, chunk=chunk)
+    rows = O.running(rows, by, order, {"_kw_cluster": fresh.cast("long")}, chunk=chunk)
     peak = F.struct(F.col("_kw_excess"), (-F.col("_kw_pos")).alias("first"))
-    return rows.groupBy(*by, "start").agg(
-        F.max(order).alias("end"), F.count(F.lit(1)).alias("n_exceed"), F.max("_kw_excess").alias("excess"),
-        F.max_by("_kw_thr", peak).alias("threshold"), F.max_by(value, peak).alias("peak"))
+    return rows.groupBy(*by, "_kw_cluster").agg(
+        F.min(order).alias("start"), F.max(order).alias("end"), F.count(F.lit(1)).alias("n_exceed"),
+        F.max("_kw_excess").alias("excess"), F.max_by("_kw_thr", peak).alias("threshold"),
+        F.max_by(value, peak).alias("peak")).drop("_kw_cluster")
 
 
 def decay_state(df: DataFrame, by: Sequence[str], order: str, event: str, half_life: float, name: str = "state",
