@@ -21,6 +21,15 @@ def vwmean(value: str | Column, weight: str | Column) -> Column:
     return F.sum(v * w) / F.nullif(den, F.lit(0))
 
 
+def corr(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over the pairs present on both sides; NULL if either side is constant.
+
+    The built-in raises on a constant side in ANSI mode.
+    """
+    a, b = F.when(col(y).isNotNull(), col(x).cast("double")), F.when(col(x).isNotNull(), col(y).cast("double"))
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def safe_div(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
-from ..functions.numeric import is_close
+from ..functions.numeric import corr, is_close
 from . import ordered as O
 from .aggregates import dedup
 from .grid import instants
@@ -70,7 +70,7 @@ def agreement(df: DataFrame, a: str, b: str, tol: float, by: Sequence[str] = (),
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     d = F.abs(F.col(a) - F.col(b))
     aggs = [F.count(F.lit(1)).alias("n"), F.avg((d <= tol).cast("double")).alias("share_equal"), F.max(d).alias("max_diff"),
-            F.avg(d).alias("mean_abs_diff"), F.avg(F.col(b) - F.col(a)).alias("bias"), F.corr(a, b).alias("corr"),
+            F.avg(d).alias("mean_abs_diff"), F.avg(F.col(b) - F.col(a)).alias("bias"), corr(a, b).alias("corr"),
             (F.avg(b) / F.nullif(F.avg(a), F.lit(0.0))).alias("ratio")]
     if day is not None:
         aggs.append(F.count_distinct(F.when(d > tol, day)).alias("days_different"))
@@ -108,7 +108,7 @@ def best_lag(a: DataFrame, b: DataFrame, ts: str, value: str, lags: Sequence[int
     unit = (period if period is not None else F.lit("all")).alias("period")
     usable = F.col("da").isNotNull() & F.col("db").isNotNull()
     stats = pairs.groupBy(*by, unit, "lag").agg(
-        F.count_if(usable).alias("n"), F.corr(F.when(usable, F.col("da")), F.when(usable, F.col("db"))).alias("corr"),
+        F.count_if(usable).alias("n"), corr(F.when(usable, F.col("da")), F.when(usable, F.col("db"))).alias("corr"),
         F.avg(F.abs(F.col("va") - F.col("vb"))).alias("mae"))
     best = F.struct(F.col("corr"), -F.col("lag"))
     ok = stats.where((F.col("n") >= min_n) & F.col("corr").isNotNull() & ~F.isnan("corr"))
@@ -124,7 +124,7 @@ def splice_report(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Seque
                                 for c in columns])).alias("c")
     long = both.select("period", cells).select("period", "c.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
     return long.groupBy("feature", "period").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("corr"), (F.avg("y") / F.nullif(F.avg("x"), F.lit(0.0)) - 1).alias("relative_level"))
+        F.count(F.lit(1)).alias("n"), corr("x", "y").alias("corr"), (F.avg("y") / F.nullif(F.avg("x"), F.lit(0.0)) - 1).alias("relative_level"))
 
 
 def conflicts(df: DataFrame, key: Sequence[str], *values: str) -> DataFrame:

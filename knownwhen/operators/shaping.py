@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import corr
+
 
 def rename_strict(df: DataFrame, names: Mapping[str, str], source: str = "source") -> DataFrame:
     """Renames and keeps the old name in the column metadata; an absent column is an error."""
@@ -92,7 +94,7 @@ def prune_columns(df: DataFrame, cols: Sequence[str], max_missing: float = 0.2,
     aggs = [F.avg(F.col(c).isNull().cast("double")).alias(f"m_{c}") for c in cols]
     aggs += [F.approx_count_distinct(c).alias(f"d_{c}") for c in cols]
     aggs += [F.stddev_samp(doubles[c]).alias(f"s_{c}") for c in cols]
-    aggs += [F.corr(doubles[a], doubles[b]).alias(f"r_{i}_{j}")
+    aggs += [corr(doubles[a], doubles[b]).alias(f"r_{i}_{j}")
              for i, a in enumerate(cols) for j, b in enumerate(cols) if j < i]
     row = df.agg(*aggs).first().asDict()
     keep: list[int] = []
