@@ -18,7 +18,6 @@ from .pit import lagged_targets
 from .ranks import _cuts, _slice, equal_bins, quantiles, ranked_values, row_rank, salted_join
 from .sequences import episodes
 
-ZERO = F.lit(0.0)
 
 
 # ---------------------------------------------------------------- baselines and folds
@@ -90,7 +89,7 @@ def point_aggregates() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
             F.avg(smape_term("y", "p")).alias("smape"), F.avg(F.abs(F.asinh("p") - F.asinh("y"))).alias("mae_asinh"),
             F.avg(e).alias("bias"), F.avg((e > 0).cast("double")).alias("share_over"), F.max(F.abs(e)).alias("max_abs_error"),
-            (1 - F.sum(e * e) / F.nullif(F.var_pop("y") * F.count("y"), ZERO)).alias("r2"), corr("p", "y").alias("corr")]
+            (1 - F.sum(e * e) / F.nullif(F.var_pop("y") * F.count("y"), F.lit(0.0))).alias("r2"), corr("p", "y").alias("corr")]
 
 
 def point_metrics(preds: DataFrame, by: Sequence[str], baseline: str | None = None) -> DataFrame:
@@ -100,7 +99,7 @@ def point_metrics(preds: DataFrame, by: Sequence[str], baseline: str | None = No
         return out
     ref = out.where(F.col("model") == baseline).select(*by, F.col("mae").alias("_kw_ref"))
     out = out.join(ref, list(by), "left") if by else out.join(F.broadcast(ref))
-    return out.withColumn("skill", 100 * (1 - F.col("mae") / F.nullif(F.col("_kw_ref"), ZERO))).drop("_kw_ref")
+    return out.withColumn("skill", 100 * (1 - F.col("mae") / F.nullif(F.col("_kw_ref"), F.lit(0.0)))).drop("_kw_ref")
 
 
 def metric_breakdown(preds: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -196,18 +195,18 @@ def combine(df: DataFrame, by: Sequence[str], fold: str, y: str, models: Sequenc
     mae = F.transform("_kw_e", lambda e: e / F.col("n_past"))
     order = F.array_sort(F.transform(mae, lambda m, i: F.struct(m.alias("m"), i.alias("i"))))
     inverse = F.transform(mae, lambda m: 1 / m)
-    total = F.aggregate(inverse, ZERO, lambda a, x: a + x)
+    total = F.aggregate(inverse, F.lit(0.0), lambda a, x: a + x)
     equal = F.array(*[F.lit(1.0 / k)] * k)
     pick = lambda n: F.transform(F.array(*[F.lit(i) for i in range(k)]), lambda i: F.when(
-        F.exists(F.slice(order, 1, n), lambda s: s["i"] == i), 1.0 / min(n, k)).otherwise(ZERO))
+        F.exists(F.slice(order, 1, n), lambda s: s["i"] == i), 1.0 / min(n, k)).otherwise(F.lit(0.0)))
     weights = weights.select(*by, fold, "n_past", F.when(ready, F.transform(inverse, lambda x: x / total)).otherwise(equal).alias("_kw_inv"),
                              F.when(ready, pick(1)).otherwise(equal).alias("_kw_best"), F.when(ready, pick(top)).otherwise(equal).alias("_kw_top"))
     out = rows.join(weights, [*by, fold])
     p = F.array(*[F.col(m).cast("double") for m in models])
-    dot = lambda w: F.aggregate(F.zip_with(p, F.col(w), lambda a, b: a * b), ZERO, lambda a, x: a + x)
+    dot = lambda w: F.aggregate(F.zip_with(p, F.col(w), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     s = F.array_sort(p)
     median = (F.element_at(s, (k + 1) // 2) + F.element_at(s, k // 2 + 1)) / 2
-    return out.withColumns({"c_average": F.aggregate(p, ZERO, lambda a, x: a + x) / k, "c_median": median, "c_best_past": dot("_kw_best"),
+    return out.withColumns({"c_average": F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / k, "c_median": median, "c_best_past": dot("_kw_best"),
                             "c_top": dot("_kw_top"), "c_inverse_mae": dot("_kw_inv")}).drop("_kw_inv", "_kw_best", "_kw_top")
 
 
@@ -216,7 +215,7 @@ def compare_runs(a: DataFrame, b: DataFrame, key: Sequence[str], y: str, p: str,
     right = b.select(*key, F.col(p).alias("_kw_p"))
     both = a.join(right, list(key)).where(F.col(p).isNotNull() & F.col("_kw_p").isNotNull() & F.col(y).isNotNull())
     out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(p) - F.col(y))).alias("mae_a"), F.avg(F.abs(F.col("_kw_p") - F.col(y))).alias("mae_b"))
-    return out.withColumn("change", 100 * (F.col("mae_b") / F.nullif(F.col("mae_a"), ZERO) - 1))
+    return out.withColumn("change", 100 * (F.col("mae_b") / F.nullif(F.col("mae_a"), F.lit(0.0)) - 1))
 
 
 def stability(metrics: DataFrame, by: Sequence[str], period: str, model: str, loss: str, pooled: str = "all") -> DataFrame:
@@ -250,7 +249,7 @@ def class_metrics(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame
     sums = table.groupBy(*by).agg(F.sum(rank * F.col("hits")).alias("_kw_r")) if by else table.agg(F.sum(rank * F.col("hits")).alias("_kw_r"))
     out = base.join(sums, list(by)) if by else base.join(F.broadcast(sums))
     n1, n0 = F.col("pos"), F.col("n") - F.col("pos")
-    return out.withColumns({"roc_auc": (F.col("_kw_r") - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, ZERO),
+    return out.withColumns({"roc_auc": (F.col("_kw_r") - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0)),
                             "observed_over_expected": F.col("base_rate") / F.greatest("mean_pred", F.lit(1e-12))}).drop("_kw_r")
 
 
@@ -294,21 +293,21 @@ def brier_skill(df: DataFrame, by: Sequence[str], y: str, models: Sequence[str],
     base = scores.where(F.col("model").isin(*baselines))
     best = base.groupBy(*by).agg(F.min_by("model", F.struct("brier", "model")).alias("baseline"), F.min("brier").alias("_kw_b"))
     out = scores.join(best, list(by)) if by else scores.join(F.broadcast(best))
-    return out.withColumn("skill", 1 - F.col("brier") / F.nullif(F.col("_kw_b"), ZERO)).drop("_kw_b")
+    return out.withColumn("skill", 1 - F.col("brier") / F.nullif(F.col("_kw_b"), F.lit(0.0))).drop("_kw_b")
 
 
 def capture(df: DataFrame, by: Sequence[str], score: str, amount: Column, row_id: str, shares: Sequence[float]) -> DataFrame:
     """Share of an amount found in the top x % of rows by score, with precision-style lift."""
-    ranked = row_rank(df.where(F.col(score).isNotNull()), by, score, row_id, "_kw_rank", "_kw_size", descending=True)
-    aggs = [F.sum(amount).alias("_kw_total"), F.first("_kw_size").alias("n")]
+    ranked = row_rank(df.where(F.col(score).isNotNull()), by, score, row_id, "_kw_rank", "_kw_rows", descending=True)
+    aggs = [F.sum(amount).alias("_kw_total"), F.first("_kw_rows").alias("n")]
     for i, s in enumerate(shares):
-        k = F.greatest(F.floor(F.col("_kw_size") * F.lit(float(s))), F.lit(1))
+        k = F.greatest(F.floor(F.col("_kw_rows") * F.lit(float(s))), F.lit(1))
         aggs += [F.sum(F.when(F.col("_kw_rank") <= k, amount)).alias(f"_kw_a{i}"), F.max(k).alias(f"_kw_k{i}")]
     wide = ranked.groupBy(*by).agg(*aggs)
     cells = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("top_share"), F.col(f"_kw_k{i}").alias("k"), F.col(f"_kw_a{i}").cast("double").alias("amount"))
                                 for i, s in enumerate(shares)]))
     out = wide.select(*by, "n", "_kw_total", cells.alias("c")).select(*by, "n", "_kw_total", "c.*")
-    share = F.col("amount") / F.nullif(F.col("_kw_total").cast("double"), ZERO)
+    share = F.col("amount") / F.nullif(F.col("_kw_total").cast("double"), F.lit(0.0))
     return out.withColumns({"captured": share, "mean_in_top": F.col("amount") / F.col("k"), "lift": share * F.col("n") / F.col("k")}).drop("_kw_total", "amount")
 
 
@@ -320,13 +319,13 @@ def prob_above(df: DataFrame, levels: Sequence[float], columns: Sequence[str], n
     low = [math.log(t) for t in levels[:2]]
     last, before = F.element_at(q, k), F.element_at(q, k - 1)
     d_top, d_low = last - before, F.element_at(q, 2) - F.element_at(q, 1)
-    top_slope = (math.log(1 - levels[-1]) - math.log(1 - levels[-2])) / F.nullif(d_top, ZERO)
+    top_slope = (math.log(1 - levels[-1]) - math.log(1 - levels[-2])) / F.nullif(d_top, F.lit(0.0))
     top = F.when(d_top <= 1e-9, F.lit((1 - levels[-1]) * 1e-3)).otherwise(F.exp(math.log(1 - levels[-1]) - top_slope * last))
-    slope = F.when(d_low > 1e-9, (low[1] - low[0]) / F.nullif(d_low, ZERO)).otherwise(F.lit(50.0))
+    slope = F.when(d_low > 1e-9, (low[1] - low[0]) / F.nullif(d_low, F.lit(0.0))).otherwise(F.lit(50.0))
     bottom = 1 - F.exp(low[0] - slope * F.element_at(q, 1))
     j = F.size(F.filter(q, lambda x: x < 0))                       # q[j-1] < 0 <= q[j]
     a, b = F.get(q, F.greatest(j - 1, F.lit(0))), F.get(q, F.least(j, F.lit(k - 1)))
-    w = F.when(b - a < 1e-12, ZERO).otherwise((0 - a) / F.nullif(b - a, ZERO))
+    w = F.when(b - a < 1e-12, F.lit(0.0)).otherwise((0 - a) / F.nullif(b - a, F.lit(0.0)))
     la, lb = F.get(up, F.greatest(j - 1, F.lit(0))), F.get(up, F.least(j, F.lit(k - 1)))
     mid = F.exp(la + w * (lb - la))
     # A lowest quantile of exactly 0 has nothing below it: the first level itself.
@@ -341,7 +340,7 @@ def calendar_lift(df: DataFrame, dims: Mapping[str, Column], outcome: Column) ->
     rows = df.where(outcome.isNotNull()).select(outcome.cast("double").alias("o"), labels.alias("d"))
     out = rows.groupBy(F.col("d.dimension").alias("dimension"), F.col("d.label").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.avg("o").alias("share"))
     total = df.where(outcome.isNotNull()).agg(F.avg(outcome.cast("double")).alias("_kw_base"))
-    return out.join(F.broadcast(total)).withColumn("lift", F.col("share") / F.nullif(F.col("_kw_base"), ZERO)).drop("_kw_base")
+    return out.join(F.broadcast(total)).withColumn("lift", F.col("share") / F.nullif(F.col("_kw_base"), F.lit(0.0))).drop("_kw_base")
 
 
 def exceedance_backtest(clusters: DataFrame, by: Sequence[str], start: str, end: str, excess: str, test_start: str, months: int,
@@ -368,7 +367,7 @@ def exceedance_backtest(clusters: DataFrame, by: Sequence[str], start: str, end:
 
     def score(q: str) -> Column:
         loss = F.zip_with(F.col(q), marks, lambda v, u: F.greatest(u * (F.col("_kw_x") - v), (u - 1) * (F.col("_kw_x") - v)))
-        return F.aggregate(loss, ZERO, lambda a, b: a + b) / len(taus)
+        return F.aggregate(loss, F.lit(0.0), lambda a, b: a + b) / len(taus)
 
     top = len(taus)
     out = test.select(*by, "fold", "n_fit", score("q_emp").alias("s_emp"), score("q_exp").alias("s_exp"),
@@ -408,7 +407,7 @@ def intervention_effect(df: DataFrame, by: Sequence[str], ts: str, value: str, d
         measures = ["share", "episodes_per_week", "mean_length", "mean_excess"]
         pick = lambda m, s: F.max(F.when(F.col("side") == s, F.col(m)))
         wide = both.groupBy(*by).agg(F.max("threshold").alias("threshold"), *[pick(m, s).alias(f"{m}_{s}") for m in measures for s in ("pre", "post")])
-        wide = wide.withColumns({f"{m}_ratio": F.col(f"{m}_post") / F.nullif(F.col(f"{m}_pre"), ZERO) for m in measures}).withColumn("design", F.lit(design))
+        wide = wide.withColumns({f"{m}_ratio": F.col(f"{m}_post") / F.nullif(F.col(f"{m}_pre"), F.lit(0.0)) for m in measures}).withColumn("design", F.lit(design))
         out = wide if out is None else out.unionByName(wide)
     return out
 
@@ -416,8 +415,8 @@ def intervention_effect(df: DataFrame, by: Sequence[str], ts: str, value: str, d
 # ---------------------------------------------------------------- bid policies
 def revenue(bid: str | Column, cleared: str | Column) -> Column:
     """Pay-as-bid revenue of a unit bid against the highest accepted bid."""
-    b = F.greatest(T.col(bid), ZERO)
-    return F.when(T.col(bid).isNotNull() & (b <= T.col(cleared) + 1e-9), b).otherwise(ZERO)
+    b = F.greatest(T.col(bid), F.lit(0.0))
+    return F.when(T.col(bid).isNotNull() & (b <= T.col(cleared) + 1e-9), b).otherwise(F.lit(0.0))
 
 
 def policy_backtest(df: DataFrame, by: Sequence[str], cleared: str, policies: Sequence[str]) -> DataFrame:
@@ -425,11 +424,11 @@ def policy_backtest(df: DataFrame, by: Sequence[str], cleared: str, policies: Se
     rows = df.where(F.col(cleared).isNotNull())
     long = rows.select(*by, F.col(cleared).alias("c"), *[F.col(p).cast("double").alias(p) for p in policies]).unpivot([*by, "c"], list(policies), "policy", "bid")
     rev, best = revenue("bid", "c"), revenue("c", "c")
-    won = F.coalesce(F.greatest(F.col("bid"), ZERO) <= F.col("c") + 1e-9, F.lit(False))
+    won = F.coalesce(F.greatest(F.col("bid"), F.lit(0.0)) <= F.col("c") + 1e-9, F.lit(False))
     won = F.col("bid").isNotNull() & won
     return long.groupBy(*by, "policy").agg(
         F.count(F.lit(1)).alias("n"), F.avg(rev).alias("revenue"), F.avg(won.cast("double")).alias("win_rate"),
-        (F.sum(rev) / F.nullif(F.sum(best), ZERO)).alias("share_of_oracle"), (F.avg(best) - F.avg(rev)).alias("value_loss"), F.avg("bid").alias("mean_bid"))
+        (F.sum(rev) / F.nullif(F.sum(best), F.lit(0.0))).alias("share_of_oracle"), (F.avg(best) - F.avg(rev)).alias("value_loss"), F.avg("bid").alias("mean_bid"))
 
 
 def choose_monthly(df: DataFrame, by: Sequence[str], start: str, cleared: str, candidates: Mapping[str, Column], fallback: str, lookback_days: int,
@@ -497,11 +496,11 @@ def ridge_backtest(df: DataFrame, by: Sequence[str], fold: str, y: str, xs: Sequ
     total = lambda c, i: F.sum(f"_kw_{c}{i}").over(w)
     moments = per.select(*by, fold, *[c for i in range(k) for c in (
         (total("s", i) / F.nullif(total("c", i), F.lit(0))).alias(f"_kw_m{i}"),
-        F.sqrt(F.greatest(total("q", i) / F.nullif(total("c", i), F.lit(0)) - F.pow(total("s", i) / F.nullif(total("c", i), F.lit(0)), F.lit(2)), ZERO)).alias(f"_kw_d{i}"))])
+        F.sqrt(F.greatest(total("q", i) / F.nullif(total("c", i), F.lit(0)) - F.pow(total("s", i) / F.nullif(total("c", i), F.lit(0)), F.lit(2)), F.lit(0.0))).alias(f"_kw_d{i}"))])
 
     def z(i: int) -> Column:
-        scaled = (F.col(xs[i]) - F.col(f"_kw_m{i}")) / F.nullif(F.col(f"_kw_d{i}"), ZERO)
-        return F.coalesce(clip(scaled, -bound, bound), ZERO)
+        scaled = (F.col(xs[i]) - F.col(f"_kw_m{i}")) / F.nullif(F.col(f"_kw_d{i}"), F.lit(0.0))
+        return F.coalesce(clip(scaled, -bound, bound), F.lit(0.0))
 
     keyed = moments.withColumnRenamed(fold, "_kw_fold")
     pairs = rows.join(keyed, list(by)) if by else rows.join(F.broadcast(keyed))
@@ -528,7 +527,7 @@ def ridge_backtest(df: DataFrame, by: Sequence[str], fold: str, y: str, xs: Sequ
 
     fits = grams.mapInPandas(solve, schema)
     test = pairs.where(F.col(fold) == F.col("_kw_fold")).join(fits, [*by, "_kw_fold"])
-    pred = F.col("b")[0] + sum((F.col("b")[i + 1] * z(i) for i in range(k)), ZERO)
+    pred = F.col("b")[0] + sum((F.col("b")[i + 1] * z(i) for i in range(k)), F.lit(0.0))
     return test.withColumn("p", pred).select(*df.columns, "p")
 
 

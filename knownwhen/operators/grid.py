@@ -35,13 +35,13 @@ def span_grid(df: DataFrame, ts: str, step: str | int, by: Sequence[str] = (), n
     The span is taken over the whole table, so all series share one grid.
     """
     name = name or ts
-    ends = df.agg(F.min(ts).alias("_kw_a"), F.max(ts).alias("_kw_b"))
-    steps = ends.select(F.explode(instants(
-        T.floor_time("_kw_a", step), T.plus(T.floor_time("_kw_b", step), step), step)).alias(name))
+    per = df.groupBy(*by).agg(F.min(ts).alias("_kw_a"), F.max(ts).alias("_kw_b"))
+    ends = per.agg(F.min("_kw_a").alias("_kw_a"), F.max("_kw_b").alias("_kw_b"))
+    steps = F.explode(instants(T.floor_time("_kw_a", step), T.plus(T.floor_time("_kw_b", step), step), step)).alias(name)
     if not by:
-        return steps
-    return df.select(*by).distinct().join(F.broadcast(ends)).select(*by, F.explode(instants(
-        T.floor_time("_kw_a", step), T.plus(T.floor_time("_kw_b", step), step), step)).alias(name))
+        return ends.select(steps)
+    # One row of bounds meets the list of keys.
+    return per.select(*by).join(F.broadcast(ends)).select(*by, steps)
 
 
 def trim(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:

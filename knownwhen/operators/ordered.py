@@ -216,13 +216,18 @@ def rolling_time(df: DataFrame, by: Sequence[str], order: str, aggs: Mapping[str
 
 def rolling_rows(df: DataFrame, by: Sequence[str], order: str, aggs: Mapping[str, Column], n: int,
                  counted: Column, min_periods: int = 1, center: bool = False, skip: int = 0,
-                 ties: Sequence[str] = (), chunk: str | int = "1 day") -> DataFrame:
-    """Moving aggregates over the last ``n`` rows (``skip`` rows back), or centred on the row."""
+                 ties: Sequence[str] = (), chunk: str | int = "1 day", index: str | None = None) -> DataFrame:
+    """Moving aggregates over the last ``n`` rows (``skip`` rows back), or centred on the row.
+
+    ``index`` names a column that already numbers the rows of each series.
+    """
     after = (n - 1) // 2 if center else -skip
-    before = n - 1 - after
-    rows = row_index(df, by, order, INDEX + "_n", ties, chunk)
-    rows = halo(rows, by, INDEX + "_n", before, max(after, 0), max(4 * n, 4096))
-    frame = Window.partitionBy(GROUP, CHUNK).orderBy(INDEX + "_n").rowsBetween(-before, after)
+    before = n - 1 + skip if not center else n - 1 - after
+    number = index or INDEX + "_n"
+    rows = df if index else row_index(df, by, order, number, ties, chunk)
+    rows = halo(rows, by, number, before, max(after, 0), max(4 * n, 4096))
+    frame = Window.partitionBy(GROUP, CHUNK).orderBy(number).rowsBetween(-before, after)
     full = F.count(counted).over(frame) >= min_periods
     rows = rows.withColumns({k: F.when(full, e.over(frame)) for k, e in aggs.items()})
-    return unkeyed(rows.where(F.col(OWN)).drop(INDEX + "_n"))
+    out = unkeyed(rows.where(F.col(OWN)))
+    return out if index else out.drop(number)

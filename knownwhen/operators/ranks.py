@@ -90,7 +90,9 @@ def row_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, name: str,
     """
     sign = -1 if descending else 1
     rows = df.withColumns({GROUP: group_key(by), "_kw_v": F.col(value) * sign})
-    cuts = _cuts(rows, "_kw_v", slices, "_kw_cuts").join(_cuts(rows, tie, slices, "_kw_tie_cuts"), GROUP)
+    marks, accuracy = F.array(*[F.lit(i / slices) for i in range(1, slices)]), F.lit(50 * slices)
+    cuts = rows.groupBy(GROUP).agg(F.percentile_approx("_kw_v", marks, accuracy).alias("_kw_cuts"),
+                                   F.percentile_approx(tie, marks, accuracy).alias("_kw_tie_cuts"))
     rows = salted_join(rows, cuts, [GROUP], [tie])
     rows = rows.withColumns({"_kw_tie": _slice("_kw_tie_cuts", tie), CHUNK: _slice("_kw_cuts", "_kw_v")})
     rows = rows.drop("_kw_cuts", "_kw_tie_cuts")

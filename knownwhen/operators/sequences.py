@@ -143,17 +143,18 @@ def climatology(df: DataFrame, cell: Sequence[str], order: str, outcome: str, wi
 
     y = F.col(outcome).cast("double")
     one = F.when(y.isNotNull(), F.lit(1.0))
-    rows = O.running(df, by, order, {"_kw_ps": y, "_kw_pn": one}, ties=cell, chunk=chunk, inclusive=False)
-    rows = O.running(rows, [*by, *cell], order, {"_kw_cs": y, "_kw_cn": one}, chunk=chunk, inclusive=False)
-    rows = O.rolling_rows(rows, [*by, *cell], order, {"_kw_roll": F.avg(y)}, window, y, min_periods, skip=1, chunk=chunk)
+    rows = O.running(df, by, order, {"_kw_ps": y, "_kw_pn": one}, ties=cell, chunk=chunk)
+    rows = O.running(rows, [*by, *cell], order, {"_kw_cs": y, "_kw_cn": one, "_kw_i": F.lit(1).cast("long")}, chunk=chunk)
+    rows = O.rolling_rows(rows, [*by, *cell], order, {"_kw_roll": F.avg(y)}, window, y, min_periods, skip=1, index="_kw_i")
     overall = df.groupBy(*by).agg(F.avg(y).alias("_kw_all")) if by else df.agg(F.avg(y).alias("_kw_all"))
     rows = rows.join(overall, list(by)) if by else rows.join(F.broadcast(overall))
+    own_s, own_n = F.coalesce(y, F.lit(0.0)), F.coalesce(one, F.lit(0.0))      # the sums include the row itself
     zero = F.lit(0.0)
-    prior = F.coalesce(F.col("_kw_ps") / F.nullif(F.col("_kw_pn"), zero), F.col("_kw_all"))
-    expanding = F.coalesce(F.col("_kw_cs") / F.nullif(F.col("_kw_cn"), zero), prior)
+    prior = F.coalesce((F.col("_kw_ps") - own_s) / F.nullif(F.col("_kw_pn") - own_n, zero), F.col("_kw_all"))
+    expanding = F.coalesce((F.col("_kw_cs") - own_s) / F.nullif(F.col("_kw_cn") - own_n, zero), prior)
     rolling = F.coalesce(F.col("_kw_roll"), expanding)
     return rows.withColumns({"clim_expanding": clip(expanding, *bounds), "clim_rolling": clip(rolling, *bounds)}).drop(
-        "_kw_ps", "_kw_pn", "_kw_cs", "_kw_cn", "_kw_roll", "_kw_all")
+        "_kw_ps", "_kw_pn", "_kw_cs", "_kw_cn", "_kw_i", "_kw_roll", "_kw_all")
 
 
 def decumulate(df: DataFrame, by: Sequence[str], order: str, column: str, period: Column, name: str,

@@ -15,7 +15,6 @@ from . import ordered as O
 from .ranks import average_ranks, quantiles
 from .shaping import within
 
-ZERO = F.lit(0.0)
 
 
 # ---------------------------------------------------------------- correlation
@@ -199,7 +198,7 @@ def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequenc
     for c in (y, *xs):
         complete = complete.where(F.col(c).isNotNull())
     joined = complete.join(fits.select(*by, "b"), list(by)) if by else complete.join(F.broadcast(fits.select("b")))
-    residual = F.col(y) - sum((F.col("b")[i] * F.col(x) for i, x in enumerate(xs)), ZERO)
+    residual = F.col(y) - sum((F.col("b")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
     joined = joined.withColumn("_kw_e", residual)
     scored = joined.select(*by, order, *[(F.col(x) * F.col("_kw_e")).alias(f"u{i}") for i, x in enumerate(xs)])
     products = lagged_products(scored, by, order, [f"u{i}" for i in range(k)], lags, chunk)
@@ -312,7 +311,7 @@ def before_after(df: DataFrame, breaks: DataFrame, by: Sequence[str], ts: str, v
     rows = rows.withColumn("side", F.when(F.col("_kw_day") < F.col("_kw_at"), "before").otherwise("after"))
     keys = [*by, "break_at", "design"]
     q = quantiles(rows, [*keys, "side"], value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    m = rows.groupBy(*keys, "side").agg(F.count(F.lit(1)).alias("n"), (F.stddev_samp(value) / F.nullif(F.avg(value), ZERO)).alias("cv"))
+    m = rows.groupBy(*keys, "side").agg(F.count(F.lit(1)).alias("n"), (F.stddev_samp(value) / F.nullif(F.avg(value), F.lit(0.0))).alias("cv"))
     s = q.join(m, [*keys, "side"])
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     out = s.groupBy(*keys).agg(
@@ -355,7 +354,7 @@ def ztest(df: DataFrame, by: Sequence[str], flag: Column, outcome: Column) -> Da
     out = df.groupBy(*by).agg(F.count_if(on & hit).alias("k1"), F.count_if(on).alias("n1"), F.count_if(off & hit).alias("k0"), F.count_if(off).alias("n0"))
     p = (F.col("k1") + F.col("k0")) / (F.col("n1") + F.col("n0"))
     se = F.sqrt(p * (1 - p) * (1 / F.col("n1") + 1 / F.col("n0")))
-    z = (F.col("k1") / F.col("n1") - F.col("k0") / F.col("n0")) / F.nullif(se, ZERO)
+    z = (F.col("k1") / F.col("n1") - F.col("k0") / F.col("n0")) / F.nullif(se, F.lit(0.0))
     out = out.withColumn("z", F.when((F.col("n1") >= 5) & (F.col("n0") >= 5), z))
     return out.withColumns({"share_on": F.col("k1") / F.nullif(F.col("n1"), F.lit(0)), "share_off": F.col("k0") / F.nullif(F.col("n0"), F.lit(0)),
                             "p": normal_two_sided("z")})
@@ -371,7 +370,7 @@ def std_diff(df: DataFrame, by: Sequence[str], event: Column, xs: Sequence[str],
     out = long.groupBy(*by, "feature").agg(
         F.count(on).alias("n_event"), F.count(off).alias("n_other"), F.avg(on).alias("mean_event"), F.avg(off).alias("mean_other"),
         F.stddev_samp("x").alias("sd"))
-    return out.withColumn("std_diff", (F.col("mean_event") - F.col("mean_other")) / F.nullif(F.col("sd"), ZERO))
+    return out.withColumn("std_diff", (F.col("mean_event") - F.col("mean_other")) / F.nullif(F.col("sd"), F.lit(0.0)))
 
 
 def dm_test(df: DataFrame, by: Sequence[str], order: str, difference: str, lags: int, min_n: int = 30, chunk: str | int = "365 days") -> DataFrame:
@@ -421,7 +420,7 @@ def moving_block_bootstrap(df: DataFrame, by: Sequence[str], order: str, value:
     rows = O.running(df.where(x.isNotNull()), by, order, {"_kw_i": F.lit(1).cast("long"), "_kw_s": x}, chunk=chunk)
     prefix = rows.select(*by, "_kw_i", "_kw_s")
     size = prefix.groupBy(*by).agg(F.max("_kw_i").alias("n"), F.max_by("_kw_s", "_kw_i").alias("_kw_t"))
-    origin = size.select(*by, F.lit(0).cast("long").alias("_kw_i"), ZERO.alias("_kw_s"))
+    origin = size.select(*by, F.lit(0).cast("long").alias("_kw_i"), F.lit(0.0).alias("_kw_s"))
     prefix = prefix.unionByName(origin)
     slots = size.withColumn("_kw_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn(
         "_kw_k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / length) - 1)))
@@ -441,7 +440,7 @@ def forecast_quality(df: DataFrame, by: Sequence[str], actual: str, forecast: st
     a, f = F.col(actual), F.col(forecast)
     rows = df.where(a.isNotNull() & f.isNotNull())
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), corr(a, f).alias("r"), (100 * F.avg(F.abs(f - a) / F.nullif(F.abs(a), ZERO))).alias("mape"),
+        F.count(F.lit(1)).alias("n"), corr(a, f).alias("r"), (100 * F.avg(F.abs(f - a) / F.nullif(F.abs(a), F.lit(0.0)))).alias("mape"),
         F.avg(f - a).alias("bias"), F.avg((F.abs(f - a) <= tol).cast("double")).alias("share_identical"))
 
 
@@ -467,7 +466,7 @@ def contribution_dependence(long: DataFrame, by: Sequence[str], feature: str, va
 
 def ratio_table(df: DataFrame, by: Sequence[str], numerator: str, denominator: str) -> DataFrame:
     """Median ratio, its quartiles and the share above one."""
-    rows = df.withColumn("_kw_r", F.col(numerator) / F.nullif(F.col(denominator), ZERO)).where(F.col("_kw_r").isNotNull())
+    rows = df.withColumn("_kw_r", F.col(numerator) / F.nullif(F.col(denominator), F.lit(0.0))).where(F.col("_kw_r").isNotNull())
     n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_kw_r") > 1).cast("double")).alias("share_above_1"))
     return quantiles(rows, by, "_kw_r", {"q25": 0.25, "median": 0.5, "q75": 0.75}).join(n, list(by))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,17 +34,26 @@ def utc_session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; chosen here only in local sessions without one."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        shared = tempfile.mkdtemp(prefix="kw-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.sparkContext.setCheckpointDir(shared)
+        shared = spark.sparkContext.getCheckpointDir() or shared
+    return shared
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder that the session names.
+    """Writes a stage result once as parquet in the shared checkpoint folder and reads it back.
 
-    Only where ``spark.checkpoint.dir`` is unset (local tests) is a folder chosen here.
+    Operators that work in two levels read their input more than once. Put this between the
+    reduction of raw data and such operators: raw data is then scanned once, lost executors
+    recompute nothing before the cut, and column pruning and size statistics still work.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="kw-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("grids", "shaping", "asof", "joins", "bids", "aggregates", "sequences", "sources", "quality")
+MODULES = ("grids", "shaping", "asof", "joins", "bids", "aggregates", "sequences", "sources", "quality", "evaluation", "statistics")
 
 
 def load() -> tuple[dict, dict]:

@@ -44,7 +44,7 @@ def shares_of_total(t):
     return out.join(total, "year").select("year", "o_orderpriority", "amount", F.round(F.col("amount") / F.col("all"), 8).alias("share"))
 
 
-@query("descriptive_stats", """SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(CAST(o_totalprice AS DOUBLE)), 3) AS mean, round(stddev_samp(o_totalprice), 3) AS std, max(o_totalprice) AS max,
+@query("descriptive_stats", """SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(avg(CAST(o_totalprice AS DOUBLE)), 5) AS mean, round(stddev_samp(o_totalprice), 5) AS std, max(o_totalprice) AS max,
   round(avg(CASE WHEN o_totalprice <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share_le_0, round(quantile_cont(o_totalprice, 0.05), 4) AS p05, round(quantile_cont(o_totalprice, 0.5), 4) AS median,
   round(quantile_cont(o_totalprice, 0.95), 4) AS p95, round(quantile_cont(o_totalprice, 0.99), 4) AS p99, round(stddev_samp(o_totalprice) / avg(o_totalprice), 8) AS cv,
   round(quantile_cont(o_totalprice, 0.99) / quantile_cont(o_totalprice, 0.5), 8) AS p99_over_median,
@@ -52,7 +52,7 @@ def shares_of_total(t):
 FROM orders GROUP BY 1, 2""")
 def descriptive_stats(t):
     out = A.describe_plus(t("orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice")
-    out = rounded(rounded(out, 3, "mean", "std"), 8, "cv", "p99_over_median")
+    out = rounded(rounded(out, 5, "mean", "std"), 8, "cv", "p99_over_median")
     return rounded(rounded(out, 4, "p05", "median", "p95", "p99"), 5, "skew")
 
 

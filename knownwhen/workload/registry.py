@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeaxis import floor_time
-from ..session import utc_session
+from ..session import cut_lineage, utc_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,35 +35,42 @@ def query(name: str, sql: str | None = None):
 
 
 # ---------------------------------------------------------------- shared shapes
+# Exchange rate of the derived price columns; means in the new currency are never exact decimals,
+# so rounding them gives the same digits whatever the order of summation.
+RATE = 1.0837
+
+
 def exact_sum(name: str) -> Column:
     """Sum of two-decimal amounts that does not depend on the order of the rows."""
     return F.sum(F.col(name).cast("decimal(18,2)")).cast("double")
 
 
 def hourly(t) -> DataFrame:
-    """events -> one row per (event_type, hour) that has events."""
-    return (t("events").groupBy("event_type", floor_time("ts", "1 hour").alias("hour"))
+    """events -> one row per (event_type, hour) that has events; value is the converted mean."""
+    per = (t("events").groupBy("event_type", floor_time("ts", "1 hour").alias("hour"))
             .agg(F.count(F.lit(1)).alias("n"), exact_sum("value").alias("total"))
-            .select("event_type", "hour", "n", (F.col("total") / F.col("n")).alias("value"), "total"))
+            .select("event_type", "hour", "n", (F.col("total") / F.col("n") / RATE).alias("value"), "total"))
+    return cut_lineage(per)
 
 
 HOURLY = """hourly AS (
   SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n,
-         CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS value, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total
+         CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) / count(*) / 1.0837::DOUBLE AS value, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total
   FROM events GROUP BY 1, 2)"""
 
 
 def daily_orders(t) -> DataFrame:
-    """orders -> one row per (priority, day): number, mean price, total."""
-    return (t("orders").groupBy(F.col("o_orderpriority").alias("priority"),
+    """orders -> one row per (priority, day): number, mean price (thousands, converted), total."""
+    per = (t("orders").groupBy(F.col("o_orderpriority").alias("priority"),
                                 F.col("o_orderdate").cast("date").alias("day"))
             .agg(F.count(F.lit(1)).alias("n"), exact_sum("o_totalprice").alias("total"))
-            .select("priority", "day", "n", (F.col("total") / F.col("n")).alias("price"), "total"))
+            .select("priority", "day", "n", (F.col("total") / F.col("n") / (1000 * RATE)).alias("price"), "total"))
+    return cut_lineage(per)
 
 
 DAILY_ORDERS = """daily AS (
   SELECT o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS day, count(*) AS n,
-         CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) AS price,
+         CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) / count(*) / (1000 * 1.0837::DOUBLE) AS price,
          CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
   FROM orders GROUP BY 1, 2)"""
 

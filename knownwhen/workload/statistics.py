@@ -60,13 +60,14 @@ def gram_matrix(t):
 @query("fe_slope", """WITH d AS (SELECT l_returnflag, l_extendedprice - avg(l_extendedprice) OVER w AS y, l_quantity - avg(l_quantity) OVER w AS x FROM lineitem WINDOW w AS (PARTITION BY l_returnflag, l_linenumber))
 SELECT l_returnflag, 'l_quantity' AS feature, round(sum(x * y) / sum(x * x), 4) AS coef, round(pow(sum(x * y), 2) / sum(x * x) / sum(y * y), 6) AS r2_within, count(*) AS n FROM d GROUP BY 1""")
 def fe_slope(t):
-    out = S.fe_ols(t("lineitem"), ["l_returnflag"], "l_extendedprice", ["l_quantity"], ["l_linenumber"])
+    out = S.fe_ols(t("lineitem"), ["l_returnflag"], "l_extendedprice", ["l_quantity"], ["l_linenumber"], select=False)
     return rounded(rounded(out.select("l_returnflag", "feature", "coef", "r2_within", "n"), 4, "coef"), 6, "r2_within")
 
 
 @query("fe_forward_selection")
 def fe_forward_selection(t):
-    return S.fe_ols(t("lineitem"), ["l_returnflag"], "l_extendedprice", XS, ["l_linenumber", "l_linestatus"])
+    li = t("lineitem").withColumns({"unit_price": F.col("l_extendedprice") / F.col("l_quantity"), "net": F.col("l_extendedprice") * (1 - F.col("l_discount"))})
+    return S.fe_ols(li, ["l_returnflag"], "unit_price", [*XS, "net"], ["l_linenumber", "l_linestatus"])
 
 
 @query("newey_west")
@@ -89,10 +90,10 @@ def break_test(t):
     return S.break_test(d, ["priority"], "day", "price", ["n_", "trend"], F.col("day") >= F.lit("1998-06-11").cast("date"), ["dow"])
 
 
-@query("before_after", f"""WITH {DAILY_ORDERS}, b AS (SELECT priority, CAST(d AS DATE) AS at FROM (SELECT DISTINCT priority FROM daily), (SELECT unnest([DATE '1997-06-01', DATE '1998-01-01', DATE '2000-03-01']) AS d)),
-l AS (SELECT priority, at, greatest(at - 200, coalesce(lag(at) OVER w, at - 200)) AS lo, least(at + 200, coalesce(lead(at) OVER w, at + 200)) AS hi FROM b WINDOW w AS (PARTITION BY priority ORDER BY at)),
-s AS (SELECT priority, at AS break_at, design, at - shift AS at, lo - shift AS lo, hi - shift AS hi FROM l, (VALUES ('break', 0), ('placebo', 365)) v(design, shift)),
-x AS (SELECT s.priority, break_at, design, CASE WHEN day < at THEN 'b' ELSE 'a' END AS side, price FROM s JOIN daily d ON d.priority = s.priority AND day >= lo AND day < hi),
+@query("before_after", f"""WITH {DAILY_ORDERS}, b AS (SELECT priority, CAST(d AS DATE) AS brk FROM (SELECT DISTINCT priority FROM daily), (SELECT unnest([DATE '1997-06-01', DATE '1998-01-01', DATE '2000-03-01']) AS d)),
+l AS (SELECT priority, brk, greatest(brk - 200, coalesce(lag(brk) OVER w, brk - 200)) AS lo, least(brk + 200, coalesce(lead(brk) OVER w, brk + 200)) AS hi FROM b WINDOW w AS (PARTITION BY priority ORDER BY brk)),
+s AS (SELECT priority, brk AS break_at, design, brk - shift AS brk, lo - shift AS lo, hi - shift AS hi FROM l, (VALUES ('break', 0), ('placebo', 365)) v(design, shift)),
+x AS (SELECT s.priority, break_at, design, CASE WHEN day < brk THEN 'b' ELSE 'a' END AS side, price FROM s JOIN daily d ON d.priority = s.priority AND day >= lo AND day < hi),
 g AS (SELECT priority, break_at, design, side, count(*) AS n, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.5) AS q2, quantile_cont(price, 0.75) AS q3, stddev_samp(price) / avg(price) AS cv FROM x GROUP BY ALL)
 SELECT priority, break_at, design, max(n) FILTER (WHERE side = 'b') AS n_before, max(n) FILTER (WHERE side = 'a') AS n_after, round(max(q2) FILTER (WHERE side = 'b'), 4) AS median_before, round(max(q2) FILTER (WHERE side = 'a'), 4) AS median_after,
   round(max(q3 - q1) FILTER (WHERE side = 'a') - max(q3 - q1) FILTER (WHERE side = 'b'), 3) AS iqr_change, round(max(cv) FILTER (WHERE side = 'a') - max(cv) FILTER (WHERE side = 'b'), 6) AS cv_change,
