@@ -6,7 +6,8 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("grids", "shaping", "asof", "joins", "bids", "aggregates", "sequences", "sources", "quality", "evaluation", "statistics")
+MODULES = ("grids", "shaping", "asof", "joins", "bids", "aggregates", "sequences", "sources", "quality", "evaluation",
+           "statistics", "policies", "sets", "streams")
 
 
 def load() -> tuple[dict, dict]:

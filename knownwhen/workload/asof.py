@@ -10,7 +10,7 @@ from ..operators import ordered as O
 from ..operators import pit
 from ..operators.asof import asof_join
 from .grids import FULL_HOURS, full_hours
-from .registry import DAILY_ORDERS, HOURLY, UNITS, daily_orders, hourly, query, rounded, units
+from .registry import DAILY_ORDERS, HOURLY, RATE, UNITS, daily_orders, hourly, query, rounded, units
 
 
 def _buys(t):
@@ -115,14 +115,14 @@ def past_share(t):
 
 
 @query("event_window_vwap", f"""WITH {HOURLY}
-SELECT o.event_type, o.hour AS t0, count(e.value) AS n_events, round(sum(e.value * (e.event_id % 5 + 1)) / nullif(sum(e.event_id % 5 + 1), 0), 6) AS vwap,
+SELECT o.event_type, o.hour AS t0, count(e.value) AS n_events, round(sum(e.value * (e.event_id % 5 + 1)) / nullif(sum(e.event_id % 5 + 1), 0) / 1.0837::DOUBLE, 6) AS vwap,
   CAST(coalesce(sum(e.event_id % 5 + 1), 0) AS DOUBLE) AS volume
 FROM (SELECT DISTINCT event_type, hour FROM hourly) o
 LEFT JOIN events e ON e.event_type = o.event_type AND e.ts > o.hour - INTERVAL 4 HOUR AND e.ts <= o.hour GROUP BY 1, 2""")
 def event_window_vwap(t):
     o = hourly(t).select("event_type", F.col("hour").alias("t0"))
     e = t("events").withColumn("volume_", (F.col("event_id") % 5 + 1).cast("double"))
-    return rounded(pit.event_window(e, o, ["event_type"], "ts", "t0", "4 hours", F.col("value"), F.col("volume_")))
+    return rounded(pit.event_window(e, o, ["event_type"], "ts", "t0", "4 hours", F.col("value") / RATE, F.col("volume_")))
 
 
 def _blocks(t):
