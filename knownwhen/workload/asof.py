@@ -71,8 +71,8 @@ e AS (SELECT o.event_type, o.t0, max(p.i) AS i FROM origins o LEFT JOIN pub p ON
 
 @query("pit_lookback", f"""WITH {_PIT}
 SELECT e.event_type, e.t0, round(CASE WHEN count(p.value) >= 12 THEN avg(p.value) END, 6) AS value__lb24h,
-  CASE WHEN count(p.value) >= 12 THEN CAST(sum(p.n) AS DOUBLE) END AS n__lb24h, CASE WHEN count(p.value) >= 12 THEN max(p.value) END AS peak__lb24h,
-  CASE WHEN count(p.value) >= 12 THEN min(p.value) END AS low__lb24h,
+  CASE WHEN count(p.value) >= 12 THEN CAST(sum(p.n) AS DOUBLE) END AS n__lb24h, round(CASE WHEN count(p.value) >= 12 THEN max(p.value) END, 6) AS peak__lb24h,
+  round(CASE WHEN count(p.value) >= 12 THEN min(p.value) END, 6) AS low__lb24h,
   round(CASE WHEN count(p.value) >= 12 THEN sum(p.value * p.n) / sum(CASE WHEN p.value IS NOT NULL THEN p.n END) END, 6) AS vw__lb24h
 FROM e LEFT JOIN pub p ON p.event_type = e.event_type AND p.i > e.i - 24 AND p.i <= e.i GROUP BY 1, 2""")
 def pit_lookback(t):

@@ -8,7 +8,7 @@ from ..functions import calendar as C
 from ..functions import timeaxis as T
 from ..operators import grid as G
 from ..operators import intervals as I
-from .registry import DAILY_ORDERS, HOURLY, daily_orders, hourly, query, rounded
+from .registry import DAILY_ORDERS, HOURLY, RATE, daily_orders, hourly, query, rounded
 
 ZURICH = "Europe/Zurich"
 
@@ -157,7 +157,7 @@ f AS (SELECT r.event_type, r.hour, r.value, r.value IS NULL AND (epoch(nxt) - ep
       FROM r LEFT JOIN hourly p ON p.event_type = r.event_type AND p.hour = r.prev)
 SELECT event_type, hour, round(CASE WHEN fill THEN pv ELSE value END, 6) AS value, coalesce(fill, false) AS filled FROM f""")
 def regularize_fill(t):
-    e = t("events").select("event_type", F.col("ts").alias("hour"), "value")
+    e = t("events").select("event_type", F.col("ts").alias("hour"), (F.col("value") / RATE).alias("value"))
     return rounded(G.regularize(e, ["event_type"], "hour", "value", "1 hour", 2, chunk="7 days"))
 
 

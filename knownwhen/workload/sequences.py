@@ -11,7 +11,7 @@ from ..operators import ranks as R
 from ..operators import sequences as Q
 from ..operators import shaping as S
 from .grids import FULL_HOURS, full_hours
-from .registry import DAILY_ORDERS, HOURLY, daily_orders, hourly, query, rounded
+from .registry import DAILY_ORDERS, HOURLY, RATE, daily_orders, hourly, query, rounded
 
 _RUNS = f"""{FULL_HOURS}, f AS (SELECT *, coalesce({{pred}}, false) AS onx FROM full_hours),
 s AS (SELECT *, CASE WHEN onx AND NOT coalesce(lag(onx) OVER (PARTITION BY event_type ORDER BY hour), false) THEN 1 ELSE 0 END AS st FROM f),
@@ -197,9 +197,10 @@ def average_ranks(t):
     return out.groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank"))
 
 
-@query("within_demean", """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, round(l_quantity - avg(l_quantity) OVER w, 6) AS l_quantity__w, round(l_discount - avg(l_discount) OVER w, 6) AS l_discount__w FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)""")
+@query("within_demean", """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, round((l_quantity - avg(l_quantity) OVER w) / 1.0837::DOUBLE, 6) AS l_quantity__w, round((l_discount - avg(l_discount) OVER w) / 1.0837::DOUBLE, 6) AS l_discount__w FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)""")
 def within_demean(t):
     out = S.within(t("lineitem"), ["l_suppkey"], ["l_quantity", "l_discount"])
+    out = out.withColumns({c: F.col(c) / RATE for c in ("l_quantity__w", "l_discount__w")})
     return rounded(out, 6, "l_quantity__w", "l_discount__w").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity__w", "l_discount__w")
 
 

@@ -246,7 +246,8 @@ def date_fallthrough(t):
 s AS (SELECT k, CASE k % 4 WHEN 0 THEN d + h * INTERVAL 1 HOUR WHEN 1 THEN d + h * INTERVAL 1 HOUR + INTERVAL 15 MINUTE
     WHEN 2 THEN d + h * INTERVAL 1 HOUR + INTERVAL 30 MINUTE ELSE d + (h // 4) * INTERVAL 4 HOUR END AS a,
   CASE k % 4 WHEN 0 THEN 60 WHEN 1 THEN 15 WHEN 2 THEN 30 END AS minutes, d + (h // 4 + 1) * INTERVAL 4 HOUR AS b FROM x),
-u AS (SELECT k, timezone('UTC', timezone('Europe/Zurich', a)) AS start_utc, minutes, timezone('UTC', timezone('Europe/Zurich', b)) AS block_end FROM s)
+z AS (SELECT k, a, timezone('UTC', timezone('Europe/Zurich', a)) AS u0, minutes, timezone('UTC', timezone('Europe/Zurich', b)) AS block_end FROM s),
+u AS (SELECT k, minutes, block_end, CASE WHEN timezone('Europe/Zurich', timezone('UTC', u0 - INTERVAL 1 HOUR)) = a THEN u0 - INTERVAL 1 HOUR ELSE u0 END AS start_utc FROM z)
 SELECT k AS o_orderkey, start_utc, CASE WHEN minutes IS NULL THEN block_end ELSE start_utc + minutes * INTERVAL 1 MINUTE END AS end_utc FROM u""")
 def delivery_codes(t):
     k, h = F.col("o_orderkey"), F.col("o_orderkey") % 24
