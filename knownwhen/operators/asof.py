@@ -84,8 +84,8 @@ def span_sums(windows: DataFrame, events: DataFrame, start: str, end: str, ts: s
     distinct = windows.select(*keys, start, end).distinct()
     bounds = distinct.select(*keys, start, end, F.explode(F.array(
         F.struct((order_key(windows, start) + shift).alias("at"), F.lit(-1.0).alias("sign")),
-        F.struct((order_key(windows, end) + shift).alias("at"), F.lit(1.0).alias("sign")))).alias("b"))
-    bounds = bounds.select(*keys, start, end, F.col("b.at").alias("_kw_bound"), F.col("b.sign").alias("_kw_sign"))
+        F.struct((order_key(windows, end) + shift).alias("at"), F.lit(1.0).alias("sign")))).alias("_kw_pick"))
+    bounds = bounds.select(*keys, start, end, F.col("_kw_pick.at").alias("_kw_bound"), F.col("_kw_pick.sign").alias("_kw_sign"))
     ev = events.withColumn("_kw_time", order_key(events, ts))
     width = key_width(events, ts, chunk)
     at = prefix_at(bounds, ev, "_kw_bound", "_kw_time", by, sums, width)

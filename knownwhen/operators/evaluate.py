@@ -142,7 +142,7 @@ def earlier_folds_rank(df: DataFrame, by: Sequence[str], fold: str, value: str,
     """
     rows = df.where(F.col(value).isNotNull()).select(O.group_key(by).alias(O.GROUP), F.col(fold).alias("_kw_f"), F.col(value).cast("double").alias("_kw_v"))
     sliced = salted_join(rows, _cuts(rows, "_kw_v", slices, "_kw_cuts"), [O.GROUP], ["_kw_v", "_kw_f"])
-    sliced = sliced.withColumn("_kw_s", _slice("_kw_cuts", "_kw_v")).drop("_kw_cuts")
+    sliced = sliced.withColumn("_kw_s", _slice("_kw_cuts", "_kw_v", slices)).drop("_kw_cuts")
     cells = sliced.groupBy(O.GROUP, "_kw_s", "_kw_f", "_kw_v").agg(F.count(F.lit(1)).alias("_kw_n"))
     hist = cells.groupBy(O.GROUP, "_kw_s", "_kw_f").agg(F.sum("_kw_n").alias("_kw_n"))
     targets = df.select(O.group_key(by).alias(O.GROUP), F.col(fold).alias("_kw_t")).distinct()
@@ -512,7 +512,7 @@ def ridge_backtest(df: DataFrame, by: Sequence[str], fold: str, y: str, xs: Sequ
     flat = F.array(*[F.col(f"g_{min(i, j)}_{max(i, j)}") for i in range(size) for j in range(size)])
     grams = grams.select(*by, "_kw_fold", flat.alias("g"))
     types = {f.name: f.dataType.simpleString() for f in grams.schema}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in (*by, "_kw_fold")] + ["b array<double>"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in (*by, "_kw_fold")] + ["_kw_beta array<double>"])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -523,11 +523,11 @@ def ridge_backtest(df: DataFrame, by: Sequence[str], fold: str, y: str, xs: Sequ
                 lhs = g[xs_, xs_] + alpha * np.eye(k)
                 beta = np.linalg.solve(lhs, g[xs_, -1] - ym * g[xs_, 0])
                 out.append([*[rec[c] for c in by], rec["_kw_fold"], [float(ym), *beta.tolist()]])
-            yield pd.DataFrame(out, columns=[*by, "_kw_fold", "b"])
+            yield pd.DataFrame(out, columns=[*by, "_kw_fold", "_kw_beta"])
 
     fits = grams.mapInPandas(solve, schema)
     test = pairs.where(F.col(fold) == F.col("_kw_fold")).join(fits, [*by, "_kw_fold"])
-    pred = F.col("b")[0] + sum((F.col("b")[i + 1] * z(i) for i in range(k)), F.lit(0.0))
+    pred = F.col("_kw_beta")[0] + sum((F.col("_kw_beta")[i + 1] * z(i) for i in range(k)), F.lit(0.0))
     return test.withColumn("p", pred).select(*df.columns, "p")
 
 

@@ -19,6 +19,21 @@ def instants(start: Column, end: Column, step: str | int) -> Column:
         .otherwise(F.array().cast("array<timestamp_ntz>"))
 
 
+def steps_between(df: DataFrame, keep: Sequence[str], first: str, end: str, step: str | int, name: str,
+                  block: int = 4096) -> DataFrame:
+    """One row per step in ``[first, end)`` of every input row.
+
+    Steps are generated in two levels, blocks first, and the blocks are spread over the
+    cluster: a long fine grid is neither one array nor one task.
+    """
+    us = T.span(step)
+    coarse = df.select(*keep, T.micros(first).alias("_kw_a"), T.micros(end).alias("_kw_b")).where(F.col("_kw_a") < F.col("_kw_b"))
+    coarse = coarse.select(*keep, "_kw_b", F.explode(F.sequence("_kw_a", F.col("_kw_b") - 1, F.lit(us * block))).alias("_kw_a"))
+    coarse = coarse.repartition(*keep, "_kw_a")
+    fine = F.sequence("_kw_a", F.least(F.col("_kw_b") - 1, F.col("_kw_a") + us * (block - 1)), F.lit(us))
+    return coarse.select(*keep, F.explode(fine).alias("_kw_us")).select(*keep, T.from_micros("_kw_us").alias(name))
+
+
 def grid(spark: SparkSession, start: str, end: str, step: str | int, tz: str | None = None,
          name: str = "ts_utc") -> DataFrame:
     """Complete grid of interval starts in ``[start, end)``, spread over tasks, with local labels."""
@@ -37,11 +52,10 @@ def span_grid(df: DataFrame, ts: str, step: str | int, by: Sequence[str] = (), n
     name = name or ts
     per = df.groupBy(*by).agg(F.min(ts).alias("_kw_a"), F.max(ts).alias("_kw_b"))
     ends = per.agg(F.min("_kw_a").alias("_kw_a"), F.max("_kw_b").alias("_kw_b"))
-    steps = F.explode(instants(T.floor_time("_kw_a", step), T.plus(T.floor_time("_kw_b", step), step), step)).alias(name)
-    if not by:
-        return ends.select(steps)
+    ends = ends.select(T.floor_time("_kw_a", step).alias("_kw_a"), T.plus(T.floor_time("_kw_b", step), step).alias("_kw_b"))
     # One row of bounds meets the list of keys.
-    return per.select(*by).join(F.broadcast(ends)).select(*by, steps)
+    spans = per.select(*by).join(F.broadcast(ends)) if by else ends
+    return steps_between(spans, by, "_kw_a", "_kw_b", step, name)
 
 
 def trim(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:

@@ -78,8 +78,8 @@ def concurrency(df: DataFrame, start: str, end: str, by: Sequence[str] = (), chu
     """
     steps = df.where(F.col(start) < F.col(end)).select(*by, F.explode(F.array(
         F.struct(F.col(start).alias("t"), F.lit(1).cast("long").alias("d")),
-        F.struct(F.col(end).alias("t"), F.lit(-1).cast("long").alias("d")))).alias("s"))
-    steps = steps.groupBy(*by, F.col("s.t").alias("t")).agg(F.sum("s.d").alias("step"))
+        F.struct(F.col(end).alias("t"), F.lit(-1).cast("long").alias("d")))).alias("_kw_step"))
+    steps = steps.groupBy(*by, F.col("_kw_step.t").alias("t")).agg(F.sum("_kw_step.d").alias("step"))
     return O.running(steps, by, "t", {"open": F.col("step")}, chunk=chunk)
 
 
@@ -90,8 +90,8 @@ def concurrency_on_grid(df: DataFrame, grid: DataFrame, start: str, end: str, ts
 
     steps = df.where(F.col(start) < F.col(end)).select(*by, F.explode(F.array(
         F.struct(F.col(start).alias("t"), F.lit(1).cast("long").alias("d")),
-        F.struct(F.col(end).alias("t"), F.lit(-1).cast("long").alias("d")))).alias("s"))
-    steps = steps.groupBy(*by, F.col("s.t").alias("_kw_t")).agg(F.sum("s.d").alias("_kw_d"))
+        F.struct(F.col(end).alias("t"), F.lit(-1).cast("long").alias("d")))).alias("_kw_step"))
+    steps = steps.groupBy(*by, F.col("_kw_step.t").alias("_kw_t")).agg(F.sum("_kw_step.d").alias("_kw_d"))
     return prefix_at(grid, steps, ts, "_kw_t", by, {"open": F.col("_kw_d")}, chunk)
 
 

@@ -12,7 +12,7 @@ from ..functions import timeaxis as T
 from ..functions.numeric import corr, is_close
 from . import ordered as O
 from .aggregates import dedup
-from .grid import instants
+from .grid import steps_between
 from .ranks import pick_top
 from .sequences import episodes
 from .shaping import union_all
@@ -145,7 +145,7 @@ def gap_scan(df: DataFrame, by: Sequence[str], ts: str, step: str | int, start:
     us = T.span(step)
     have = df.where(F.col(ts).isNotNull()).select(*by, T.floor_time(ts, us).alias("bucket")).distinct()
     span = have.groupBy(*by).agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
-    wanted = span.select(*by, F.explode(instants(F.col("first"), T.plus("last", us), us)).alias("bucket"))
+    wanted = steps_between(span.withColumn("_kw_stop", T.plus("last", us)), by, "first", "_kw_stop", us, "bucket")
     full = wanted.join(have.withColumn("_kw_have", F.lit(True)), [*by, "bucket"], "left").withColumn("_kw_have", F.coalesce("_kw_have", F.lit(False)))
     if resolution_hours:
         hours = full.groupBy(*by, T.floor_time("bucket", "1 hour").alias("hour")).agg(

@@ -33,8 +33,16 @@ def _cuts(rows: DataFrame, value: str, slices: int, name: str) -> DataFrame:
     return rows.groupBy(GROUP).agg(F.percentile_approx(value, marks, F.lit(50 * slices)).alias(name))
 
 
-def _slice(cuts: str, value: str) -> Column:
-    return F.size(F.filter(F.col(cuts), lambda x: x < F.col(value)))
+def _slice(cuts: str, value: str, slices: int = SLICES) -> Column:
+    """Number of cut points below the value: a balanced search of six comparisons, compiled."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.get(F.col(cuts), mid) < F.col(value), search(mid + 1, high)).otherwise(search(low, mid))
+
+    return search(0, slices - 1)
 
 
 def ranked_values(df: DataFrame, by: Sequence[str], value: str,
@@ -44,22 +52,31 @@ def ranked_values(df: DataFrame, by: Sequence[str], value: str,
     measures = {"n": F.lit(1).cast("long"), **(measures or {})}
     rows = df.where(F.col(value).isNotNull()).withColumn(GROUP, group_key(by))
     counts = rows.groupBy(GROUP, value).agg(*[F.sum(e).alias(n) for n, e in measures.items()])
-    counts = salted_join(counts, _cuts(rows, value, slices, "_kw_cuts"), [GROUP], [value])
-    counts = counts.withColumns({CHUNK: _slice("_kw_cuts", value), KEY: F.col(value)}).drop("_kw_cuts")
+    # The always-true test on all measures keeps both uses of the counts identical, so Spark
+    # computes the aggregate once and reuses its exchange for the cut points.
+    same = counts.where(F.hash(*measures) >= F.lit(-(2**31)))
+    counts = salted_join(counts, _cuts(same, value, slices, "_kw_cuts"), [GROUP], [value])
+    counts = counts.withColumns({CHUNK: _slice("_kw_cuts", value, slices), KEY: F.col(value)}).drop("_kw_cuts")
     out = accumulate(counts, {f"before_{n}": F.col(n) for n in measures}, inclusive=False,
                      totals={f"all_{n}": f"before_{n}" for n in measures})
     return out.select(*[F.col(GROUP)[c].alias(c) for c in by], value, *measures,
                       *[f"before_{n}" for n in measures], *[f"all_{n}" for n in measures])
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Adds the average rank (ties share the mean of their positions); NULL values stay NULL."""
-    table = ranked_values(df, by, value).select(
-        group_key(by).alias(GROUP), F.col(value).alias("_kw_value"),
-        (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
+def average_ranks(df: DataFrame, by: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """Adds average ranks (ties share the mean of their positions); NULL values stay NULL.
+
+    ``columns`` maps value columns to rank columns; every rank table is built from the input,
+    not from the previous join.
+    """
     rows = df.withColumn(GROUP, group_key(by))
-    return (rows.join(table, (rows[GROUP] == table[GROUP]) & (rows[value] == table["_kw_value"]), "left")
-            .drop(table[GROUP]).drop(GROUP, "_kw_value"))
+    for i, (value, name) in enumerate(columns.items()):
+        table = ranked_values(df, by, value).select(
+            group_key(by).alias(f"_kw_g{i}"), F.col(value).alias(f"_kw_v{i}"),
+            (F.col("before_n") + (F.col("n") + 1) / 2).alias(name))
+        rows = rows.join(table, (F.col(GROUP) == F.col(f"_kw_g{i}")) & (F.col(value) == F.col(f"_kw_v{i}")), "left")
+        rows = rows.drop(f"_kw_g{i}", f"_kw_v{i}")
+    return rows.drop(GROUP)
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Mapping[str, float],
@@ -94,7 +111,7 @@ def row_rank(df: DataFrame, by: Sequence[str], value: str, tie: str, name: str,
     cuts = rows.groupBy(GROUP).agg(F.percentile_approx("_kw_v", marks, accuracy).alias("_kw_cuts"),
                                    F.percentile_approx(tie, marks, accuracy).alias("_kw_tie_cuts"))
     rows = salted_join(rows, cuts, [GROUP], [tie])
-    rows = rows.withColumns({"_kw_tie": _slice("_kw_tie_cuts", tie), CHUNK: _slice("_kw_cuts", "_kw_v")})
+    rows = rows.withColumns({"_kw_tie": _slice("_kw_tie_cuts", tie, slices), CHUNK: _slice("_kw_cuts", "_kw_v", slices)})
     rows = rows.drop("_kw_cuts", "_kw_tie_cuts")
     cells = rows.groupBy(GROUP, CHUNK, "_kw_v", "_kw_tie").agg(F.count(F.lit(1)).alias("_kw_n"))
     cells = cells.withColumn(KEY, F.col("_kw_v"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import corr, draw, normal_two_sided
+from ..session import cut_lineage
 from . import ordered as O
 from .ranks import average_ranks, quantiles
 from .shaping import within
@@ -40,8 +41,10 @@ def driver_correlations(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[s
         rows = rows.join(size.where(F.col("_kw_k") >= min_group).select(*cells), cells, "left_semi")
         varying = size.where(F.col("_kw_k") >= min_group).groupBy(*keys).agg(
             F.avg((F.col("_kw_lo") < F.col("_kw_hi")).cast("double")).alias("varying"))
-    ranked = average_ranks(average_ranks(rows, cells, "x", "rx"), cells, "y", "ry")
+    rows = cut_lineage(rows)                # the unpivoted pairs are read once per rank table and once more
+    ranked = average_ranks(rows, cells, {"x": "rx", "y": "ry"})
     if group:
+        ranked = cut_lineage(ranked)        # ranks are costly and the demeaning below reads them twice
         ranked = within(ranked, cells, ["x", "y", "rx", "ry"])
         sp, pe = corr("rx__w", "ry__w"), corr("x__w", "y__w")
     else:
@@ -191,14 +194,14 @@ def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequenc
                 b, _ = _solve(g, list(range(1, k + 1)), 0)
                 inv = np.linalg.pinv(g[1:, 1:])
                 rows.append([*[rec[c] for c in by], b.tolist(), inv.ravel().tolist(), int(rec["n"])])
-            yield pd.DataFrame(rows, columns=[*by, "b", "inv", "n"])
+            yield pd.DataFrame(rows, columns=[*by, "_kw_beta", "inv", "n"])
 
-    fits = mats.mapInPandas(coefficients, f"{lead}b array<double>, inv array<double>, n bigint")
+    fits = mats.mapInPandas(coefficients, f"{lead}_kw_beta array<double>, inv array<double>, n bigint")
     complete = df
     for c in (y, *xs):
         complete = complete.where(F.col(c).isNotNull())
-    joined = complete.join(fits.select(*by, "b"), list(by)) if by else complete.join(F.broadcast(fits.select("b")))
-    residual = F.col(y) - sum((F.col("b")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
+    joined = complete.join(fits.select(*by, "_kw_beta"), list(by)) if by else complete.join(F.broadcast(fits.select("_kw_beta")))
+    residual = F.col(y) - sum((F.col("_kw_beta")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
     joined = joined.withColumn("_kw_e", residual)
     scored = joined.select(*by, order, *[(F.col(x) * F.col("_kw_e")).alias(f"u{i}") for i, x in enumerate(xs)])
     products = lagged_products(scored, by, order, [f"u{i}" for i in range(k)], lags, chunk)
@@ -219,7 +222,7 @@ def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequenc
                 n = rec["n"]
                 se = np.sqrt(np.diag(inv @ middle @ inv) * n / max(n - k, 1))
                 for i, x in enumerate(names):
-                    rows.append([*[rec[c] for c in by], x, rec["b"][i], se[i], rec["b"][i] / se[i] if se[i] > 0 else None, int(n)])
+                    rows.append([*[rec[c] for c in by], x, rec["_kw_beta"][i], se[i], rec["_kw_beta"][i] / se[i] if se[i] > 0 else None, int(n)])
             yield pd.DataFrame(rows, columns=[*by, "feature", "coef", "se", "t", "n"])
 
     return table.mapInPandas(sandwich, f"{lead}feature string, coef double, se double, t double, n bigint")
@@ -450,7 +453,7 @@ def contribution_summary(long: DataFrame, by: Sequence[str], feature: str, value
     size = long.groupBy(*keys).agg(F.avg(F.abs(contribution)).alias("mean_abs"), F.count(F.lit(1)).alias("n"))
     total = size.groupBy(*by).agg(F.sum("mean_abs").alias("_kw_t")) if by else size.agg(F.sum("mean_abs").alias("_kw_t"))
     size = (size.join(total, list(by)) if by else size.join(F.broadcast(total))).withColumn("share", F.col("mean_abs") / F.col("_kw_t")).drop("_kw_t")
-    ranked = average_ranks(average_ranks(long, keys, value, "_kw_rv"), keys, contribution, "_kw_rc")
+    ranked = average_ranks(long, keys, {value: "_kw_rv", contribution: "_kw_rc"})
     direction = ranked.groupBy(*keys).agg(corr("_kw_rv", "_kw_rc").alias("direction"))
     w = Window.partitionBy(*by).orderBy(F.col("mean_abs").desc(), feature) if by else Window.partitionBy(F.lit(0)).orderBy(F.col("mean_abs").desc(), feature)
     return size.join(direction, keys).withColumn("rank", F.row_number().over(w).cast("long"))

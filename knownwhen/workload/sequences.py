@@ -193,7 +193,7 @@ def equal_bins(t):
 @query("average_ranks", """WITH r AS (SELECT l_returnflag, l_quantity, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS rk, count(*) OVER (PARTITION BY l_returnflag, l_quantity) AS c FROM lineitem)
 SELECT l_returnflag, l_quantity, count(*) AS n, (max(rk) + (max(c) - 1) / 2)::DOUBLE AS rank FROM r GROUP BY 1, 2""")
 def average_ranks(t):
-    out = R.average_ranks(t("lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", "rank")
+    out = R.average_ranks(t("lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], {"l_quantity": "rank"})
     return out.groupBy("l_returnflag", "l_quantity").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("rank"))
 
 
