@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
 from ..functions.numeric import vwmean
+from ..session import cut_lineage
 from . import ordered as O
 from .ranks import quantiles
 
@@ -223,7 +224,7 @@ def curve_features(curves: DataFrame, key: Sequence[str], side: str, price: str,
     per = curves.groupBy(*key, F.col(price).cast("double").alias("p")).agg(
         F.max(F.when(F.col(side) == "sell", F.col(volume))).cast("double").alias("s"),
         F.max(F.when(F.col(side) == "buy", F.col(volume))).cast("double").alias("d"))
-    per = per.withColumn("axis", F.floor(F.col("p") * 10_000).cast("long"))
+    per = cut_lineage(per.withColumn("axis", F.floor(F.col("p") * 10_000).cast("long")))
     chunk = price_chunk * 10_000
     point = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("p").alias("p"), F.col(c).alias("v"))) for c in ("s", "d")}
     rows = O.scan(per, key, "axis", last={f"{c}_lo": e for c, e in point.items()},

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
 from ..functions.numeric import clip, corr, pinball, smape_term
+from ..session import cut_lineage
 from . import ordered as O
 from .asof import asof_join, prefix_at
 from .pit import lagged_targets
@@ -396,7 +397,7 @@ def intervention_effect(df: DataFrame, by: Sequence[str], ts: str, value: str, d
         thr = quantiles(rows.where(F.col("side") == "pre"), by, value, {"threshold": q})
         rows = rows.join(thr, list(by))
         excess = (F.col(value) - F.col("threshold")) * (1 if above else -1)
-        rows = rows.withColumn("_kw_x", excess)
+        rows = cut_lineage(rows.withColumn("_kw_x", excess))
         share = rows.groupBy(*by, "side").agg(
             F.count(value).alias("n"), F.count_if(F.col("_kw_x") > 0).alias("n_exceed"), F.avg(F.when(F.col("_kw_x") > 0, F.col("_kw_x"))).alias("mean_excess"),
             F.max("threshold").alias("threshold"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
+from ..session import cut_lineage
 from . import ordered as O
 from .asof import asof_join, span_sums
 
@@ -45,9 +46,9 @@ def pit_lookback(series: DataFrame, origins: DataFrame, by: Sequence[str], ts: s
     extremes = {name: (F.max if kind == "max" else F.min)(c) for name, (kind, c) in features.items()
                 if kind in ("max", "min")}
     if extremes:
-        moved = O.rolling_rows(series.select(*series.columns), by, ts, {f"{k}__x": e for k, e in extremes.items()}, n,
-                               F.lit(1), chunk=chunk)
-        rows = rows.join(moved.select(*by, ts, *[f"{k}__x" for k in extremes]), [*by, ts])
+        rows = O.rolling_rows(rows, by, ts, {f"{k}__x": e for k, e in extremes.items()}, n, F.lit(1), index=_ROW)
+    # The prefix table is looked up at both ends of every window: compute it once.
+    rows = cut_lineage(rows.select(*by, pub, *sums, *[f"{k}__x" for k in extremes]))
     measures = [c for c in [*sums, *[f"{k}__x" for k in extremes]] if c != _ROW]
     upper = asof_join(origins_once, rows, origin, pub, by,
                       {_ROW: _ROW, **{c: c for c in measures}}, ties=[_ROW], chunk=chunk)
@@ -127,6 +128,7 @@ def lagged_targets(blocks: DataFrame, by: Sequence[str], slot: str, start: str,
     right = blocks.select(*by, slot, known, start, *cols)
     out = asof_join(blocks, right, origin, known, [*by, slot], {c: f"prev_slot__{c}" for c in cols},
                     ties=[start], chunk=chunk)
+    out = cut_lineage(out)
     auctions = blocks.groupBy(*by, known).agg(*[F.avg(c).alias(c) for c in cols])
     return asof_join(out, auctions, origin, known, by, {c: f"prev_auction__{c}" for c in cols}, chunk=chunk)
 

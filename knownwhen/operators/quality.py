@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
 from ..functions.numeric import corr, is_close
+from ..session import cut_lineage
 from . import ordered as O
 from .aggregates import dedup
 from .grid import steps_between
@@ -148,6 +149,7 @@ def gap_scan(df: DataFrame, by: Sequence[str], ts: str, step: str | int, start:
     wanted = steps_between(span.withColumn("_kw_stop", T.plus("last", us)), by, "first", "_kw_stop", us, "bucket")
     full = wanted.join(have.withColumn("_kw_have", F.lit(True)), [*by, "bucket"], "left").withColumn("_kw_have", F.coalesce("_kw_have", F.lit(False)))
     if resolution_hours:
+        full = cut_lineage(full)
         hours = full.groupBy(*by, T.floor_time("bucket", "1 hour").alias("hour")).agg(
             F.bool_or((F.col("bucket") == T.floor_time("bucket", "1 hour")) & F.col("_kw_have")).alias("top"),
             F.count_if(~F.col("_kw_have")).alias("missing"))
@@ -156,7 +158,7 @@ def gap_scan(df: DataFrame, by: Sequence[str], ts: str, step: str | int, start:
 
         marked = label_episodes(hours, by, "hour", coarse, chunk)
         marked = marked.select(*by, "hour", (F.coalesce("episode_length", F.lit(0)) >= resolution_hours).alias("_kw_res"))
-        full = full.withColumn("hour", T.floor_time("bucket", "1 hour")).join(marked, [*by, "hour"]).drop("hour")
+        full = cut_lineage(full.withColumn("hour", T.floor_time("bucket", "1 hour")).join(marked, [*by, "hour"]).drop("hour"))
     else:
         full = full.withColumn("_kw_res", F.lit(False))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
 from ..functions.numeric import sorted_quantile
+from ..session import cut_lineage
 from . import ordered as O
 from .ranks import quantiles
 
@@ -181,6 +182,7 @@ def decluster(df: DataFrame, by: Sequence[str], order: str, value: str, threshol
     rows = O.row_index(df, by, order, "_kw_pos", chunk=chunk)
     excess = F.col(value).cast("double") - threshold
     rows = rows.withColumns({"_kw_excess": excess, "_kw_thr": threshold}).where(F.col("_kw_excess") > 0)
+    rows = cut_lineage(rows.select(*by, order, value, "_kw_pos", "_kw_excess", "_kw_thr"))      # few rows from here on
     rows = O.previous(rows, by, order, {"_kw_last": "_kw_pos"}, chunk=chunk)
     fresh = F.col("_kw_last").isNull() | (F.col("_kw_pos") - F.col("_kw_last") > run)
     rows = O.running(rows, by, order, {"_kw_cluster": fresh.cast("long")}, chunk=chunk)
