@@ -314,7 +314,16 @@ def recurrence_fit(t):
     return out.withColumns({c: F.col(c).cast("long") for c in ("iso_week", "iso_weekday", "easter_offset", "length_days")})
 
 
-@query("recurrence_backcast")
+_YEARS = _EASTER.replace("SELECT DISTINCT year(o_orderdate) AS y FROM orders", "SELECT unnest([1992, 1993, 1994]) AS y UNION SELECT DISTINCT year(o_orderdate) FROM orders")
+
+
+@query("recurrence_backcast", f"""WITH {_REC}, {_YEARS}, r AS (SELECT entity, name, s, len, week(s) AS iw, isodow(s) - 1 AS wd, s - sunday AS eo FROM ev JOIN easter ON easter.y = ev.y),
+i2 AS (SELECT entity, name, arg_max((iw, wd), (k, -iw, -wd)) AS v, max(k) AS k FROM (SELECT entity, name, iw, wd, count(*) AS k FROM r GROUP BY ALL) GROUP BY 1, 2),
+e2 AS (SELECT entity, name, arg_max(eo, (k, -eo)) AS v, max(k) AS k FROM (SELECT entity, name, eo, count(*) AS k FROM r GROUP BY ALL) GROUP BY 1, 2), l2 AS (SELECT entity, name, arg_max(len, (k, -len)) AS v FROM (SELECT entity, name, len, count(*) AS k FROM r GROUP BY ALL) GROUP BY 1, 2),
+n AS (SELECT entity, name FROM r GROUP BY 1, 2 HAVING count(*) >= 3), yy AS (SELECT y, sunday, make_date(y, 1, 4) - CAST(isodow(make_date(y, 1, 4)) - 1 AS INTEGER) AS monday, week(make_date(y, 12, 28)) AS weeks FROM easter WHERE y <= 1994),
+p AS (SELECT n.entity, CASE WHEN e2.k > i2.k THEN sunday + CAST(e2.v AS INTEGER) ELSE monday + CAST((least(i2.v[1], weeks) - 1) * 7 + i2.v[2] AS INTEGER) END AS s, l2.v AS len FROM n JOIN i2 USING (entity, name) JOIN e2 USING (entity, name) JOIN l2 USING (entity, name), yy),
+d AS (SELECT DISTINCT entity, CAST(unnest(generate_series(CAST(s AS TIMESTAMP), s + len * INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM p), w AS (SELECT c_mktsegment AS entity, count(*) / (SELECT count(*) FROM customer) AS w FROM customer GROUP BY 1)
+SELECT day, round(sum(w), 6) AS holiday_share, count(*) AS n_entities FROM d JOIN w USING (entity) GROUP BY 1""")
 def recurrence_backcast(t):
     rules = E.fit_recurrence(_recurring(t), ["entity", "name"], "start", "end")
     days = E.day_matrix(E.apply_recurrence(rules, ["entity", "name"], [1992, 1993, 1994]), ["entity"], "start", "end")

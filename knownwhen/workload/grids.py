@@ -117,12 +117,12 @@ def month_steps(t):
 
 
 @query("resample_complete_hours", """WITH q AS (
-  SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS q, avg(value) AS value, max(value) AS peak FROM events GROUP BY 1)
+  SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS q, avg(value) / 1.0837::DOUBLE AS value, max(value) AS peak FROM events GROUP BY 1)
 SELECT date_trunc('hour', q) AS bucket, count(*) AS n_rows, round(avg(value), 6) AS value, max(peak) AS peak,
        min_by(q, q) AS q FROM q GROUP BY 1 HAVING count(*) = 4""")
 def resample_complete_hours(t):
     q = t("events").groupBy(T.floor_time("ts", "15 minutes").alias("q")).agg(
-        F.avg("value").alias("value"), F.max("value").alias("peak"))
+        (F.avg("value") / RATE).alias("value"), F.max("value").alias("peak"))
     out = G.resample(q, [], "q", T.floor_time("q", "1 hour"), {"value": "mean", "peak": "max"}, 4)
     first = G.resample(q, [], "q", T.floor_time("q", "1 hour"), {"q": "first"}, 4).select("bucket", "q")
     return rounded(out.join(first, "bucket"))
