@@ -132,6 +132,7 @@ def relative_profile(df: DataFrame, base: Sequence[str], cell: Sequence[str], va
     """Median, per cell, of the value relative to the median of its base group."""
     med = quantiles(df, base, value, {"_kw_base": 0.5})
     rel = df.join(med, list(base)).withColumn("_kw_rel", F.col(value) / F.nullif(F.col("_kw_base"), F.lit(0.0)))
+    rel = cut_lineage(rel.select(*cell, "_kw_rel"))
     n = rel.groupBy(*cell).agg(F.count("_kw_rel").alias("n"))
     return quantiles(rel, cell, "_kw_rel", {"relative": 0.5}).join(n, list(cell))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
+from ..session import cut_lineage
 from . import ordered as O
 
 
@@ -167,6 +168,7 @@ def native_step(df: DataFrame, by: Sequence[str], ts: str, chunk: str | int = "1
 
     steps = O.previous(df.select(*by, ts).distinct(), by, ts, {"_kw_prev": ts}, chunk=chunk)
     steps = steps.withColumn("minutes", (T.micros(ts) - T.micros("_kw_prev")) / T.MICROS["minute"])
+    steps = cut_lineage(steps.select(*by, "minutes"))
     median = quantiles(steps, by, "minutes", {"median_minutes": 0.5})
     counts = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("n_stamps"),
                                     F.avg((F.col("minutes") == 15).cast("double")).alias("share_15"))

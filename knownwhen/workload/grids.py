@@ -8,6 +8,7 @@ from ..functions import calendar as C
 from ..functions import timeaxis as T
 from ..operators import grid as G
 from ..operators import intervals as I
+from ..session import cut_lineage
 from .registry import DAILY_ORDERS, HOURLY, RATE, daily_orders, hourly, query, rounded
 
 ZURICH = "Europe/Zurich"
@@ -18,9 +19,9 @@ grid AS (SELECT event_type, unnest(generate_series(a, b, INTERVAL 1 HOUR)) AS ho
 
 
 def full_hours(t):
-    """hourly() on its complete grid."""
+    """hourly() on its complete grid, written once because its users scan it several times."""
     h = hourly(t)
-    return G.on_grid(h, G.span_grid(h, "hour", "1 hour", ["event_type"]), ["event_type", "hour"])
+    return cut_lineage(G.on_grid(h, G.span_grid(h, "hour", "1 hour", ["event_type"]), ["event_type", "hour"]))
 
 
 FULL_HOURS = f"""{HOURLY}, {SQL_GRID},

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
 from ..operators import stats as S
+from ..session import cut_lineage
 from .evaluation import BLOCKS, naive_predictions
 from .quality import WIDE, wide_hours
 from .registry import DAILY_ORDERS, HOURLY, daily_orders, exact_sum, hourly, query, rounded
@@ -44,10 +45,11 @@ def corr_matrix(t):
     return rounded(S.corr_matrix(wide_hours(t), ["click", "view", "error"]))
 
 
-@query("level_shape_corr", f"""WITH {WIDE}, x AS (SELECT date_trunc('day', hour) AS day, click AS a, view AS b FROM wide WHERE click IS NOT NULL AND view IS NOT NULL), c AS (SELECT a, b, a - avg(a) OVER w AS aw, b - avg(b) OVER w AS bw FROM x WINDOW w AS (PARTITION BY day)), d AS (SELECT day, avg(a) AS a, avg(b) AS b FROM x GROUP BY 1)
-SELECT 'all' AS k, (SELECT round(corr(a, b), 6) FROM c) AS r_all, (SELECT round(corr(aw, bw), 6) FROM c) AS r_within_day, (SELECT round(corr(a, b), 6) FROM d) AS r_daily, (SELECT count(*) FROM d) AS days""")
+@query("level_shape_corr", f"""WITH {WIDE}, x AS (SELECT CAST(day(hour) // 16 AS BIGINT) AS half, date_trunc('day', hour) AS day, click AS a, view AS b FROM wide WHERE click IS NOT NULL AND view IS NOT NULL), c AS (SELECT half, a, b, a - avg(a) OVER w AS aw, b - avg(b) OVER w AS bw FROM x WINDOW w AS (PARTITION BY day)), d AS (SELECT half, day, avg(a) AS a, avg(b) AS b FROM x GROUP BY 1, 2)
+SELECT half, round(r_all, 6) AS r_all, round(r_within_day, 6) AS r_within_day, round(r_daily, 6) AS r_daily, days FROM (SELECT half, corr(a, b) AS r_all, corr(aw, bw) AS r_within_day FROM c GROUP BY 1) JOIN (SELECT half, corr(a, b) AS r_daily, count(*) AS days FROM d GROUP BY 1) USING (half)""")
 def level_shape_corr(t):
-    return rounded(S.level_shape_corr(wide_hours(t).withColumn("k", F.lit("all")), ["k"], "click", "view", F.date_trunc("day", "hour")))
+    w = wide_hours(t).withColumn("half", F.floor(F.dayofmonth("hour") / 16))
+    return rounded(S.level_shape_corr(w, ["half"], "click", "view", F.date_trunc("day", "hour")))
 
 
 @query("gram_matrix", """SELECT l_returnflag, count(*) AS n, CAST(count(*) AS DOUBLE) AS g00, sum(l_quantity) AS g01, round(sum(l_discount), 2) AS g02, sum(l_quantity * l_quantity) AS g11, round(sum(l_quantity * l_discount), 2) AS g12, round(sum(l_discount * l_discount), 4) AS g22 FROM lineitem GROUP BY 1""")
@@ -203,7 +205,7 @@ def _contributions(t):
     a = li.select(F.col("l_returnflag").alias("series"), F.lit("l_quantity").alias("feature"), F.col("l_quantity").alias("v"), ((F.col("l_quantity") - 25) * 100).alias("c"))
     b = li.select(F.col("l_returnflag").alias("series"), F.lit("l_discount").alias("feature"), F.col("l_discount").alias("v"),
                   ((0.05 - F.col("l_discount")) * 20000 * (1 + F.col("l_tax"))).alias("c"))
-    return a.unionByName(b)
+    return cut_lineage(a.unionByName(b))
 
 
 @query("contribution_summary", f"""WITH {_CONTRIB}, m AS (SELECT series, feature, avg(abs(c)) AS mean_abs, count(*) AS n FROM c GROUP BY 1, 2),
