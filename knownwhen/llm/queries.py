@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .common import ORACLES, QUERIES
 
-MODULES = ("topk", "html", "quality", "bpe")
+MODULES = ("lines", "topk", "mixing", "html", "quality", "embeddings", "bpe")
 
 
 def load() -> tuple[dict, dict]:
