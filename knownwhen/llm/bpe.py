@@ -20,7 +20,6 @@ from itertools import islice
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 4 << 20)
         start = 0
         if not batch.num_rows:
             continue
-        lengths = [n or 0 for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
+        lengths = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
         total = 0
         for row, n in enumerate(lengths):
             if total and total + n > size:
