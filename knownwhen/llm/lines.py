@@ -141,12 +141,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", *, edit
             .groupBy("id", "version").agg(F.collect_set("pos").alias("gone")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole = docs.select(*kept).withColumn("__version", F.xxhash64(F.col(text).cast("string")))
-    joined = whole.join(gone.select(F.col("id").alias("__id"), F.col("version").alias("__v"), "gone"), F.col(id).eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__v")), "left")
+    joined = whole.join(gone.select(F.col("id").alias("__id"), F.col("version").alias("__v"), F.col("gone").alias("__gone")), F.col(id).eqNullSafe(F.col("__id")) & (F.col("__version") == F.col("__v")), "left")
     split = F.split(F.col(text).cast("string"), "\n")
-    alive = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull())
-    return joined.select(*[F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(alive, "\n")).alias(text) if c == text else F.col(c) for c in kept],
+    alive = F.filter(F.transform(split, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull())
+    return joined.select(*[F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(alive, "\n")).alias(text) if c == text else F.col(c) for c in kept],
                          F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-                         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+                         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 @query("op1_line_dedup", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),
