@@ -10,53 +10,81 @@ and one step over a character moves all of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import query, written
 
-LETTERS = "etainors"  # their counts make up the filter word, a byte each
+LETTERS = "enri"  # their counts make up the filter word, a byte each
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _stripped(a: Column, b: Column) -> Column:
+    """Struct (p, t): what is left of two different strings without their common prefix and suffix. Bisects on whole comparisons."""
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    common = lambda x, y, end: F.aggregate(steps, F.lit(0), lambda n, s: F.when(end(x, n + s) == end(y, n + s), n + s).otherwise(n))
+    rest = _let(common(a, b, F.left), lambda n: F.struct(F.substring(a, n + 1, F.lit(1 << 30)).alias("p"), F.substring(b, n + 1, F.lit(1 << 30)).alias("t")))
+    cut = lambda x, n: F.left(x, F.length(x) - n)
+    return _let(rest, lambda r: _let(common(r["p"], r["t"], F.right), lambda n: F.struct(cut(r["p"], n).alias("p"), cut(r["t"], n).alias("t"))))
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether the edit distance of two strings is at most ``edits`` (up to 14): banded and bit-parallel.
+def _reached(a: Column, b: Column, edits: int) -> Column:
+    """The diagonals that a match of ``b`` against the start of ``a`` can end on with up to ``edits`` errors, as bits.
 
     Bit d of word e means: with e errors, the first j characters of ``b`` match the first j + d - edits of ``a``.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    p, t = F.split(a, ""), F.split(b, "")
     start = [((1 << (edits + e + 1)) - 1) & ~((1 << edits) - 1) & mask for e in range(edits + 1)]  # leading deletions
 
-    def step(state: Column, j: Column) -> Column:
+    def equal(p: Column, t: Column, j: Column) -> Column:
         same = F.lit(0)
         for d in range(width):
-            same = same.bitwiseOR(F.when(F.get(state["p"], j + (d - edits)) == F.get(state["t"], j), F.lit(1 << d)).otherwise(F.lit(0)))
+            same = same.bitwiseOR(F.when(F.get(p, j + (d - edits)) == F.get(t, j), F.lit(1 << d)).otherwise(F.lit(0)))
+        return same
+
+    def step(state: Column, j: Column) -> Column:
         out = []
         for e in range(edits + 1):
-            old = state[f"r{e}"]
-            new = old.bitwiseAND(state["c"]) if e == 0 else (
-                old.bitwiseAND(state["c"]).bitwiseOR(state[f"r{e - 1}"]).bitwiseOR(F.shiftright(state[f"r{e - 1}"], 1)).bitwiseOR(F.shiftleft(out[e - 1], 1)))
+            new = state[f"r{e}"].bitwiseAND(state["c"])
+            if e:
+                less = state[f"r{e - 1}"]
+                new = new.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(out[e - 1], 1))
             out.append(new.bitwiseAND(F.lit(mask)))
-        return F.struct(*[x.alias(f"r{e}") for e, x in enumerate(out)], state["p"].alias("p"), state["t"].alias("t"), same.alias("c"))
-
-    # The characters of step j are compared in step j - 1, so that every word is built once; the last step compares past the end.
-    first = F.lit(0)
-    for d in range(width):
-        first = first.bitwiseOR(F.when(F.get(p, F.lit(d - edits)) == F.get(t, F.lit(0)), F.lit(1 << d)).otherwise(F.lit(0)))
-    begin = F.struct(*[F.lit(s).alias(f"r{e}") for e, s in enumerate(start)], p.alias("p"), t.alias("t"), first.alias("c"))
-    n = F.size(t)
-    end = F.aggregate(F.sequence(F.lit(1), n), begin, step)
-    reached = F.lit(0)
-    for e in range(edits + 1):
-        reached = reached.bitwiseOR(end[f"r{e}"])
-    at = F.length(a) - F.length(b) + edits
-    near = at.between(0, width - 1) & (F.call_function("shiftright", reached, F.greatest(at, F.lit(0))).bitwiseAND(F.lit(1)) == 1)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.length(a) + F.length(b) <= edits).otherwise(near)
-
-
-def _segments(line: str, length: str, edits: int) -> list[tuple[Column, Column, Column]]:
-    """(start, size) of the ``edits + 1`` even segments of a line of the given length: the longer ones come last."""
+        # The characters of the next step are compared here, so that their word is built once.
+        return F.struct(*[x.alias(f"r{e}") for e, x in enumerate(out)], state["p"].alias("p"), state["t"].alias("t"), equal(state["p"], state["t"], j).alias("c"))
+
+    def run(x: Column) -> Column:
+        begin = F.struct(*[F.lit(s).alias(f"r{e}") for e, s in enumerate(start)], x["p"].alias("p"), x["t"].alias("t"), equal(x["p"], x["t"], F.lit(0)).alias("c"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(x["t"])), begin, step, lambda end: reduce(lambda m, n: m.bitwiseOR(n), [end[f"r{e}"] for e in range(edits + 1)]))
+
+    return _let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t")), run)
+
+
+def within_edits(a: Column, b: Column, edits: int, probe: int = 16) -> Column:
+    """Whether the edit distance of two strings is at most ``edits`` (up to 14): banded and bit-parallel, between the ends
+    that they have in common. Strings that differ more mostly run out of diagonals within the first ``probe`` characters."""
+
+    def judge(x: Column) -> Column:
+        p, t = x["p"], x["t"]
+        at = F.length(p) - F.length(t) + edits
+        ended = F.call_function("shiftright", _reached(p, t, edits), at).bitwiseAND(F.lit(1)) == 1
+        return (F.when(~at.between(0, 2 * edits), False).when((F.length(p) == 0) | (F.length(t) == 0), F.length(p) + F.length(t) <= edits)
+                .when(F.greatest(F.length(p), F.length(t)) <= edits, True)
+                .when(_reached(F.left(p, F.lit(probe + edits)), F.left(t, F.lit(probe)), edits) == 0, False).otherwise(ended))
+
+    return F.when(a == b, True).when(F.abs(F.length(a) - F.length(b)) > edits, False).otherwise(_let(_stripped(a, b), judge))
+
+
+def _segments(length: str, edits: int) -> list[tuple[str, str]]:
+    """SQL: (start, size) of the ``edits + 1`` even segments of a line of the given length: the longer ones come last."""
     n = edits + 1
     out = []
     for i in range(n):
@@ -67,24 +95,21 @@ def _segments(line: str, length: str, edits: int) -> list[tuple[Column, Column,
 
 
 def keys(edits: int, line: str = "line", length: str = "n") -> str:
-    """SQL: the array of (key, indexed) of a line: its own segments, and the substrings that probe lines up to ``edits`` shorter."""
+    """SQL: (key, own) of a line: its own segments (own = 1), and the substrings that probe lines up to ``edits`` shorter; null where there are none."""
     out = []
     for short in range(edits + 1):
         target = f"({length} - {short})"
-        for i, (start, size) in enumerate(_segments(line, target, edits)):
-            low = max(-i, short - (edits - i))
-            high = min(i, short + (edits - i))
-            for shift in range(low, high + 1):
-                own = short == 0 and shift == 0
+        for i, (start, size) in enumerate(_segments(target, edits)):
+            for shift in range(max(-i, short - (edits - i)), min(i, short + (edits - i)) + 1):
                 key = f"xxhash64({target}, {i}, substring({line}, {start} + {shift} + 1, {size}))"
-                inside = f"{target} > {edits} and {start} + {shift} >= 0 and {start} + {shift} + {size} <= {length}"
-                out.append(f"if({inside}, struct({key} as key, {str(own).lower()} as indexed), null)")
-    return f"filter(array({', '.join(out)}), x -> x is not null)"
+                inside = [f"{target} > {edits}"] + [f"{start} + {shift} >= 0"] * (shift < 0) + [f"{start} + {shift} + {size} <= {length}"] * (shift > short)
+                out.append(f"if({' and '.join(inside)}, struct({key} as key, {int(short == 0 and shift == 0)} as own), null)")
+    return f"array({', '.join(out)})"
 
 
 def _letters(line: str = "line") -> str:
     """SQL: the counts of some letters, modulo 256, a byte each."""
-    parts = [f"shiftleft(cast((char_length({line}) - char_length(replace({line}, '{c}', ''))) & 255 as bigint), {8 * k})" for k, c in enumerate(LETTERS)]
+    parts = [f"shiftleft(cast((octet_length({line}) - octet_length(replace({line}, '{c}', ''))) & 255 as bigint), {8 * k})" for k, c in enumerate(LETTERS)]
     return " | ".join(parts)
 
 
@@ -92,51 +117,56 @@ def _close(a: str, b: str, edits: int) -> str:
     """SQL: whether two words of letter counts differ by at most two for each edit."""
     terms = []
     for k in range(len(LETTERS)):
-        d = f"((shiftrightunsigned({a}, {8 * k}) - shiftrightunsigned({b}, {8 * k})) & 255)"
+        byte = lambda x: f"(shiftright({x}, {8 * k}) & 255)"  # noqa: B023, E731
+        d = f"(({byte(a)} - {byte(b)} + 256) & 255)"
         terms.append(f"least({d}, 256 - {d})")
     return f"{' + '.join(terms)} <= {2 * edits}"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(id, text) -> (id, version, pos, line): ``version`` tells rows with equal ids apart by their text."""
-    return docs.select("id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """(id, text) -> (id, version, pos, line): the lines with more than blanks; ``version`` tells rows with equal ids apart by their text."""
+    lines = docs.where("text is not null").select("id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.where("line rlike '[^ \\\\t\\\\r]'")
 
 
-def near_pairs(lines: DataFrame, edits: int, least: int) -> DataFrame:
-    """(line) -> (a, b): hashes of different lines of at least ``least`` characters that may be within ``edits``."""
-    distinct = lines.where(F.length("line") >= max(least, edits + 1)).distinct()
-    keyed = (distinct.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("id"), F.expr(_letters()).alias("letters"))
-             .select("id", "letters", F.expr(f"inline({keys(edits)})")).repartition(F.col("key")))
-    left = keyed.where("indexed").select("key", F.col("id").alias("a"), F.col("letters").alias("x"))
-    right = keyed.select("key", F.col("id").alias("b"), F.col("letters").alias("y"), "indexed")
-    met = left.join(right, "key").where("(a < b or (a > b and not indexed))").where(_close("x", "y", edits))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
+    """(line) -> (a, b): hashes of different lines that may be within ``edits``. Each pair is one of a segment's owner and a prober."""
+    keyed = (lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("id"), F.expr(_letters()).alias("letters"))
+             .select("id", "letters", F.expr(f"inline({keys(edits)})")).where("key is not null").repartition(F.col("key")).distinct())
+    side = lambda k: keyed.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("id", "letters", "own")])
+    # One product, which the optimizer can't pull apart: both sides stay the same exchange, and it runs once.
+    once = "own1 * if(id1 < id2, 1, if(id1 > id2, 1 - own2, 0)) = 1"
+    met = side(1).join(side(2), "key").where(f"{once} and {_close('letters1', 'letters2', edits)}")
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", *, edits: int = 1, least: int = 20, small: int = 2_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", *, edits: int = 1, least: int = 20, hot: int = 10_000, small: int = 2_000_000) -> DataFrame:
     """``docs`` with ``text`` holding only kept lines, and with ``n_lines``, ``n_removed`` (longs; columns of these names are replaced).
 
     Places are ordered by (id, line number), null ids first. A line is removed when an equal line stands at an earlier place,
     or, from ``least`` characters on, one within ``edits``; what the earlier line's own fate is does not matter. Blank lines
     stay. Rows with equal ids are versions of one document: equal lines at equal places of them count as one place. A null
-    text stays null with no lines; a text that loses all its lines becomes empty. Candidate lines are fetched by
-    broadcasting their hashes while there are at most ``small`` of them, and by a shuffled join beyond.
+    text stays null with no lines; a text that loses all its lines becomes empty.
+
+    The ``hot`` most frequent lines are broadcast (a fixed number) so that only their first places emit segments. Candidate
+    lines are fetched by broadcasting their hashes while there are at most ``small`` of them, by a shuffled join beyond.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    lines = _lines(rows.where("text is not null")).where("line rlike '[^ \\\\t\\\\r]'")
-    pairs = written(near_pairs(lines.select("line"), edits, least))
+    lines, digest = _lines(rows), F.unhex(F.md5("line"))
+    places = written(lines.select("id", "version", "pos", digest.alias("digest")))
+    repeats = written(places.groupBy("digest").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    frequent = repeats.orderBy(F.desc("copies"), "digest").limit(hot).select(F.col("digest").alias("d"), F.col("first").alias("f"))
+    long = lines.where(F.length("line") >= max(least, edits + 1))
+    fresh = long.join(F.broadcast(frequent), digest == F.col("d"), "left").where(F.col("d").isNull() | (F.struct("id", "pos") == F.col("f")))
+    pairs = written(near_pairs(fresh.select("line"), edits))
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
     hint = F.broadcast if wanted.count() <= small else (lambda x: x)
-    found = written(lines.where(F.length("line") >= max(least, edits + 1)).withColumn("h", F.xxhash64("line")).join(hint(wanted), "h", "left_semi")
-                    .groupBy("h", "line").agg(F.min(F.struct("id", "pos")).alias("first")))
+    found = written(long.withColumn("h", F.xxhash64("line")).join(hint(wanted), "h", "left_semi").groupBy("h", "line").agg(F.min(F.struct("id", "pos")).alias("first")))
     a = found.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa"))
     b = found.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
     near = (pairs.join(a, "a").join(b, "b").where((F.col("la") != F.col("lb")) & within_edits(F.col("la"), F.col("lb"), edits))
-            .select(F.when(F.col("fa") < F.col("fb"), F.col("lb")).otherwise(F.col("la")).alias("line"))
-            .select(F.md5("line").alias("digest")).distinct().withColumn("near", F.lit(True)))
-    places = lines.select("id", "version", "pos", F.md5("line").alias("digest"))
-    first = places.groupBy("digest").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    judged = first.join(near, "digest", "left").where("copies > 1 or near")
+            .select(F.when(F.col("fa") < F.col("fb"), F.col("lb")).otherwise(F.col("la")).alias("line")).select(digest.alias("digest")).distinct())
+    judged = repeats.select("digest", "first").join(near.withColumn("near", F.lit(True)), "digest", "full")
     gone = (places.join(judged, "digest").where(F.coalesce("near", F.lit(False)) | (F.struct("id", "pos") != F.col("first")))
             .groupBy("id", "version").agg(F.collect_set("pos").alias("gone")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

@@ -66,20 +66,24 @@ def _design(z: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z, z[:, 2] ** 2, z[:, 1] * z[:, 2]])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
-    """Newton steps of a ridge-penalised logistic fit; with one class only, the curve is flat at its (smoothed) share."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:
+    """Damped Newton steps of a ridge-penalised logistic fit; with one class only, the curve is flat at its (smoothed) share."""
     share = (y.sum() + 1) / (len(y) + 2)
     w = np.zeros(x.shape[1])
     w[0] = np.log(share / (1 - share))
     if y.min(initial=1) == y.max(initial=0):
         return w
+    penalty = ridge * np.r_[0, np.ones(x.shape[1] - 1)]
+    loss = lambda v: (np.logaddexp(0, x @ v) - y * (x @ v)).sum() + 0.5 * (penalty * v**2).sum()
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        penalty = ridge * np.r_[0, np.ones(x.shape[1] - 1)]
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-10:
+            step = step / 2
+        if not new < now - 1e-9:
             break
+        w, now = w + step, new
     return w
 
 
@@ -91,11 +95,11 @@ def _dictionary(pieces: list[bytes], size: int) -> tuple[bytes, bool]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id: str = "doc_id", label: str = "quality",
-        pieces: int = 3000, piece_chars: int = 1024, dictionary_bytes: int = 110_000, calibration_rows: int = 20_000) -> Model:
+        pieces: int = 6000, piece_chars: int = 512, dictionary_bytes: int = 110_000, calibration_rows: int = 20_000) -> Model:
     """Learns from labelled rows that are not ``held_out``.
 
-    Documented bounds of the sample, drawn by a hash of the id: about ``pieces`` labelled texts of each class give one
-    piece of ``piece_chars`` each to the dictionaries; about ``calibration_rows`` other texts, whole, fit the curve.
+    Documented bounds of the sample, drawn by a hash of the id: about ``pieces`` labelled texts of each class are cut into pieces
+    of ``piece_chars``, of which ``pieces`` go into its dictionary; about ``calibration_rows`` other texts, whole, fit the curve.
     Only pieces and feature numbers reach the driver. Null labels, ids and texts teach nothing; an id labelled both
     ways counts on both sides. Without any label the score is 0.5 everywhere.
     """
@@ -108,11 +112,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id: str = "do
     for y, n in sizes.items():
         share = F.when(F.col("__y") == y, F.lit(0.5 * min(1.0, pieces / n))).otherwise(share)
     chosen = marks.where((F.col("__u") < share) & (F.col("__u") < 0.5))
-    n_pieces = F.greatest(F.lit(1), F.ceil(F.length("__text") / piece_chars))
-    at = F.floor(uniform("piece", F.col("__id")) * n_pieces).cast("int") * piece_chars + 1
-    found = (source.join(F.broadcast(chosen), "__id").select("__y", "__u", F.expr("__text").substr(at, F.lit(piece_chars)).alias("piece"))
-             .orderBy("__u", "piece").limit(4 * pieces).collect())
-    made = [_dictionary([r["piece"].encode() for r in found if r["__y"] == y and r["piece"]][:pieces], dictionary_bytes) for y in (0, 1)]
+    cut = F.posexplode(F.regexp_extract_all("__text", F.lit(f"(?s).{{1,{piece_chars}}}"), F.lit(0))).alias("pos", "piece")
+    pool = source.join(F.broadcast(chosen), "__id").select("__y", "__id", cut).withColumn("__u", uniform("piece", F.col("__id"), F.col("pos")))
+    found = {y: pool.where(F.col("__y") == y).orderBy("__u", "piece").limit(pieces).collect() for y in (0, 1)}
+    made = [_dictionary([r["piece"].encode() for r in found[y]], dictionary_bytes) for y in (0, 1)]
     model = Model(tuple(m[0] for m in made), tuple(m[1] for m in made), (0.0,) * 6, (0.0,) * 3, (1.0,) * 3)
     some = marks.where((F.col("__u") >= 0.5) & (F.col("__u") < 0.5 + 0.5 * min(1.0, calibration_rows / max(rest, 1))))
 
