@@ -10,15 +10,22 @@ from pyspark.sql import functions as F
 from .calendar import iso_week_date
 from .timeaxis import HOUR, MICROS, col, local_to_utc, plus
 
-NULL_TOKENS = ("", "-", "n/a", "n/e", "na", "nan", "null")
+# Texts that mean a missing number.
+NULL_TOKENS = ("", "-", "n/a", "n/e", "n.a.", "na", "nan", "none", "null")
 
 
 def number(c: str | Column, decimal: str = ".", thousands: str = "'",
            null_tokens: tuple[str, ...] = NULL_TOKENS) -> Column:
-    """Text to DOUBLE; NULL for null tokens and for anything that does not parse."""
+    """Text to DOUBLE; NULL for null tokens and for anything that does not parse.
+
+    With a decimal comma, dots are thousands separators and must stand before groups of three digits.
+    """
     t = F.trim(col(c))
     t = F.when(~F.lower(t).isin(*null_tokens), t)
     t = F.regexp_replace(t, "[" + re.escape(thousands) + "\\u00a0 ]", "")
+    if decimal == ",":
+        t = F.regexp_replace(t, r"\.(?=\d{3}(?:\D|$))", "")
+        t = F.when(~t.contains("."), t)
     if decimal != ".":
         t = F.translate(t, decimal, ".")
     return t.try_cast("double")
@@ -107,12 +114,17 @@ def parse_name(name: str, pattern: re.Pattern) -> dict[str, str | None]:
 
 
 def snake(names: list[str]) -> list[str]:
-    """Lower snake case, repeated names numbered from ``_2``."""
+    """Lower snake case; names that repeat are numbered from ``_2`` until unused. ``(+)``, ``(-)`` and ``%`` become words."""
     umlauts = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"})
-    seen: dict[str, int] = {}
-    out = []
+    out: list[str] = []
+    wanted = []
     for n in names:
-        base = re.sub(r"[^a-z0-9]+", "_", n.lower().translate(umlauts)).strip("_") or "col"
-        seen[base] = seen.get(base, 0) + 1
-        out.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
+        text = n.lower().translate(umlauts).replace("(+)", " pos ").replace("(-)", " neg ").replace("%", " pct ")
+        wanted.append(re.sub(r"[^a-z0-9]+", "_", text).strip("_") or "col")
+    for base in wanted:
+        name, k = base, 1
+        while name in out or (k > 1 and name in wanted):
+            k += 1
+            name = f"{base}_{k}"
+        out.append(name)
     return out

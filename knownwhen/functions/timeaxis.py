@@ -48,7 +48,7 @@ def plus(c: str | Column, duration: str | int | Column) -> Column:
 def floor_div(a: Column, width: int | Column) -> Column:
     """Exact floor division of two BIGINTs."""
     w = width if isinstance(width, Column) else F.lit(width).cast("long")
-    return ((a - F.pmod(a, w)) / w).cast("long")
+    return F.call_function("div", a - F.pmod(a, w), w)
 
 
 def floor_time(c: str | Column, step: str | int) -> Column:
@@ -62,12 +62,14 @@ def ceil_time(c: str | Column, step: str | int) -> Column:
 
 
 def order_key(df: DataFrame, name: str) -> Column:
-    """BIGINT position on the ordering axis of a timestamp, date or integer column."""
+    """BIGINT position on the ordering axis of a timestamp, date or integer column; other types have no exact one."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return micros(name)
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(name)).cast("long")
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{name!r} orders by {kind.simpleString()}; use a timestamp, date or integer column")
     return F.col(name).cast("long")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions import timeaxis as T
 from ..functions.numeric import vwmean
 from ..session import cut_lineage
@@ -92,7 +93,7 @@ def pivot_sum(df: DataFrame, index: Sequence[str], column: str, value: str, valu
 def weighted_panel(panel: DataFrame, weights: DataFrame, station: Sequence[str], by: Sequence[str], value: str,
                    weight: str, min_coverage: float = 0.0) -> DataFrame:
     """Weighted mean over the stations that report, weights renormalised, with the covered share."""
-    rows = panel.join(weights, list(station))
+    rows = panel.transform(match, weights, list(station))
     total = weights.agg(F.sum(weight).alias("_kw_all"))
     out = rows.groupBy(*by).agg(F.sum(F.col(value) * F.col(weight)).alias("_kw_s"),
                                 F.sum(F.when(F.col(value).isNotNull(), F.col(weight))).alias("_kw_w"))
@@ -105,7 +106,7 @@ def shares_of_total(df: DataFrame, by: Sequence[str], within: Sequence[str], val
     """Share of each group in the total of its parent, optionally split equally among its members."""
     part = df.groupBy(*within, *by).agg(F.sum(value).alias("amount"), *([F.first(members).alias(members)] if members else []))
     whole = part.groupBy(*within).agg(F.sum("amount").alias("_kw_total")) if within else part.agg(F.sum("amount").alias("_kw_total"))
-    out = part.join(whole, list(within)) if within else part.join(F.broadcast(whole))
+    out = part.transform(match, whole, list(within)) if within else part.join(F.broadcast(whole))
     share = F.col("amount") / F.col("_kw_total")
     return out.withColumn("share", share / F.col(members) if members else share).drop("_kw_total")
 
@@ -117,7 +118,7 @@ def describe_plus(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.max(x).alias("max"),
         F.skewness(x).alias("skew"), F.avg((x <= 0).cast("double")).alias("share_le_0"))
     q = quantiles(df, by, value, {"p05": 0.05, "median": 0.5, "p95": 0.95, "p99": 0.99})
-    out = base.join(q, list(by), "left") if by else base.join(F.broadcast(q))
+    out = base.transform(match, q, list(by), "left") if by else base.join(F.broadcast(q))
     return out.withColumns({"cv": F.col("std") / F.nullif(F.col("mean"), F.lit(0.0)),
                             "p99_over_median": F.col("p99") / F.nullif(F.col("median"), F.lit(0.0))})
 
@@ -131,10 +132,10 @@ def crosstab(df: DataFrame, rows: str, cols: str, values: Sequence, share: bool
 def relative_profile(df: DataFrame, base: Sequence[str], cell: Sequence[str], value: str) -> DataFrame:
     """Median, per cell, of the value relative to the median of its base group."""
     med = quantiles(df, base, value, {"_kw_base": 0.5})
-    rel = df.join(med, list(base)).withColumn("_kw_rel", F.col(value) / F.nullif(F.col("_kw_base"), F.lit(0.0)))
+    rel = df.transform(match, med, list(base)).withColumn("_kw_rel", F.col(value) / F.nullif(F.col("_kw_base"), F.lit(0.0)))
     rel = cut_lineage(rel.select(*cell, "_kw_rel"))
     n = rel.groupBy(*cell).agg(F.count("_kw_rel").alias("n"))
-    return quantiles(rel, cell, "_kw_rel", {"relative": 0.5}).join(n, list(cell))
+    return quantiles(rel, cell, "_kw_rel", {"relative": 0.5}).transform(match, n, list(cell))
 
 
 def breakdown(df: DataFrame, dims: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
@@ -153,7 +154,7 @@ def latest_revision(df: DataFrame, doc: str, revision: str, status: str | None =
     """Rows of each document's highest revision after withdrawn statuses are removed."""
     rows = df if status is None else df.where(~F.coalesce(F.col(status).isin(*dropped), F.lit(False)))
     top = rows.groupBy(doc).agg(F.max(F.coalesce(F.col(revision), F.lit(0))).alias("_kw_top"))
-    out = rows.join(top, doc)
+    out = rows.transform(match, top, doc)
     return out.where(F.coalesce(F.col(revision), F.lit(0)) == F.col("_kw_top")).drop("_kw_top")
 
 

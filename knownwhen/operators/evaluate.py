@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions import timeaxis as T
 from ..functions.numeric import clip, corr, pinball, smape_term
 from ..session import cut_lineage
@@ -68,7 +69,7 @@ def train_windows(folds: DataFrame, df: DataFrame, by: Sequence[str], start: str
     f = prefix_at(f.withColumn("_kw_before", T.plus("sliding_start", -1)), df, "_kw_before", start, by, {"_kw_old": F.lit(1).cast("long")}, chunk)
     f = f.withColumn("n_sliding", F.greatest(F.col("n_train") - F.col("_kw_old"), F.lit(0)))
     f = f.withColumn("_kw_i", F.col("n_train") - min_train + 1)
-    f = f.join(numbered.select(*by, "_kw_i", F.col(start).alias("_kw_min_start")), [*by, "_kw_i"], "left")
+    f = f.transform(match, numbered.select(*by, "_kw_i", F.col(start).alias("_kw_min_start")), [*by, "_kw_i"], "left")
     short = F.col("n_sliding") < min_train
     f = f.withColumns({"sliding_rule": F.when(short, "latest_rows").otherwise("months"),
                        "sliding_start": F.when(short, F.col("_kw_min_start")).otherwise(F.col("sliding_start"))})
@@ -99,7 +100,7 @@ def point_metrics(preds: DataFrame, by: Sequence[str], baseline: str | None = No
     if baseline is None:
         return out
     ref = out.where(F.col("model") == baseline).select(*by, F.col("mae").alias("_kw_ref"))
-    out = out.join(ref, list(by), "left") if by else out.join(F.broadcast(ref))
+    out = out.transform(match, ref, list(by), "left") if by else out.join(F.broadcast(ref))
     return out.withColumn("skill", 100 * (1 - F.col("mae") / F.nullif(F.col("_kw_ref"), F.lit(0.0)))).drop("_kw_ref")
 
 
@@ -175,7 +176,7 @@ def conformal(df: DataFrame, by: Sequence[str], fold: str, y: str, low: str, hig
     # The product can miss an integer by rounding; ranks are whole numbers.
     rank = F.ceil(F.round((F.col("n") - 1) * share, 9)) + 1
     q = earlier_folds_rank(rows, by, fold, "_kw_score", rank, min_scores).withColumnRenamed("value", "_kw_q")
-    out = rows.join(q, [*by, fold], "left")
+    out = rows.transform(match, q, [*by, fold], "left")
     return out.withColumns({"low_adjusted": F.sinh(F.col("_kw_lo") - F.col("_kw_q")), "high_adjusted": F.sinh(F.col("_kw_hi") + F.col("_kw_q"))}).drop(
         "_kw_lo", "_kw_hi", "_kw_y", "_kw_score", "_kw_q", "n_past")
 
@@ -202,7 +203,7 @@ def combine(df: DataFrame, by: Sequence[str], fold: str, y: str, models: Sequenc
         F.exists(F.slice(order, 1, n), lambda s: s["i"] == i), 1.0 / min(n, k)).otherwise(F.lit(0.0)))
     weights = weights.select(*by, fold, "n_past", F.when(ready, F.transform(inverse, lambda x: x / total)).otherwise(equal).alias("_kw_inv"),
                              F.when(ready, pick(1)).otherwise(equal).alias("_kw_best"), F.when(ready, pick(top)).otherwise(equal).alias("_kw_top"))
-    out = rows.join(weights, [*by, fold])
+    out = rows.transform(match, weights, [*by, fold])
     p = F.array(*[F.col(m).cast("double") for m in models])
     dot = lambda w: F.aggregate(F.zip_with(p, F.col(w), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     s = F.array_sort(p)
@@ -214,7 +215,7 @@ def combine(df: DataFrame, by: Sequence[str], fold: str, y: str, models: Sequenc
 def compare_runs(a: DataFrame, b: DataFrame, key: Sequence[str], y: str, p: str, by: Sequence[str]) -> DataFrame:
     """Two variants on their common rows: MAE of both and the change in percent."""
     right = b.select(*key, F.col(p).alias("_kw_p"))
-    both = a.join(right, list(key)).where(F.col(p).isNotNull() & F.col("_kw_p").isNotNull() & F.col(y).isNotNull())
+    both = a.transform(match, right, list(key)).where(F.col(p).isNotNull() & F.col("_kw_p").isNotNull() & F.col(y).isNotNull())
     out = both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(p) - F.col(y))).alias("mae_a"), F.avg(F.abs(F.col("_kw_p") - F.col(y))).alias("mae_b"))
     return out.withColumn("change", 100 * (F.col("mae_b") / F.nullif(F.col("mae_a"), F.lit(0.0)) - 1))
 
@@ -224,7 +225,7 @@ def stability(metrics: DataFrame, by: Sequence[str], period: str, model: str, lo
     w = Window.partitionBy(*by, period).orderBy(loss, model)
     ranked = metrics.withColumn("_kw_r", F.row_number().over(w))
     best = ranked.where((F.col(period) == pooled) & (F.col("_kw_r") == 1)).select(*by, F.col(model).alias("pooled_best"))
-    sub = ranked.where(F.col(period) != pooled).join(best, list(by))
+    sub = ranked.where(F.col(period) != pooled).transform(match, best, list(by))
     mine = F.when(F.col(model) == F.col("pooled_best"), F.col("_kw_r"))
     return sub.groupBy(*by, "pooled_best").agg(F.count(mine).alias("periods"), F.count_if(mine == 1).alias("wins"), F.avg(mine).alias("mean_rank"), F.max(mine).alias("worst_rank"))
 
@@ -248,7 +249,7 @@ def class_metrics(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame
     table = ranked_values(rows, by, p, {"hits": yy})
     rank = F.col("before_n") + (F.col("n") + 1) / 2
     sums = table.groupBy(*by).agg(F.sum(rank * F.col("hits")).alias("_kw_r")) if by else table.agg(F.sum(rank * F.col("hits")).alias("_kw_r"))
-    out = base.join(sums, list(by)) if by else base.join(F.broadcast(sums))
+    out = base.transform(match, sums, list(by)) if by else base.join(F.broadcast(sums))
     n1, n0 = F.col("pos"), F.col("n") - F.col("pos")
     return out.withColumns({"roc_auc": (F.col("_kw_r") - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0)),
                             "observed_over_expected": F.col("base_rate") / F.greatest("mean_pred", F.lit(1e-12))}).drop("_kw_r")
@@ -262,7 +263,7 @@ def average_precision(df: DataFrame, by: Sequence[str], y: str, p: str, row_id:
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     every = row_rank(rows, by, p, row_id, "_kw_all", descending=True).where(F.col(y) == 1)
     hits = row_rank(rows.where(F.col(y) == 1), by, p, row_id, "_kw_hit", descending=True).select(*by, row_id, "_kw_hit")
-    both = every.join(hits, [*by, row_id])
+    both = every.transform(match, hits, [*by, row_id])
     return both.groupBy(*by).agg(F.avg(F.col("_kw_hit") / F.col("_kw_all")).alias("average_precision"))
 
 
@@ -279,7 +280,7 @@ def murphy(table: DataFrame, by: Sequence[str]) -> DataFrame:
     n = F.col("n")
     total = table.groupBy(*keys).agg(F.sum("n").alias("_kw_n"), (F.sum(n * F.col("observed")) / F.sum("n")).alias("_kw_y"))
     names = list(by) or ["_kw_all"]
-    rows = (table if by else table.withColumn("_kw_all", F.lit("all"))).join(total, names)
+    rows = (table if by else table.withColumn("_kw_all", F.lit("all"))).transform(match, total, names)
     gap, lift = F.col("predicted") - F.col("observed"), F.col("observed") - F.col("_kw_y")
     out = rows.groupBy(*names).agg(
         (F.sum(n * gap * gap) / F.first("_kw_n")).alias("rel"), (F.sum(n * lift * lift) / F.first("_kw_n")).alias("res"),
@@ -293,7 +294,7 @@ def brier_skill(df: DataFrame, by: Sequence[str], y: str, models: Sequence[str],
     scores = rows.groupBy(*by, "model").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("brier"))
     base = scores.where(F.col("model").isin(*baselines))
     best = base.groupBy(*by).agg(F.min_by("model", F.struct("brier", "model")).alias("baseline"), F.min("brier").alias("_kw_b"))
-    out = scores.join(best, list(by)) if by else scores.join(F.broadcast(best))
+    out = scores.transform(match, best, list(by)) if by else scores.join(F.broadcast(best))
     return out.withColumn("skill", 1 - F.col("brier") / F.nullif(F.col("_kw_b"), F.lit(0.0))).drop("_kw_b")
 
 
@@ -356,15 +357,15 @@ def exceedance_backtest(clusters: DataFrame, by: Sequence[str], start: str, end:
     folds = rows.where(F.col("fold") >= 0).select(*by, "fold").distinct().withColumn("_kw_start", fold_start("fold", test_start, months))
     past = rows.select(*by, F.col(end).alias("_kw_end"), F.col(excess).cast("double").alias("x"))
     member = F.col("_kw_end") < T.plus("_kw_start", -embargo_days * T.DAY)
-    fits = folds.join(past, list(by)).where(member) if by else folds.join(F.broadcast(past)).where(member)
+    fits = folds.transform(match, past, list(by)).where(member) if by else folds.join(F.broadcast(past)).where(member)
     if recent_days:
         recent = F.col("_kw_end") >= T.plus("_kw_start", -recent_days * T.DAY)
         counts = fits.groupBy(*by, "fold").agg(F.count_if(recent).alias("_kw_recent"))
-        fits = fits.join(counts, [*by, "fold"]).where((F.col("_kw_recent") < min_fit) | recent)
+        fits = fits.transform(match, counts, [*by, "fold"]).where((F.col("_kw_recent") < min_fit) | recent)
     marks = F.array(*[F.lit(float(x)) for x in taus])
     model = fits.groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("n_fit"), F.avg("x").alias("_kw_mean"), F.percentile("x", marks).alias("q_emp"))
     model = model.where(F.col("n_fit") >= min_fit).withColumn("q_exp", F.transform(marks, lambda u: -F.log(1 - u) * F.col("_kw_mean")))
-    test = rows.where(F.col("fold") >= 0).join(model, [*by, "fold"]).withColumn("_kw_x", F.col(excess).cast("double"))
+    test = rows.where(F.col("fold") >= 0).transform(match, model, [*by, "fold"]).withColumn("_kw_x", F.col(excess).cast("double"))
 
     def score(q: str) -> Column:
         loss = F.zip_with(F.col(q), marks, lambda v, u: F.greatest(u * (F.col("_kw_x") - v), (u - 1) * (F.col("_kw_x") - v)))
@@ -395,7 +396,7 @@ def intervention_effect(df: DataFrame, by: Sequence[str], ts: str, value: str, d
         rows = df.where((F.col(ts) >= low) & (F.col(ts) < high)).select(*by, ts, value)
         rows = rows.withColumn("side", F.when(F.col(ts) < at, "pre").otherwise("post"))
         thr = quantiles(rows.where(F.col("side") == "pre"), by, value, {"threshold": q})
-        rows = rows.join(thr, list(by))
+        rows = rows.transform(match, thr, list(by))
         excess = (F.col(value) - F.col("threshold")) * (1 if above else -1)
         rows = cut_lineage(rows.withColumn("_kw_x", excess))
         share = rows.groupBy(*by, "side").agg(
@@ -403,7 +404,7 @@ def intervention_effect(df: DataFrame, by: Sequence[str], ts: str, value: str, d
             F.max("threshold").alias("threshold"))
         eps = episodes(rows, [*by, "side"], ts, F.col("_kw_x") > 0, chunk=chunk)
         eps = eps.groupBy(*by, "side").agg(F.count(F.lit(1)).alias("episodes"), F.avg("length").alias("mean_length"))
-        both = share.join(eps, [*by, "side"], "left").withColumns({
+        both = share.transform(match, eps, [*by, "side"], "left").withColumns({
             "share": F.col("n_exceed") / F.nullif(F.col("n"), F.lit(0)), "episodes_per_week": F.coalesce(F.col("episodes"), F.lit(0)) / (days / 7)})
         measures = ["share", "episodes_per_week", "mean_length", "mean_excess"]
         pick = lambda m, s: F.max(F.when(F.col("side") == s, F.col(m)))
@@ -455,7 +456,7 @@ def choose_monthly(df: DataFrame, by: Sequence[str], start: str, cleared: str, c
         F.count(F.lit(1)).alias("n_past"), *[F.avg(revenue(f"_kw_b{i}", cleared)).alias(f"_kw_r{i}") for i in range(len(names))])
     best = F.array_max(F.array(*[F.struct(F.col(f"_kw_r{i}").alias("r"), F.lit(-i).alias("i")) for i in range(len(names))]))
     choice = sums.select(*by, "month", "n_past", F.when(F.col("n_past") >= min_past, -best["i"]).otherwise(F.lit(names.index(fallback))).alias("_kw_j"))
-    out = rows.join(choice, [*by, "month"], "left").withColumn("_kw_j", F.coalesce("_kw_j", F.lit(names.index(fallback))))
+    out = rows.transform(match, choice, [*by, "month"], "left").withColumn("_kw_j", F.coalesce("_kw_j", F.lit(names.index(fallback))))
     bids = F.array(*[F.col(f"_kw_b{i}") for i in range(len(names))])
     labels = F.array(*[F.lit(n) for n in names])
     out = out.withColumns({"chosen": F.get(labels, F.col("_kw_j")), "bid": F.get(bids, F.col("_kw_j")), "n_past": F.coalesce("n_past", F.lit(0))})
@@ -504,7 +505,7 @@ def ridge_backtest(df: DataFrame, by: Sequence[str], fold: str, y: str, xs: Sequ
         return F.coalesce(clip(scaled, -bound, bound), F.lit(0.0))
 
     keyed = moments.withColumnRenamed(fold, "_kw_fold")
-    pairs = rows.join(keyed, list(by)) if by else rows.join(F.broadcast(keyed))
+    pairs = rows.transform(match, keyed, list(by)) if by else rows.join(F.broadcast(keyed))
     train = pairs.where(F.col(fold) < F.col("_kw_fold"))
     cols = [F.lit(1.0), *[z(i) for i in range(k)], F.col(y).cast("double")]
     size = len(cols)
@@ -527,7 +528,7 @@ def ridge_backtest(df: DataFrame, by: Sequence[str], fold: str, y: str, xs: Sequ
             yield pd.DataFrame(out, columns=[*by, "_kw_fold", "_kw_beta"])
 
     fits = grams.mapInPandas(solve, schema)
-    test = pairs.where(F.col(fold) == F.col("_kw_fold")).join(fits, [*by, "_kw_fold"])
+    test = pairs.where(F.col(fold) == F.col("_kw_fold")).transform(match, fits, [*by, "_kw_fold"])
     pred = F.col("_kw_beta")[0] + sum((F.col("_kw_beta")[i + 1] * z(i) for i in range(k)), F.lit(0.0))
     return test.withColumn("p", pred).select(*df.columns, "p")
 

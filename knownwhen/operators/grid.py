@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions import timeaxis as T
 from ..session import cut_lineage
 from . import ordered as O
@@ -67,7 +68,7 @@ def trim(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
 
 def on_grid(df: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join from the grid: missing steps become NULL rows."""
-    return target.join(df, list(keys), "left")
+    return target.transform(match, df, list(keys), "left")
 
 
 def upsample(df: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str], step: str | int,
@@ -172,7 +173,7 @@ def native_step(df: DataFrame, by: Sequence[str], ts: str, chunk: str | int = "1
     median = quantiles(steps, by, "minutes", {"median_minutes": 0.5})
     counts = steps.groupBy(*by).agg(F.count(F.lit(1)).alias("n_stamps"),
                                     F.avg((F.col("minutes") == 15).cast("double")).alias("share_15"))
-    out = counts.join(median, list(by), "left")
+    out = counts.transform(match, median, list(by), "left")
     m = F.col("median_minutes")
     kind = (F.when((F.col("n_stamps") < 3) | m.isNull(), "D")
             .when((m <= 15) & (F.col("share_15") >= 0.9), "15min")
@@ -208,7 +209,7 @@ def resolve_fold(df: DataFrame, day: str, label: str, order: str, keys: Sequence
     runs = (rows.groupBy(*by, label, "_kw_run").agg(F.count(F.lit(1)).alias("_kw_n")))
     per_label = runs.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_kw_runs"), F.min("_kw_run").alias("_kw_first"),
                                              F.max("_kw_n").alias("_kw_size"))
-    out = within.join(per_label, [*by, label])
+    out = within.transform(match, per_label, [*by, label])
     half = (F.col("_kw_runs") == 1) & (F.col("_kw_size") % 2 == 0) & (F.col("_kw_pos") > F.col("_kw_size") / 2)
     fold = F.when(F.col("_kw_runs") > 1, (F.col("_kw_run") > F.col("_kw_first")).cast("int")).otherwise(half.cast("int"))
     return out.withColumn("fold", fold).drop("_kw_before", "_kw_run", "_kw_pos", "_kw_runs", "_kw_first", "_kw_size")

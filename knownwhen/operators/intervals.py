@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions import timeaxis as T
 from . import ordered as O
 
@@ -33,7 +34,7 @@ def range_join(windows: DataFrame, rows: DataFrame, start: str, end: str, ts: st
     w = windows.where(F.col(start) < F.col(end)).withColumn(
         _BIN, F.explode(_bins(T.micros(start), T.micros(end), width)))
     r = rows.withColumn(_BIN, T.floor_div(T.micros(ts), width))
-    out = w.join(r, [*by, _BIN])
+    out = w.transform(match, r, [*by, _BIN])
     return out.where((F.col(ts) >= F.col(start)) & (F.col(ts) < F.col(end))).drop(_BIN)
 
 
@@ -60,7 +61,7 @@ def overlap_join(events: DataFrame, windows: DataFrame, event: tuple[str, str],
     cond = (F.col(es) < F.col(we)) & (F.col(ee) > F.col(ws))
     if known:
         cond &= F.col(known[0]) <= F.col(known[1])
-    out = e.join(w, [*by, _BIN]).where(cond)
+    out = e.transform(match, w, [*by, _BIN]).where(cond)
     out = out.where(F.col(_BIN) == T.floor_div(T.micros(low), width))
     return out.withColumns({clip[0]: low, clip[1]: high}).drop(_BIN)
 
@@ -199,7 +200,7 @@ def explain_runs(runs: DataFrame, reasons: DataFrame, token: str, pattern: str,
     pairs = overlap_join(reasons, runs, reason, run, bin=bin)
     hits = pairs.where(F.expr(f"{token} rlike {pattern}"))
     notes = hits.groupBy(*id_, *run).agg(F.array_join(F.array_sort(F.collect_set(note)), "; ").alias("notes"))
-    return runs.join(notes, [*id_, *run], "left")
+    return runs.transform(match, notes, [*id_, *run], "left")
 
 
 def interval_gaps(df: DataFrame, by: Sequence[str], start: str, end: str, chunk: str | int = "30 days") -> DataFrame:

@@ -184,14 +184,14 @@ def halo(df: DataFrame, by: Sequence[str], order: str, before: int, after: int,
     """Copies each row into every chunk whose moving frames can reach it.
 
     ``OWN`` marks the one copy that is an output row. With ``width`` at least the reach a row
-    is copied at most twice per direction.
+    is copied at most twice per direction. A row without an order value is kept, in a chunk of its own.
     """
     key = order_key(df, order)
     low = floor_div(key - after, width)
     high = floor_div(key + before, width)
     rows = df.withColumns({GROUP: group_key(by), KEY: key})
-    rows = rows.withColumn(CHUNK, F.explode(F.sequence(low, high)))
-    return rows.withColumn(OWN, F.col(CHUNK) == floor_div(F.col(KEY), width))
+    rows = rows.withColumn(CHUNK, F.explode_outer(F.sequence(low, high)))
+    return rows.withColumn(OWN, F.col(CHUNK).eqNullSafe(floor_div(F.col(KEY), width)))
 
 
 def rolling_time(df: DataFrame, by: Sequence[str], order: str, aggs: Mapping[str, Column],
@@ -200,7 +200,7 @@ def rolling_time(df: DataFrame, by: Sequence[str], order: str, aggs: Mapping[str
     """Moving aggregates over ``[t - before, t + after]`` on the ordering axis.
 
     ``before=7 days`` includes both ends; pass microseconds (or days for a DATE axis) to move
-    an end by one unit. ``min_count`` maps an output to (counted column, minimum) and turns
+    an end by one unit. Rows without an order value get NULL. ``min_count`` maps an output to (counted column, minimum) and turns
     thinner windows into NULL. Frames see a bounded piece of a series, never all of it.
     """
     b, a = key_width(df, order, before), key_width(df, order, after)
@@ -208,7 +208,8 @@ def rolling_time(df: DataFrame, by: Sequence[str], order: str, aggs: Mapping[str
     width = key_width(df, order, chunk) if chunk is not None else 4 * reach
     rows = halo(df, by, order, b, a, width)
     frame = Window.partitionBy(GROUP, CHUNK).orderBy(KEY).rangeBetween(-b, a)
-    cols = {n: e.over(frame) for n, e in aggs.items()}
+    placed = F.col(KEY).isNotNull()
+    cols = {n: F.when(placed, e.over(frame)) for n, e in aggs.items()}
     for n, (counted, least) in (min_count or {}).items():
         cols[n] = F.when(F.count(counted).over(frame) >= least, cols[n])
     return unkeyed(rows.withColumns(cols).where(F.col(OWN)))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions import timeaxis as T
 from ..session import cut_lineage
 from . import ordered as O
@@ -54,7 +55,7 @@ def pit_lookback(series: DataFrame, origins: DataFrame, by: Sequence[str], ts: s
                       {_ROW: _ROW, **{c: c for c in measures}}, ties=[_ROW], chunk=chunk)
     additive = [c for c in measures if not c.endswith("__x")]
     lower = rows.select(*by, (F.col(_ROW) + n).alias(_ROW), *[F.col(c).alias(f"{c}0") for c in additive])
-    both = upper.join(lower, [*by, _ROW], "left")
+    both = upper.transform(match, lower, [*by, _ROW], "left")
     out: list[Column] = []
     for name, (kind, _) in features.items():
         def part(suffix: str) -> Column:
@@ -71,7 +72,7 @@ def pit_lookback(series: DataFrame, origins: DataFrame, by: Sequence[str], ts: s
             value = F.col(f"{name}__x")
         out.append(F.when((count >= min_count) & (count > 0), value).alias(name))
     result = both.select(*by, origin, *out)
-    return origins.join(result, [*by, origin], "left")
+    return origins.transform(match, result, [*by, origin], "left")
 
 
 def event_window(events: DataFrame, origins: DataFrame, by: Sequence[str], ts: str, origin: str,
@@ -97,7 +98,7 @@ def lag_join(df: DataFrame, by: Sequence[str], ts: str, cols: Sequence[str], day
     ahead = df.select(*by, F.explode(F.array(*[F.lit(d) for d in days])).alias("_kw_d"), ts, *cols)
     ahead = ahead.withColumn(ts, T.plus(ts, F.col("_kw_d").cast("long") * T.DAY))
     aggs = [F.max(F.when(F.col("_kw_d") == d, F.col(c))).alias(f"{c}__lag{d}d") for d in days for c in cols]
-    return df.join(ahead.groupBy(*by, ts).agg(*aggs), [*by, ts], "left")
+    return df.transform(match, ahead.groupBy(*by, ts).agg(*aggs), [*by, ts], "left")
 
 
 def freshest_lead(cube: DataFrame, needs: DataFrame, keys: Sequence[str], hour: str, lead: str, value: str,
@@ -109,10 +110,10 @@ def freshest_lead(cube: DataFrame, needs: DataFrame, keys: Sequence[str], hour:
     """
     usable = cube.where(F.col(value).isNotNull() & (F.col(coverage) >= min_coverage)).select(
         *keys, hour, lead, value, T.plus(hour, T.span(lag) - F.col(lead).cast("long") * T.DAY).alias("_kw_pub"))
-    pairs = needs.select(*keys, hour, origin).distinct().join(usable, [*keys, hour])
+    pairs = needs.select(*keys, hour, origin).distinct().transform(match, usable, [*keys, hour])
     best = (pairs.where(F.col("_kw_pub") <= F.col(origin)).groupBy(*keys, hour, origin)
             .agg(F.min_by(value, lead).alias(value), F.min(lead).alias("lead_used")))
-    return needs.join(best, [*keys, hour, origin], "left")
+    return needs.transform(match, best, [*keys, hour, origin], "left")
 
 
 def complete_blocks(df: DataFrame, keys: Sequence[str], value: str, how: str = "mean") -> DataFrame:
@@ -148,7 +149,7 @@ def cross_market(daily: DataFrame, slots: DataFrame, origins: DataFrame, by: Seq
                     {value: "prevday", "lb": f"lb{days}d", day: "_kw_day", "known_at": "known_at"},
                     tolerance=stale, chunk=chunk)
     same = slots.select(*by, F.col(day).alias("_kw_day"), slot, F.col(value).alias("prevday_slot"))
-    return out.join(same, [*by, "_kw_day", slot], "left").drop("_kw_day")
+    return out.transform(match, same, [*by, "_kw_day", slot], "left").drop("_kw_day")
 
 
 def publication_breaks(df: DataFrame, by: Sequence[str], ts: str, pub: str, chunk: str | int = "1 day") -> DataFrame:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions import timeaxis as T
 from ..functions.numeric import corr, is_close
 from ..session import cut_lineage
@@ -52,7 +53,7 @@ def replace_copied(df: DataFrame, a: str, b: str, third: str, period: Column, by
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     equal = F.when(both, (F.abs(F.col(a) - F.col(b)) <= tol).cast("double"))
     copied = rows.groupBy(*by, "_kw_period").agg((F.coalesce(F.avg(equal), F.lit(0.0)) > share).alias("_kw_copied"))
-    out = rows.join(copied, [*by, "_kw_period"])
+    out = rows.transform(match, copied, [*by, "_kw_period"])
     return out.withColumns({f"flag_{a}_copied": F.col("_kw_copied"), a: F.when(F.col("_kw_copied"), F.col(third)).otherwise(F.col(a))}).drop(
         "_kw_period", "_kw_copied")
 
@@ -81,7 +82,7 @@ def agreement(df: DataFrame, a: str, b: str, tol: float, by: Sequence[str] = (),
 def overlap_diff(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequence[str], tol: float) -> DataFrame:
     """Common keys and differing cells per column between two copies; NULLs are equal."""
     right = b.select(*key, *[F.col(c).alias(f"_kw_{c}") for c in columns])
-    both = a.join(right, list(key))
+    both = a.transform(match, right, list(key))
     flags = both.select(*[(~is_close(c, f"_kw_{c}", tol)).cast("long").alias(c) for c in columns])
     return flags.unpivot([], list(columns), "column", "differs").groupBy("column").agg(
         F.count(F.lit(1)).alias("common"), F.sum("differs").alias("different"))
@@ -105,7 +106,7 @@ def best_lag(a: DataFrame, b: DataFrame, ts: str, value: str, lags: Sequence[int
     right = with_change(b).select(*by, ts, F.col(value).alias("vb"), F.col("d").alias("db"),
                                   F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag"))
     right = right.withColumn(ts, T.plus(ts, -F.col("lag").cast("long") * us))
-    pairs = left.join(right, [*by, ts])
+    pairs = left.transform(match, right, [*by, ts])
     unit = (period if period is not None else F.lit("all")).alias("period")
     usable = F.col("da").isNotNull() & F.col("db").isNotNull()
     stats = pairs.groupBy(*by, unit, "lag").agg(
@@ -120,7 +121,7 @@ def best_lag(a: DataFrame, b: DataFrame, ts: str, value: str, lags: Sequence[int
 def splice_report(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequence[str], period: Column | None = None) -> DataFrame:
     """Per feature (and period): common rows, correlation and relative level of two sources."""
     right = b.select(*key, *[F.col(c).alias(f"_kw_{c}") for c in columns])
-    both = a.join(right, list(key)).withColumn("period", period if period is not None else F.lit("all"))
+    both = a.transform(match, right, list(key)).withColumn("period", period if period is not None else F.lit("all"))
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"), F.col(f"_kw_{c}").cast("double").alias("y"))
                                 for c in columns])).alias("c")
     long = both.select("period", cells).select("period", "c.*").where(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -147,7 +148,7 @@ def gap_scan(df: DataFrame, by: Sequence[str], ts: str, step: str | int, start:
     have = df.where(F.col(ts).isNotNull()).select(*by, T.floor_time(ts, us).alias("bucket")).distinct()
     span = have.groupBy(*by).agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
     wanted = steps_between(span.withColumn("_kw_stop", T.plus("last", us)), by, "first", "_kw_stop", us, "bucket")
-    full = wanted.join(have.withColumn("_kw_have", F.lit(True)), [*by, "bucket"], "left").withColumn("_kw_have", F.coalesce("_kw_have", F.lit(False)))
+    full = wanted.transform(match, have.withColumn("_kw_have", F.lit(True)), [*by, "bucket"], "left").withColumn("_kw_have", F.coalesce("_kw_have", F.lit(False)))
     if resolution_hours:
         full = cut_lineage(full)
         hours = full.groupBy(*by, T.floor_time("bucket", "1 hour").alias("hour")).agg(
@@ -158,7 +159,7 @@ def gap_scan(df: DataFrame, by: Sequence[str], ts: str, step: str | int, start:
 
         marked = label_episodes(hours, by, "hour", coarse, chunk)
         marked = marked.select(*by, "hour", (F.coalesce("episode_length", F.lit(0)) >= resolution_hours).alias("_kw_res"))
-        full = cut_lineage(full.withColumn("hour", T.floor_time("bucket", "1 hour")).join(marked, [*by, "hour"]).drop("hour"))
+        full = cut_lineage(full.withColumn("hour", T.floor_time("bucket", "1 hour")).transform(match, marked, [*by, "hour"]).drop("hour"))
     else:
         full = full.withColumn("_kw_res", F.lit(False))
 
@@ -187,7 +188,7 @@ def _resolution_runs(full: DataFrame, by: Sequence[str], us: int, chunk: str | i
 
 
 def missing_buckets(expected: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return expected.join(present.select(*keys).distinct(), list(keys), "left_anti")
+    return expected.transform(match, present.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def missing_by_day(expected: DataFrame, present: DataFrame, by: Sequence[str], hour: str, tz: str) -> DataFrame:
@@ -195,7 +196,7 @@ def missing_by_day(expected: DataFrame, present: DataFrame, by: Sequence[str], h
     day = T.local_midnight(T.utc_to_local(hour, tz)).alias("day")
     full = expected.groupBy(*by, day).agg(F.count(F.lit(1)).alias("expected"))
     gone = missing_buckets(expected, present, [*by, hour]).groupBy(*by, day).agg(F.count(F.lit(1)).alias("missing"))
-    out = gone.join(full, [*by, "day"])
+    out = gone.transform(match, full, [*by, "day"])
     start, end = T.local_to_utc("day", tz), T.local_to_utc(T.plus("day", "1 day"), tz)
     return out.withColumns({"full_day": F.col("missing") == F.col("expected"),
                             "switch_day": T.micros(end) - T.micros(start) != T.DAY})
@@ -238,7 +239,7 @@ def series_profile(df: DataFrame, by: Sequence[str], ts: str, value: str, chunk:
     modal = counts.groupBy(*by).agg(F.max_by("step", F.struct("c", -F.col("step"))).alias("modal_step_s"))
     base = stamps.groupBy(*by).agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("stamps"), F.min(ts).alias("first"), F.max(ts).alias("last"),
                                    F.sum("v").alias("_kw_v"))
-    out = base.join(modal, list(by), "left")
+    out = base.transform(match, modal, list(by), "left")
     return out.withColumns({"duplicate_share": 1 - F.col("stamps") / F.col("rows"), "null_share": 1 - F.col("_kw_v") / F.col("rows")}).drop("_kw_v")
 
 
@@ -294,7 +295,7 @@ def sample_groups(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) ->
     """All rows of ``n`` groups picked reproducibly by a seeded digest of their key."""
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     chosen = df.select(*keys).distinct().withColumn("_kw_d", digest).orderBy("_kw_d", *keys).limit(n).drop("_kw_d")
-    return df.join(chosen, list(keys), "left_semi")
+    return df.transform(match, chosen, list(keys), "left_semi")
 
 
 def spot_check(result: DataFrame, brute: DataFrame, keys: Sequence[str], columns: Sequence[str], n: int = 25, seed: int = 0,
@@ -302,7 +303,7 @@ def spot_check(result: DataFrame, brute: DataFrame, keys: Sequence[str], columns
     """Sampled keys whose optimised value differs from a first-principles recomputation (must be empty)."""
     sampled = sample_groups(result, keys, n, seed)
     right = brute.select(*keys, *[F.col(c).alias(f"_kw_{c}") for c in columns])
-    both = sampled.join(right, list(keys), "left")
+    both = sampled.transform(match, right, list(keys), "left")
     bad = F.lit(False)
     for c in columns:
         bad = bad | ~is_close(c, f"_kw_{c}", tol)

@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from .ordered import CHUNK, GROUP, KEY, accumulate, group_key
 
 SLICES = 64
@@ -25,7 +26,7 @@ def salted_join(large: DataFrame, small: DataFrame, keys: Sequence[str], spread:
     salt = "_kw_salt"
     left = large.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(salts)).cast("int"))
     right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, salt], how).drop(salt)
+    return left.transform(match, right, [*keys, salt], how).drop(salt)
 
 
 def _cuts(rows: DataFrame, value: str, slices: int, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions import timeaxis as T
 from ..functions.numeric import sorted_quantile
 from ..session import cut_lineage
@@ -37,11 +38,20 @@ def episodes(df: DataFrame, by: Sequence[str], order: str, pred: Column, measure
 
 
 def label_episodes(df: DataFrame, by: Sequence[str], order: str, pred: Column, chunk: str | int = "1 day") -> DataFrame:
-    """Adds ``episode_start``, ``episode_length`` and ``is_start`` to every row."""
-    rows = mark_runs(df, by, order, pred, "_kw_run", chunk)
-    sizes = (rows.where(F.col("_kw_run").isNotNull()).groupBy(*by, "_kw_run")
-             .agg(F.min(order).alias("episode_start"), F.count(F.lit(1)).alias("episode_length")))
-    out = rows.join(sizes, [*by, "_kw_run"], "left").drop("_kw_run")
+    """Adds ``episode_start``, ``episode_length`` and ``is_start`` to every row.
+
+    The first and last rows of a run are known from their neighbours; every row looks up the nearest of each and
+    subtracts their numbers, so nothing is joined on a run.
+    """
+    rows = df.withColumn("_kw_on", F.coalesce(pred, F.lit(False)))
+    rows = O.scan(rows, by, order, before={"_kw_p": "_kw_on"}, after={"_kw_n": "_kw_on"}, sums={"_kw_i": F.lit(1).cast("long")}, chunk=chunk)
+    edge = lambda near, *cols: F.when(F.col("_kw_on") & ~F.coalesce(near, F.lit(False)), F.struct(*cols))
+    rows = O.scan(rows, by, order, last={"_kw_first": edge(F.col("_kw_p"), F.col("_kw_i"), F.col(order).alias("at"))},
+                  upcoming={"_kw_last": edge(F.col("_kw_n"), F.col("_kw_i"))}, chunk=chunk)
+    inside = lambda c: F.when(F.col("_kw_on"), c)
+    out = rows.withColumns({"episode_start": inside(F.col("_kw_first")["at"]),
+                            "episode_length": inside(F.col("_kw_last")["_kw_i"] - F.col("_kw_first")["_kw_i"] + 1)})
+    out = out.drop("_kw_on", "_kw_p", "_kw_n", "_kw_i", "_kw_first", "_kw_last")
     return out.withColumn("is_start", F.coalesce(F.col("episode_start") == F.col(order), F.lit(False)))
 
 
@@ -49,7 +59,7 @@ def null_runs(df: DataFrame, by: Sequence[str], order: str, column: str, min_len
               chunk: str | int = "1 day") -> DataFrame:
     """Runs of missing values strictly between the first and the last value of a series."""
     span = df.where(F.col(column).isNotNull()).groupBy(*by).agg(F.min(order).alias("_kw_a"), F.max(order).alias("_kw_b"))
-    rows = df.join(span, list(by)).where((F.col(order) >= F.col("_kw_a")) & (F.col(order) <= F.col("_kw_b")))
+    rows = df.transform(match, span, list(by)).where((F.col(order) >= F.col("_kw_a")) & (F.col(order) <= F.col("_kw_b")))
     out = episodes(rows, by, order, F.col(column).isNull(), chunk=chunk)
     return out.where(F.col("length") >= min_length)
 
@@ -106,7 +116,7 @@ def robust_stats(df: DataFrame, by: Sequence[str], day: str, value: str, days: i
     """
     packed = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(day).cast("date").alias(day)).agg(
         F.collect_list(F.col(value).cast("double")).alias("_kw_values"))
-    all_days = df.select(*by, F.col(day).cast("date").alias(day)).distinct().join(packed, [*by, day], "left")
+    all_days = df.select(*by, F.col(day).cast("date").alias(day)).distinct().transform(match, packed, [*by, day], "left")
     rows = O.halo(all_days, by, day, days, 0, 8 * days)
     frame = Window.partitionBy(O.GROUP, O.CHUNK).orderBy(O.KEY).rangeBetween(-days, -1)
     past = F.array_sort(F.flatten(F.collect_list("_kw_values").over(frame)))
@@ -148,7 +158,7 @@ def climatology(df: DataFrame, cell: Sequence[str], order: str, outcome: str, wi
     rows = O.running(rows, [*by, *cell], order, {"_kw_cs": y, "_kw_cn": one, "_kw_i": F.lit(1).cast("long")}, chunk=chunk)
     rows = O.rolling_rows(rows, [*by, *cell], order, {"_kw_roll": F.avg(y)}, window, y, min_periods, skip=1, index="_kw_i")
     overall = df.groupBy(*by).agg(F.avg(y).alias("_kw_all")) if by else df.agg(F.avg(y).alias("_kw_all"))
-    rows = rows.join(overall, list(by)) if by else rows.join(F.broadcast(overall))
+    rows = rows.transform(match, overall, list(by)) if by else rows.join(F.broadcast(overall))
     own_s, own_n = F.coalesce(y, F.lit(0.0)), F.coalesce(one, F.lit(0.0))      # the sums include the row itself
     zero = F.lit(0.0)
     prior = F.coalesce((F.col("_kw_ps") - own_s) / F.nullif(F.col("_kw_pn") - own_n, zero), F.col("_kw_all"))
@@ -228,12 +238,12 @@ def acf(df: DataFrame, by: Sequence[str], order: str, value: str, lags: Sequence
     """Autocorrelation with the common mean and variance, by joining row numbers with their lags."""
     rows = O.row_index(df.where(F.col(value).isNotNull()), by, order, "_kw_i", chunk=chunk)
     mean = rows.groupBy(*by).agg(F.avg(value).alias("_kw_m"))
-    rows = rows.join(mean, list(by)).select(*by, "_kw_i", (F.col(value) - F.col("_kw_m")).alias("x"))
+    rows = rows.transform(match, mean, list(by)).select(*by, "_kw_i", (F.col(value) - F.col("_kw_m")).alias("x"))
     ahead = rows.select(*by, F.explode(F.array(*[F.lit(l) for l in lags])).alias("lag"), "_kw_i", F.col("x").alias("x0"))
     ahead = ahead.withColumn("_kw_i", F.col("_kw_i") + F.col("lag"))
-    products = ahead.join(rows, [*by, "_kw_i"]).groupBy(*by, "lag").agg(F.sum(F.col("x") * F.col("x0")).alias("_kw_p"))
+    products = ahead.transform(match, rows, [*by, "_kw_i"]).groupBy(*by, "lag").agg(F.sum(F.col("x") * F.col("x0")).alias("_kw_p"))
     power = rows.groupBy(*by).agg(F.sum(F.col("x") * F.col("x")).alias("_kw_v"))
-    return products.join(power, list(by)).select(*by, "lag", (F.col("_kw_p") / F.nullif(F.col("_kw_v"), F.lit(0.0))).alias("acf"))
+    return products.transform(match, power, list(by)).select(*by, "lag", (F.col("_kw_p") / F.nullif(F.col("_kw_v"), F.lit(0.0))).alias("acf"))
 
 
 def break_dates(df: DataFrame, by: Sequence[str], order: str, flags: Sequence[str], chunk: str | int = "365 days") -> DataFrame:
@@ -247,4 +257,4 @@ def break_dates(df: DataFrame, by: Sequence[str], order: str, flags: Sequence[st
 def episode_catalogue(eps: DataFrame, by: Sequence[str], length: str = "length") -> DataFrame:
     """Number, median and longest length per label."""
     n = eps.groupBy(*by).agg(F.count(F.lit(1)).alias("episodes"), F.max(length).alias("longest"))
-    return n.join(quantiles(eps, by, length, {"median_length": 0.5}), list(by))
+    return n.transform(match, quantiles(eps, by, length, {"median_length": 0.5}), list(by))

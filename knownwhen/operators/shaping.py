@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions.numeric import corr
 
 
@@ -131,18 +132,18 @@ def join_validated(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
 
     if one_to_one:
         left = unique(left, "left").select(*left.columns)
-    return left.join(unique(right, "right"), list(on), how)
+    return left.transform(match, unique(right, "right"), list(on), how)
 
 
 def flag_exists(left: DataFrame, right: DataFrame, on: Sequence[str], name: str) -> DataFrame:
     """Boolean: the key occurs in the other table."""
     keys = right.select(*on).distinct().withColumn(name, F.lit(True))
-    return left.join(keys, list(on), "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return left.transform(match, keys, list(on), "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def prefer_new(new: DataFrame, old: DataFrame, by: Sequence[str]) -> DataFrame:
     """All of ``new``, plus the part of ``old`` whose key (for instance the local day) is absent there."""
-    return new.unionByName(old.join(new.select(*by).distinct(), list(by), "left_anti"), allowMissingColumns=True)
+    return new.unionByName(old.transform(match, new.select(*by).distinct(), list(by), "left_anti"), allowMissingColumns=True)
 
 
 def assemble(tables: Mapping[str, DataFrame], key: Sequence[str], shared: Sequence[str] = ()) -> DataFrame:
@@ -150,7 +151,7 @@ def assemble(tables: Mapping[str, DataFrame], key: Sequence[str], shared: Sequen
 
     All tables are stacked and regrouped, so the number of shuffles does not grow with the
     number of tables. A column in two tables is an error unless it is listed in ``shared``,
-    in which case the first table that has a value wins.
+    in which case the first table that has a value wins. A key that repeats inside one table fails the job.
     """
     origin: dict[str, list[str]] = {}
     for t, df in tables.items():
@@ -166,7 +167,10 @@ def assemble(tables: Mapping[str, DataFrame], key: Sequence[str], shared: Sequen
     for c, ts in origin.items():
         present = F.when(F.col(c).isNotNull(), F.col("_kw_table"))
         aggs.append((F.min_by(c, present) if len(ts) > 1 else F.first(c, ignorenulls=True)).alias(c))
-    return stacked.groupBy(*key).agg(*aggs)
+    repeated = [F.count_if(F.col("_kw_table") == i).alias(f"_kw_n_{i}") for i in order.values()]
+    out = stacked.groupBy(*key).agg(*aggs, *repeated)
+    many = F.raise_error(F.concat(F.lit("key repeats inside one table: "), F.to_json(F.struct(*key)))).cast("boolean")
+    return out.where(F.when(F.greatest(*[F.col(f"_kw_n_{i}") for i in order.values()], F.lit(0)) > 1, many).otherwise(F.lit(True))).select(*key, *origin)
 
 
 def within(df: DataFrame, by: Sequence[str], cols: Sequence[str], how: str = "demean", suffix: str = "__w") -> DataFrame:
@@ -199,4 +203,4 @@ def dense_rank_of(df: DataFrame, by: Sequence[str], label: str, name: str) -> Da
     """Dense rank of the distinct labels of a key; rows of one label are counted once."""
     labels = df.select(*by, label).distinct()
     ranked = labels.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(label)))
-    return df.join(ranked, [*by, label])
+    return df.transform(match, ranked, [*by, label])

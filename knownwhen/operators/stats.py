@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions.numeric import corr, draw, normal_two_sided
 from ..session import cut_lineage
 from . import ordered as O
@@ -38,7 +39,7 @@ def driver_correlations(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[s
     cells = [*keys, *group]
     if group:
         size = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("_kw_k"), F.min("x").alias("_kw_lo"), F.max("x").alias("_kw_hi"))
-        rows = rows.join(size.where(F.col("_kw_k") >= min_group).select(*cells), cells, "left_semi")
+        rows = rows.transform(match, size.where(F.col("_kw_k") >= min_group).select(*cells), cells, "left_semi")
         varying = size.where(F.col("_kw_k") >= min_group).groupBy(*keys).agg(
             F.avg((F.col("_kw_lo") < F.col("_kw_hi")).cast("double")).alias("varying"))
     rows = cut_lineage(rows)                # the unpivoted pairs are read once per rank table and once more
@@ -53,7 +54,7 @@ def driver_correlations(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[s
                                     F.count_distinct("x").alias("n_distinct"))
     out = out.where((F.col("n") >= min_n) & (F.col("n_distinct") >= min_distinct))
     if group:
-        out = out.join(varying, keys).where(F.col("varying") >= min_varying)
+        out = out.transform(match, varying, keys).where(F.col("varying") >= min_varying)
     return out
 
 
@@ -64,7 +65,7 @@ def corr_stability(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str],
     w = Window.partitionBy(*by).orderBy(F.abs("pooled").desc(), "feature")
     best = pooled.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     per = rows.groupBy(*by, "feature", F.col("_kw_period").alias("period")).agg(corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
-    out = per.join(best, [*by, "feature"])
+    out = per.transform(match, best, [*by, "feature"])
     return out.groupBy(*by, "feature", "rank", "pooled").agg(
         F.count("r").alias("periods"), F.avg((F.signum("r") == F.signum("pooled")).cast("double")).alias("same_sign"),
         F.min("r").alias("r_min"), F.max("r").alias("r_max"))
@@ -85,7 +86,7 @@ def level_shape_corr(df: DataFrame, by: Sequence[str], a: str, b: str, day: Colu
     values = centred.groupBy(*by).agg(corr(a, b).alias("r_all"), corr(f"{a}__w", f"{b}__w").alias("r_within_day"))
     daily = rows.groupBy(*by, "_kw_day").agg(F.avg(a).alias("a"), F.avg(b).alias("b")).groupBy(*by).agg(
         corr("a", "b").alias("r_daily"), F.count(F.lit(1)).alias("days"))
-    return values.join(daily, list(by))
+    return values.transform(match, daily, list(by))
 
 
 # ---------------------------------------------------------------- least squares on Gram matrices
@@ -168,7 +169,7 @@ def lagged_products(df: DataFrame, by: Sequence[str], order: str, columns: Seque
     here = rows.select(*by, "_kw_i", *columns)
     past = rows.select(*by, F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "_kw_i", *[F.col(c).alias(f"_kw_{c}") for c in columns])
     past = past.withColumn("_kw_i", F.col("_kw_i") + F.col("lag"))
-    both = here.join(past, [*by, "_kw_i"])
+    both = here.transform(match, past, [*by, "_kw_i"])
     sums = [F.sum(F.col(a) * F.col(f"_kw_{b}")).alias(f"_kw_s{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)]
     out = both.groupBy(*by, "lag").agg(F.count(F.lit(1)).alias("n"), *sums)
     flat = F.array(*[F.col(f"_kw_s{i}_{j}") for i in range(len(columns)) for j in range(len(columns))])
@@ -200,13 +201,13 @@ def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequenc
     complete = df
     for c in (y, *xs):
         complete = complete.where(F.col(c).isNotNull())
-    joined = complete.join(fits.select(*by, "_kw_beta"), list(by)) if by else complete.join(F.broadcast(fits.select("_kw_beta")))
+    joined = complete.transform(match, fits.select(*by, "_kw_beta"), list(by)) if by else complete.join(F.broadcast(fits.select("_kw_beta")))
     residual = F.col(y) - sum((F.col("_kw_beta")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
     joined = joined.withColumn("_kw_e", residual)
     scored = joined.select(*by, order, *[(F.col(x) * F.col("_kw_e")).alias(f"u{i}") for i, x in enumerate(xs)])
     products = lagged_products(scored, by, order, [f"u{i}" for i in range(k)], lags, chunk)
     packed = products.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("lag", "s"))).alias("p"))
-    table = packed.join(fits, list(by)) if by else packed.join(F.broadcast(fits))
+    table = packed.transform(match, fits, list(by)) if by else packed.join(F.broadcast(fits))
     names = list(xs)
 
     def sandwich(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +237,7 @@ def granger(df: DataFrame, by: Sequence[str], order: str, y: str, x: str, lags:
     past = rows.select(*by, F.explode(F.sequence(F.lit(1), F.lit(top))).alias("lag"), "_kw_i", F.struct("y", "x").alias("v"))
     past = past.withColumn("_kw_i", F.col("_kw_i") + F.col("lag")).groupBy(*by, "_kw_i").agg(
         *[F.max(F.when(F.col("lag") == l, F.col("v")[c])).alias(f"{c}{l}") for l in range(1, top + 1) for c in ("y", "x")])
-    both = rows.join(past, [*by, "_kw_i"])
+    both = rows.transform(match, past, [*by, "_kw_i"])
     out = None
     for order_ in lags:
         cols = ["y", *[f"y{l}" for l in range(1, order_ + 1)], *[f"x{l}" for l in range(1, order_ + 1)]]
@@ -309,13 +310,13 @@ def before_after(df: DataFrame, breaks: DataFrame, by: Sequence[str], ts: str, v
                                 F.struct(F.lit("placebo").alias("design"), F.lit(placebo_days).alias("shift"))))
     b = b.withColumn("d", designs).select(*by, F.col("_kw_at").alias("break_at"), "d.design", *[
         F.date_sub(c, F.col("d.shift")).alias(c) for c in ("_kw_at", "_kw_lo", "_kw_hi")])
-    rows = df.withColumn("_kw_day", F.col(ts).cast("date")).join(b, list(by))
+    rows = df.withColumn("_kw_day", F.col(ts).cast("date")).transform(match, b, list(by))
     rows = rows.where((F.col("_kw_day") >= F.col("_kw_lo")) & (F.col("_kw_day") < F.col("_kw_hi")) & F.col(value).isNotNull())
     rows = rows.withColumn("side", F.when(F.col("_kw_day") < F.col("_kw_at"), "before").otherwise("after"))
     keys = [*by, "break_at", "design"]
     q = quantiles(rows, [*keys, "side"], value, {"q25": 0.25, "median": 0.5, "q75": 0.75})
     m = rows.groupBy(*keys, "side").agg(F.count(F.lit(1)).alias("n"), (F.stddev_samp(value) / F.nullif(F.avg(value), F.lit(0.0))).alias("cv"))
-    s = q.join(m, [*keys, "side"])
+    s = q.transform(match, m, [*keys, "side"])
     pick = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     out = s.groupBy(*keys).agg(
         pick("n", "before").alias("n_before"), pick("n", "after").alias("n_after"),
@@ -380,12 +381,12 @@ def dm_test(df: DataFrame, by: Sequence[str], order: str, difference: str, lags:
     """Diebold-Mariano statistic of a loss difference with a Newey-West variance."""
     rows = df.where(F.col(difference).isNotNull())
     mean = rows.groupBy(*by).agg(F.avg(difference).alias("mean_diff"), F.count(F.lit(1)).alias("n"))
-    keyed = rows.join(mean, list(by)) if by else rows.join(F.broadcast(mean))
+    keyed = rows.transform(match, mean, list(by)) if by else rows.join(F.broadcast(mean))
     centred = keyed.select(*by, order, (F.col(difference) - F.col("mean_diff")).alias("d"))
     products = lagged_products(centred, by, order, ["d"], lags, chunk)
     weight = F.when(F.col("lag") == 0, 1.0).otherwise(2 * (1 - F.col("lag") / (lags + 1)))
     var = products.groupBy(*by).agg(F.sum(weight * F.col("s")[0]).alias("_kw_v"))
-    out = mean.join(var, list(by)) if by else mean.join(F.broadcast(var))
+    out = mean.transform(match, var, list(by)) if by else mean.join(F.broadcast(var))
     v = F.col("_kw_v") / F.col("n")
     out = out.withColumn("stat", F.when((F.col("n") >= min_n) & (v > 0), F.col("mean_diff") / F.sqrt(v / F.col("n"))))
     return out.withColumn("p", normal_two_sided("stat")).drop("_kw_v")
@@ -404,13 +405,13 @@ def block_bootstrap(blocks: DataFrame, by: Sequence[str], block: str, sums: Mapp
     numbered = O.row_index(totals, by, block, "_kw_i", chunk="365 days").withColumn("_kw_i", F.col("_kw_i") - 1)
     size = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_kw_n"))
     point = totals.groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums]).select(*by, statistic.alias("estimate"))
-    slots = (numbered.select(*by, "_kw_i").join(size, list(by)) if by else numbered.select("_kw_i").join(F.broadcast(size)))
+    slots = (numbered.select(*by, "_kw_i").transform(match, size, list(by)) if by else numbered.select("_kw_i").join(F.broadcast(size)))
     slots = slots.withColumn("_kw_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     slots = slots.select(*by, "_kw_b", draw(seed, F.col("_kw_n"), F.col("_kw_b"), F.col("_kw_i")).alias("_kw_i"))
-    picked = slots.join(numbered.select(*by, "_kw_i", *sums), [*by, "_kw_i"])
+    picked = slots.transform(match, numbered.select(*by, "_kw_i", *sums), [*by, "_kw_i"])
     stats = picked.groupBy(*by, "_kw_b").agg(*[F.sum(n).alias(n) for n in sums]).select(*by, statistic.alias("_kw_stat"))
     ci = stats.groupBy(*by).agg(F.percentile("_kw_stat", F.lit(levels[0])).alias("ci_low"), F.percentile("_kw_stat", F.lit(levels[1])).alias("ci_high"))
-    return point.join(ci, list(by)) if by else point.join(F.broadcast(ci))
+    return point.transform(match, ci, list(by)) if by else point.join(F.broadcast(ci))
 
 
 def moving_block_bootstrap(df: DataFrame, by: Sequence[str], order: str, value: str, length: int, draws: int, seed: int,
@@ -432,10 +433,10 @@ def moving_block_bootstrap(df: DataFrame, by: Sequence[str], order: str, value:
     ends = slots.select(*by, "n", "_kw_b", F.explode(F.array(
         F.struct(F.col("_kw_a").alias("i"), F.lit(-1.0).alias("sign")), F.struct(F.col("_kw_e").alias("i"), F.lit(1.0).alias("sign")))).alias("x"))
     ends = ends.select(*by, "n", "_kw_b", F.col("x.i").alias("_kw_i"), "x.sign")
-    means = ends.join(prefix, [*by, "_kw_i"]).groupBy(*by, "_kw_b").agg((F.sum(F.col("sign") * F.col("_kw_s")) / F.first("n")).alias("_kw_m"))
+    means = ends.transform(match, prefix, [*by, "_kw_i"]).groupBy(*by, "_kw_b").agg((F.sum(F.col("sign") * F.col("_kw_s")) / F.first("n")).alias("_kw_m"))
     ci = means.groupBy(*by).agg(F.percentile("_kw_m", F.lit(levels[0])).alias("ci_low"), F.percentile("_kw_m", F.lit(levels[1])).alias("ci_high"))
     point = size.select(*by, "n", (F.col("_kw_t") / F.col("n")).alias("estimate"))
-    return point.join(ci, list(by)) if by else point.join(F.broadcast(ci))
+    return point.transform(match, ci, list(by)) if by else point.join(F.broadcast(ci))
 
 
 # ---------------------------------------------------------------- forecasts and contributions
@@ -452,11 +453,11 @@ def contribution_summary(long: DataFrame, by: Sequence[str], feature: str, value
     keys = [*by, feature]
     size = long.groupBy(*keys).agg(F.avg(F.abs(contribution)).alias("mean_abs"), F.count(F.lit(1)).alias("n"))
     total = size.groupBy(*by).agg(F.sum("mean_abs").alias("_kw_t")) if by else size.agg(F.sum("mean_abs").alias("_kw_t"))
-    size = (size.join(total, list(by)) if by else size.join(F.broadcast(total))).withColumn("share", F.col("mean_abs") / F.col("_kw_t")).drop("_kw_t")
+    size = (size.transform(match, total, list(by)) if by else size.join(F.broadcast(total))).withColumn("share", F.col("mean_abs") / F.col("_kw_t")).drop("_kw_t")
     ranked = average_ranks(long, keys, {value: "_kw_rv", contribution: "_kw_rc"})
     direction = ranked.groupBy(*keys).agg(corr("_kw_rv", "_kw_rc").alias("direction"))
     w = Window.partitionBy(*by).orderBy(F.col("mean_abs").desc(), feature) if by else Window.partitionBy(F.lit(0)).orderBy(F.col("mean_abs").desc(), feature)
-    return size.join(direction, keys).withColumn("rank", F.row_number().over(w).cast("long"))
+    return size.transform(match, direction, keys).withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def contribution_dependence(long: DataFrame, by: Sequence[str], feature: str, value: str, contribution: str, row_id: str, k: int = 10) -> DataFrame:
@@ -471,7 +472,7 @@ def ratio_table(df: DataFrame, by: Sequence[str], numerator: str, denominator: s
     """Median ratio, its quartiles and the share above one."""
     rows = df.withColumn("_kw_r", F.col(numerator) / F.nullif(F.col(denominator), F.lit(0.0))).where(F.col("_kw_r").isNotNull())
     n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("_kw_r") > 1).cast("double")).alias("share_above_1"))
-    return quantiles(rows, by, "_kw_r", {"q25": 0.25, "median": 0.5, "q75": 0.75}).join(n, list(by))
+    return quantiles(rows, by, "_kw_r", {"q25": 0.25, "median": 0.5, "q75": 0.75}).transform(match, n, list(by))
 
 
 def same_partition(df: DataFrame, a: str, b: str) -> DataFrame:

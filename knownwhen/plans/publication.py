@@ -93,8 +93,10 @@ class Gate:
     confirmed_from: str | None = None
 
 
-def gate_closure(df: DataFrame, start: str, gates: dict[str, Gate], selector: str, tz: str) -> DataFrame:
-    """Adds ``gate_closure_utc``, ``gate_rule`` and ``gate_confidence``; a block without a rule stays NULL.
+def gate_closure(df: DataFrame, start: str, gates: dict[str, Gate], selector: str, tz: str, strict: bool = False) -> DataFrame:
+    """Adds ``gate_closure_utc``, ``gate_rule`` and ``gate_confidence``.
+
+    A block without a rule stays NULL; with ``strict`` it fails the job, as does a closure after the start of delivery.
 
     The rules are folded into one expression, so there is no join. Times given in the table
     must not fall into a switch hour.
@@ -117,5 +119,9 @@ def gate_closure(df: DataFrame, start: str, gates: dict[str, Gate], selector: st
         label = F.when(hit, F.lit(gate.label)).otherwise(label)
         sure = F.lit(False) if gate.confirmed_from is None else day >= F.lit(gate.confirmed_from).cast("timestamp_ntz")
         confidence = F.when(hit, F.when(sure, "calendar").otherwise("assumed")).otherwise(confidence)
-    return df.withColumns({"gate_closure_utc": T.local_to_utc(closing, tz), "gate_rule": label,
-                           "gate_confidence": confidence})
+    closed = T.local_to_utc(closing, tz)
+    if strict:
+        fail = lambda why: F.raise_error(F.concat(F.lit(why), F.coalesce(F.col(selector).cast("string"), F.lit("null")), F.lit(" at "), F.coalesce(F.col(start).cast("string"), F.lit("null")))).cast("timestamp_ntz")
+        closed = (F.when(closed.isNull() & F.col(start).isNotNull(), fail("no gate closure rule for "))
+                  .when(closed > F.col(start).cast("timestamp_ntz"), fail("gate closes after the start of delivery: ")).otherwise(closed))
+    return df.withColumns({"gate_closure_utc": closed, "gate_rule": label, "gate_confidence": confidence})

@@ -23,37 +23,47 @@ def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str],
     return reader.csv(list(paths))
 
 
-def cast_if_clean(df: DataFrame, columns: Sequence[str], decimal: str = ".", null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+def cast_if_clean(df: DataFrame, columns: Sequence[str], decimal: str | None = None, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
     """Casts a text column to DOUBLE only if every value that is not a null token parses.
 
-    One aggregate over all columns decides; it returns a single row.
+    Without ``decimal`` each column is tried as plain numbers first and with a decimal comma second. One aggregate over
+    all columns decides; it returns a single row.
     """
-    parsed = {c: number(c, decimal, null_tokens=tuple(null_tokens)) for c in columns}
-    bad = df.agg(*[F.count_if(~is_null_token(c, tuple(null_tokens)) & p.isNull()).alias(c) for c, p in parsed.items()],
-                 *[F.count(p).alias(f"_kw_n_{c}") for c, p in parsed.items()]).first()
-    clean = [c for c in columns if bad[c] == 0 and bad[f"_kw_n_{c}"] > 0]
-    return df.withColumns({c: parsed[c] for c in clean}) if clean else df
+    marks = (".", ",") if decimal is None else (decimal,)
+    parsed = {(c, m): number(c, m, null_tokens=tuple(null_tokens)) for c in columns for m in marks}
+    seen = df.agg(*[F.count_if(~is_null_token(c, tuple(null_tokens)) & p.isNull()).alias(f"bad {m}{c}") for (c, m), p in parsed.items()],
+                  *[F.count(p).alias(f"n {m}{c}") for (c, m), p in parsed.items()]).first()
+    clean = {}
+    for c in columns:
+        fits = next((m for m in marks if seen[f"bad {m}{c}"] == 0 and seen[f"n {m}{c}"] > 0), None)
+        if fits:
+            clean[c] = parsed[c, fits]
+    return df.withColumns(clean) if clean else df
 
 
 def snake_unique(df: DataFrame) -> DataFrame:
     return df.toDF(*snake(df.columns))
 
 
-def enforce_contract(df: DataFrame, contract: Mapping[str, tuple[str, str]], max_bad: int = 0) -> tuple[DataFrame, DataFrame]:
-    """``position key -> (new name, keyword)``: the old name must contain the keyword; extras are errors.
+def enforce_contract(df: DataFrame, contract: Mapping[str, tuple[str, str]], max_bad: int | None = None, headers: Mapping[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``column -> (new name, keyword)``: the header text of the file must contain the keyword; extra columns are errors.
 
-    Returns the renamed numeric table and the count of cells that were not numbers per column.
+    ``headers`` gives the file's header text where columns were renamed on reading; otherwise the column name is it. Returns the
+    renamed numeric table and the count of cells that were not numbers per column; more than ``max_bad`` of them, where given, are an error.
     """
+    text = {c: (headers or {}).get(c, c) for c in df.columns}
     extra = [c for c in df.columns if c not in contract]
     missing = [c for c in contract if c not in df.columns]
-    wrong = [c for c, (_, word) in contract.items() if c in df.columns and word.lower() not in c.lower()]
+    wrong = [c for c, (_, word) in contract.items() if c in df.columns and word.lower() not in text[c].lower()]
     if extra or missing or wrong:
         raise ValueError(f"header contract broken: extra {extra}, missing {missing}, wrong {wrong}")
     names = {c: n for c, (n, _) in contract.items()}
     values = df.select(*[number(c).alias(n) for c, n in names.items()])
-    checks = df.agg(*[F.count_if(~is_null_token(c) & number(c).isNull()).alias(n) for c, n in names.items()]).unpivot(
-        [], list(names.values()), "column", "not_numeric")
-    return values, checks
+    counts = df.agg(*[F.count_if(~is_null_token(c) & number(c).isNull()).alias(n) for c, n in names.items()])
+    found = counts.first().asDict()
+    if max_bad is not None and sum(found.values()) > max_bad:
+        raise ValueError(f"cells that are not numbers: {({n: k for n, k in found.items() if k})}; at most {max_bad} are allowed")
+    return values, df.sparkSession.createDataFrame(list(found.items()), "column string, not_numeric long")
 
 
 def unpivot_hours(df: DataFrame, keys: Sequence[str], day: str, hours: Mapping[str, str], tz: str, value: str = "value") -> DataFrame:

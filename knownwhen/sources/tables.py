@@ -9,6 +9,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import match
 from ..functions import timeaxis as T
 from ..functions.text import check_names
 from ..operators.aggregates import dedup
@@ -87,7 +88,7 @@ def pick_best_copy(df: DataFrame, key: Sequence[str], file: str, measures: Mappi
     """
     per = df.groupBy(*key, file).agg(*[c.alias(n) for n, c in measures.items()])
     best = per.groupBy(*key).agg(F.min_by(file, F.struct(*[o.alias(f"o{i}") for i, o in enumerate([*order, F.col(file)])])).alias("_kw_best"))
-    out = df.join(best, list(key))
+    out = df.transform(match, best, list(key))
     return out.where(F.col(file) == F.col("_kw_best")).drop("_kw_best")
 
 
@@ -117,7 +118,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 def missing_partitions(df: DataFrame, manifest: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of partitions that the manifest does not list yet."""
-    return df.join(manifest.select(*keys).distinct(), list(keys), "left_anti")
+    return df.transform(match, manifest.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def write_clean(df: DataFrame, path: str, ts: str, pattern: re.Pattern, dictionary: Sequence[Mapping[str, str]], start: str, end: str,
@@ -155,7 +156,7 @@ def file_manifest(df: DataFrame, ts: str, columns: Sequence[str]) -> DataFrame:
 
 def merge_by_key(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """New rows replace the old rows of their keys; all other old rows stay."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.transform(match, new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def year_of(ts: str, tz: str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,22 +63,44 @@ def latest_revisions(stream: DataFrame, doc: Sequence[str], revision: str, paylo
         F.max_by(F.struct(*payload), F.struct(revision, *payload)).alias("_kw_p"), F.max(revision).alias(revision)).select(*doc, revision, "_kw_p.*")
 
 
+def versions(spark: SparkSession, table: str) -> DataFrame | None:
+    """(version, folder) of every committed version of a table kept by :func:`upsert_latest`; None before the first."""
+    try:
+        lines = spark.read.text(f"{table}/_versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    parts = F.split("value", " ")
+    broken = F.raise_error(F.concat(F.lit("unreadable version line: "), F.col("value")))
+    number = F.coalesce(F.get(parts, F.lit(0)).try_cast("long"), broken.cast("long"))
+    return lines.select(number.alias("version"), F.coalesce(F.get(parts, F.lit(1)), broken.cast("string")).alias("folder"))
+
+
+def read_latest(spark: SparkSession, table: str) -> DataFrame:
+    """The newest committed version."""
+    return spark.read.parquet(f"{table}/{versions(spark, table).orderBy(F.desc('version'), 'folder').first()['folder']}")
+
+
 def upsert_latest(spark: SparkSession, batch: DataFrame, table: str, doc: Sequence[str], revision: str) -> None:
     """``foreachBatch`` merge of a micro-batch into a parquet table, keeping the highest revision.
 
-    Writes a new version beside the old one and flips a pointer row last, so a lost executor or
-    a repeated batch leaves the table as it was.
+    Writes a new version beside the old ones, in a folder of its own, and adds a pointer line last: a lost executor or a
+    repeated batch leaves the table as it was, and no version is ever overwritten. Anything but a missing pointer is an error.
     """
-    pointer = f"{table}/_versions"
+    known = versions(spark, table)
+    current = None if known is None else known.orderBy(F.desc("version"), "folder").first()
+    version = 0 if current is None else int(current["version"]) + 1
+    rows = batch if current is None else spark.read.parquet(f"{table}/{current['folder']}").unionByName(batch)
+    folder, new = f"v{version}", _newest(rows, doc, revision)
     try:
-        current = spark.read.text(pointer).orderBy(F.col("value").cast("long").desc()).first()
-    except Exception:  # noqa: BLE001 - no version yet
-        current = None
-    version = 0 if current is None else int(current["value"]) + 1
-    old = None if current is None else spark.read.parquet(f"{table}/v{version - 1}")
-    rows = batch if old is None else old.unionByName(batch)
-    _newest(rows, doc, revision).write.mode("overwrite").parquet(f"{table}/v{version}")
-    spark.createDataFrame([(str(version),)], "value string").coalesce(1).write.mode("append").text(pointer)
+        new.write.parquet(f"{table}/{folder}")
+    except AnalysisException as e:  # left behind by a batch that failed before its pointer line
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
+        folder = f"{folder}-{uuid.uuid4().hex}"
+        new.write.parquet(f"{table}/{folder}")
+    spark.createDataFrame([(f"{version} {folder}",)], "value string").coalesce(1).write.mode("append").text(f"{table}/_versions")
 
 
 def _newest(rows: DataFrame, doc: Sequence[str], revision: str) -> DataFrame:

@@ -10,7 +10,10 @@ from ..session import cut_lineage
 from .evaluation import PREDS, naive_predictions
 from .registry import DAILY_ORDERS, daily_orders, query, rounded
 
-K = [0.6, 0.8, 0.9, 1.0, 1.1, 1.2, 1.5]
+# Offsets and quantile levels of the bids that are tried.
+K = [0.6, 0.8, 0.9, 1.0, 1.1, 1.2, 1.3, 1.5, 1.75, 2.0, 2.5, 3.0]
+LEVELS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
+GRID = [(f"t{round(100 * level):02d}xk{k:g}", i, k) for i, level in enumerate(LEVELS) for k in K]
 
 
 def auctions(t):
@@ -32,12 +35,12 @@ def policy_backtest(t):
     return rounded(E.policy_backtest(a, ["priority", "year"], "c", ["oracle", "prev_slot", "roll_med"]))
 
 
-_CHOICE = f"""{AUCTIONS}, k AS (SELECT unnest([0.6, 0.8, 0.9, 1.0, 1.1, 1.2, 1.5])::DOUBLE AS k), mo AS (SELECT DISTINCT priority, date_trunc('month', start) AS month FROM auctions),
+_CHOICE = f"""{AUCTIONS}, k AS (SELECT unnest({K})::DOUBLE AS k), mo AS (SELECT DISTINCT priority, date_trunc('month', start) AS month FROM auctions),
 p AS (SELECT mo.priority, mo.month, k.k, count(*) AS n, avg(CASE WHEN roll_med * k.k <= c + 1e-9 THEN roll_med * k.k ELSE 0 END) AS r FROM mo CROSS JOIN k JOIN auctions a ON a.priority = mo.priority AND a.start + INTERVAL 24 HOUR <= mo.month AND a.start >= mo.month - INTERVAL 90 DAY AND roll_med IS NOT NULL GROUP BY 1, 2, 3),
 b AS (SELECT priority, month, max(n) AS n, CASE WHEN max(n) >= 40 THEN arg_max(k, (r, -k)) ELSE 1.0 END AS k FROM p GROUP BY 1, 2)"""
 
 
-@query("choose_monthly", f"""WITH {_CHOICE} SELECT a.priority, a.day, CASE WHEN coalesce(b.k, 1.0) = 1.0 THEN '1' ELSE CAST(b.k AS VARCHAR) END AS chosen, round(roll_med * coalesce(b.k, 1.0), 6) AS bid, coalesce(b.n, 0) AS n_past
+@query("choose_monthly", f"""WITH {_CHOICE} SELECT a.priority, a.day, regexp_replace(CAST(coalesce(b.k, 1.0)::DOUBLE AS VARCHAR), '[.]0$', '') AS chosen, round(roll_med * coalesce(b.k, 1.0), 6) AS bid, coalesce(b.n, 0) AS n_past
 FROM auctions a LEFT JOIN b ON b.priority = a.priority AND b.month = date_trunc('month', a.start)""")
 def choose_monthly(t):
     cands = {f"{k:g}": F.col("roll_med") * k for k in K}
@@ -53,9 +56,10 @@ def chosen_policy_value(t):
     return rounded(out.groupBy("priority").agg(F.count(F.lit(1)).alias("n"), F.avg(E.revenue("bid", "c")).alias("revenue"), F.avg(E.revenue("roll_med", "c")).alias("revenue_plain")))
 
 
-@query("quantile_bid_choice", f"""WITH {DAILY_ORDERS}, q AS (SELECT d.priority, CAST(d.day AS TIMESTAMP) AS start, d.day, d.price AS c, CASE WHEN count(p.price) >= 30 THEN quantile_cont(p.price, 0.2) END AS t20, CASE WHEN count(p.price) >= 30 THEN quantile_cont(p.price, 0.5) END AS t50, CASE WHEN count(p.price) >= 30 THEN quantile_cont(p.price, 0.8) END AS t80
-  FROM daily d LEFT JOIN daily p ON p.priority = d.priority AND p.day < d.day AND p.day >= d.day - INTERVAL 60 DAY GROUP BY 1, 2, 3, 4),
-u AS (SELECT priority, start, c, 't20xk1' AS name, 0 AS j, t20 AS bid FROM q UNION ALL SELECT priority, start, c, 't50xk1', 1, t50 FROM q UNION ALL SELECT priority, start, c, 't80xk1', 2, t80 FROM q UNION ALL SELECT priority, start, c, 't50xk0.8', 3, t50 * 0.8::DOUBLE FROM q),
+@query("quantile_bid_choice", f"""WITH {DAILY_ORDERS}, q AS MATERIALIZED (SELECT d.priority, CAST(d.day AS TIMESTAMP) AS start, d.price AS c, CASE WHEN count(p.price) >= 30 THEN quantile_cont(p.price, {LEVELS}) END AS t
+  FROM daily d LEFT JOIN daily p ON p.priority = d.priority AND p.day < d.day AND p.day >= d.day - INTERVAL 60 DAY GROUP BY 1, 2, 3),
+g AS (SELECT * FROM (VALUES {", ".join(f"('{name}', {j}, {i + 1}, {k}::DOUBLE)" for j, (name, i, k) in enumerate(GRID))}) AS v(name, j, i, k)),
+u AS MATERIALIZED (SELECT priority, start, c, name, j, t[i] * k AS bid FROM q CROSS JOIN g),
 mo AS (SELECT DISTINCT priority, date_trunc('month', start) AS month FROM q), p AS (SELECT mo.priority, mo.month, name, j, count(*) AS n, avg(CASE WHEN bid <= c + 1e-9 THEN bid ELSE 0 END) AS r FROM mo JOIN u ON u.priority = mo.priority AND u.start + INTERVAL 24 HOUR <= mo.month AND u.start >= mo.month - INTERVAL 90 DAY AND bid IS NOT NULL GROUP BY 1, 2, 3, 4),
 b AS (SELECT priority, month, CASE WHEN max(n) >= 40 THEN arg_max(name, (r, -j)) ELSE 't50xk1' END AS name FROM p GROUP BY 1, 2)
 SELECT u.priority, CAST(u.start AS DATE) AS day, u.name AS chosen, round(u.bid, 6) AS bid FROM u LEFT JOIN b ON b.priority = u.priority AND b.month = date_trunc('month', u.start) WHERE u.name = coalesce(b.name, 't50xk1')""")
@@ -63,11 +67,9 @@ def quantile_bid_choice(t):
     from ..operators.sequences import rolling_thresholds
 
     d = daily_orders(t)
-    q = rolling_thresholds(d, ["priority"], "day", "price", {"t20": 0.2, "t50": 0.5, "t80": 0.8}, 60, 30)
-    x = d.join(q, ["priority", "day"]).select("priority", "day", F.col("day").cast("timestamp_ntz").alias("start"), F.col("price").alias("c"), "t20", "t50", "t80")
-    x = cut_lineage(x)
-    cands = {"t20xk1": F.col("t20"), "t50xk1": F.col("t50"), "t80xk1": F.col("t80"), "t50xk0.8": F.col("t50") * 0.8}
-    out = E.choose_monthly(x, ["priority"], "start", "c", cands, "t50xk1", 90, 40)
+    q = rolling_thresholds(d, ["priority"], "day", "price", {f"_t{i}": level for i, level in enumerate(LEVELS)}, 60, 30)
+    x = cut_lineage(d.join(q, ["priority", "day"]).withColumns({"start": F.col("day").cast("timestamp_ntz"), "c": F.col("price")}))
+    out = E.choose_monthly(x, ["priority"], "start", "c", {name: F.col(f"_t{i}") * k for name, i, k in GRID}, "t50xk1", 90, 40)
     return rounded(out.select("priority", "day", "chosen", "bid"))
 
 

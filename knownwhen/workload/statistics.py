@@ -16,6 +16,50 @@ _LONG = """u AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS y, 'l_qua
 XS = ["l_quantity", "l_discount", "l_tax"]
 
 
+def swept(name: str, source: str, by: str, y: str, regressors: list[str], keep: str = "") -> str:
+    """SQL: CTEs ``{name}0 ...`` that sweep one regressor after another out of y and the regressors after it.
+
+    After step k, ``y`` is the residual on the first k regressors; ``{name}c{k}`` holds the coefficient of regressor k in a
+    regression on the first k. Regressors that are swept to (numerically) nothing count as absent.
+    """
+    keep = f", {keep}" if keep else ""
+    rest = lambda k: [y, *regressors[k:]]
+    out = [f"{name}0 AS (SELECT {by}{keep}, {', '.join(rest(0))} FROM {source})"]
+    for k, r in enumerate(regressors):
+        later = rest(k + 1)
+        out.append(f"{name}c{k + 1} AS (SELECT {by}, {', '.join(f'coalesce(sum({r} * {c}) / nullif(sum({r} * {r}), 0), 0) AS b_{c}' for c in later)} FROM {name}{k} GROUP BY {by})")
+        out.append(f"{name}{k + 1} AS (SELECT t.{by}{keep}, {', '.join(f't.{c} - b_{c} * t.{r} AS {c}' for c in later)} FROM {name}{k} t JOIN {name}c{k + 1} c ON c.{by} = t.{by})")
+    return ",\n".join(out)
+
+
+def _granger_sql() -> str:
+    lags = ", ".join(f"lag(price, {k}) OVER w AS y{k}, lag(n, {k}) OVER w AS x{k}" for k in range(1, 5))
+    parts = [f"WITH {DAILY_ORDERS}, l AS (SELECT priority, price AS y, {lags} FROM daily WINDOW w AS (PARTITION BY priority ORDER BY day))"]
+    results = []
+    for size in (1, 2, 4):
+        names = [f"{v}{k}" for v in "yx" for k in range(1, size + 1)]
+        centred = ", ".join(f"{c}::DOUBLE - avg({c}::DOUBLE) OVER (PARTITION BY priority) AS {c}" for c in ("y", *names))
+        parts.append(f"d{size} AS (SELECT priority, {centred} FROM l WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names)})")
+        parts.append(swept(f"s{size}_", f"d{size}", "priority", "y", names))
+        few, full = f"s{size}_{size}", f"s{size}_{2 * size}"
+        results.append(f"""SELECT a.priority, {size} AS lags, a.n, CASE WHEN a.n >= 30 AND a.n > {2 * size + 1} AND b.r > 0 THEN round((a.r - b.r) / {size} / (b.r / (a.n - {2 * size + 1})), 4) END AS f_stat
+FROM (SELECT priority, count(*) AS n, sum(y * y) AS r FROM {few} GROUP BY 1) a JOIN (SELECT priority, sum(y * y) AS r FROM {full} GROUP BY 1) b USING (priority)""")
+    return ",\n".join(parts) + "\n" + "\nUNION ALL ".join(results)
+
+
+def _break_sql() -> str:
+    """The model has four regressors; each coefficient is read where its regressor is swept last."""
+    x = ["a", "b", "a_post", "b_post"]
+    parts = [f"""WITH {DAILY_ORDERS}, r AS (SELECT priority, (dayofweek(day) + 6) % 7 AS dow, price AS y, n::DOUBLE AS a, datediff('day', DATE '1970-01-01', day)::DOUBLE AS b, CASE WHEN day >= DATE '1998-06-11' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS post FROM daily),
+d AS (SELECT priority, {', '.join(f'{e} - avg({e}) OVER w AS {n}' for n, e in (("y", "y"), ("a", "a"), ("b", "b"), ("a_post", "a * post"), ("b_post", "b * post")))} FROM r WINDOW w AS (PARTITION BY priority, dow))"""]
+    for j in range(4):
+        parts.append(swept(f"o{j}_", "d", "priority", "y", [*[v for k, v in enumerate(x) if k != j], x[j]] if j != 3 else x))
+    coefficient = lambda j: f"(SELECT b_y FROM o{j}_c4 z WHERE z.priority = f.priority)"
+    both = [f"SELECT f.priority, '{name}' AS feature, round({coefficient(j)}, 5) AS slope_before, round({coefficient(2 + j)}, 5) AS slope_change, f.joint_f, f.n FROM f" for j, name in enumerate(("n_", "trend"))]
+    parts.append("""f AS (SELECT a.priority, a.n, round((a.r - b.r) / 2 / (b.r / (a.n - 4)), 4) AS joint_f FROM (SELECT priority, count(*) AS n, sum(y * y) AS r FROM o3_2 GROUP BY 1) a JOIN (SELECT priority, sum(y * y) AS r FROM o3_4 GROUP BY 1) b USING (priority))""")
+    return ",\n".join(parts) + "\n" + " UNION ALL ".join(both)
+
+
 @query("driver_corr", f"""WITH {_LONG}, r AS (SELECT *, rank() OVER (PARTITION BY l_returnflag, feature ORDER BY x) + (count(*) OVER (PARTITION BY l_returnflag, feature, x) - 1) / 2 AS rx,
   rank() OVER (PARTITION BY l_returnflag, feature ORDER BY y) + (count(*) OVER (PARTITION BY l_returnflag, feature, y) - 1) / 2 AS ry FROM u)
 SELECT l_returnflag, feature, count(*) AS n, round(corr(rx, ry), 6) AS spearman, round(corr(x, y), 6) AS pearson, count(DISTINCT x) AS n_distinct FROM r GROUP BY 1, 2""")
@@ -72,24 +116,29 @@ def fe_forward_selection(t):
     return S.fe_ols(li, ["l_returnflag"], "unit_price", [*XS, "net"], ["l_linenumber", "l_linestatus"])
 
 
-@query("newey_west")
+@query("newey_west", f"""WITH {DAILY_ORDERS}, d AS (SELECT priority, day, price - avg(price) OVER w AS y, n - avg(n) OVER w AS x FROM daily WINDOW w AS (PARTITION BY priority)),
+b AS (SELECT priority, sum(x * y) / sum(x * x) AS b, sum(x * x) AS q, count(*) AS n FROM d GROUP BY 1),
+u AS (SELECT d.priority, x * (y - b.b * x) AS u, row_number() OVER (PARTITION BY d.priority ORDER BY day) AS i FROM d JOIN b USING (priority)),
+m AS (SELECT u.priority, sum(u.u * v.u * CASE WHEN u.i = v.i THEN 1.0::DOUBLE ELSE 2 * (1 - (u.i - v.i) / 8.0::DOUBLE) END) AS m FROM u JOIN u v ON v.priority = u.priority AND u.i - v.i BETWEEN 0 AND 7 GROUP BY 1)
+SELECT priority, 'n___w' AS feature, round(b, 6) AS coef, round(sqrt(m / q / q * n / greatest(n - 1, 1)), 6) AS se, round(b / sqrt(m / q / q * n / greatest(n - 1, 1)), 5) AS t, n FROM b JOIN m USING (priority)""")
 def newey_west(t):
     d = daily_orders(t).withColumn("n_", F.col("n").cast("double"))
     from ..operators.shaping import within
 
     d = within(d, ["priority"], ["price", "n_"])
-    return S.newey_west(d, ["priority"], "day", "price__w", ["n___w"], 7, "365 days")
+    return rounded(rounded(S.newey_west(d, ["priority"], "day", "price__w", ["n___w"], 7, "365 days"), 5, "t"), 6, "coef", "se")
 
 
-@query("granger_f")
+@query("granger_f", _granger_sql())
 def granger_f(t):
-    return S.granger(daily_orders(t).withColumn("n_", F.col("n").cast("double")), ["priority"], "day", "price", "n_", [1, 2, 4], chunk="365 days")
+    return rounded(S.granger(daily_orders(t).withColumn("n_", F.col("n").cast("double")), ["priority"], "day", "price", "n_", [1, 2, 4], chunk="365 days"), 4)
 
 
-@query("break_test")
+@query("break_test", _break_sql())
 def break_test(t):
     d = daily_orders(t).withColumns({"n_": F.col("n").cast("double"), "trend": F.unix_date("day").cast("double"), "dow": F.weekday("day")})
-    return S.break_test(d, ["priority"], "day", "price", ["n_", "trend"], F.col("day") >= F.lit("1998-06-11").cast("date"), ["dow"])
+    out = S.break_test(d, ["priority"], "day", "price", ["n_", "trend"], F.col("day") >= F.lit("1998-06-11").cast("date"), ["dow"])
+    return rounded(rounded(out, 4, "joint_f"), 5, "slope_before", "slope_change")
 
 
 @query("before_after", f"""WITH {DAILY_ORDERS}, b AS (SELECT priority, CAST(d AS DATE) AS brk FROM (SELECT DISTINCT priority FROM daily), (SELECT unnest([DATE '1997-06-01', DATE '1998-01-01', DATE '2000-03-01']) AS d)),
