@@ -68,7 +68,7 @@ def quantile_bid_choice(t):
 
     d = daily_orders(t)
     q = rolling_thresholds(d, ["priority"], "day", "price", {f"_t{i}": level for i, level in enumerate(LEVELS)}, 60, 30)
-    x = cut_lineage(d.join(q, ["priority", "day"]).withColumns({"start": F.col("day").cast("timestamp_ntz"), "c": F.col("price")}))
+    x = cut_lineage(d.join(q.drop("n_past"), ["priority", "day"]).withColumns({"start": F.col("day").cast("timestamp_ntz"), "c": F.col("price")}))
     out = E.choose_monthly(x, ["priority"], "start", "c", {name: F.col(f"_t{i}") * k for name, i, k in GRID}, "t50xk1", 90, 40)
     return rounded(out.select("priority", "day", "chosen", "bid"))
 

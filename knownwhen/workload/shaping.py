@@ -211,11 +211,10 @@ def expost_block_agg(t):
     return rounded(out, 8)
 
 
-@query("aggregation_plan_long", """SELECT user_id, round(avg(value), 8) AS value, round(avg(CASE WHEN event_type <> 'error' THEN value END), 8) AS masked,
-  CAST(sum(event_id % 7) AS DOUBLE) AS volume, max(value) AS peak, min(value) AS low FROM events GROUP BY 1""")
+@query("aggregation_plan_long", f"""WITH m AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL), top AS (SELECT user_id, first(event_type ORDER BY c DESC, event_type) AS event_type FROM m GROUP BY 1)
+SELECT a.*, top.event_type, 1.0::DOUBLE AS event_type__coverage FROM (SELECT user_id, {_PLAN_SQL} FROM events GROUP BY 1) a JOIN top USING (user_id)""")
 def aggregation_plan_long(t):
-    plan = P.build_plan(DICTIONARY, {"price": "volume"}, exclude=["price", "is_buy", "event_type"])
-    return rounded(P.aggregate_long(event_measures(t), ["user_id"], plan), 8)
+    return rounded(P.aggregate_long(event_measures(t), ["user_id"], P.build_plan(DICTIONARY, {"price": "volume"})), 8)
 
 
 @query("wide_pivot", """SELECT user_id, sum(value) FILTER (WHERE event_type = 'click') AS click, sum(value) FILTER (WHERE event_type = 'error') AS error,

@@ -21,7 +21,8 @@ def series(spark):
 
 
 def rows(df):
-    return sorted(repr(tuple(sorted((c, r[c]) for c in df.columns if c != "k"))) for r in df.collect())
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    return sorted(repr(tuple(sorted((c, plain(r[c])) for c in df.columns if c != "k"))) for r in df.collect())
 
 
 OPERATORS = {
