@@ -147,34 +147,31 @@ def lagged_targets(t):
 
 
 @query("cross_market", f"""WITH {DAILY_ORDERS},
-m AS (SELECT day, avg(price) AS v FROM daily WHERE priority IN ('1-URGENT', '2-HIGH') AND month(day) <> 2 GROUP BY 1),
+m AS (SELECT day, avg(price) AS v FROM daily GROUP BY 1),
 r AS (SELECT day, v, CASE WHEN count(v) OVER w >= 4 THEN avg(v) OVER w END AS lb, CAST(day AS TIMESTAMP) - INTERVAL 12 HOUR AS known_at FROM m
       WINDOW w AS (ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)),
-b AS (SELECT day, CAST(day AS TIMESTAMP) - INTERVAL 16 HOUR AS t0 FROM daily WHERE priority = '5-LOW'),
-s AS (SELECT day, avg(price) AS v FROM daily WHERE priority = '1-URGENT' AND month(day) <> 2 GROUP BY 1)
-SELECT b.day, b.t0, CASE WHEN b.t0 - r.known_at <= INTERVAL 3 DAY THEN r.known_at END AS known_at,
+b AS (SELECT priority, day, CAST(day AS TIMESTAMP) - INTERVAL 16 HOUR AS t0 FROM daily)
+SELECT b.priority, b.day, b.t0, CASE WHEN b.t0 - r.known_at <= INTERVAL 3 DAY THEN r.known_at END AS known_at,
   round(CASE WHEN b.t0 - r.known_at <= INTERVAL 3 DAY THEN r.v END, 4) AS prevday, round(CASE WHEN b.t0 - r.known_at <= INTERVAL 3 DAY THEN r.lb END, 4) AS lb7d,
-  round(CASE WHEN b.t0 - r.known_at <= INTERVAL 3 DAY THEN s.v END, 4) AS prevday_slot
-FROM b ASOF LEFT JOIN r ON b.t0 >= r.known_at LEFT JOIN s ON s.day = r.day""")
+  round(CASE WHEN b.t0 - r.known_at <= INTERVAL 3 DAY THEN s.price END, 4) AS prevday_slot
+FROM b ASOF LEFT JOIN r ON b.t0 >= r.known_at LEFT JOIN daily s ON s.day = r.day AND s.priority = b.priority""")
 def cross_market(t):
     d = daily_orders(t)
-    two = d.where(F.col("priority").isin("1-URGENT", "2-HIGH") & (F.month("day") != 2))
-    m = two.groupBy("day").agg(F.avg("price").alias("v")).withColumn("market", F.lit("x"))
-    s = two.where(F.col("priority") == "1-URGENT").groupBy("day").agg(F.avg("price").alias("v")).withColumns(
-        {"market": F.lit("x"), "slot": F.lit("1-URGENT")})
-    o = d.where(F.col("priority") == "5-LOW").select(
-        F.lit("x").alias("market"), F.lit("1-URGENT").alias("slot"), F.col("day").alias("delivery"), T.plus("day", -16 * T.HOUR).alias("t0"))
+    m = d.groupBy("day").agg(F.avg("price").alias("v")).withColumn("market", F.lit("x"))
+    s = d.select(F.lit("x").alias("market"), F.col("priority").alias("slot"), "day", F.col("price").alias("v"))
+    o = d.select(
+        F.lit("x").alias("market"), F.col("priority").alias("slot"), F.col("day").alias("delivery"), T.plus("day", -16 * T.HOUR).alias("t0"))
     out = pit.cross_market(m, s, o, ["market"], "day", "slot", "v", T.plus("day", -12 * T.HOUR), "t0", chunk="365 days")
-    return rounded(out.select(F.col("delivery").alias("day"), "t0", "known_at", F.col("prevday"), "lb7d", "prevday_slot"), 4)
+    return rounded(out.select(F.col("slot").alias("priority"), F.col("delivery").alias("day"), "t0", "known_at", F.col("prevday"), "lb7d", "prevday_slot"), 4)
 
 
-@query("freshest_lead", """WITH c AS (SELECT l_shipdate AS h, l_linenumber AS lead, avg(l_extendedprice) AS v, avg(1 - l_discount) AS cov FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2),
+@query("freshest_lead", """WITH c AS (SELECT l_shipdate AS h, l_linenumber AS lead, avg(l_extendedprice) AS v, avg(1 - l_discount) AS cov FROM lineitem GROUP BY 1, 2),
 n AS (SELECT DISTINCT l_shipdate AS h, date_trunc('week', l_shipdate) AS block, date_trunc('week', l_shipdate) - INTERVAL 36 HOUR AS t0 FROM lineitem),
 p AS (SELECT n.h, n.block, n.t0, min(lead) AS lead_used, min_by(v, lead) AS v FROM n LEFT JOIN c ON c.h = n.h AND c.cov >= 0.95 AND c.h - lead * INTERVAL 1 DAY + INTERVAL 6 HOUR <= n.t0 GROUP BY 1, 2, 3)
 SELECT block, t0, round(CASE WHEN count(v) = count(*) THEN avg(v) END, 4) AS v, CASE WHEN count(v) = count(*) THEN CAST(max(lead_used) AS BIGINT) END AS lead_max FROM p GROUP BY 1, 2""")
 def freshest_lead(t):
     li = t("lineitem")
-    cube = li.where(F.col("l_linenumber") <= 5).groupBy(F.col("l_shipdate").alias("h"), F.col("l_linenumber").cast("long").alias("lead")).agg(
+    cube = li.groupBy(F.col("l_shipdate").alias("h"), F.col("l_linenumber").cast("long").alias("lead")).agg(
         F.avg("l_extendedprice").alias("v"), F.avg(1 - F.col("l_discount")).alias("cov"))
     week = F.date_trunc("week", "l_shipdate").cast("timestamp_ntz")
     need = li.select(F.col("l_shipdate").alias("h"), week.alias("block"), T.plus(week, -36 * T.HOUR).alias("t0")).distinct()

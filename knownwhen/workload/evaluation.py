@@ -293,11 +293,11 @@ def logistic_nested(t):
     return out.select("doc_id", "quality", "p_length", "p_case")
 
 
-_REC = """ev AS (SELECT c_mktsegment AS entity, o_orderpriority AS name, year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS s, CAST(min(o_orderkey) % 9 + 1 AS INTEGER) AS len FROM orders JOIN customer ON c_custkey = o_custkey WHERE month(o_orderdate) >= 4 GROUP BY 1, 2, 3)"""
+_REC = """ev AS (SELECT c_mktsegment AS entity, o_orderpriority AS name, year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS s, CAST(min(o_orderkey) % 9 + 1 AS INTEGER) AS len FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3)"""
 
 
 def _recurring(t):
-    o = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey")).where(F.month("o_orderdate") >= 4)
+    o = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
     ev = o.groupBy(F.col("c_mktsegment").alias("entity"), F.col("o_orderpriority").alias("name"), F.year("o_orderdate").alias("y")).agg(
         F.min(F.col("o_orderdate").cast("date")).alias("start"), (F.min("o_orderkey") % 9 + 1).cast("int").alias("len"))
     return ev.withColumn("end", F.date_add("start", F.col("len")))

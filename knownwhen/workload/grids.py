@@ -38,14 +38,14 @@ def grid_reindex(t):
 
 def _upsampled(t, how):
     day = T.floor_time("ts", "1 day").alias("ts")
-    daily = t("events").where(F.col("event_type") == "error").groupBy("user_id", day).agg(F.sum("value").alias("value"))
-    return rounded(G.upsample(daily, ["user_id"], "ts", ["value"], "4 hours", how, cap="1 day"))
+    daily = t("events").groupBy("user_id", "event_type", day).agg(F.sum("value").alias("value"))
+    return rounded(G.upsample(daily, ["user_id", "event_type"], "ts", ["value"], "4 hours", how, cap="1 day"))
 
 
-_UPSAMPLE = """WITH daily AS (SELECT user_id, date_trunc('day', ts) AS ts, sum(value) AS value
-  FROM events WHERE event_type = 'error' GROUP BY 1, 2),
+_UPSAMPLE = """WITH daily AS (SELECT user_id, event_type, date_trunc('day', ts) AS ts, sum(value) AS value
+  FROM events GROUP BY 1, 2, 3),
 steps AS (SELECT unnest(generate_series(0, 5)) AS k)
-SELECT user_id, ts + k * INTERVAL 4 HOUR AS ts, round({value}, 6) AS value FROM daily, steps"""
+SELECT user_id, event_type, ts + k * INTERVAL 4 HOUR AS ts, round({value}, 6) AS value FROM daily, steps"""
 
 
 @query("upsample_repeat", _UPSAMPLE.format(value="value"))
@@ -217,18 +217,20 @@ def detect_clock(t):
 @query("expected_vs_present_days", """WITH b AS (SELECT date_trunc('day', min(ts)) AS a, date_trunc('hour', max(ts)) AS z FROM events),
 g AS (SELECT unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS h FROM b),
 x AS (SELECT date_trunc('day', timezone('Europe/Zurich', timezone('UTC', h))) AS day, count(*) AS expected FROM g GROUP BY 1),
-p AS (SELECT date_trunc('day', timezone('Europe/Zurich', timezone('UTC', h))) AS day, count(*) AS present
-      FROM (SELECT DISTINCT date_trunc('hour', ts) AS h FROM events WHERE event_type = 'click') GROUP BY 1)
-SELECT x.day, expected, coalesce(present, 0) AS present FROM x LEFT JOIN p ON x.day = p.day""")
+k AS (SELECT DISTINCT event_type FROM events),
+p AS (SELECT event_type, date_trunc('day', timezone('Europe/Zurich', timezone('UTC', h))) AS day, count(*) AS present
+      FROM (SELECT DISTINCT event_type, date_trunc('hour', ts) AS h FROM events) GROUP BY 1, 2)
+SELECT k.event_type, x.day, expected, coalesce(present, 0) AS present FROM x CROSS JOIN k LEFT JOIN p ON x.day = p.day AND p.event_type = k.event_type""")
 def expected_vs_present_days(t):
     e = t("events")
     ends = e.agg(T.floor_time(F.min("ts"), "1 day").alias("a"), T.floor_time(F.max("ts"), "1 hour").alias("z"))
     hours = ends.select(F.explode(G.instants(F.col("a"), T.plus("z", "1 hour"), "1 hour")).alias("h"))
     day = F.date_trunc("day", T.utc_to_local("h", ZURICH)).cast("timestamp_ntz").alias("day")
     expected = hours.groupBy(day).agg(F.count(F.lit(1)).alias("expected"))
-    present = (e.where(F.col("event_type") == "click").select(T.floor_time("ts", "1 hour").alias("h")).distinct()
-               .groupBy(day).agg(F.count(F.lit(1)).alias("present")))
-    return expected.join(present, "day", "left").withColumn("present", F.coalesce("present", F.lit(0)))
+    present = (e.select("event_type", T.floor_time("ts", "1 hour").alias("h")).distinct()
+               .groupBy("event_type", day).agg(F.count(F.lit(1)).alias("present")))
+    wanted = e.select("event_type").distinct().crossJoin(expected)  # a few types by days
+    return wanted.join(present, ["event_type", "day"], "left").withColumn("present", F.coalesce("present", F.lit(0)))
 
 
 # ---------------------------------------------------------------- calendar

@@ -13,9 +13,10 @@ from .registry import DAILY_ORDERS, HOURLY, daily_orders, exact_sum, hourly, que
 @query("assemble_tables", f"""WITH {HOURLY},
 a AS (SELECT hour, n AS click_n, value AS price FROM hourly WHERE event_type = 'click'),
 b AS (SELECT hour, n AS error_n, value AS price FROM hourly WHERE event_type = 'error'),
-c AS (SELECT hour, total AS buy_total FROM hourly WHERE event_type = 'purchase')
-SELECT hour, a.click_n, b.error_n, round(c.buy_total, 4) AS buy_total, round(coalesce(a.price, b.price), 6) AS price
-FROM a FULL JOIN b USING (hour) FULL JOIN c USING (hour)""")
+c AS (SELECT hour, total AS buy_total FROM hourly WHERE event_type = 'purchase'),
+d AS (SELECT hour, n AS signup_n FROM hourly WHERE event_type = 'signup'), e AS (SELECT hour, n AS view_n, value AS price FROM hourly WHERE event_type = 'view')
+SELECT hour, a.click_n, b.error_n, round(c.buy_total, 4) AS buy_total, d.signup_n, e.view_n, round(coalesce(a.price, b.price, e.price), 6) AS price
+FROM a FULL JOIN b USING (hour) FULL JOIN c USING (hour) FULL JOIN d USING (hour) FULL JOIN e USING (hour)""")
 def assemble_tables(t):
     h = hourly(t)
 
@@ -23,7 +24,7 @@ def assemble_tables(t):
         return h.where(F.col("event_type") == kind).select("hour", *[F.col(c).alias(n) for n, c in cols.items()])
 
     out = S.assemble({"click": part("click", click_n="n", price="value"), "error": part("error", error_n="n", price="value"),
-                      "buy": part("purchase", buy_total="total")}, ["hour"], shared=["price"])
+                      "buy": part("purchase", buy_total="total"), "signup": part("signup", signup_n="n"), "view": part("view", view_n="n", price="value")}, ["hour"], shared=["price"])
     return rounded(rounded(out, 4, "buy_total"), 6, "price")
 
 

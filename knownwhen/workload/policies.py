@@ -83,13 +83,13 @@ def fixed_window_bids(t):
     return rounded(out.select("priority", "day", "fixed_1d", "fixed_7d", "fixed_30d"))
 
 
-@query("pooled_panel", f"""WITH {DAILY_ORDERS}, p AS (SELECT 'urgent' AS series, day, price FROM daily WHERE priority = '1-URGENT' UNION ALL SELECT 'low', day, price FROM daily WHERE priority = '5-LOW'),
+@query("pooled_panel", f"""WITH {DAILY_ORDERS}, p AS (SELECT priority AS series, day, price FROM daily),
 s AS (SELECT series, stddev_samp(price) AS scale FROM p WHERE day >= DATE '1999-01-01' GROUP BY 1)
 SELECT series, day, round(price / scale, 6) AS scaled FROM p JOIN s USING (series)""")
 def pooled_panel(t):
     d = daily_orders(t).withColumn("start", F.col("day").cast("timestamp_ntz"))
     part = lambda k: d.where(F.col("priority") == k).select("day", "start", "price")
-    out = E.pool({"urgent": part("1-URGENT"), "low": part("5-LOW")}, "price", "start", "1999-01-01")
+    out = E.pool({k: part(k) for k in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")}, "price", "start", "1999-01-01")
     return rounded(out.select("series", "day", (F.col("price") / F.col("scale")).alias("scaled")))
 
 

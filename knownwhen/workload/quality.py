@@ -136,18 +136,18 @@ def agreement(t):
     return rounded(Y.agreement(x, "click", "view", 10.0, ["week"], F.col("hour").cast("date")))
 
 
-_LAG_SQL = f"""WITH {HOURLY}, a AS (SELECT hour, total AS v FROM hourly WHERE event_type = 'click'), b AS (SELECT hour + INTERVAL 2 HOUR AS hour, total + n AS v FROM hourly WHERE event_type = 'click'),
-ca AS (SELECT x.hour, x.v, x.v - y.v AS d FROM a x LEFT JOIN a y ON y.hour = x.hour - INTERVAL 1 HOUR), cb AS (SELECT x.hour, x.v, x.v - y.v AS d FROM b x LEFT JOIN b y ON y.hour = x.hour - INTERVAL 1 HOUR),
-l AS (SELECT unnest(generate_series(-4, 4)) AS lag), p AS (SELECT date_trunc('week', ca.hour) AS period, lag, ca.v AS va, cb.v AS vb, ca.d AS da, cb.d AS db FROM ca, l, cb WHERE cb.hour = ca.hour + lag * INTERVAL 1 HOUR),
-s AS (SELECT period, lag, count(*) FILTER (WHERE da IS NOT NULL AND db IS NOT NULL) AS n, corr(da, db) AS c, avg(abs(va - vb)) AS mae FROM p GROUP BY 1, 2)
-SELECT period, arg_max(lag, (round(c, 9), -lag)) AS best_lag, round(max(c), 6) AS corr_best, round(arg_max(mae, (round(c, 9), -lag)), 6) AS mae_best, round(max(CASE WHEN lag = 0 THEN c END), 6) AS corr_lag0 FROM s WHERE n >= 3 AND c IS NOT NULL AND NOT isnan(c) GROUP BY 1"""
+_LAG_SQL = f"""WITH {HOURLY}, a AS (SELECT event_type, hour, total AS v FROM hourly), b AS (SELECT event_type, hour + INTERVAL 2 HOUR AS hour, total + n AS v FROM hourly),
+ca AS (SELECT x.event_type, x.hour, x.v, x.v - y.v AS d FROM a x LEFT JOIN a y ON y.event_type = x.event_type AND y.hour = x.hour - INTERVAL 1 HOUR), cb AS (SELECT x.event_type, x.hour, x.v, x.v - y.v AS d FROM b x LEFT JOIN b y ON y.event_type = x.event_type AND y.hour = x.hour - INTERVAL 1 HOUR),
+l AS (SELECT unnest(generate_series(-4, 4)) AS lag), p AS (SELECT ca.event_type, date_trunc('week', ca.hour) AS period, lag, ca.v AS va, cb.v AS vb, ca.d AS da, cb.d AS db FROM ca, l, cb WHERE cb.event_type = ca.event_type AND cb.hour = ca.hour + lag * INTERVAL 1 HOUR),
+s AS (SELECT event_type, period, lag, count(*) FILTER (WHERE da IS NOT NULL AND db IS NOT NULL) AS n, corr(da, db) AS c, avg(abs(va - vb)) AS mae FROM p GROUP BY 1, 2, 3)
+SELECT event_type, period, arg_max(lag, (round(c, 9), -lag)) AS best_lag, round(max(c), 6) AS corr_best, round(arg_max(mae, (round(c, 9), -lag)), 6) AS mae_best, round(max(CASE WHEN lag = 0 THEN c END), 6) AS corr_lag0 FROM s WHERE n >= 3 AND c IS NOT NULL AND NOT isnan(c) GROUP BY 1, 2"""
 
 
 @query("best_lag", _LAG_SQL)
 def best_lag(t):
-    a = hourly(t).where(F.col("event_type") == "click").select("hour", F.col("total").alias("v"), "n")
-    b = a.select(T.plus("hour", "2 hours").alias("hour"), (F.col("v") + F.col("n")).alias("v"))
-    out = Y.best_lag(a, b, "hour", "v", list(range(-4, 5)), "1 hour", [], F.date_trunc("week", "hour").cast("timestamp_ntz"), min_n=3, chunk="7 days")
+    a = hourly(t).select("event_type", "hour", F.col("total").alias("v"), "n")
+    b = a.select("event_type", T.plus("hour", "2 hours").alias("hour"), (F.col("v") + F.col("n")).alias("v"))
+    out = Y.best_lag(a, b, "hour", "v", list(range(-4, 5)), "1 hour", ["event_type"], F.date_trunc("week", "hour").cast("timestamp_ntz"), min_n=3, chunk="7 days")
     return rounded(out.withColumn("best_lag", F.col("best_lag").cast("long")))
 
 

@@ -230,8 +230,8 @@ def sample_groups(t):
     return sample(t("orders"), ["o_custkey"], 20, 7).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("source_rank_merge", """WITH p AS (SELECT date_trunc('hour', ts) AS hour, event_type AS source, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value, count(*) / 20.0 AS coverage FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY 1, 2),
-r AS (SELECT *, 10 * CASE WHEN coverage < 0.2 THEN 1 ELSE 0 END + CASE source WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END AS rk FROM p)
+@query("source_rank_merge", """WITH p AS (SELECT date_trunc('hour', ts) AS hour, event_type AS source, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS value, count(*) / 20.0 AS coverage FROM events GROUP BY 1, 2),
+r AS (SELECT *, 10 * CASE WHEN coverage < 0.2 THEN 1 ELSE 0 END + CASE source WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END AS rk FROM p)
 SELECT hour, min_by(source, rk) AS source, min_by(n, rk) AS n, round(min_by(value, rk), 4) AS value FROM r GROUP BY 1""")
 def source_rank_merge(t):
     from ..operators.quality import merge_sources
@@ -239,5 +239,5 @@ def source_rank_merge(t):
 
     e = t("events").groupBy(T.floor_time("ts", "1 hour").alias("hour"), F.col("event_type").alias("source")).agg(
         F.count(F.lit(1)).alias("n"), exact_sum("value").alias("value")).withColumn("coverage", F.col("n") / 20.0)
-    parts = {k: e.where(F.col("source") == k).drop("source") for k in ("click", "view", "error")}
+    parts = {k: e.where(F.col("source") == k).drop("source") for k in ("click", "view", "error", "purchase", "signup")}
     return rounded(merge_sources(parts, ["hour"], "coverage", 0.2).select("hour", "source", "n", "value"), 4)

@@ -218,9 +218,9 @@ def aggregation_plan_long(t):
 
 
 @query("wide_pivot", """SELECT user_id, sum(value) FILTER (WHERE event_type = 'click') AS click, sum(value) FILTER (WHERE event_type = 'error') AS error,
-  sum(value) FILTER (WHERE event_type = 'purchase') AS purchase FROM (SELECT user_id, event_type, round(sum(value), 4) AS value FROM events GROUP BY 1, 2) GROUP BY 1""")
+  sum(value) FILTER (WHERE event_type = 'purchase') AS purchase, sum(value) FILTER (WHERE event_type = 'signup') AS signup, sum(value) FILTER (WHERE event_type = 'view') AS "view" FROM (SELECT user_id, event_type, round(sum(value), 4) AS value FROM events GROUP BY 1, 2) GROUP BY 1""")
 def wide_pivot(t):
-    return rounded(A.pivot_sum(t("events"), ["user_id"], "event_type", "value", ["click", "error", "purchase"]), 4)
+    return rounded(A.pivot_sum(t("events"), ["user_id"], "event_type", "value", ["click", "error", "purchase", "signup", "view"]), 4)
 
 
 @query("smart_cast", r"""WITH s AS (SELECT o_orderkey, replace(replace(CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR), '.', ','), '-', '') AS german,
