@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from knownwhen.llm import bpe, embeddings, graph, html, lines, mixing, ngrams, quality, substrings, topk
+from knownwhen.llm import bpe, embeddings, graph, html, lines, mixing, ngrams, quality, spans, substrings, topk
 
 # Names that the operators use inside, given to extra columns of the inputs.
 CLASHING = ["id", "key", "n", "set", "line", "pos", "version", "gone", "digest", "first", "near", "size", "weight", "rate", "cdf", "copies", "spans", "data", "sigs", "rep",
@@ -426,3 +426,70 @@ def test_encode_and_decode_tables(spark, corpus, vocabulary):
     want = Counter((d, len(vocabulary.encode(t)) // 4, hashlib.sha256(vocabulary.encode(t)).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for d, t, _ in corpus)
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert bpe.digests(docs.limit(0), PATH, tokenizers.PATTERN).collect() == []
+
+
+# ---------------------------------------------------------------- 8 sentence spans
+
+
+def brute_spans(rows, least):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    parsed = []
+    for d, t, *_ in rows:
+        found = []  # (words, first character)
+        for line in re.finditer(r"[^\n]*", t or ""):
+            open_ = False
+            for w in re.finditer(r"[^\x20\x09-\x0D]+", line[0]):
+                if not open_:
+                    found.append(([], line.start() + w.start()))
+                found[-1][0].append(w[0].translate(lower))
+                open_ = not re.search(r"[.!?]$|(?<=.)[.!?][\"')\]}]$", w[0])
+        parsed.append((d, t or "", found))
+    places = {}
+    spans = []
+    for k, (d, _, s) in enumerate(parsed):
+        own = set()
+        for i in range(len(s)):
+            for a, b in [(i, j) for j in range(i, len(s))] + [(j, i) for j in range(i, -1, -1)]:
+                ahead = a == i
+                if sum(len(w) for w, _ in s[a:b + 1]) >= least:
+                    inner = s[a:b] if ahead else s[a + 1:b + 1]
+                    if sum(len(w) for w, _ in inner) < least:
+                        own.add((a, b))
+        for a, b in own:
+            key = tuple(x for w, _ in s[a:b + 1] for x in w)
+            places.setdefault(key, []).append((-math.inf if d is None else d, a))
+            spans.append((k, a, b, key))
+    out = Counter()
+    seen, gone = [[set() for _ in parsed] for _ in range(2)]
+    for k, a, b, key in spans:
+        if len(places[key]) > 1:
+            seen[k] |= set(range(a, b + 1))
+            if (-math.inf if parsed[k][0] is None else parsed[k][0], a) != min(places[key]):
+                gone[k] |= set(range(a, b + 1))
+    for k, (d, t, s) in enumerate(parsed):
+        edges = [x for _, x in s] + [len(t)]
+        kept = (t[:edges[0]] + "".join(t[edges[j]:edges[j + 1]] for j in range(len(s)) if j not in gone[k])) if gone[k] else t
+        out[d, len(s), len(seen[k]), len(gone[k]), kept] += 1
+    return out
+
+
+@pytest.mark.parametrize("least,sample,limit", [(12, 4000, 100_000), (25, 4000, 100_000), (6, 10, 0)])
+def test_spans_equal_brute_force(spark, corpus, least, sample, limit):
+    rng = random.Random(3)
+    mark = lambda t: " ".join(w + (rng.choice(".!?,") if rng.random() < 0.2 else "") for w in t.split(" ")) if t else t
+    passage = mark(corpus[0][1])
+    rows = [(d, mark(t) if k % 2 else t, s) for k, (d, t, s) in enumerate(corpus) if d != 205]
+    rows += [(400 + i, f"Own beginning {i} of this. " + passage + (" And an end." if i % 2 else ""), "s") for i in range(40)] + [(500, 'He said "no." (Really?) Yes! ' * 8, "s")]
+    got = spans.dedup_spans(documents(spark, rows), least=least, sample=sample, limit=limit).collect()
+    assert Counter((r.doc_id, r.n_sentences, r.n_repeated, r.n_removed, r.kept) for r in got) == brute_spans(rows, least)
+
+
+def test_repeated_passages_go_and_clean_texts_stay(spark):
+    rng = random.Random(1)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) + ("." if i % 9 == 8 else "") for i in range(n)) + "."
+    passage = text(55)
+    rows = [(i, text(120) + " " + passage + " " + text(60), "s") for i in range(20)] + [(100 + i, text(150), "s") for i in range(20)]
+    got = {r.doc_id: r for r in spans.dedup_spans(documents(spark, rows)).collect()}
+    assert all(got[i].n_removed == 0 and got[i].kept == dict((d, t) for d, t, _ in rows)[i] for i in [0, *range(100, 120)])
+    assert all(passage not in got[i].kept and got[i].n_removed >= 6 for i in range(1, 20))
+    assert spans.dedup_spans(documents(spark, [])).collect() == []
