@@ -11,7 +11,7 @@ from ..operators.aggregates import shares_of_total
 from ..session import cut_lineage
 from .asof import BLOCKS, _blocks
 from .grids import _EASTER, FULL_HOURS, full_hours
-from .registry import DAILY_ORDERS, HOURLY, daily_orders, hourly, query, rounded
+from .registry import DAILY_ORDERS, HOURLY, daily_orders, hourly, query, rounded, swept
 
 TEST, MONTHS = "1999-01-01", 3
 
@@ -277,10 +277,20 @@ def intervention_effect(t):
 
 
 # ---------------------------------------------------------------- models and recurrence
-@query("ridge_backtest")
+# A ridge penalty is a least-squares fit with one more row per feature; the forecast of a row is what sweeping takes out of it.
+_RIDGE = f"""WITH {PREDS}, f AS (SELECT DISTINCT priority, fold AS f FROM preds WHERE fold >= 0),
+mo AS (SELECT f.priority, f.f, avg(y) AS ym, {", ".join(f"avg({m}) AS m{j}, nullif(stddev_pop({m}), 0) AS d{j}" for j, m in enumerate(MODELS))} FROM f JOIN preds p ON p.priority = f.priority AND p.fold < f.f AND y IS NOT NULL GROUP BY 1, 2),
+z AS (SELECT mo.priority || '|' || mo.f AS g, p.priority, p.day, p.fold, y AS y0, CASE WHEN p.fold < mo.f THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w, y - ym AS y,
+  {", ".join(f"CASE WHEN ({m} - m{j}) / d{j} IS NULL THEN 0 ELSE greatest(least(({m} - m{j}) / d{j}, 5.0::DOUBLE), -5.0::DOUBLE) END AS z{j}" for j, m in enumerate(MODELS))} FROM mo JOIN preds p ON p.priority = mo.priority AND p.fold <= mo.f WHERE y IS NOT NULL),
+rows AS (SELECT * FROM z UNION ALL SELECT g, NULL, NULL, NULL, NULL, 1.0, 0.0, {", ".join(f"CASE WHEN j = {j} THEN sqrt(10.0::DOUBLE) ELSE 0 END" for j in range(len(MODELS)))} FROM (SELECT DISTINCT g FROM z), (SELECT unnest(range(0, {len(MODELS)})) AS j)),
+{swept("r", "rows", "g", "y", [f"z{j}" for j in range(len(MODELS))], "priority, day, fold, y0, w", "w")}
+SELECT priority, day, fold, round(y0, 4) AS y, round(y0 - y, 4) AS p FROM r{len(MODELS)} WHERE w = 0"""
+
+
+@query("ridge_backtest", _RIDGE)
 def ridge_backtest(t):
     p = naive_predictions(t)
-    return E.ridge_backtest(p, ["priority"], "fold", "y", MODELS, 10.0).where(F.col("fold") >= 0).select("priority", "day", "fold", "y", "p")
+    return rounded(E.ridge_backtest(p, ["priority"], "fold", "y", MODELS, 10.0).where(F.col("fold") >= 0).select("priority", "day", "fold", "y", "p"), 4)
 
 
 @query("logistic_nested")
@@ -332,6 +342,18 @@ def recurrence_backcast(t):
     return rounded(days.join(weights, "entity").groupBy("day").agg(F.sum("w").alias("holiday_share"), F.count(F.lit(1)).alias("n_entities")))
 
 
-@query("recurrence_loyo")
+@query("recurrence_loyo", f"""WITH {_REC}, {_YEARS}, h AS (SELECT unnest([1996, 1997, 1998, 1999, 2000]) AS ho),
+r AS (SELECT ho, entity, name, s, len, week(s) AS iw, isodow(s) - 1 AS wd, s - sunday AS eo FROM ev JOIN easter ON easter.y = ev.y JOIN h ON year(s) <> ho),
+i2 AS (SELECT ho, entity, name, arg_max((iw, wd), (k, -iw, -wd)) AS v, max(k) AS k FROM (SELECT ho, entity, name, iw, wd, count(*) AS k FROM r GROUP BY ALL) GROUP BY 1, 2, 3),
+e2 AS (SELECT ho, entity, name, arg_max(eo, (k, -eo)) AS v, max(k) AS k FROM (SELECT ho, entity, name, eo, count(*) AS k FROM r GROUP BY ALL) GROUP BY 1, 2, 3),
+l2 AS (SELECT ho, entity, name, arg_max(len, (k, -len)) AS v FROM (SELECT ho, entity, name, len, count(*) AS k FROM r GROUP BY ALL) GROUP BY 1, 2, 3),
+n AS (SELECT ho, entity, name FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 3),
+q AS (SELECT ho, entity, CASE WHEN e2.k > i2.k THEN sunday + CAST(e2.v AS INTEGER) ELSE make_date(ho, 1, 4) - CAST(isodow(make_date(ho, 1, 4)) - 1 AS INTEGER) + CAST((i2.v[1] - 1) * 7 + i2.v[2] AS INTEGER) END AS s, l2.v AS len
+  FROM n JOIN i2 USING (ho, entity, name) JOIN e2 USING (ho, entity, name) JOIN l2 USING (ho, entity, name) JOIN (SELECT DISTINCT y, sunday FROM easter) ON y = ho),
+p AS (SELECT DISTINCT entity, day FROM (SELECT ho, entity, CAST(unnest(generate_series(CAST(s AS TIMESTAMP), s + len * INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM q) WHERE year(day) = ho),
+d AS (SELECT DISTINCT entity, day FROM (SELECT entity, CAST(unnest(generate_series(CAST(s AS TIMESTAMP), s + len * INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM ev) WHERE year(day) IN (SELECT ho FROM h)),
+b AS (SELECT year(coalesce(p.day, d.day)) AS year, d.day IS NOT NULL AS t, p.day IS NOT NULL AS p FROM p FULL JOIN d ON d.entity = p.entity AND d.day = p.day)
+SELECT year, count(*) FILTER (t) AS days_true, count(*) FILTER (p) AS days_predicted, count(*) FILTER (t AND p) AS days_both,
+  round(count(*) FILTER (t AND p) / greatest(count(*) FILTER (t), 1), 6) AS recall, round(count(*) FILTER (t AND p) / greatest(count(*) FILTER (p), 1), 6) AS precision FROM b GROUP BY 1""")
 def recurrence_loyo(t):
     return rounded(E.leave_one_year_out(_recurring(t), ["entity", "name"], "start", "end", [1996, 1997, 1998, 1999, 2000], ["entity"]))

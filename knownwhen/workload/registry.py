@@ -93,6 +93,22 @@ UNITS = """units AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
+def swept(name: str, source: str, by: str, y: str, regressors: list[str], keep: str = "", weight: str = "1") -> str:
+    """SQL: CTEs ``{name}0 ...`` that sweep one regressor after another out of y and the regressors after it.
+
+    After step k, ``y`` is the residual on the first k regressors; ``{name}c{k}`` holds the coefficient of regressor k in a
+    regression on the first k. Regressors that are swept to nothing count as absent. Rows of weight 0 are swept along without a say.
+    """
+    keep = f", {keep}" if keep else ""
+    rest = lambda k: [y, *regressors[k:]]
+    out = [f"{name}0 AS (SELECT {by}{keep}, {', '.join(rest(0))} FROM {source})"]
+    for k, r in enumerate(regressors):
+        later = rest(k + 1)
+        out.append(f"{name}c{k + 1} AS (SELECT {by}, {', '.join(f'coalesce(sum({weight} * {r} * {c}) / nullif(sum({weight} * {r} * {r}), 0), 0) AS b_{c}' for c in later)} FROM {name}{k} GROUP BY {by})")
+        out.append(f"{name}{k + 1} AS (SELECT t.{by}{keep}, {', '.join(f't.{c} - b_{c} * t.{r} AS {c}' for c in later)} FROM {name}{k} t JOIN {name}c{k + 1} c ON c.{by} = t.{by})")
+    return ",\n".join(out)
+
+
 def rounded(df: DataFrame, digits: int = 6, *names: str) -> DataFrame:
     """Rounds the named (default: all DOUBLE) output columns after aggregation."""
     doubles = set(names) or {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}

@@ -9,29 +9,13 @@ from ..operators import stats as S
 from ..session import cut_lineage
 from .evaluation import BLOCKS, naive_predictions
 from .quality import WIDE, wide_hours
-from .registry import DAILY_ORDERS, HOURLY, daily_orders, exact_sum, hourly, query, rounded
+from .registry import DAILY_ORDERS, HOURLY, daily_orders, exact_sum, hourly, query, rounded, swept
 
 _LONG = """u AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS y, 'l_quantity' AS feature, l_quantity AS x FROM lineitem UNION ALL SELECT l_returnflag, l_linestatus, l_extendedprice, 'l_discount', l_discount FROM lineitem
   UNION ALL SELECT l_returnflag, l_linestatus, l_extendedprice, 'l_tax', l_tax FROM lineitem)"""
 XS = ["l_quantity", "l_discount", "l_tax"]
 
 
-def swept(name: str, source: str, by: str, y: str, regressors: list[str], keep: str = "") -> str:
-    """SQL: CTEs ``{name}0 ...`` that sweep one regressor after another out of y and the regressors after it.
-
-    After step k, ``y`` is the residual on the first k regressors; ``{name}c{k}`` holds the coefficient of regressor k in a
-    regression on the first k. Regressors that are swept to (numerically) nothing count as absent.
-    """
-    keep = f", {keep}" if keep else ""
-    rest = lambda k: [y, *regressors[k:]]
-    out = [f"{name}0 AS (SELECT {by}{keep}, {', '.join(rest(0))} FROM {source})"]
-    for k, r in enumerate(regressors):
-        later = rest(k + 1)
-        out.append(f"{name}c{k + 1} AS (SELECT {by}, {', '.join(f'coalesce(sum({r} * {c}) / nullif(sum({r} * {r}), 0), 0) AS b_{c}' for c in later)} FROM {name}{k} GROUP BY {by})")
-        out.append(f"{name}{k + 1} AS (SELECT t.{by}{keep}, {', '.join(f't.{c} - b_{c} * t.{r} AS {c}' for c in later)} FROM {name}{k} t JOIN {name}c{k + 1} c ON c.{by} = t.{by})")
-    return ",\n".join(out)
-
-
 def _granger_sql() -> str:
     lags = ", ".join(f"lag(price, {k}) OVER w AS y{k}, lag(n, {k}) OVER w AS x{k}" for k in range(1, 5))
     parts = [f"WITH {DAILY_ORDERS}, l AS (SELECT priority, price AS y, {lags} FROM daily WINDOW w AS (PARTITION BY priority ORDER BY day))"]
