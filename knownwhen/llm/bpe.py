@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, slices
+from .common import arrow_map, query, slices
 
 LONG_TEXT = 1 << 20  # code points; longer texts are split lazily
 
@@ -186,7 +186,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", id: str =
             ids = [vocab.encode(t) for t in texts]
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id, "n_tokens", "ids"])
 
-    return df.select(F.col(id), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(F.col(id), F.col(text).cast("string").alias("__text")).transform(arrow_map, run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -200,7 +200,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
         for piece, ids in slices(batches, at):
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array([vocab.decode(x) for x in ids], pa.binary())], [*kept, "decoded"])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return df.select(*kept).transform(arrow_map, run, schema)
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -221,7 +221,7 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text", id: str
                 b.append(hashlib.sha256(vocab.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], schema.names)
 
-    return df.select(F.col(id), F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return df.select(F.col(id), F.col(text).cast("string").alias("__text")).transform(arrow_map, run, schema)
 
 
 @query("op10_byte_bpe")

@@ -41,6 +41,18 @@ def uniform(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of about 8 MB, so that a worker's memory follows neither the row count of a
+    batch nor the length of texts. A session that sets the limit itself keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, "67108864b") in ("67108864b", "64m"):  # Spark's default
+        conf.set(BATCH_BYTES, "8m")
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cuts Arrow batches so that each piece holds about ``size`` bytes of a text column (at least one row); yields
     the piece and that column as Python objects."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, written
+from .common import arrow_map, query, written
 from .graph import components
 
 
@@ -84,7 +84,7 @@ def encode(vectors: DataFrame, tables: int, axes: int, seed: int = 1) -> DataFra
                      pa.array([r.tobytes() for r in np.packbits(u >= 0, axis=1)], pa.binary()), pa.array(factor), pa.array(list(cells), pa.list_(pa.int64()))],
                     ["id", "n", "dim", "raw", "code", "factor", "cells"])
 
-    return vectors.select("id", "n", "v").mapInArrow(run, "id long, n long, dim int, raw binary, code binary, factor double, cells array<long>")
+    return vectors.select("id", "n", "v").transform(arrow_map, run, "id long, n long, dim int, raw binary, code binary, factor double, cells array<long>")
 
 
 def _linked(rows: pd.DataFrame, table: int, cross: bool, cosine: float, spread: float, seed: int) -> tuple[np.ndarray, np.ndarray, dict]:
@@ -160,7 +160,7 @@ def near_duplicates(df: DataFrame, id: str = "vec_id", vector: str = "embedding"
            .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
            .withColumn("side", (F.col("own") == F.col("q")).cast("int") * (F.col("p") != F.col("q")).cast("int")))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         table, cross = int(key[1]), key[3] != key[4]
         i, j, note = _linked(rows, table, cross, cosine, spread, seed)
         ids, n, first = rows["id"].to_numpy(), rows["n"].to_numpy(), note["first"]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, slices
+from .common import arrow_map, query, slices
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -177,7 +177,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
         for piece, texts in slices(batches, len(kept)):
             yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array([main_text(t) for t in texts], pa.string())], schema.names)
 
-    return pages.select(*kept, F.col(html).cast("string").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*kept, F.col(html).cast("string").alias("__html")).transform(arrow_map, run, schema)
 
 
 @query("op5_html_extraction")

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import query, slices, uniform
+from .common import arrow_map, query, slices, uniform
 
 LEVEL = 3
 
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id: str = "do
             f = _features(compressors, texts)
             yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(f[:, k]) for k in range(3))], ["y", "a", "b", "c"])
 
-    seen = source.join(F.broadcast(some), "__id").select("__y", "__text").mapInArrow(run, "y int, a double, b double, c double").collect()
+    seen = source.join(F.broadcast(some), "__id").select("__y", "__text").transform(arrow_map, run, "y int, a double, b double, c double").collect()
     x, y = np.array([[r["a"], r["b"], r["c"]] for r in seen]).reshape(-1, 3), np.array([r["y"] for r in seen], float)
     if not len(y):
         return model
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             p = model.probability(_features(compressors, texts))
             yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(p)], [*kept, out])
 
-    return docs.select(*kept, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).cast("string").alias("__text")).transform(arrow_map, run, schema)
 
 
 @query("op6_compression_quality")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from .common import query, slices, written
+from .common import arrow_map, query, slices, written
 
 _U = np.uint64
 RUN = StructType().add("q", LongType()).add("pos", IntegerType()).add("start", IntegerType()).add("n", IntegerType())
@@ -91,7 +91,7 @@ def bucketed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         with np.errstate(over="ignore"):
-            for piece, texts in slices(batches, 2, 1 << 20):
+            for piece, texts in slices(batches, 2, 1 << 19):
                 fresh = []
                 for key, t in zip(piece.column(1).to_pylist(), texts):
                     fresh.append(b"" if key in seen else t or b"")
@@ -103,7 +103,7 @@ def bucketed(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 rows = pa.StructArray.from_arrays([pa.array(q, pa.int64()), *(pa.array(x.astype(np.int32)) for x in (pos, start, n))], fields=fields)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([len(t or b"") for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), rows)], schema.names)
 
-    return docs.select("id", "key", "data").mapInArrow(run, schema)
+    return docs.select("id", "key", "data").transform(arrow_map, run, schema)
 
 
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
@@ -124,7 +124,7 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
                         key, q, start, n, span = [], [], [], [], []
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(span, pa.binary())], ["q", "key", "start", "n", "span"])
 
-    return rows.select("key", "data", "runs").mapInArrow(run, "q long, key long, start int, n int, span binary")
+    return rows.select("key", "data", "runs").transform(arrow_map, run, "q long, key long, start int, n int, span binary")
 
 
 def _windows(spans: list[bytes], n: np.ndarray, length: int) -> np.ndarray:
@@ -149,7 +149,7 @@ def _repeated(q: np.ndarray, key: np.ndarray, start: np.ndarray, n: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(key[run[a]]), pa.array((start[run[a]] + local[a]).astype(np.int32)), pa.array((start[run[b]] + local[b] + length).astype(np.int32))], ["key", "a", "b"])
 
 
-def _refined(contexts: DataFrame, length: int, windows: int = 1 << 20) -> DataFrame:
+def _refined(contexts: DataFrame, length: int, windows: int = 1 << 18) -> DataFrame:
     """(q, key, start, n, span) -> (key, a, b): repeated byte ranges; whole buckets are handled together, some at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def _refined(contexts: DataFrame, length: int, windows: int = 1 << 20) -> DataFr
                 q, key, start, n, span = zip(*held)
                 yield _repeated(np.array(q), np.array(key), np.array(start), np.array(n), list(span), length)
 
-    return contexts.repartition(F.col("q")).sortWithinPartitions("q").mapInArrow(run, "key long, a int, b int")
+    return contexts.repartition(F.col("q")).sortWithinPartitions("q").transform(arrow_map, run, "key long, a int, b int")
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
                     local = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                     yield pa.RecordBatch.from_arrays([pa.array(_windows(span, n, length).view(np.int64)), pa.array(np.repeat(np.array(key), n)), pa.array((np.repeat(np.array(start), n) + local).astype(np.int32))], ["w", "key", "a"])
 
-    rows = written(contexts.mapInArrow(run, "w long, key long, a int"))
+    rows = written(contexts.transform(arrow_map, run, "w long, key long, a int"))
     twice = rows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w")
     return rows.join(twice, "w").select("key", "a", (F.col("a") + length).alias("b"))
 
@@ -209,7 +209,7 @@ def _cut(rows: DataFrame, length: int) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], schema.names)
 
-    return rows.select("id", "data", "copies", "spans").mapInArrow(run, schema)
+    return rows.select("id", "data", "copies", "spans").transform(arrow_map, run, schema)
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", *, length: int = 400, gram: int = 32, bucket: int = 30_000) -> DataFrame:

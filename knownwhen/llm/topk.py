@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import query, written
+from .common import arrow_map, query, written
 
 BLOCK = "__dim int, __low long, __n int, __ids binary, __values binary"
 
@@ -51,7 +51,7 @@ def forward_blocks(vectors: DataFrame, size: int) -> DataFrame:
         if held:
             yield block()
 
-    return vectors.withColumn("__d", F.size("v")).repartitionByRange("__d", "vec_id").sortWithinPartitions("__d", "vec_id").select("vec_id", "v").mapInArrow(pack, BLOCK)
+    return vectors.withColumn("__d", F.size("v")).repartitionByRange("__d", "vec_id").sortWithinPartitions("__d", "vec_id").select("vec_id", "v").transform(arrow_map, pack, BLOCK)
 
 
 def _rows(blocks: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -121,7 +121,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, *, block: int = 51
     left = docs.withColumn("__s", place(sizes[0])).withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(sizes[1] - 1))))
     right = asked.withColumn("__q", place(sizes[1])).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(sizes[0] - 1))))
 
-    def run(_, d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def run(_, d, q):
         return _search(_rows(q), _rows(d), k)[0]
 
     keys = ["__dim", "__s", "__q"]
