@@ -6,12 +6,14 @@ set's signatures are the enumerated partitions with the features that it has the
 partitions, so they share the signature of another. Up to ``SIGNATURES`` partitions all of them are enumerated and the guarantee is
 strict (sets whose features crowd into too few partitions are dealt again under other hashes). Where k is larger, the first
 ``SIGNATURES`` partitions of the k + 1 are enumerated: differing features fall on partitions by hash, a partition is free of them
-with a chance of at least 1/e, and a linked pair has no common signature with a chance below 1e-9, like that of a
-collision among hashes. Features common to many sets carry signatures only for sets that have too few others: leaving
-features out cannot add differences.
+with a chance of at least 1/e, and a linked pair at the threshold has no usable common signature with a chance of some 1e-9.
 
-Equal sets are one node. Sets under a signature are compared with its smallest member first; pairs that still stand in
-different components are compared one by one after that, so large groups of near copies need few comparisons.
+Signatures that many sets share, as those of passages and lines found everywhere, would compare all these sets. They are left
+out for every set that keeps enough others for the guarantee (k + 1 where all partitions are enumerated, else ``NEEDED``); only the few
+that don't, such as members of a large group of near copies, still meet under them.
+
+Equal sets are one node. Sets under a signature are compared with its smallest member first. Where different components are
+left under it after that, small buckets give their pairs, and large ones are compared block by block inside tasks.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import query, slices, written
+from .common import arrow_map, query, slices, written
 from .graph import components
 
 SIGNATURES = 64
+NEEDED = 48
 SEEDS = 4  # hashes tried for sets whose features crowd into few partitions
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -43,14 +47,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
     """A random word for each (lower-cased) byte; which bytes are white space."""
     words = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
     words[65:91] = words[97:123]
     space = np.zeros(256, bool)
     space[[32, *range(9, 14)]] = True
     words[space] = 0
-    return words, space, np.zeros(0)
+    return words, space
 
 
 @lru_cache(maxsize=4)
@@ -66,7 +70,7 @@ def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and 64-bit hash of each word of a byte array (white space: blank, tab to carriage return; A-Z lower-cased)."""
-    words, space, _ = _tables()
+    words, space = _tables()
     blank = space[data]
     edge = np.diff(np.concatenate(([True], blank, [True])).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -123,50 +127,52 @@ def partitions(instance: int, percent: int) -> tuple[int, int]:
     return k, max(k + 1, min(SIGNATURES, 3 * (k + 1) + 5))
 
 
-def _enumerate(h: np.ndarray, instance: int, kind: int, count: int) -> np.ndarray:
+def _enumerate(h: np.ndarray, instance: int, seed: int, count: int) -> np.ndarray:
     """Signatures of the first partitions in which the set has features."""
-    if not len(h):
-        return h
+    spread = np.sort(mix(h + _U(seed) * _BASE)) if seed else h
     m = min(count, SIGNATURES)
-    spread = mix(h + _U(kind // 2 + 1) * _BASE) if kind // 2 else h
-    if kind // 2:
-        spread = np.sort(spread)
     part = ((spread >> _U(32)) * _U(count)) >> _U(32)  # rising, as the hashes are
     at = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(spread[: at[-1]] ^ _BASE), dtype=np.uint64)))
     some = np.flatnonzero(at[1:] > at[:-1])
-    tag = mix(np.array([instance * 64 + kind + 1], np.uint64) * _BASE)[0]
+    tag = mix(np.array([instance * 64 + seed + 1], np.uint64) * _BASE)[0]
     return mix((total[at[some + 1]] - total[at[some]]) ^ mix((some + 1).astype(np.uint64) * _BASE + tag))
 
 
-def signatures(h: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a feature set, for its own band and for the next lower one."""
-    if not len(h):
-        return h
-    rare = h
-    if len(common):
-        rare = h[common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h]
-    out, own = [], band(len(h), percent)
-    for instance in {own, max(0, own - 1)}:
+def signatures(h: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """Of a feature set, for its own band and for the next lower one: its signatures, and how many of them it can spare."""
+    out, own = [], band(len(h), percent) if len(h) else 0
+    for instance in (own, own - 1):
+        if instance < 0 or not len(h):
+            out.append((np.empty(0, np.uint64), 0))
+            continue
         k, count = partitions(instance, percent)
-        need = k + 1 if count <= SIGNATURES else int(0.8 * SIGNATURES)
-        for kind in range(2 * SEEDS):  # rare features, all features; then the same under other hashes
-            got = _enumerate(h if kind % 2 else rare, instance, kind, count)
-            out.append(got)
-            if len(got) >= need or count > SIGNATURES and kind == 1:
+        if count > SIGNATURES:
+            got = _enumerate(h, instance, 0, count)
+            out.append((np.unique(got), len(got) - NEEDED))
+            continue
+        parts = []
+        for seed in range(SEEDS):  # again under another hash, until enough partitions have features
+            parts.append(_enumerate(h, instance, seed, count))
+            if len(parts[-1]) > k:
                 break
         else:
-            out.append(mix(np.array([instance + 1], np.uint64) * _BASE))
-    return np.concatenate(out)
+            parts.append(mix(np.array([instance + 1], np.uint64) * _BASE))
+        out.append((np.unique(np.concatenate(parts)), len(parts[-1]) - k - 1 if len(parts) == 1 else -1))
+    return out
 
 
 def _set_id(h: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketches(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(id, text) -> (id, n, set, sigs): set size, set identity, signatures. Within a task a set gives its signatures once."""
-    schema = docs.select("id").schema.add("n", "long").add("set", "long").add("sigs", ArrayType(LongType()))
+def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(id, text) -> (id, n, set, sigs, spare): set size, set identity, signatures and the number that can be spared, the last two for either band.
+
+    Within a task a set gives its signatures once.
+    """
+    pairs = {"sigs": ArrayType(ArrayType(LongType())), "spare": ArrayType(LongType())}
+    schema = docs.select("id").schema.add("n", "long").add("set", "long").add("sigs", pairs["sigs"]).add("spare", pairs["spare"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -174,20 +180,23 @@ def sketches(docs: DataFrame, size: int, percent: int, common: np.ndarray) -> Da
             for piece, texts in slices(batches, 1):
                 sets = feature_sets(texts, size)
                 ids = [_set_id(h) if len(h) else None for h in sets]
-                sigs = []
+                flat, spare = [], []
                 for h, i in zip(sets, ids):
-                    if i is None or i in seen:
-                        sigs.append(np.empty(0, np.int64))
-                        continue
-                    if len(seen) >= 200_000:
-                        seen.clear()
-                    seen.add(i)
-                    sigs.append(np.unique(signatures(h, common, percent)).view(np.int64))
-                ends = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
-                flat = pa.array(np.concatenate(sigs)) if sigs else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, flat)], schema.names)
-
-    return docs.select("id", "text").mapInArrow(run, schema)
+                    new = i is not None and i not in seen
+                    for got, left in signatures(h if new else h[:0], percent):
+                        flat.append(got.view(np.int64))
+                        spare.append(left)
+                    if new:
+                        if len(seen) >= 200_000:
+                            seen.clear()
+                        seen.add(i)
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in flat]))).astype(np.int32)
+                inner = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(flat)))
+                two = np.arange(0, 2 * len(sets) + 1, 2, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(ids, pa.int64()), pa.ListArray.from_arrays(two, inner),
+                                                  pa.ListArray.from_arrays(two, pa.array(spare, pa.int64()))], schema.names)
+
+    return docs.select("id", "text").transform(arrow_map, run, schema)
 
 
 def _payload(docs: DataFrame, size: int) -> DataFrame:
@@ -199,23 +208,7 @@ def _payload(docs: DataFrame, size: int) -> DataFrame:
                 sets = [h for h in feature_sets(texts, size) if len(h)]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["set", "features"])
 
-    return docs.select("text").mapInArrow(run, "set long, features binary")
-
-
-def _common(docs: DataFrame, size: int, sample: int, limit: int) -> np.ndarray:
-    """Features of many texts, from a bounded sample of about ``sample`` texts. They only steer which signatures are made."""
-    share = min(1.0, sample / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for _, texts in slices(batches, 0):
-                for h in feature_sets(texts, size):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["f"])
-
-    counts = some.select("text").mapInArrow(run, "f long").groupBy("f").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= max(4, int(0.002 * sample)))
-    rows = counts.orderBy(F.desc("c"), "f").limit(limit).collect()
-    return np.sort(np.array([r["f"] for r in rows], np.int64).view(np.uint64))
+    return docs.select("text").transform(arrow_map, run, "set long, features binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -232,43 +225,99 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = sets.select(F.col("set").alias("a"), F.col("features").alias("x")), sets.select(F.col("set").alias("b"), F.col("features").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").transform(arrow_map, run, "a long, b long")
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all sets of ``x`` with all of ``y``: product of incidence matrices, some thousand features at a time."""
+    flat = np.concatenate([*x, *y])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(h) for h in (*x, *y)])
+    keep = count[column] > 1  # a feature of one set is in no intersection
+    row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
+    out = np.zeros((len(x), len(y)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        part = slice(*np.searchsorted(column, [low, low + 4096]))
+        m = np.zeros((len(x) + len(y), 4096), np.float32)
+        m[row[part], column[part] - low] = 1
+        out += m[: len(x)] @ m[len(x):].T
+    return out
+
 
+def _within_buckets(open_: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """(sig, set, component, size) -> (a, b): links that join the components of large buckets.
 
-def similar_components(docs: DataFrame, text: str = "text", id: str = "doc_id", *, words: int = 5, percent: int = 75, sample: int = 4000, common: int = 200_000, small: int = 2_000_000) -> DataFrame:
+    A bucket is cut into blocks of about ``block`` sets that meet pair by pair; a task compares its sets as matrices and returns
+    at most one link per set, enough to connect what is linked there.
+    """
+    own = F.pmod(F.xxhash64("set"), F.ceil(F.col("size") / block)).cast("int")
+    pairs = (open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)))
+             .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select("sig", "p", "q", "own", "set", "component"))
+    rows = pairs.join(sets, "set")
+
+    def run(key, found):
+        h = [np.frombuffer(f, np.uint64) for f in found["features"]]
+        ids, root, size = found["set"].to_numpy(), found["component"].to_numpy().copy(), np.array([len(x) for x in h])
+        left = np.flatnonzero(found["own"].to_numpy() == key[1])
+        right = np.flatnonzero(found["own"].to_numpy() == key[2])
+        a, b = [], []
+        for start in range(0, len(left), 256):
+            i = left[start: start + 256]
+            both = _shared([h[k] for k in i], [h[k] for k in right])
+            r, c = np.nonzero(100 * both >= percent * (size[i][:, None] + size[right][None, :] - both))
+            for u, v in zip(i[r], right[c]):
+                if root[u] != root[v]:
+                    root[root == root[v]] = root[u]
+                    a.append(ids[u])
+                    b.append(ids[v])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return rows.groupBy("sig", "p", "q").applyInPandas(run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, text: str = "text", id: str = "doc_id", *, words: int = 5, percent: int = 75, bucket: int = 64, small: int = 2_000_000) -> DataFrame:
     """-> (``id``, n_shingles, component_id), one row per input row.
 
     Texts link when their sets of ``words``-word shingles have a Jaccard similarity of at least ``percent`` / 100, in whole numbers;
     ``component_id`` is the smallest id reachable over links, its own included. Texts of fewer words are one shingle; null, empty and
     blank texts are empty sets and link with nothing. Rows with equal ids are judged row by row; a null id takes no part and has a null
-    component. Texts of candidate sets are read again through a broadcast of their ids while there are at most ``small`` of
-    them, else through a shuffled join.
+    component. Signatures shared by more than ``bucket`` different sets count as common. Texts of candidate sets are read again through
+    a broadcast of their ids while there are at most ``small`` of them, else through a shuffled join.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    table = written(sketches(rows, words, percent, _common(rows, words, sample, common)))
+    table = written(sketches(rows, words, percent))
     reps = table.where("set is not null and id is not null").groupBy("set").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    members = table.where("id is not null").select(F.explode("sigs").alias("sig"), "set").repartition(F.col("sig")).distinct()
-    hubs = members.groupBy("sig").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub < last").select("sig", "hub")
-    buckets = written(members.join(hubs, "sig"))
+    emitted = table.where("id is not null").select("set", F.posexplode("sigs").alias("side", "list"))
+    members = emitted.select(F.explode("list").alias("sig"), "set", "side").repartition(F.col("sig")).distinct()
+    shared = members.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("set").alias("lo"), F.max("set").alias("hi")).where("lo < hi").select("sig", "size")
+    met = written(members.join(shared, "sig"))
+    spare = table.where("id is not null").select("set", F.posexplode("spare").alias("side", "spare"))
+    crowded = met.where(F.col("size") > bucket).groupBy("set", "side").agg(F.count(F.lit(1)).alias("over"))
+    needy = crowded.join(spare.groupBy("set", "side").agg(F.max("spare").alias("spare")), ["set", "side"]).where("over > spare").select("set", "side")
+    plain = met.where(F.col("size") <= bucket).select("sig", "set")
+    still = written(plain.union(met.where(F.col("size") > bucket).join(needy, ["set", "side"], "left_semi").select("sig", "set")))
+    hubs = still.groupBy("sig").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub < last").select("sig", "hub")
+    buckets = written(still.join(hubs, "sig"))
     wanted = written(buckets.select("set").distinct().join(reps, "set"))
     hint = F.broadcast if wanted.count() <= small else (lambda x: x)
     sets = written(_payload(rows.join(hint(wanted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi"), words).dropDuplicates(["set"]))
-    fits = F.col("na") * 100 >= F.col("nb") * percent
-    fits = fits & (F.col("nb") * 100 >= F.col("na") * percent)
+    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     sizes = lambda side: wanted.select(F.col("set").alias(side), F.col("n").alias(f"n{side}"), F.col("rep").alias(f"rep_{side}"))
-    sized = lambda pairs: pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(fits)
-    stars = sized(buckets.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()).select("a", "b")
-    stars = written(stars)
+    sized = lambda pairs: pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(fits).select("a", "b")
+    stars = written(sized(buckets.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()))
     linked = written(_verified(stars, sets, percent))
     labels = components(linked)
     marked = buckets.select("sig", "set").join(labels.select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    mixed = marked.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    open_ = marked.join(mixed, "sig")
+    counted = marked.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig", "size")
+    mixed = written(marked.join(counted, "sig"))
+    open_, large = mixed.where(F.col("size") <= bucket), mixed.where(F.col("size") > bucket)
     other = open_.select("sig", F.col("set").alias("b"), F.col("component").alias("cb"))
     rest = (open_.select("sig", F.col("set").alias("a"), F.col("component").alias("ca")).join(other, "sig").where("a < b and ca <> cb")
             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    rest = _verified(sized(rest).select("a", "b"), sets, percent)
-    links = linked.union(rest).join(sizes("a"), "a").join(sizes("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    more = _verified(sized(rest), sets, percent).union(_within_buckets(large, sets, percent, 1024))
+    links = linked.union(more).join(sizes("a"), "a").join(sizes("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     joined = components(links).select(F.col("id").alias("rep"), "component")
     known = reps.select("set", "rep").join(joined, "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
     return (table.select("id", "n", "set").join(known, "set", "left")

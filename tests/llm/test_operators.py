@@ -180,8 +180,8 @@ def brute_components(rows, size=5, percent=75):
     return Counter((d, len(s), None if d is None else min(groups[find(i)])) for i, (d, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("common,small", [(200_000, 10**6), (0, 0)])
-def test_components_equal_brute_force(spark, corpus, common, small):
+@pytest.mark.parametrize("bucket,small", [(64, 10**6), (2, 0)])
+def test_components_equal_brute_force(spark, corpus, bucket, small):
     rng = random.Random(8)
     rows = list(corpus)
     for i in range(400, 470):  # chains of near copies and short texts
@@ -189,13 +189,13 @@ def test_components_equal_brute_force(spark, corpus, common, small):
         del w[rng.randrange(len(w))]
         rows.append((i, " ".join(w), "s1"))
         rows.append((i + 1000, " ".join(rng.choice("ab") for _ in range(rng.randrange(1, 9))), "s1"))
-    got = ngrams.similar_components(documents(spark, rows), common=common, small=small).collect()
+    got = ngrams.similar_components(documents(spark, rows), bucket=bucket, small=small).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(5)
-    none = np.empty(0, np.uint64)
+    flat = lambda h: np.concatenate([x for x, _ in ngrams.signatures(h, 75)])
     for size in [*range(2, 60), 90, 200, 500, 1500]:
         for _ in range(6):
             a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
@@ -204,9 +204,29 @@ def test_linked_sets_share_a_signature():
             both = len(np.intersect1d(a, b))
             if 100 * both >= 75 * (len(a) + len(b) - both):
                 with np.errstate(over="ignore"):
-                    assert len(np.intersect1d(ngrams.signatures(a, none, 75), ngrams.signatures(b, none, 75)))
-                    common = np.sort(rng.choice(a, len(a) // 2, replace=False))
-                    assert len(np.intersect1d(ngrams.signatures(a, common, 75), ngrams.signatures(b, common, 75)))
+                    common = np.intersect1d(flat(a), flat(b))
+                    # Either set, without as many signatures as it can spare, still has one in common with the other.
+                    sides = [x for x, left in ngrams.signatures(a, 75) if len(np.intersect1d(x, common))]
+                    assert sides
+                    x, left = max(ngrams.signatures(a, 75), key=lambda e: len(np.intersect1d(e[0], common)))
+                    if left > 0:
+                        assert len(np.intersect1d(rng.permutation(x)[left:], common))
+
+
+def test_large_bucket_of_texts_that_almost_link(spark):
+    rng = random.Random(6)
+    word = [letters(rng, 5, "abcdefgh") for _ in range(300)]
+    base = [rng.choice(word) for _ in range(150)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 5, 6, 7, 9])):
+            w[rng.randrange(len(w))] = rng.choice(word)
+        rows.append((i, " ".join(w), "s"))
+    got = ngrams.similar_components(documents(spark, rows), bucket=5).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    x, y = [np.array(v, np.uint64) for v in ([1, 2, 3], [9], [])], [np.array(v, np.uint64) for v in ([2, 3, 4], [9, 1])]
+    assert ngrams._shared(x, y).tolist() == [[2, 1], [0, 1], [0, 0]]
 
 
 def test_components_of_paths_and_stars(spark):
