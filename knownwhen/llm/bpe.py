@@ -91,7 +91,7 @@ class Vocabulary:
     def fits(self, left: int, right: int) -> bool:
         known = self.fits_memo.get((left, right))
         if known is None:
-            if len(self.fits_memo) > 1_000_000:
+            if len(self.fits_memo) > 300_000:
                 self.fits_memo.clear()
             known = self.fits_memo[left, right] = self._fits(left, right)
         return known
@@ -152,7 +152,7 @@ class Vocabulary:
 class Memo(dict):
     """Piece -> ids, for short pieces; emptied when full, so its memory is bounded."""
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 200_000):
         super().__init__()
         self.vocabulary, self.limit = vocabulary, limit
 

@@ -57,7 +57,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return words, space
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base**j and base**-j modulo 2**64 for j < n."""
     with np.errstate(over="ignore"):
@@ -74,7 +74,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blank = space[data]
     edge = np.diff(np.concatenate(([True], blank, [True])).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    n = 1 << max(12, int(len(data) + 1).bit_length())
+    n = 1 << max(21, int(len(data) + 1).bit_length())  # one table for all pieces of usual size
     up, down = _powers(n, int(_BASE) | 5)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words[data] * up[: len(data)], dtype=np.uint64)))
     return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
@@ -177,7 +177,7 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         with np.errstate(over="ignore"):
-            for piece, texts in slices(batches, 1):
+            for piece, texts in slices(batches, 1, 1 << 20):
                 sets = feature_sets(texts, size)
                 ids = [_set_id(h) if len(h) else None for h in sets]
                 flat, spare = [], []
@@ -204,7 +204,7 @@ def _payload(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for _, texts in slices(batches, 0):
+            for _, texts in slices(batches, 0, 1 << 20):
                 sets = [h for h in feature_sets(texts, size) if len(h)]
                 yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["set", "features"])
 

@@ -29,7 +29,7 @@ CLOSES = np.zeros(256, bool)
 CLOSES[[ord(c) for c in "\"')]}"]] = True
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -74,7 +74,7 @@ def runs(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.nda
     fine = np.concatenate((ahead < len(text), back >= 0)) & (text[a] == text[b])
     pairs = np.unique((a[fine] << 32) | b[fine])
     a, b = pairs >> 32, pairs & 0xFFFFFFFF
-    up, down = _powers(1 << max(12, int(len(words) + 1).bit_length()))
+    up, down = _powers(1 << max(19, int(len(words) + 1).bit_length()))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
     hashes = mix((total[to[b]] - total[since[a]]) * down[since[a]] + (to[b] - since[a]).astype(np.uint64))
     first = np.cumsum(counts) - counts
@@ -117,7 +117,7 @@ def _cut(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for piece, texts in slices(batches, 1):
+            for piece, texts in slices(batches, 1, 1 << 20):
                 out = ([], [], [], [])
                 texts = [t or b"" for t in texts]
                 number, _, _, at, _ = sentences(texts)
