@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions only.
 
-A line goes when an equal line, or one within ``edits`` insertions, deletions and substitutions, stands at an earlier
-place. Two such lines share one of ``edits + 1`` even segments of the shorter one, at a place whose shift is bounded by
+A line goes when an equal line, or one within some insertions, deletions and substitutions, stands at an earlier place: one
+for each 20 characters by default (``near_by_share``), or a fixed number ``edits``. Two lines within ``edits`` share one of ``edits + 1`` even segments of the shorter one, at a place whose shift is bounded by
 the segment's number and the difference in length: every distinct line is indexed by its segments and probes those of
 lines up to ``edits`` shorter. Lines that meet under a key must also have nearly the same counts of some letters. What is
 left is verified by a banded bit-parallel edit distance: for each number of errors a word holds the reachable diagonals,
@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import query, written
@@ -113,14 +113,14 @@ def _letters(line: str = "line") -> str:
     return " | ".join(parts)
 
 
-def _close(a: str, b: str, edits: int) -> str:
+def _close(a: str, b: str, edits: int | str) -> str:
     """SQL: whether two words of letter counts differ by at most two for each edit."""
     terms = []
     for k in range(len(LETTERS)):
         byte = lambda x: f"(shiftright({x}, {8 * k}) & 255)"  # noqa: B023, E731
         d = f"(({byte(a)} - {byte(b)} + 256) & 255)"
         terms.append(f"least({d}, 256 - {d})")
-    return f"{' + '.join(terms)} <= {2 * edits}"
+    return f"{' + '.join(terms)} <= 2 * {edits}"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -140,11 +140,71 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", *, edits: int = 1, least: int = 20, hot: int = 10_000, small: int = 2_000_000) -> DataFrame:
+def _share_keys(per: int, whole: int = 3, q: int = 10) -> str:
+    """SQL: the keys of a line (``line``, its length ``n``) under which every pair within one edit for each ``per`` characters of the longer line meets.
+
+    Up to ``whole`` edits these are the segments of ``keys``. Beyond, k edits leave ``t = (per - 1) k / (k + 1)`` characters in a row
+    alike: of each window of ``t`` characters the grams with the smallest hash are taken, so that equal windows give an equal gram.
+    Grams meet per class of lengths, each 1.3 times as wide as the last; a line whose longer partner may be in the next class is in both.
+    """
+    parts = [f"if(n between {(per - 1) * k} and {per * (k + 1) - 1}, transform(filter({keys(k)}, x -> x is not null), x -> x.key), array())" for k in range(1, whole + 1)]
+    for least, most in ((whole + 1, 8), (9, None)):
+        t = (per - 1) * least // (least + 1)
+        slack = max(0, t - q)
+        size, w = t - slack, slack + 1
+        # Pieces keep substring(), which counts characters from the start, short; they overlap so that no window is lost.
+        piece = f"transform(sequence(0, n - {t}, 256), o -> substring(line, o + 1, {256 + t - 1}))"
+        grams = f"transform(sequence(1, length(p) - {size - 1}), i -> xxhash64(substring(p, i, {size})))"
+        mins = f"flatten(transform({piece}, p -> element_at(transform(array({grams}), g -> array_distinct(transform(sequence(1, size(g) - {slack}), i -> array_min(slice(g, i, {w}))))), 1)))"
+        sized = lambda x: f"cast(floor(ln({x}) / ln(1.3D)) as int)"
+        top = sized(f"n * {per}D / {per - 1}D + 1")
+        both = f"flatten(transform(sequence({sized('n')}, {top}), c -> transform(array_distinct({mins}), h -> xxhash64(h, c, {t}))))"
+        inside = f"n >= {(per - 1) * least}" + (f" and n < {per * (most + 1)}" if most else "")
+        parts.append(f"if({inside}, {both}, array())")
+    return f"array_distinct(flatten(array({', '.join(parts)})))"
+
+
+def _near(x: str, y: str, per: int) -> Column:
+    """Whether two columns of strings are within one edit for each ``per`` characters of the longer one."""
+    allowed = f"cast(greatest(length({x}), length({y})) div {per} as int)"
+    return F.expr(f"abs(length({x}) - length({y})) <= {allowed}") & (_let(F.struct(_stripped(F.col(x), F.col(y)).alias("s"), F.expr(allowed).alias("k")),
+        lambda r: F.call_function("levenshtein", r["s"]["p"], r["s"]["t"], r["k"])) >= 0)
+
+
+def near_by_share(lines: DataFrame, per: int) -> DataFrame:
+    """(id, pos, line) -> (line): lines with a different line at an earlier place within one edit for each ``per`` characters of the longer one.
+
+    Under each key a line is first compared with the earliest line only, which settles groups of near copies in as many pairs as
+    lines; lines that this leaves meet all earlier ones that have about their length and letters.
+    """
+    place = F.struct("id", "pos")
+    # Only hashes travel with the keys; what a line weighs is fetched for lines that share a key.
+    keyed = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h")).select("h", F.explode(F.expr(_share_keys(per))).alias("key")).repartition(F.col("key")).distinct()
+    met = written(keyed.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").drop("c"))
+    about = lines.select(F.xxhash64("line").alias("h"), place.alias("at"), F.length("line").alias("n"), F.expr(_letters()).alias("letters")).groupBy("h", "n", "letters").agg(F.min("at").alias("at"))
+    shared = written(met.join(about, "h").withColumn("lead", F.min(F.struct("at", "h", "n", "letters")).over(Window.partitionBy("key"))))
+    fits = lambda n, m, a, b: f"abs({n} - {m}) <= greatest({n}, {m}) div {per} and {_close(a, b, f'(greatest({n}, {m}) div {per})')}"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct())
+        wanted = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
+        found = written(lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").groupBy("h", "line").agg(F.min(place).alias("at")))
+        x, y = [found.select(F.col("h").alias(s), F.col("line").alias(f"l{s}"), F.col("at").alias(f"a{s}")) for s in ("x", "y")]
+        return pairs.join(x, "x").join(y, "y").where((F.col("ay") < F.col("ax")) & _near("lx", "ly", per)).select("x", F.col("lx").alias("line")).distinct()
+
+    star = written(verified(shared.where("h <> lead.h").where(fits("n", "lead.n", "letters", "lead.letters")).select(F.col("h").alias("x"), F.col("lead.h").alias("y"))))
+    left = shared.where("h <> lead.h").join(star.select(F.col("x").alias("h")), "h", "left_anti").select("key", F.col("h").alias("x"), F.col("n").alias("n1"), F.col("letters").alias("w1"), F.col("at").alias("a1"))
+    others = shared.select("key", F.col("h").alias("y"), F.col("n").alias("n2"), F.col("letters").alias("w2"), F.col("at").alias("a2"))
+    rest = verified(left.join(others, "key").where("a2 < a1 and x <> y").where(fits("n1", "n2", "w1", "w2")).select("x", "y"))
+    return star.select("line").union(rest.select("line")).distinct()
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", *, edits: int | None = None, per: int = 20, least: int = 20, hot: int = 10_000, small: int = 2_000_000) -> DataFrame:
     """``docs`` with ``text`` holding only kept lines, and with ``n_lines``, ``n_removed`` (longs; columns of these names are replaced).
 
     Places are ordered by (id, line number), null ids first. A line is removed when an equal line stands at an earlier place,
-    or, from ``least`` characters on, one within ``edits``; what the earlier line's own fate is does not matter. Blank lines
+    or, from ``least`` characters on, one within ``edits``, or without such a number one edit for each ``per`` characters of the longer
+    line, however long; what the earlier line's own fate is does not matter. Blank lines
     stay. Rows with equal ids are versions of one document: equal lines at equal places of them count as one place. A null
     text stays null with no lines; a text that loses all its lines becomes empty.
 
@@ -156,16 +216,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", *, edit
     places = written(lines.select("id", "version", "pos", digest.alias("digest")))
     repeats = written(places.groupBy("digest").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
     frequent = repeats.orderBy(F.desc("copies"), "digest").limit(hot).select(F.col("digest").alias("d"), F.col("first").alias("f"))
-    long = lines.where(F.length("line") >= max(least, edits + 1))
+    long = lines.where(F.length("line") >= max(least, (edits or 0) + 1))
     fresh = long.join(F.broadcast(frequent), digest == F.col("d"), "left").where(F.col("d").isNull() | (F.struct("id", "pos") == F.col("f")))
-    pairs = written(near_pairs(fresh.select("line"), edits))
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
-    hint = F.broadcast if wanted.count() <= small else (lambda x: x)
-    found = written(long.withColumn("h", F.xxhash64("line")).join(hint(wanted), "h", "left_semi").groupBy("h", "line").agg(F.min(F.struct("id", "pos")).alias("first")))
-    a = found.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa"))
-    b = found.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
-    near = (pairs.join(a, "a").join(b, "b").where((F.col("la") != F.col("lb")) & within_edits(F.col("la"), F.col("lb"), edits))
-            .select(F.when(F.col("fa") < F.col("fb"), F.col("lb")).otherwise(F.col("la")).alias("line")).select(digest.alias("digest")).distinct())
+    if edits is None:
+        near = written(near_by_share(fresh.select("id", "pos", "line"), per).select(digest.alias("digest")))
+    else:
+        pairs = written(near_pairs(fresh.select("line"), edits))
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())
+        hint = F.broadcast if wanted.count() <= small else (lambda x: x)
+        found = written(long.withColumn("h", F.xxhash64("line")).join(hint(wanted), "h", "left_semi").groupBy("h", "line").agg(F.min(F.struct("id", "pos")).alias("first")))
+        a = found.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa"))
+        b = found.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
+        near = (pairs.join(a, "a").join(b, "b").where((F.col("la") != F.col("lb")) & within_edits(F.col("la"), F.col("lb"), edits))
+                .select(F.when(F.col("fa") < F.col("fb"), F.col("lb")).otherwise(F.col("la")).alias("line")).select(digest.alias("digest")).distinct())
     judged = repeats.select("digest", "first").join(near.withColumn("near", F.lit(True)), "digest", "full")
     gone = (places.join(judged, "digest").where(F.coalesce("near", F.lit(False)) | (F.struct("id", "pos") != F.col("first")))
             .groupBy("id", "version").agg(F.collect_set("pos").alias("gone")))
@@ -191,5 +254,12 @@ r AS (SELECT l.doc_id, l.pos, l.line, d.first IS NOT NULL AND ((l.doc_id, l.pos)
 k AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(kept) AS kept_chars, md5(kept) AS kept_md5 FROM documents LEFT JOIN k USING (doc_id)""")
 def op1(t):
+    kept = dedup_lines(t("documents").select("doc_id", "text"), edits=1)  # as its SQL has it
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
+@query("op1_line_dedup_by_length")
+def op1_by_length(t):
+    """As ``op1_line_dedup``, with the edits allowed by the length of the lines: the form that the pipeline runs."""
     kept = dedup_lines(t("documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))

@@ -106,6 +106,25 @@ def test_line_dedup_equals_brute_force(spark, corpus, edits, least, small):
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in kept.collect()) == brute_lines(rows, edits, least)
 
 
+def test_allowed_edits_follow_the_length_of_a_line(spark):
+    rng = random.Random(12)
+    rows = []
+    for i, n in enumerate([20, 38, 39, 41, 59, 60, 75, 79, 81, 99, 120, 178, 182, 240, 400, 700]):
+        base = letters(rng, n, "abcdefghijklmnopqrstuvwxyz é")
+        for k, edits in enumerate([0, n // 20, n // 20, n // 20 + 1, 2, 1]):
+            t = list(base)
+            for place in range(edits):  # spread evenly, which leaves the shortest common pieces
+                at = min(len(t) - 1, (2 * place + 1) * len(t) // (2 * edits))
+                t[at: at + (k != 2)] = ["#"] if k != 4 else []
+            rows.append((10 * i + k, "".join(t), "s"))
+    rng.shuffle(rows)
+    texts = {d: t for d, t, _ in rows}
+    near = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) // 20 and edit(a, b) <= max(len(a), len(b)) // 20
+    gone = {d for d, t in texts.items() if len(t.strip()) >= 20 and any(e < d and (texts[e] == t or near(texts[e], t)) for e in texts)}
+    kept = lines.dedup_lines(documents(spark, rows)).collect()
+    assert len(gone) > 40 and {r.doc_id for r in kept if r.n_removed} == gone
+
+
 def test_one_line_in_every_row(spark):
     rows = [(i, f"the same long line in every row\nown line number {i} of this table {i * i}", "s") for i in range(300)]
     kept = lines.dedup_lines(documents(spark, rows), edits=0).select("doc_id", "n_removed").collect()
