@@ -3,8 +3,9 @@
 A sentence ends with a word that closes with ``.``, ``!`` or ``?`` (also before closing quotes and brackets), or at a line break. Around
 every sentence the shortest runs of consecutive sentences with at least ``least`` words are taken, the one that starts with it and
 the one that ends with it: mostly several sentences, a single one where it is long. Each run is hashed over its words
-(A-Z in lower case, white space ignored); equal hashes meet globally, and the sentences of every run but the first go. A passage of
-twice ``least`` words that repeats is thus covered as a whole, up to the sentences cut by its ends.
+(A-Z in lower case, white space ignored); equal hashes meet globally, and the sentences of every run but the first go. A repeated passage
+goes where whole sentences within it have ``least`` words together; the sentences that its ends cut stay, and so does a passage
+that holds no such run, as one within two long sentences. The 8 words of the default keep those few.
 """
 
 from __future__ import annotations
@@ -140,7 +141,7 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.select("id", "data", "spans").transform(arrow_map, run, schema)
 
 
-def dedup_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", *, least: int = 25, sample: int = 4000, limit: int = 100_000) -> DataFrame:
+def dedup_spans(docs: DataFrame, text: str = "text", id: str = "doc_id", *, least: int = 8, sample: int = 4000, limit: int = 100_000) -> DataFrame:
     """-> (``id``, n_sentences, n_repeated, n_removed, kept), one row per input row.
 
     A run of sentences is first at the smallest place (id, sentence number; null ids first) that has its hash; sentences covered by a run that

@@ -532,3 +532,18 @@ def test_repeated_passages_go_and_clean_texts_stay(spark):
     assert all(got[i].n_removed == 0 and got[i].kept == dict((d, t) for d, t, _ in rows)[i] for i in [0, *range(100, 120)])
     assert all(passage not in got[i].kept and got[i].n_removed >= 6 for i in range(1, 20))
     assert spans.dedup_spans(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("words", [51, 60, 70, 80])
+def test_passages_cut_inside_sentences_lose_their_whole_sentences(spark, words):
+    rng = random.Random(words)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    size = 20 if words < 70 else 24  # words in a sentence; the passage starts and ends inside one
+    cut = (words - size * (words // size - 1)) // 2
+    passage = [word() + ("." if (i - cut) % size == size - 1 else "") for i in range(words)]
+    whole = " ".join(passage[cut: cut + size])
+    assert whole.endswith(".") and not passage[-1].endswith(".") and size < 25
+    rows = [(i, " ".join([word() for _ in range(9)] + passage + [word() for _ in range(7)]) + ".", "s") for i in range(8)]
+    got = {r.doc_id: r for r in spans.dedup_spans(documents(spark, rows)).collect()}
+    assert got[0].n_removed == 0 and whole in got[0].kept
+    assert all(got[i].n_removed >= 1 and whole not in got[i].kept for i in range(1, 8))
