@@ -215,12 +215,12 @@ i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS
 k AS (SELECT event_type, b, CAST('0x' || substr(md5('3|' || b || '|' || i), 1, 8) AS BIGINT) % n AS j FROM i, (SELECT unnest(generate_series(0, 99)) AS b)),
 m AS (SELECT k.event_type, k.b, sum(s) / sum(c) AS m FROM k JOIN i ON i.event_type = k.event_type AND i.i = k.j GROUP BY 1, 2), e AS (SELECT event_type, sum(s) / sum(c) AS estimate FROM d GROUP BY 1)
 SELECT m.event_type, round(any_value(estimate), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m JOIN e USING (event_type) GROUP BY 1""")
-def paired_bootstrap(t):
+def paired_bootstrap(t, draws=100):
     from ..operators.stats import block_bootstrap
 
     p = spike_probabilities(t).withColumn("day", T.floor_time("hour", "1 day"))
     diff = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")) - (F.col("q") - F.col("y")) * (F.col("q") - F.col("y"))
-    return rounded(block_bootstrap(p, ["event_type"], "day", {"s": F.sum(diff), "c": F.count(F.lit(1)).cast("double")}, F.col("s") / F.col("c"), 100, 3))
+    return rounded(block_bootstrap(p, ["event_type"], "day", {"s": F.sum(diff), "c": F.count(F.lit(1)).cast("double")}, F.col("s") / F.col("c"), draws, 3))
 
 
 @query("capture", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM events), s AS (SELECT unnest([0.01, 0.05, 0.2])::DOUBLE AS top_share)
@@ -255,11 +255,11 @@ t AS (SELECT cl.event_type, x, n_fit, mu, a, b, -ln(0.5::DOUBLE) * mu AS c, -ln(
 SELECT event_type, 0 AS fold, count(*) AS n_test, any_value(n_fit) AS n_fit, round(avg((greatest(0.5::DOUBLE * (x - a), -0.5::DOUBLE * (x - a)) + greatest(0.9::DOUBLE * (x - b), -0.1::DOUBLE * (x - b))) / 2), 6) AS score_empirical,
   round(avg((greatest(0.5::DOUBLE * (x - c), -0.5::DOUBLE * (x - c)) + greatest(0.9::DOUBLE * (x - d), -0.1::DOUBLE * (x - d))) / 2), 6) AS score_exponential, round(avg(CASE WHEN x <= b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_empirical,
   round(avg(CASE WHEN x <= d THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_exponential, round(avg(1 - exp(-x / mu)), 6) AS mean_pit FROM t GROUP BY 1""")
-def exceedance_backtest(t):
+def exceedance_backtest(t, levels=(0.5, 0.9), min_fit=5):
     cl = Q.decluster(full_hours(t), ["event_type"], "hour", "value", F.lit(50.0), 2)
     # The month is the fold unit; shift the sample so that its last week falls into a test month.
     moved = cl.withColumns({"start": T.plus("start", 8 * T.DAY), "end": T.plus("end", 8 * T.DAY)})
-    return rounded(E.exceedance_backtest(moved, ["event_type"], "start", "end", "excess", "2024-02-01", 1, [0.5, 0.9], min_fit=5, recent_days=365))
+    return rounded(E.exceedance_backtest(moved, ["event_type"], "start", "end", "excess", "2024-02-01", 1, levels, min_fit=min_fit, recent_days=365))
 
 
 _IV = f"""WITH {FULL_HOURS}, w AS (SELECT design, event_type, hour, value, hour < brk AS pre FROM full_hours, (VALUES ('real', TIMESTAMP '2024-01-18'), ('placebo', TIMESTAMP '2024-01-11')) d(design, brk) WHERE hour >= brk - INTERVAL 10 DAY AND hour < brk + INTERVAL 10 DAY),

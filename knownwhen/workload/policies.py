@@ -98,8 +98,8 @@ i AS (SELECT priority, x, row_number() OVER (PARTITION BY priority ORDER BY day)
 k AS (SELECT priority, n, b, k, CAST('0x' || substr(md5('9|' || b || '|' || k), 1, 8) AS BIGINT) % greatest(n - 42, 1) AS a FROM z, (SELECT unnest(generate_series(0, 39)) AS b), LATERAL (SELECT unnest(generate_series(0, CAST(ceil(n / 42) AS BIGINT) - 1)) AS k)),
 m AS (SELECT k.priority, k.b, sum(i.x) / any_value(k.n) AS m FROM k JOIN i ON i.priority = k.priority AND i.i > k.a AND i.i <= least(k.a + least(42, k.n - k.k * 42), k.n) GROUP BY 1, 2)
 SELECT m.priority, any_value(e.n) AS n, round(any_value(e.est), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m JOIN (SELECT priority, count(*) AS n, avg(x) AS est FROM d GROUP BY 1) e USING (priority) GROUP BY 1""")
-def bid_moving_block_ci(t):
+def bid_moving_block_ci(t, draws=40):
     from ..operators.stats import moving_block_bootstrap
 
     a = cut_lineage(auctions(t).withColumn("x", E.revenue("roll_med", "c") - E.revenue("prev_slot", "c")).select("priority", "day", "x"))
-    return rounded(moving_block_bootstrap(a, ["priority"], "day", "x", 42, 40, 9))
+    return rounded(moving_block_bootstrap(a, ["priority"], "day", "x", 42, draws, 9))

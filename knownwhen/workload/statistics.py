@@ -208,18 +208,18 @@ i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS
 k AS (SELECT event_type, b, CAST('0x' || substr(md5('11|' || b || '|' || i), 1, 8) AS BIGINT) % n AS j FROM i, (SELECT unnest(generate_series(0, 199)) AS b)),
 m AS (SELECT k.event_type, k.b, sum(s) / sum(c) AS m FROM k JOIN i ON i.event_type = k.event_type AND i.i = k.j GROUP BY 1, 2), e AS (SELECT event_type, sum(s) / sum(c) AS estimate FROM d GROUP BY 1)
 SELECT m.event_type, round(any_value(estimate), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m JOIN e USING (event_type) GROUP BY 1""")
-def bootstrap_ci(t):
+def bootstrap_ci(t, draws=200):
     e = t("events").withColumn("day", T.floor_time("ts", "1 day"))
     sums = {"s": exact_sum("value"), "c": F.count(F.lit(1)).cast("double")}
-    return rounded(S.block_bootstrap(e, ["event_type"], "day", sums, F.col("s") / F.col("c"), 200, 11))
+    return rounded(S.block_bootstrap(e, ["event_type"], "day", sums, F.col("s") / F.col("c"), draws, 11))
 
 
 @query("moving_block_bootstrap", f"""WITH {DAILY_ORDERS}, i AS (SELECT priority, price, row_number() OVER (PARTITION BY priority ORDER BY day) AS i, count(*) OVER (PARTITION BY priority) AS n FROM daily), z AS (SELECT DISTINCT priority, n FROM i),
 k AS (SELECT priority, n, b, k, CAST('0x' || substr(md5('5|' || b || '|' || k), 1, 8) AS BIGINT) % greatest(n - 42, 1) AS a FROM z, (SELECT unnest(generate_series(0, 49)) AS b), LATERAL (SELECT unnest(generate_series(0, CAST(ceil(n / 42) AS BIGINT) - 1)) AS k)),
 m AS (SELECT k.priority, k.b, sum(i.price) / any_value(k.n) AS m FROM k JOIN i ON i.priority = k.priority AND i.i > k.a AND i.i <= least(k.a + least(42, k.n - k.k * 42), k.n) GROUP BY 1, 2)
 SELECT m.priority, any_value(e.n) AS n, round(any_value(e.est), 3) AS estimate, round(quantile_cont(m, 0.025), 3) AS ci_low, round(quantile_cont(m, 0.975), 3) AS ci_high FROM m JOIN (SELECT priority, count(*) AS n, avg(price) AS est FROM daily GROUP BY 1) e USING (priority) GROUP BY 1""")
-def moving_block_bootstrap(t):
-    return rounded(S.moving_block_bootstrap(daily_orders(t), ["priority"], "day", "price", 42, 50, 5), 3)
+def moving_block_bootstrap(t, draws=50):
+    return rounded(S.moving_block_bootstrap(daily_orders(t), ["priority"], "day", "price", 42, draws, 5), 3)
 
 
 @query("forecast_quality", f"""WITH {BLOCKS}, s AS (SELECT b.priority, b.day, b.price AS y, p.price AS a FROM blocks b ASOF JOIN blocks p ON p.priority = b.priority AND b.t0 >= p.known)
