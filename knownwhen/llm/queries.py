@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .common import ORACLES, QUERIES
 
-MODULES = ("lines", "topk", "ngrams", "substrings", "spans", "mixing", "html", "quality", "embeddings", "bpe", "rules", "repair")
+MODULES = ("lines", "topk", "ngrams", "substrings", "spans", "mixing", "html", "quality", "embeddings", "bpe", "rules", "repair", "negatives")
 
 
 def load() -> tuple[dict, dict]:
