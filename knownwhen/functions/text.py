@@ -86,8 +86,10 @@ def delivery_day(description: str | Column) -> Column:
 
 
 # ---------------------------------------------------------------- column names
-def grammar(areas: list[str], units: list[str],
-            prefixes: tuple[str, ...] = ("flag", "regime", "src", "eda")) -> re.Pattern:
+SERVICE_PREFIXES = ("flag", "regime", "src", "eda")  # fixed values
+
+
+def grammar(areas: list[str], units: list[str], prefixes: tuple[str, ...] = SERVICE_PREFIXES) -> re.Pattern:
     """``{area}_[{area}_]{variable}_{unit}[_xchk_{x}]`` plus prefixed service columns."""
     a = "|".join(sorted(map(re.escape, areas), key=len, reverse=True))
     u = "|".join(sorted(map(re.escape, units), key=len, reverse=True))

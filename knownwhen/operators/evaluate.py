@@ -230,13 +230,6 @@ def stability(metrics: DataFrame, by: Sequence[str], period: str, model: str, lo
     return sub.groupBy(*by, "pooled_best").agg(F.count(mine).alias("periods"), F.count_if(mine == 1).alias("wins"), F.avg(mine).alias("mean_rank"), F.max(mine).alias("worst_rank"))
 
 
-def classify_change(pooled: str, part: str, p: str, alpha: float = 0.05) -> Column:
-    same = F.signum(part) == F.signum(pooled)
-    sure = F.col(p) < alpha
-    return (F.when(F.col(pooled).isNull() | F.col(part).isNull() | F.col(p).isNull(), "no_test")
-            .when(sure & same, "same_sig").when(sure, "reversal").when(same, "same_ns").otherwise("opposite_ns"))
-
-
 # ---------------------------------------------------------------- probabilities
 def class_metrics(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     """Brier, log loss, ROC-AUC (average ranks), base rate, mean prediction and their ratio."""
@@ -313,26 +306,34 @@ def capture(df: DataFrame, by: Sequence[str], score: str, amount: Column, row_id
     return out.withColumns({"captured": share, "mean_in_top": F.col("amount") / F.col("k"), "lift": share * F.col("n") / F.col("k")}).drop("_kw_total", "amount")
 
 
+# Fixed values of the distribution between and beyond quantiles.
+EQUAL_QUANTILES = 1e-9   # neighbours closer than this give no slope
+FLAT_UPPER_TAIL = 1e-3   # share of the last survival left beyond equal top quantiles
+FLAT_LOWER_RATE = 50.0   # rate of the lower tail beyond equal bottom quantiles
+SURE = 1e-5              # probabilities stay this far from 0 and 1
+
+
 def prob_above(df: DataFrame, levels: Sequence[float], columns: Sequence[str], name: str = "p_above") -> DataFrame:
-    """P(value > 0) from ascending quantiles: log-linear between levels, exponential tails outside."""
-    q = F.array(*[F.col(c).cast("double") for c in columns])
-    k = len(levels)
-    up = F.array(*[F.lit(math.log(1 - t)) for t in levels])
-    low = [math.log(t) for t in levels[:2]]
-    last, before = F.element_at(q, k), F.element_at(q, k - 1)
-    d_top, d_low = last - before, F.element_at(q, 2) - F.element_at(q, 1)
-    top_slope = (math.log(1 - levels[-1]) - math.log(1 - levels[-2])) / F.nullif(d_top, F.lit(0.0))
-    top = F.when(d_top <= 1e-9, F.lit((1 - levels[-1]) * 1e-3)).otherwise(F.exp(math.log(1 - levels[-1]) - top_slope * last))
-    slope = F.when(d_low > 1e-9, (low[1] - low[0]) / F.nullif(d_low, F.lit(0.0))).otherwise(F.lit(50.0))
-    bottom = 1 - F.exp(low[0] - slope * F.element_at(q, 1))
-    j = F.size(F.filter(q, lambda x: x < 0))                       # q[j-1] < 0 <= q[j]
-    a, b = F.get(q, F.greatest(j - 1, F.lit(0))), F.get(q, F.least(j, F.lit(k - 1)))
-    w = F.when(b - a < 1e-12, F.lit(0.0)).otherwise((0 - a) / F.nullif(b - a, F.lit(0.0)))
-    la, lb = F.get(up, F.greatest(j - 1, F.lit(0))), F.get(up, F.least(j, F.lit(k - 1)))
-    mid = F.exp(la + w * (lb - la))
-    # A lowest quantile of exactly 0 has nothing below it: the first level itself.
-    mid = F.when(j == 0, F.lit(1 - levels[0])).otherwise(mid)
-    return df.withColumn(name, clip(F.when(last <= 0, top).when(F.element_at(q, 1) > 0, bottom).otherwise(mid), 1e-5, 1 - 1e-5))
+    """P(value > 0) from ascending quantiles.
+
+    Survival falls by a constant hazard between two quantiles, so the cumulated hazard at 0 is that of the first level plus, for each
+    pair of neighbours, the part of their hazard that lies below 0. The last pair's rate goes on above the top quantile. Below the
+    bottom quantile the distribution function falls at the rate of the first pair.
+    """
+    hazard = [-math.log1p(-t) for t in levels]
+    q = [F.col(c).cast("double") for c in columns]
+    below = lambda x: F.greatest(-x, F.lit(0.0))
+    total = F.lit(hazard[0])
+    for i, (left, right) in enumerate(zip(q, q[1:])):
+        part = F.when(right <= 0, F.lit(1.0)).otherwise(below(left) / F.nullif(right - left, F.lit(0.0)))
+        total = total + F.when(left >= 0, F.lit(0.0)).otherwise(part) * (hazard[i + 1] - hazard[i])
+    width = q[-1] - q[-2]
+    beyond = F.when(width > EQUAL_QUANTILES, below(q[-1]) * (hazard[-1] - hazard[-2]) / F.nullif(width, F.lit(0.0))).otherwise(-math.log(FLAT_UPPER_TAIL))
+    total = total + F.when(q[-1] <= 0, beyond).otherwise(F.lit(0.0))
+    first = q[1] - q[0]
+    rate = F.when(first > EQUAL_QUANTILES, (math.log(levels[1]) - math.log(levels[0])) / F.nullif(first, F.lit(0.0))).otherwise(F.lit(FLAT_LOWER_RATE))
+    lower = -F.expm1(F.lit(math.log(levels[0])) - rate * q[0])
+    return df.withColumn(name, clip(F.when(q[0] > 0, lower).otherwise(F.exp(-total)), SURE, 1 - SURE))
 
 
 # ---------------------------------------------------------------- exceedances and interventions

@@ -160,6 +160,13 @@ def regularize(df: DataFrame, by: Sequence[str], ts: str, value: str, step: str
         "filled": F.coalesce(fill, F.lit(False))}).drop("_kw_last", "_kw_next")
 
 
+# Longest median step of each grid kind, and what a quarter-hourly grid must show.
+GRID_MINUTES = {"15min": 15, "h": 60, "D": 1440, "W": 10080}
+COARSEST = "MS"
+QUARTER_SHARE = 0.9
+FEWEST_STAMPS = 3
+
+
 def native_step(df: DataFrame, by: Sequence[str], ts: str, chunk: str | int = "1 day") -> DataFrame:
     """Median step and grid kind (15min / h / D / W / MS) of each series.
 
@@ -175,10 +182,11 @@ def native_step(df: DataFrame, by: Sequence[str], ts: str, chunk: str | int = "1
                                     F.avg((F.col("minutes") == 15).cast("double")).alias("share_15"))
     out = counts.transform(match, median, list(by), "left")
     m = F.col("median_minutes")
-    kind = (F.when((F.col("n_stamps") < 3) | m.isNull(), "D")
-            .when((m <= 15) & (F.col("share_15") >= 0.9), "15min")
-            .when(m <= 60, "h").when(m <= 1440, "D").when(m <= 7 * 1440, "W").otherwise("MS"))
-    return out.withColumn("grid_kind", kind)
+    kind = F.lit(COARSEST)
+    for name, minutes in reversed(GRID_MINUTES.items()):
+        regular = F.col("share_15") >= QUARTER_SHARE if minutes == 15 else F.lit(True)
+        kind = F.when((m <= minutes) & regular, name).otherwise(kind)
+    return out.withColumn("grid_kind", F.when((F.col("n_stamps") < FEWEST_STAMPS) | m.isNull(), "D").otherwise(kind))
 
 
 def expected_rows(spark: SparkSession, start: str, end: str, step: str | int, tz: str, by: str = "year") -> DataFrame:
