@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from ..session import cut_lineage
 from . import ordered as O
 from .aggregates import dedup
 from .grid import steps_between
+from .lags import by_chunk
 from .ranks import pick_top
 from .sequences import episodes
 from .shaping import union_all
@@ -89,29 +91,52 @@ def overlap_diff(a: DataFrame, b: DataFrame, key: Sequence[str], columns: Sequen
 
 
 def best_lag(a: DataFrame, b: DataFrame, ts: str, value: str, lags: Sequence[int], step: str | int, by: Sequence[str] = (),
-             period: Column | None = None, min_n: int = 1000, chunk: str | int = "1 hour") -> DataFrame:
+             period: Column | None = None, min_n: int = 1000) -> DataFrame:
     """Per period the lag (in steps) at which the changes of two series correlate best.
 
-    A change counts only if the row one step earlier exists. The second series announces its
-    values at every lag, so all lags are one equi-join.
+    A change counts only if the row one step earlier exists. Both series meet once, in chunks of steps; every lag is a shift of
+    the same arrays. Rows off the grid of steps form grids of their own.
     """
     us = T.span(step)
-
-    def with_change(df: DataFrame) -> DataFrame:
-        rows = O.previous(df.select(*by, ts, value), by, ts, {"_kw_v": value, "_kw_t": ts}, chunk=chunk)
-        one = T.micros(ts) - T.micros("_kw_t") == us
-        return rows.select(*by, ts, F.col(value), F.when(one, F.col(value) - F.col("_kw_v")).alias("d"))
-
-    left = with_change(a).select(*by, ts, F.col(value).alias("va"), F.col("d").alias("da"))
-    right = with_change(b).select(*by, ts, F.col(value).alias("vb"), F.col("d").alias("db"),
-                                  F.explode(F.array(*[F.lit(x) for x in lags])).alias("lag"))
-    right = right.withColumn(ts, T.plus(ts, -F.col("lag").cast("long") * us))
-    pairs = left.transform(match, right, [*by, ts])
     unit = (period if period is not None else F.lit("all")).alias("period")
-    usable = F.col("da").isNotNull() & F.col("db").isNotNull()
-    stats = pairs.groupBy(*by, unit, "lag").agg(
-        F.count_if(usable).alias("n"), corr(F.when(usable, F.col("da")), F.when(usable, F.col("db"))).alias("corr"),
-        F.avg(F.abs(F.col("va") - F.col("vb"))).alias("mae"))
+    at = lambda df: df.where(F.col(ts).isNotNull())
+    nothing = lambda c: F.lit(None).cast("double").alias(c)
+    left = at(a).select(*by, F.col(ts), unit, F.col(value).cast("double").alias("va"), nothing("vb"), F.lit(1.0).alias("here"))
+    right = at(b).select(*by, F.col(ts), nothing("va"), F.col(value).cast("double").alias("vb"), F.lit(None).cast("double").alias("here"))
+    both = left.unionByName(right.withColumn("period", F.lit(None).cast(left.schema["period"].dataType)))
+    micros = T.micros(ts)
+    rows = both.withColumns({"_kw_step": T.floor_div(micros, us), "_kw_phase": F.pmod(micros, F.lit(us))}).groupBy(*by, "_kw_phase", "_kw_step").agg(
+        F.max("period").alias("period"), *[F.max(c).alias(c) for c in ("va", "vb", "here")])
+    before, after = max(0, *(-lag for lag in lags)) + 1, max(0, *lags)
+
+    def kernel(d, table) -> list[tuple]:
+        da, db = (np.r_[np.nan, np.diff(d.x[c])] for c in ("va", "vb"))
+        here = d.own[d.x["here"][d.own] == 1]
+        if not len(here):
+            return []
+        code = table.column("period").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)[d.row[here]].astype(float)
+        code = np.nan_to_num(code, nan=-1).astype(int)
+        out = []
+        for p in np.unique(code):
+            own = here[code == p]
+            for lag in lags:
+                u, v = da[own], db[own + lag]
+                fine = ~(np.isnan(u) | np.isnan(v))
+                u, v = u[fine], v[fine]
+                gap = np.abs(d.x["va"][own] - d.x["vb"][own + lag])
+                known = ~np.isnan(gap)
+                out.append((int(d.row[own[0]]), lag, len(u), [u.sum(), v.sum(), u @ u, v @ v, u @ v, gap[known].sum(), float(known.sum())]))
+        return out
+
+    parts = by_chunk(rows, [*by, "_kw_phase"], "_kw_step", ["va", "vb", "here"], before, after,
+                     f"period {left.schema['period'].dataType.simpleString()}, lag int, n bigint, s array<double>", kernel, carry=["period"])
+    at_ = lambda i: F.sum(F.col("s")[i])
+    sums = parts.groupBy(*[F.col(f"{O.GROUP}.{c}").alias(c) for c in by], "period", "lag").agg(
+        F.sum("n").alias("n"), *[at_(i).alias(c) for i, c in enumerate(("u", "v", "uu", "vv", "uv", "gap", "pairs"))])
+    n = F.col("n")
+    spread = lambda a_, b_, ab: n * F.col(ab) - F.col(a_) * F.col(b_)
+    stats = sums.select(*by, "period", "lag", "n", (spread("u", "v", "uv") / F.nullif(F.sqrt(F.greatest(spread("u", "u", "uu"), F.lit(0.0)) * F.greatest(spread("v", "v", "vv"), F.lit(0.0))), F.lit(0.0))).alias("corr"),
+                        (F.col("gap") / F.nullif(F.col("pairs"), F.lit(0.0))).alias("mae"))
     best = F.struct(F.col("corr"), -F.col("lag"))
     ok = stats.where((F.col("n") >= min_n) & F.col("corr").isNotNull() & ~F.isnan("corr"))
     return ok.groupBy(*by, "period").agg(F.max_by("lag", best).alias("best_lag"), F.max("corr").alias("corr_best"),

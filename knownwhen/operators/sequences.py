@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions.keys import match
 from ..functions import timeaxis as T
-from ..functions.numeric import sorted_quantile
 from ..session import cut_lineage
 from . import ordered as O
+from .lags import lagged_sums
 from .ranks import quantiles
 
 
@@ -92,39 +95,102 @@ def interpolate(df: DataFrame, by: Sequence[str], start: str, end: str | Column,
                                        *[f"_kw_{x}_{c}" for c in columns for x in ("lo", "hi")])
 
 
+def _counted(df: DataFrame, by: Sequence[str], day: str, value: str, days: int) -> DataFrame:
+    """Count tables: (series, chunk, day, value, n, own), a row for each day and different value of it, in every chunk that sees it.
+
+    Equal values of a day are one row from the first exchange on, so a series of few different values shrinks to them.
+    """
+    x = F.col(value).cast("double")
+    rows = df.select(*by, F.unix_date(F.col(day).cast("date")).cast("long").alias("_kw_day"), x.alias("_kw_x"))
+    cells = rows.groupBy(*by, "_kw_day", "_kw_x").agg(F.count("_kw_x").alias("_kw_n"))
+    return O.halo(cells, by, "_kw_day", days, 0, 4 * days).select(O.GROUP, O.CHUNK, F.col(O.KEY).alias("day"), F.col("_kw_x").alias("x"), F.col("_kw_n").alias("n"), F.col(O.OWN).alias("own"))
+
+
+def _windows(day: np.ndarray, x: np.ndarray, n: np.ndarray, wanted: np.ndarray, days: int):
+    """For each wanted day: (number of values of the ``days`` days before it, function from a rank to the value of that rank).
+
+    One running table of counts per different value takes in the days that enter and gives back those that leave; a rank is
+    found by bisection in its running sums.
+    """
+    order = np.argsort(day, kind="stable")
+    order = order[n[order] > 0]
+    day, n = day[order], n[order]
+    values, code = np.unique(x[order], return_inverse=True)
+    table, enter, leave = np.zeros(len(values), np.int64), 0, 0
+    for d in wanted:
+        to, out = np.searchsorted(day, d), np.searchsorted(day, d - days)
+        np.add.at(table, code[enter:to], n[enter:to])
+        np.subtract.at(table, code[leave:out], n[leave:out])
+        enter, leave = max(enter, to), max(leave, out)
+        sums = np.cumsum(table)
+        yield int(sums[-1]) if len(sums) else 0, lambda r, sums=sums: float(values[np.searchsorted(sums, r, side="right")])
+
+
+def _between(pick, n: int, q: float) -> float:
+    """Quantile of ``n`` ranked values, linear between neighbours."""
+    at = (n - 1) * q
+    low = math.floor(at)
+    return pick(low) if at == low else (low + 1 - at) * pick(low) + (at - low) * pick(low + 1)
+
+
+def _distance(pick, n: int, centre: float):
+    """Function from a rank to the distance of that rank from ``centre``: the nearest r + 1 values are neighbours in rank, and bisection finds the first."""
+    def nearest(r: int) -> float:
+        low, high = 0, n - 1 - r
+        while low < high:
+            mid = (low + high) // 2
+            if centre - pick(mid) > pick(mid + r + 1) - centre:
+                low = mid + 1
+            else:
+                high = mid
+        return max(centre - pick(low), pick(low + r) - centre)
+
+    return nearest
+
+
+def _per_day(tables: DataFrame, days: int, names: Sequence[str], measure) -> DataFrame:
+    """(GROUP, day, n_past, *names) for the days that a chunk owns; ``measure(n, pick)`` gives the values."""
+    schema = T_.StructType([tables.schema[O.GROUP], T_.StructField("day", T_.LongType()), T_.StructField("n_past", T_.LongType()), *[T_.StructField(c, T_.DoubleType()) for c in names]])
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        day = table.column("day")
+        if day.null_count:  # rows without a day have no past
+            found = [(None, 0, *[None] * len(names))]
+        else:
+            day, x, n = day.to_numpy(), table.column("x").to_numpy(), table.column("n").to_numpy()
+            wanted = np.unique(day[own])
+            found = [(int(d), size, *measure(size, pick)) for d, (size, pick) in zip(wanted, _windows(day, x, n, wanted, days))]
+        key = table.column(O.GROUP).combine_chunks().take(pa.array([0] * len(found), pa.int64()))
+        columns = list(zip(*found)) if found else [[]] * (2 + len(names))
+        return pa.Table.from_arrays([key, *[pa.array(c, pa.int64()) for c in columns[:2]], *[pa.array(c, pa.float64()) for c in columns[2:]]], [O.GROUP, "day", "n_past", *names])
+
+    return tables.groupBy(O.GROUP, O.CHUNK).applyInArrow(run, schema)
+
+
 def rolling_thresholds(df: DataFrame, by: Sequence[str], day: str, value: str, qs: Mapping[str, float], days: int,
                        min_count: int) -> DataFrame:
     """Quantiles of the values of the ``days`` days before each day, one row per (series, day).
 
-    ``df`` holds grid values, so a day is bounded. Each series is cut into pieces of ``days``
-    days with the preceding window as halo; Spark moves a frame once per day, not per row.
+    A task holds the count tables of 4 * ``days`` days of one series and their window, never the rows behind them.
     """
-    rows = df.withColumn("_kw_day", F.unix_date(F.col(day).cast("date")).cast("long"))
-    rows = O.halo(rows, by, "_kw_day", days, 0, 2 * days)
-    frame = Window.partitionBy(O.GROUP, O.CHUNK).orderBy(O.KEY).rangeBetween(-days, -1)
-    enough = F.count(value).over(frame) >= min_count
-    rows = rows.withColumns({n: F.when(enough, F.percentile(value, F.lit(q)).over(frame)) for n, q in qs.items()})
-    rows = rows.withColumn("n_past", F.count(value).over(frame))
-    return (rows.where(F.col(O.OWN)).groupBy(*by, F.col(day).cast("date").alias(day))
-            .agg(*[F.first(n).alias(n) for n in (*qs, "n_past")]))
+    def measure(n, pick):
+        return [_between(pick, n, q) if n >= max(min_count, 1) else None for q in qs.values()]
+
+    out = _per_day(_counted(df, by, day, value, days), days, list(qs), measure)
+    return out.select(*[F.col(f"{O.GROUP}.{c}").alias(c) for c in by], F.date_from_unix_date(F.col("day").cast("int")).alias(day), *qs, "n_past")
 
 
 def robust_stats(df: DataFrame, by: Sequence[str], day: str, value: str, days: int, min_count: int) -> DataFrame:
-    """Median and scaled MAD (1.4826 x) of the values of the ``days`` days before each day.
+    """Median and scaled MAD (1.4826 x) of the values of the ``days`` days before each day, by the same count tables."""
+    def measure(n, pick):
+        if n < max(min_count, 1):
+            return None, None
+        median = _between(pick, n, 0.5)
+        return median, 1.4826 * _between(_distance(pick, n, median), n, 0.5)
 
-    Values are packed per day first; a day sees the arrays of its window only.
-    """
-    packed = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(day).cast("date").alias(day)).agg(
-        F.collect_list(F.col(value).cast("double")).alias("_kw_values"))
-    all_days = df.select(*by, F.col(day).cast("date").alias(day)).distinct().transform(match, packed, [*by, day], "left")
-    rows = O.halo(all_days, by, day, days, 0, 8 * days)
-    frame = Window.partitionBy(O.GROUP, O.CHUNK).orderBy(O.KEY).rangeBetween(-days, -1)
-    past = F.array_sort(F.flatten(F.collect_list("_kw_values").over(frame)))
-    rows = rows.withColumn("_kw_past", past).where(F.col(O.OWN))
-    rows = rows.withColumn("median", F.when(F.size("_kw_past") >= min_count, sorted_quantile(F.col("_kw_past"), 0.5)))
-    away = F.array_sort(F.transform("_kw_past", lambda x: F.abs(x - F.col("median"))))
-    rows = rows.withColumn("mad", F.when(F.col("median").isNotNull(), 1.4826 * sorted_quantile(away, 0.5)))
-    return O.unkeyed(rows).select(*by, day, "median", "mad")
+    out = _per_day(_counted(df, by, day, value, days), days, ["median", "mad"], measure)
+    return out.select(*[F.col(f"{O.GROUP}.{c}").alias(c) for c in by], F.date_from_unix_date(F.col("day").cast("int")).alias(day), "median", "mad")
 
 
 def spikes(df: DataFrame, value: str, threshold: Column, above: bool, single: Column | None = None,
@@ -203,47 +269,51 @@ def decluster(df: DataFrame, by: Sequence[str], order: str, value: str, threshol
         F.max_by(value, peak).alias("peak")).drop("_kw_cluster")
 
 
+def _decayed(rows: DataFrame, log_d: float, chunk: int) -> DataFrame:
+    """(GROUP, _kw_i, _kw_n), numbered from 0 without holes -> the same with ``_kw_s``: ``s[i] = d s[i-1] + n[i-1]``, ``s[0] = 0``.
+
+    A chunk of rows maps the state at its first row to the state after its last: ``s -> factor * s + offset``. Such maps compose to maps
+    of the same kind, and all full chunks share one factor, so the states at the borders obey the same recurrence over
+    chunks, with ``d^span`` for ``d``, and are found by the same function, on ``span`` times fewer rows. Inside a chunk the state is a
+    weighted prefix sum, whose weights stay in range because exponents are measured from the border.
+    """
+    span = max(1, min(chunk, int(600 / abs(log_d))))
+    keyed = rows.withColumn(O.CHUNK, T.floor_div(F.col("_kw_i"), span))
+    at = F.col("_kw_i") - F.col(O.CHUNK) * span
+    offsets = cut_lineage(keyed.groupBy(O.GROUP, O.CHUNK).agg(F.sum(F.col("_kw_n") * F.exp((span - 1 - at) * log_d)).alias("_kw_n")))
+    step = span * log_d
+    if abs(step) < 40:
+        border = _decayed(offsets.withColumnRenamed(O.CHUNK, "_kw_i"), step, max(chunk, 16)).select(O.GROUP, F.col("_kw_i").alias(O.CHUNK), F.col("_kw_s").alias("_kw_border"))
+    else:  # a factor below 1e-17: what a chunk leaves is gone after a few more
+        reach = int(700 / abs(step)) + 1
+        ahead = offsets.select(O.GROUP, "_kw_n", F.col(O.CHUNK).alias("_kw_from"), F.explode(F.sequence(F.col(O.CHUNK) + 1, F.col(O.CHUNK) + reach)).alias(O.CHUNK))
+        border = ahead.groupBy(O.GROUP, O.CHUNK).agg(F.sum(F.col("_kw_n") * F.exp((F.col(O.CHUNK) - F.col("_kw_from") - 1) * step)).alias("_kw_border"))
+    before = Window.partitionBy(O.GROUP, O.CHUNK).orderBy("_kw_i").rowsBetween(O.UNBOUNDED, -1)
+    inner = F.sum(F.col("_kw_n") * F.exp(-(at + 1) * log_d)).over(before)
+    state = F.exp(at * log_d) * (F.coalesce(inner, F.lit(0.0)) + F.coalesce(F.col("_kw_border"), F.lit(0.0)))
+    return keyed.join(border, [O.GROUP, O.CHUNK], "left").withColumn("_kw_s", state).drop(O.CHUNK, "_kw_border")
+
+
 def decay_state(df: DataFrame, by: Sequence[str], order: str, event: str, half_life: float, name: str = "state",
                 chunk: int = 4096, rows_chunk: str | int = "1 day") -> DataFrame:
     """``S[t] = d S[t-1] + N[t-1]`` with ``d = 2^(-1/half_life)``, ``S`` = 0 on the first row.
 
-    Rows are numbered, then cut into short chunks. Inside a chunk the state is a weighted
-    prefix sum; the state at the chunk border follows from the earlier chunks, whose weights
-    decay by ``d^distance``. Both weights stay in range because the exponents are measured
-    from the chunk border.
+    No row is copied, whatever the half-life: see ``_decayed``.
     """
-    log_d = -math.log(2) / half_life
-    span = max(1, min(chunk, int(600 / abs(log_d))))
     rows = O.row_index(df, by, order, "_kw_i", chunk=rows_chunk)
-    rows = rows.withColumn("_kw_i", F.col("_kw_i") - 1)
-    keyed = O.keyed(rows, by, "_kw_i", span)
-    offset = F.col("_kw_i") - F.col(O.CHUNK) * span
-    n = F.coalesce(F.col(event).cast("double"), F.lit(0.0))
-    # Weight of an event at the end of its chunk (state just before the next chunk's first row).
-    totals = keyed.groupBy(O.GROUP, O.CHUNK).agg(F.sum(n * F.exp((span - 1 - offset) * log_d)).alias("_kw_total"))
-    # Border states are again a decayed sum over chunks; blocks of chunks keep exponents in range.
-    reach = max(1, int(700 / (abs(log_d) * span)) + 1)
-    ahead = totals.select(O.GROUP, "_kw_total", F.col(O.CHUNK).alias("_kw_from"),
-                          F.explode(F.sequence(F.col(O.CHUNK) + 1, F.col(O.CHUNK) + reach)).alias(O.CHUNK))
-    border = ahead.groupBy(O.GROUP, O.CHUNK).agg(
-        F.sum(F.col("_kw_total") * F.exp((F.col(O.CHUNK) - F.col("_kw_from") - 1) * span * log_d)).alias("_kw_border"))
-    joined = keyed.join(border, [O.GROUP, O.CHUNK], "left")
-    before = O.inside().rowsBetween(O.UNBOUNDED, -1)
-    inner = F.sum(n * F.exp(-(offset + 1) * log_d)).over(before)
-    state = F.exp(offset * log_d) * (F.coalesce(inner, F.lit(0.0)) + F.coalesce(F.col("_kw_border"), F.lit(0.0)))
-    return O.unkeyed(joined.withColumn(name, state)).drop("_kw_i", "_kw_border")
+    rows = rows.withColumns({"_kw_i": F.col("_kw_i") - 1, O.GROUP: O.group_key(by), "_kw_n": F.coalesce(F.col(event).cast("double"), F.lit(0.0))})
+    return O.unkeyed(_decayed(rows, -math.log(2) / half_life, chunk).withColumnRenamed("_kw_s", name).drop("_kw_i", "_kw_n"))
 
 
 def acf(df: DataFrame, by: Sequence[str], order: str, value: str, lags: Sequence[int], chunk: str | int = "30 days") -> DataFrame:
-    """Autocorrelation with the common mean and variance, by joining row numbers with their lags."""
+    """Autocorrelation with the common mean and variance: lagged products of the demeaned values, taken inside chunks."""
     rows = O.row_index(df.where(F.col(value).isNotNull()), by, order, "_kw_i", chunk=chunk)
     mean = rows.groupBy(*by).agg(F.avg(value).alias("_kw_m"))
     rows = rows.transform(match, mean, list(by)).select(*by, "_kw_i", (F.col(value) - F.col("_kw_m")).alias("x"))
-    ahead = rows.select(*by, F.explode(F.array(*[F.lit(l) for l in lags])).alias("lag"), "_kw_i", F.col("x").alias("x0"))
-    ahead = ahead.withColumn("_kw_i", F.col("_kw_i") + F.col("lag"))
-    products = ahead.transform(match, rows, [*by, "_kw_i"]).groupBy(*by, "lag").agg(F.sum(F.col("x") * F.col("x0")).alias("_kw_p"))
-    power = rows.groupBy(*by).agg(F.sum(F.col("x") * F.col("x")).alias("_kw_v"))
-    return products.transform(match, power, list(by)).select(*by, "lag", (F.col("_kw_p") / F.nullif(F.col("_kw_v"), F.lit(0.0))).alias("acf"))
+    sums = lagged_sums(rows, by, "_kw_i", ["x"], sorted({0, *lags}))
+    power = sums.where("lag = 0").select(*by, F.col("s")[0].alias("_kw_v"))
+    return (sums.where(F.col("lag").isin(*lags)).transform(match, power, list(by))
+            .select(*by, "lag", (F.col("s")[0] / F.nullif(F.col("_kw_v"), F.lit(0.0))).alias("acf")))
 
 
 def break_dates(df: DataFrame, by: Sequence[str], order: str, flags: Sequence[str], chunk: str | int = "365 days") -> DataFrame:

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import match
+from ..functions.distributions import f_tail
 from ..functions.numeric import corr, draw, normal_two_sided
 from ..session import cut_lineage
 from . import ordered as O
+from .lags import lagged_grams, lagged_sums
 from .ranks import average_ranks, quantiles
 from .shaping import within
 
@@ -161,19 +163,9 @@ def fe_ols(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], effects:
 
 def lagged_products(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], lags: int,
                     chunk: str | int = "30 days") -> DataFrame:
-    """``s`` = flattened matrix of ``sum x_i(t) x_j(t - lag)`` for lag 0..lags, per series.
-
-    A row offers itself to the row numbers that follow it, so the lags are one equi-join.
-    """
+    """``s`` = flattened matrix of ``sum x_i(t) x_j(t - lag)`` for lag 0..lags, per series; rows are shipped once, not once per lag."""
     rows = O.row_index(df.select(*by, order, *columns), by, order, "_kw_i", chunk=chunk)
-    here = rows.select(*by, "_kw_i", *columns)
-    past = rows.select(*by, F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "_kw_i", *[F.col(c).alias(f"_kw_{c}") for c in columns])
-    past = past.withColumn("_kw_i", F.col("_kw_i") + F.col("lag"))
-    both = here.transform(match, past, [*by, "_kw_i"])
-    sums = [F.sum(F.col(a) * F.col(f"_kw_{b}")).alias(f"_kw_s{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)]
-    out = both.groupBy(*by, "lag").agg(F.count(F.lit(1)).alias("n"), *sums)
-    flat = F.array(*[F.col(f"_kw_s{i}_{j}") for i in range(len(columns)) for j in range(len(columns))])
-    return out.select(*by, "lag", "n", flat.alias("s"))
+    return lagged_sums(rows, by, "_kw_i", columns, range(lags + 1))
 
 
 def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequence[str], lags: int, chunk: str | int = "30 days") -> DataFrame:
@@ -229,20 +221,17 @@ def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequenc
     return table.mapInPandas(sandwich, f"{lead}feature string, coef double, se double, t double, n bigint")
 
 
-def granger(df: DataFrame, by: Sequence[str], order: str, y: str, x: str, lags: Sequence[int], min_n: int = 30,
-            chunk: str | int = "30 days") -> DataFrame:
-    """F statistic of adding the past of x to a regression of y on its own past, per lag order."""
-    top = max(lags)
-    rows = O.row_index(df.select(*by, order, F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x")), by, order, "_kw_i", chunk=chunk)
-    past = rows.select(*by, F.explode(F.sequence(F.lit(1), F.lit(top))).alias("lag"), "_kw_i", F.struct("y", "x").alias("v"))
-    past = past.withColumn("_kw_i", F.col("_kw_i") + F.col("lag")).groupBy(*by, "_kw_i").agg(
-        *[F.max(F.when(F.col("lag") == l, F.col("v")[c])).alias(f"{c}{l}") for l in range(1, top + 1) for c in ("y", "x")])
-    both = rows.transform(match, past, [*by, "_kw_i"])
-    out = None
-    for order_ in lags:
-        cols = ["y", *[f"y{l}" for l in range(1, order_ + 1)], *[f"x{l}" for l in range(1, order_ + 1)]]
-        m = gram(both, cols, by, intercept=True).withColumn("lags", F.lit(order_))
-        out = m if out is None else out.unionByName(m)
+def granger(df: DataFrame, by: Sequence[str], order: str, y: str, xs: str | Sequence[str], lags: Sequence[int], min_n: int = 30,
+            both: bool = False, chunk: str | int = "30 days") -> DataFrame:
+    """Does the past of a driver add to a regression of the target on its own past? One row per series, driver and lag order.
+
+    ``both`` tests the target as a driver of each of ``xs`` too. ``q_bh`` adjusts the p-values over all rows of the result. All drivers, directions
+    and orders come from one pass over the rows.
+    """
+    xs = [xs] if isinstance(xs, str) else list(xs)
+    pairs = [(y, x) for x in xs] + ([(x, y) for x in xs] if both else [])
+    rows = O.row_index(df.select(*by, order, *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([y, *xs])]), by, order, "_kw_i", chunk=chunk)
+    out = lagged_grams(rows, by, "_kw_i", pairs, lags)
     btypes = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name in by)
     lead = btypes + ", " if btypes else ""
 
@@ -257,10 +246,12 @@ def granger(df: DataFrame, by: Sequence[str], order: str, y: str, x: str, lags:
                 _, full = _solve(g, [0, *range(2, k)], 1)
                 dof = n - (2 * size + 1)
                 stat = ((small - full) / size) / (full / dof) if n >= min_n and dof > 0 and full > 0 else None
-                res.append([*[rec[b] for b in by], size, n, stat])
-            yield pd.DataFrame(res, columns=[*by, "lags", "n", "f_stat"])
+                res.append([*[rec[b] for b in by], rec["target"], rec["driver"], size, n, stat])
+            yield pd.DataFrame(res, columns=[*by, "target", "driver", "lags", "n", "f_stat"])
 
-    return out.mapInPandas(test, f"{lead}lags int, n bigint, f_stat double")
+    found = out.mapInPandas(test, f"{lead}target string, driver string, lags int, n bigint, f_stat double")
+    found = found.withColumn("p_value", f_tail(F.col("f_stat"), F.col("lags"), F.col("n") - 2 * F.col("lags") - 1))
+    return bh(cut_lineage(found), "p_value")
 
 
 def break_test(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequence[str], post: Column, effects: Sequence[str] = ()) -> DataFrame:

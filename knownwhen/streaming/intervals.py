@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -63,44 +62,69 @@ def latest_revisions(stream: DataFrame, doc: Sequence[str], revision: str, paylo
         F.max_by(F.struct(*payload), F.struct(revision, *payload)).alias("_kw_p"), F.max(revision).alias(revision)).select(*doc, revision, "_kw_p.*")
 
 
-def versions(spark: SparkSession, table: str) -> DataFrame | None:
-    """(version, folder) of every committed version of a table kept by :func:`upsert_latest`; None before the first."""
+COMMIT = "version long, feed string, batch long, bucket int"
+
+
+def commits(spark: SparkSession, table: str) -> DataFrame | None:
+    """(version, feed, batch, bucket) of every bucket that a committed batch rewrote; None before the first commit. A batch without rows
+    commits with a NULL bucket."""
     try:
-        lines = spark.read.text(f"{table}/_versions")
+        lines = spark.read.text(f"{table}/_commits")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    parts = F.split("value", " ")
-    broken = F.raise_error(F.concat(F.lit("unreadable version line: "), F.col("value")))
-    number = F.coalesce(F.get(parts, F.lit(0)).try_cast("long"), broken.cast("long"))
-    return lines.select(number.alias("version"), F.coalesce(F.get(parts, F.lit(1)), broken.cast("string")).alias("folder"))
+    parsed = F.from_json("value", COMMIT)
+    return lines.select(F.when(parsed["version"].isNotNull() & parsed["feed"].isNotNull(), parsed)
+                        .otherwise(F.raise_error(F.concat(F.lit("unreadable commit: "), F.col("value")))).alias("c")).select("c.*")
 
 
-def read_latest(spark: SparkSession, table: str) -> DataFrame:
-    """The newest committed version."""
-    return spark.read.parquet(f"{table}/{versions(spark, table).orderBy(F.desc('version'), 'folder').first()['folder']}")
+def _bucket(doc: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*doc), F.lit(buckets)).cast("int")
+
 
+def _current(spark: SparkSession, table: str, done: DataFrame, touched: Sequence[int] | None = None) -> DataFrame | None:
+    """Rows of the newest version of each bucket (of ``touched`` only). One folder per bucket is listed, nothing older."""
+    newest = done.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.max("version").alias("version"))
+    if touched is not None:
+        newest = newest.where(F.col("bucket").isin(*touched))
+    paths = [f"{table}/rows/version={r.version}/bucket={r.bucket}" for r in newest.collect()]  # at most one per bucket
+    return spark.read.option("basePath", f"{table}/rows").parquet(*paths).drop("version", "bucket") if paths else None
 
-def upsert_latest(spark: SparkSession, batch: DataFrame, table: str, doc: Sequence[str], revision: str) -> None:
-    """``foreachBatch`` merge of a micro-batch into a parquet table, keeping the highest revision.
 
-    Writes a new version beside the old ones, in a folder of its own, and adds a pointer line last: a lost executor or a
-    repeated batch leaves the table as it was, and no version is ever overwritten. Anything but a missing pointer is an error.
+def read_latest(spark: SparkSession, table: str) -> DataFrame:
+    """The newest committed rows of every bucket."""
+    done = commits(spark, table)
+    rows = None if done is None else _current(spark, table, done)
+    if rows is None:
+        raise FileNotFoundError(f"no rows committed in {table}")
+    return rows
+
+
+def upsert_latest(spark: SparkSession, batch: DataFrame, table: str, doc: Sequence[str], revision: str, *, batch_id: int,
+                  feed: str = "", buckets: int = 64) -> bool:
+    """``foreachBatch`` merge of a micro-batch into a parquet table, keeping the highest revision per document; False if this batch of
+    this ``feed`` (one checkpoint) was committed before, which changes nothing.
+
+    Documents are hashed into ``buckets`` (always the same number for one table), and a batch reads and rewrites only the buckets it meets. New
+    files of a bucket stand beside the old ones under the batch's version; one line per rewritten bucket, written last and at once,
+    commits them. A batch that failed before that leaves files that nothing refers to, and its repetition replaces them. One
+    writer at a time.
     """
-    known = versions(spark, table)
-    current = None if known is None else known.orderBy(F.desc("version"), "folder").first()
-    version = 0 if current is None else int(current["version"]) + 1
-    rows = batch if current is None else spark.read.parquet(f"{table}/{current['folder']}").unionByName(batch)
-    folder, new = f"v{version}", _newest(rows, doc, revision)
-    try:
-        new.write.parquet(f"{table}/{folder}")
-    except AnalysisException as e:  # left behind by a batch that failed before its pointer line
-        if e.getCondition() != "PATH_ALREADY_EXISTS":
-            raise
-        folder = f"{folder}-{uuid.uuid4().hex}"
-        new.write.parquet(f"{table}/{folder}")
-    spark.createDataFrame([(f"{version} {folder}",)], "value string").coalesce(1).write.mode("append").text(f"{table}/_versions")
+    done = commits(spark, table)
+    if done is not None and not done.where((F.col("feed") == feed) & (F.col("batch") == batch_id)).isEmpty():
+        return False
+    version = 0 if done is None else done.agg(F.max("version")).first()[0] + 1
+    rows = _newest(batch, doc, revision).withColumn("bucket", _bucket(doc, buckets))
+    touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    old = _current(spark, table, done, touched) if done is not None and touched else None
+    if old is not None:
+        rows = _newest(rows.drop("bucket").unionByName(old.select(*batch.columns)), doc, revision).withColumn("bucket", _bucket(doc, buckets))
+    if touched:
+        rows.repartition(max(1, len(touched)), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/rows/version={version}")
+    lines = [(version, feed, int(batch_id), b) for b in touched or [None]]
+    spark.createDataFrame(lines, COMMIT).select(F.to_json(F.struct("*"))).coalesce(1).write.mode("append").text(f"{table}/_commits")
+    return True
 
 
 def _newest(rows: DataFrame, doc: Sequence[str], revision: str) -> DataFrame:

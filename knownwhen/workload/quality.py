@@ -147,7 +147,7 @@ SELECT event_type, period, arg_max(lag, (round(c, 9), -lag)) AS best_lag, round(
 def best_lag(t):
     a = hourly(t).select("event_type", "hour", F.col("total").alias("v"), "n")
     b = a.select("event_type", T.plus("hour", "2 hours").alias("hour"), (F.col("v") + F.col("n")).alias("v"))
-    out = Y.best_lag(a, b, "hour", "v", list(range(-4, 5)), "1 hour", ["event_type"], F.date_trunc("week", "hour").cast("timestamp_ntz"), min_n=3, chunk="7 days")
+    out = Y.best_lag(a, b, "hour", "v", list(range(-4, 5)), "1 hour", ["event_type"], F.date_trunc("week", "hour").cast("timestamp_ntz"), min_n=3)
     return rounded(out.withColumn("best_lag", F.col("best_lag").cast("long")))
 
 

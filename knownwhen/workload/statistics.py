@@ -16,19 +16,30 @@ _LONG = """u AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS y, 'l_qua
 XS = ["l_quantity", "l_discount", "l_tax"]
 
 
+def f_tail_sql(f: str, d1: str, d2: str, points: int = 4000) -> str:
+    """SQL: P(F > f) by Simpson's rule over the angle whose squared sine is the beta variate."""
+    end = f"asin(sqrt({d2} / ({d2} + {d1} * {f})))"
+    inner = f"list_sum(list_transform(range(1, {points} + 1), lambda k: (CASE WHEN k = {points} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(({d2} - 1) * ln(sin({end} * k / {points})) + ({d1} - 1) * ln(cos({end} * k / {points})))))"
+    return f"2 * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0)) * {end} / {points} / 3 * {inner}"
+
+
 def _granger_sql() -> str:
     lags = ", ".join(f"lag(price, {k}) OVER w AS y{k}, lag(n, {k}) OVER w AS x{k}" for k in range(1, 5))
-    parts = [f"WITH {DAILY_ORDERS}, l AS (SELECT priority, price AS y, {lags} FROM daily WINDOW w AS (PARTITION BY priority ORDER BY day))"]
+    parts = [f"WITH {DAILY_ORDERS}, l AS (SELECT priority, price AS y, n AS x, {lags} FROM daily WINDOW w AS (PARTITION BY priority ORDER BY day))"]
     results = []
     for size in (1, 2, 4):
-        names = [f"{v}{k}" for v in "yx" for k in range(1, size + 1)]
-        centred = ", ".join(f"{c}::DOUBLE - avg({c}::DOUBLE) OVER (PARTITION BY priority) AS {c}" for c in ("y", *names))
-        parts.append(f"d{size} AS (SELECT priority, {centred} FROM l WHERE {' AND '.join(f'{c} IS NOT NULL' for c in names)})")
-        parts.append(swept(f"s{size}_", f"d{size}", "priority", "y", names))
-        few, full = f"s{size}_{size}", f"s{size}_{2 * size}"
-        results.append(f"""SELECT a.priority, {size} AS lags, a.n, CASE WHEN a.n >= 30 AND a.n > {2 * size + 1} AND b.r > 0 THEN round((a.r - b.r) / {size} / (b.r / (a.n - {2 * size + 1})), 4) END AS f_stat
-FROM (SELECT priority, count(*) AS n, sum(y * y) AS r FROM {few} GROUP BY 1) a JOIN (SELECT priority, sum(y * y) AS r FROM {full} GROUP BY 1) b USING (priority)""")
-    return ",\n".join(parts) + "\n" + "\nUNION ALL ".join(results)
+        for y, x in ("yx", "xy"):
+            own, other = [f"{y}{k}" for k in range(1, size + 1)], [f"{x}{k}" for k in range(1, size + 1)]
+            centred = ", ".join(f"{c}::DOUBLE - avg({c}::DOUBLE) OVER (PARTITION BY priority) AS {c}" for c in (y, *own, *other))
+            parts.append(f"d{y}{size} AS (SELECT priority, {centred} FROM l WHERE {' AND '.join(f'{c} IS NOT NULL' for c in own + other)})")
+            parts.append(swept(f"s{y}{size}_", f"d{y}{size}", "priority", y, own + other))
+            few, full = f"s{y}{size}_{size}", f"s{y}{size}_{2 * size}"
+            results.append(f"""SELECT a.priority, '{"price" if y == "y" else "n_"}' AS target, '{"n_" if y == "y" else "price"}' AS driver, {size} AS lags, a.n, (a.r - b.r) / {size} / (b.r / (a.n - {2 * size + 1})) AS f
+FROM (SELECT priority, count(*) AS n, sum({y} * {y}) AS r FROM {few} GROUP BY 1) a JOIN (SELECT priority, sum({y} * {y}) AS r FROM {full} GROUP BY 1) b USING (priority) WHERE a.n >= 30""")
+    tests = "\nUNION ALL ".join(results)
+    return ",\n".join(parts) + f""", t AS ({tests}), p AS (SELECT *, {f_tail_sql("f", "lags", "(n - 2 * lags - 1)")} AS p FROM t),
+r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS q FROM p)
+SELECT priority, target, driver, lags, n, round(f, 4) AS f_stat, round(p, 4) AS p_value, round(least(1, min(q) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS q_bh FROM r"""
 
 
 def _break_sql() -> str:
@@ -115,7 +126,7 @@ def newey_west(t):
 
 @query("granger_f", _granger_sql())
 def granger_f(t):
-    return rounded(S.granger(daily_orders(t).withColumn("n_", F.col("n").cast("double")), ["priority"], "day", "price", "n_", [1, 2, 4], chunk="365 days"), 4)
+    return rounded(S.granger(daily_orders(t).withColumn("n_", F.col("n").cast("double")), ["priority"], "day", "price", ["n_"], [1, 2, 4], both=True, chunk="365 days"), 4)
 
 
 @query("break_test", _break_sql())

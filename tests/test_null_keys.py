@@ -79,18 +79,6 @@ def test_long_plan_equals_wide_plan(spark):
         P.aggregate_long(df, ["k"], P.Plan({"p": "median"}))
 
 
-def test_upsert_keeps_the_table_when_its_pointer_is_broken(spark, tmp_path):
-    t = str(tmp_path / "docs")
-    batch = spark.createDataFrame([("d", 1)], "doc string, rev int")
-    L.upsert_latest(spark, batch, t, ["doc"], "rev")
-    L.upsert_latest(spark, batch.withColumn("rev", F.lit(2)), t, ["doc"], "rev")
-    assert L.read_latest(spark, t).collect()[0].rev == 2
-    spark.createDataFrame([("nonsense",)], "value string").write.mode("append").text(f"{t}/_versions")
-    with pytest.raises(Exception, match="unreadable version line"):
-        L.upsert_latest(spark, batch, t, ["doc"], "rev")
-    assert spark.read.parquet(f"{t}/v0").count() == 1
-
-
 def test_numbers_names_and_contracts(spark):
     from knownwhen.functions.text import snake
     from knownwhen.sources import ingest as N

@@ -3,6 +3,7 @@
 import random
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,40 @@ def test_decay_state_is_the_recurrence(spark, chunk):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("half_life,chunk", [(1e6, 8), (1e6, 4096), (30.0, 5), (0.5, 4096)])
+def test_long_and_short_half_lives(spark, half_life, chunk):
+    rows = [(k, i, 1.0 if i % (3 + (k or 0)) == 0 else None) for k in (None, 1) for i in range(500)]
+    df = spark.createDataFrame(rows, "k int, t long, n double")
+    out = Q.decay_state(df, ["k"], "t", "n", half_life, chunk=chunk, rows_chunk=100)
+    got = {(r.k, r.t): r.state for r in out.collect()}
+    want, d = {}, 2 ** (-1 / half_life)
+    for k in (None, 1):
+        s = 0.0
+        for _, i, x in [r for r in rows if r[0] == k]:
+            want[k, i] = s
+            s = d * s + (x or 0.0)
+    assert got.keys() == want.keys() and all(got[c] == pytest.approx(want[c], rel=1e-9, abs=1e-12) for c in want)
+
+
+@pytest.mark.parametrize("days", [1, 3, 40])
+def test_moving_quantiles_from_count_tables(spark, days):
+    rng = np.random.default_rng(days)
+    rows = [(k, int(d), None if rng.random() < 0.1 else float(np.round(rng.normal() * 4))) for k in ("a", None) for d in range(60) if rng.random() < 0.8 for _ in range(int(rng.integers(1, 30)))]
+    rows += [("a", 30, 1.0)] * 2000 + [("a", None, 3.0), ("empty", 3, None)]  # a hot value, a missing day, a series without values
+    df = spark.createDataFrame(rows, "k string, d int, v double").withColumn("day", F.date_from_unix_date("d"))
+    got = Q.rolling_thresholds(df, ["k"], "day", "v", {"q1": 0.1, "q5": 0.5, "top": 1.0}, days, 3).join(Q.robust_stats(df, ["k"], "day", "v", days, 3).withColumnRenamed("k", "k2").withColumnRenamed("day", "day2"),
+                                                                                                        F.expr("k <=> k2 and day <=> day2")).select("*", F.unix_date("day").alias("d")).collect()
+    assert {(r.k, r.d) for r in got} == {(k, d) for k, d, _ in rows} and len(got) == len({(k, d) for k, d, _ in rows})
+    for r in got:
+        past = [v for k, d, v in rows if k == r.k and v is not None and d is not None and r.d is not None and r.d - days <= d < r.d]
+        assert r.n_past == len(past)
+        if len(past) < 3:
+            assert r.q1 is r.top is r.mad is None
+        else:
+            assert [r.q1, r.q5, r.top] == pytest.approx(list(np.quantile(past, [0.1, 0.5, 1.0])))
+            assert r.median == r.q5 and r.mad == pytest.approx(1.4826 * np.median(np.abs(np.array(past) - r.q5)))
+
+
 def test_spike_logic(frame):
     df = frame([(None, 1.0, False, -1.0), (5.0, None, False, -1.0), (5.0, 1.0, True, 1.0), (5.0, 1.0, True, -1.0), (5.0, 1.0, True, None), (0.5, 1.0, False, None)],
                "p double, thr double, single boolean, imb double")

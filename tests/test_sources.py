@@ -9,7 +9,6 @@ from knownwhen.operators import shaping as S
 from knownwhen.plans import aggregation as P
 from knownwhen.sources import ingest as N
 from knownwhen.sources import tables as B
-from knownwhen.streaming.intervals import upsert_latest
 
 
 def test_views_series_and_drift(spark, frame, tmp_path):
@@ -135,14 +134,6 @@ def test_prune_columns(spark):
     assert S.prune_columns(df, ["a", "copy", "flat", "gappy", "b"]) == ["a", "b"]
 
 
-def test_revisions_upsert_in_any_order(spark, tmp_path):
-    t = str(tmp_path / "docs")
-    for batch in ([("d1", 2, "b")], [("d1", 1, "a"), ("d2", 1, "x")], [("d1", 3, "c")]):
-        upsert_latest(spark, spark.createDataFrame(batch, "doc string, rev int, v string"), t, ["doc"], "rev")
-    got = {r.doc: (r.rev, r.v) for r in spark.read.parquet(f"{t}/v2").collect()}
-    assert got == {"d1": (3, "c"), "d2": (1, "x")}
-
-
 def test_conservation_and_merge(spark):
     a = spark.createDataFrame([(1, 8.0)], "k int, v double")
     b = spark.createDataFrame([(1, 2.0)] * 4, "k int, v double")
