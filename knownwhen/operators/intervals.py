@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import match
 from ..functions import timeaxis as T
+from ..session import cut_lineage
 from . import ordered as O
 
 _BIN = "_kw_bin"
@@ -96,15 +94,61 @@ def concurrency_on_grid(df: DataFrame, grid: DataFrame, start: str, end: str, ts
     return prefix_at(grid, steps, ts, "_kw_t", by, {"open": F.col("_kw_d")}, chunk)
 
 
+LEAF = 64   # pieces of one bin that are compared with one another
+FAN = 16    # parts of a bin with more pieces than that
+
+
+def _visible_only(pieces: DataFrame) -> DataFrame:
+    """Of the pieces with one extent in one bin only the highest ranked can be seen. Most hidden pieces go before the exchange."""
+    whole = (F.col("_kw_s") == F.col("_kw_lo")) & (F.col("_kw_e") == F.col("_kw_hi"))
+    extent = [F.when(~whole, F.col(c)).alias(f"{c}_g") for c in ("_kw_s", "_kw_e")]
+    best = pieces.groupBy("_kw_k", "_kw_lo", "_kw_hi", *extent).agg(F.max_by("_kw_v", "_kw_rank").alias("_kw_v"), F.max("_kw_rank").alias("_kw_rank"))
+    return best.select("_kw_k", "_kw_lo", "_kw_hi", F.coalesce("_kw_s_g", "_kw_lo").alias("_kw_s"), F.coalesce("_kw_e_g", "_kw_hi").alias("_kw_e"), "_kw_rank", "_kw_v")
+
+
+def _parts(pieces: DataFrame) -> DataFrame:
+    """The pieces cut at the borders of ``FAN`` equal parts of their bin, which become bins of their own."""
+    width = F.call_function("div", F.col("_kw_hi") - F.col("_kw_lo") + (FAN - 1), F.lit(FAN).cast("long"))
+    first = T.floor_div(F.col("_kw_s") - F.col("_kw_lo"), F.col("_kw_w"))
+    last = T.floor_div(F.col("_kw_e") - 1 - F.col("_kw_lo"), F.col("_kw_w"))
+    rows = pieces.withColumn("_kw_w", width).withColumn("_kw_j", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("_kw_low", F.col("_kw_lo") + F.col("_kw_j") * F.col("_kw_w"))
+    rows = rows.withColumn("_kw_high", F.least(F.col("_kw_low") + F.col("_kw_w"), "_kw_hi"))
+    return rows.select("_kw_k", F.col("_kw_low").alias("_kw_lo"), F.col("_kw_high").alias("_kw_hi"), F.greatest("_kw_s", "_kw_low").alias("_kw_s"),
+                       F.least("_kw_e", "_kw_high").alias("_kw_e"), "_kw_rank", "_kw_v")
+
+
+def _elementary(leaves: DataFrame) -> DataFrame:
+    """(_kw_k, seg_start, seg_end, _kw_v): in each bin the segments between neighbouring ends, each with its highest ranked piece;
+    neighbours with the same piece are joined. A bin is one row of at most ``LEAF`` pieces."""
+    bins = leaves.groupBy("_kw_k", "_kw_lo", "_kw_hi").agg(F.collect_list(F.struct("_kw_s", "_kw_e", "_kw_rank", "_kw_v")).alias("_kw_p"))
+    p = F.col("_kw_p")
+    bins = bins.withColumn("_kw_t", F.array_sort(F.array_distinct(F.concat(F.transform(p, lambda x: x["_kw_s"]), F.transform(p, lambda x: x["_kw_e"])))))
+    t = F.col("_kw_t")
+
+    def segment(i):
+        covers = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda j: (p[j]["_kw_s"] <= t[i]) & (p[j]["_kw_e"] >= t[i + 1]))
+        top = F.array_max(F.transform(covers, lambda j: F.struct(p[j]["_kw_rank"].alias("r"), j.alias("j"))))
+        return F.struct(t[i].alias("s"), t[i + 1].alias("e"), top["j"].alias("j"))
+
+    bins = bins.withColumn("_kw_g", F.filter(F.transform(F.sequence(F.lit(0), F.size(t) - 2), segment), lambda g: g["j"].isNotNull()))
+    g = F.col("_kw_g")
+    joins = lambda i, k: F.coalesce((F.get(g, i)["j"] == F.get(g, k)["j"]) & (F.get(g, i)["e"] == F.get(g, k)["s"]), F.lit(False))
+    places = F.when(F.size(g) > 0, F.sequence(F.lit(0), F.size(g) - 1)).otherwise(F.array().cast("array<int>"))
+    opens = F.filter(places, lambda i: ~joins(i - 1, i))
+    closes = F.filter(places, lambda i: ~joins(i, i + 1))
+    runs = F.zip_with(opens, closes, lambda a, z: F.struct(g[a]["s"].alias("s"), g[z]["e"].alias("e"), p[g[a]["j"]]["_kw_v"].alias("v")))
+    return bins.select("_kw_k", F.inline(runs)).select("_kw_k", T.from_micros("s").alias("seg_start"), T.from_micros("e").alias("seg_end"), F.col("v").alias("_kw_v"))
+
+
 def resolve_latest(df: DataFrame, key: Sequence[str], start: str, end: str, rank: Sequence[str],
                    values: Mapping[str, str], bin: str | int, window: tuple[str, str] | None = None) -> DataFrame:
-    """Segments of each key on which the interval with the highest ``rank`` wins.
+    """Segments of each key on which the interval with the highest ``rank`` wins; segments end at bin borders.
 
-    Intervals are cut at bin borders. Within a bin only one of the intervals that cover the
-    whole bin can ever be visible, the highest ranked one, and it is found by a map-side
-    ``max_by``; what remains are intervals that begin or end inside the bin, at most two bins
-    each. One bin is then swept with a heap, so no pair of intervals is ever formed and a key
-    with very many intervals is spread over its bins.
+    Intervals are cut at bin borders. Of those that cover a whole bin only the highest ranked one can ever be visible, and it is found by a
+    map-side ``max_by``; an interval keeps at most two other pieces. Bins that still hold more than ``LEAF`` pieces are
+    cut into ``FAN`` parts, again and again, where the same holds; so neither a key with very many intervals nor a crowded moment
+    gathers in one task, and no pair of intervals is formed outside a bin of ``LEAF`` pieces.
 
     ``window`` (start, end columns already part of ``key``) cuts at the window instead.
     """
@@ -117,73 +161,19 @@ def resolve_latest(df: DataFrame, key: Sequence[str], start: str, end: str, rank
     if window:
         low = F.greatest(low, T.micros(window[0]))
         high = F.least(high, T.micros(window[1]))
-    rows = rows.withColumns({"_kw_lo": low, "_kw_hi": high})
-    rows = rows.withColumns({"_kw_s": F.greatest("_kw_s", "_kw_lo"), "_kw_e": F.least("_kw_e", "_kw_hi")})
-    full = (F.col("_kw_s") == F.col("_kw_lo")) & (F.col("_kw_e") == F.col("_kw_hi"))
-    # Every interval of one (bin, extent) is hidden behind the highest ranked one.
-    extent = [F.when(full, F.lit(None).cast("long")).otherwise(F.col(c)).alias(f"{c}_g") for c in ("_kw_s", "_kw_e")]
-    best = rows.groupBy(*key, _BIN, "_kw_lo", "_kw_hi", *extent).agg(
-        F.max_by("_kw_v", "_kw_rank").alias("_kw_v"), F.max("_kw_rank").alias("_kw_rank"))
-    best = best.select(*key, _BIN, F.coalesce("_kw_s_g", "_kw_lo").alias("_kw_s"),
-                       F.coalesce("_kw_e_g", "_kw_hi").alias("_kw_e"), "_kw_rank", "_kw_v")
-    # The row number is the rank inside the bin, and a row number of 1 marks a new bin.
-    w = Window.partitionBy(*key, _BIN).orderBy("_kw_rank")
-    flat = best.select(*key, "_kw_s", "_kw_e", F.row_number().over(w).alias("_kw_rn"),
-                       *[F.col("_kw_v")[n].alias(n) for n in values])
-    types = {f.name: f.dataType.simpleString() for f in flat.schema}
-    kept = [*key, *values]
-    schema = ", ".join([f"`{c}` {types[c]}" for c in kept] + ["_kw_s long", "_kw_e long"])
-    out = flat.mapInPandas(_sweep_bins, schema)
-    return out.select(*kept, T.from_micros("_kw_s").alias("seg_start"), T.from_micros("_kw_e").alias("seg_end"))
-
-
-def _sweep_bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sweeps the bins of a partition; rows arrive bin by bin in ascending rank."""
-    rest: pd.DataFrame | None = None
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        starts = np.flatnonzero(rows["_kw_rn"].to_numpy() == 1)
-        last = int(starts[-1]) if len(starts) else 0
-        rest = rows.iloc[last:].reset_index(drop=True)   # the last bin may continue in the next batch
-        if last:
-            yield _visible(rows.iloc[:last], starts[:-1])
-    if rest is not None and len(rest):
-        yield _visible(rest, np.array([0]))
-
-
-def _visible(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-    begin, end = rows["_kw_s"].to_numpy(), rows["_kw_e"].to_numpy()
-    picked: list[int] = []
-    spans: list[tuple[int, int]] = []
-    for a, b in zip(starts, [*starts[1:], len(rows)]):
-        if b - a == 1:
-            picked.append(a)
-            spans.append((begin[a], end[a]))
-            continue
-        order = a + np.argsort(begin[a:b], kind="stable")
-        points = np.unique(np.concatenate([begin[a:b], end[a:b]])).tolist()
-        active: list[int] = []
-        nxt = 0
-        fresh = len(picked)
-        for p, q in zip(points[:-1], points[1:]):
-            while nxt < len(order) and begin[order[nxt]] <= p:
-                heapq.heappush(active, -int(order[nxt]))
-                nxt += 1
-            while active and end[-active[0]] <= p:
-                heapq.heappop(active)
-            if not active:
-                continue
-            top = -active[0]
-            if len(picked) > fresh and picked[-1] == top and spans[-1][1] == p:
-                spans[-1] = (spans[-1][0], q)
-            else:
-                picked.append(top)
-                spans.append((p, q))
-    out = rows.iloc[picked].drop(columns="_kw_rn").reset_index(drop=True)
-    out["_kw_s"] = np.array([x for x, _ in spans], dtype="int64")
-    out["_kw_e"] = np.array([x for _, x in spans], dtype="int64")
-    value_columns = [c for c in out.columns if c not in ("_kw_s", "_kw_e")]
-    return out[[*value_columns, "_kw_s", "_kw_e"]]
+    rows = rows.select(F.struct(*key).alias("_kw_k"), low.alias("_kw_lo"), high.alias("_kw_hi"), F.greatest("_kw_s", low).alias("_kw_s"),
+                       F.least("_kw_e", high).alias("_kw_e"), "_kw_rank", "_kw_v").where("_kw_s < _kw_e")
+    pieces, at, done = cut_lineage(_visible_only(rows)), ["_kw_k", "_kw_lo", "_kw_hi"], []
+    while True:
+        crowded = pieces.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > LEAF) & (F.col("_kw_hi") - F.col("_kw_lo") > 1)).select(*at)
+        if crowded.isEmpty():
+            break
+        crowded = cut_lineage(crowded)
+        done.append(pieces.join(crowded, at, "left_anti"))
+        pieces = cut_lineage(_visible_only(_parts(pieces.join(crowded, at, "left_semi"))))
+    for other in done:
+        pieces = pieces.unionByName(other)
+    return _elementary(pieces).select(*[F.col("_kw_k")[c].alias(c) for c in key], *[F.col("_kw_v")[n].alias(n) for n in values], "seg_start", "seg_end")
 
 
 def time_weighted(segs: DataFrame, value: str, window: tuple[str, str], keys: Sequence[str], name: str) -> DataFrame:

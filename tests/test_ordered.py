@@ -103,6 +103,27 @@ def test_latest_created_wins(spark, bin):
     assert got == brute_latest(rows)
 
 
+@pytest.mark.parametrize("leaf,fan", [(64, 16), (3, 2), (5, 16)])
+def test_a_crowded_bin_is_split(spark, leaf, fan, monkeypatch):
+    """All intervals in one bin, many begin together, one covers everything; pieces compared together stay few, without Python workers."""
+    monkeypatch.setattr(I, "LEAF", leaf)
+    monkeypatch.setattr(I, "FAN", fan)
+    rng = random.Random(3)
+    rows = [(None, a := rng.choice([7, 8, 9, rng.randrange(0, 55)]), a + rng.randrange(1, 6), i, float(i)) for i in range(200)] + [(None, 0, 60, -1, -1.0)]
+    ts = lambda c: F.timestamp_micros(F.col(c) * 3_600_000_000).cast("timestamp_ntz")
+    df = spark.createDataFrame(rows, "u string, a long, b long, created int, mw double").withColumns({"s": ts("a"), "e": ts("b")})
+    segs = I.resolve_latest(df, ["u"], "s", "e", ["created"], {"mw": "mw"}, "90 days")
+    assert "InPandas" not in segs._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in segs.select("mw", (F.unix_micros(F.col("seg_start").cast("timestamp")) / 3_600_000_000).alias("a"), (F.unix_micros(F.col("seg_end").cast("timestamp")) / 3_600_000_000).alias("b")).collect():
+        for h in range(60):
+            over = min(r.b, h + 1) - max(r.a, h)
+            if over > 0:
+                assert got.get(h, (r.mw, 0))[0] == r.mw
+                got[h] = r.mw, got.get(h, (0, 0))[1] + over
+    assert {h: v for h, (v, _) in got.items()} == brute_latest(rows) and all(n == pytest.approx(1) for _, n in got.values())
+
+
 def test_overlap_join_emits_each_pair_once(spark):
     ts = lambda c: F.timestamp_micros(F.col(c) * 3_600_000_000).cast("timestamp_ntz")
     e = spark.createDataFrame([(i, i * 3, i * 3 + 500) for i in range(40)], "i int, a long, b long").withColumns({"s": ts("a"), "e": ts("b")}).drop("a", "b")
