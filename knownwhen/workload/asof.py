@@ -214,7 +214,7 @@ RANK = ["created", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 @query("latest_wins", f"""WITH {_LATEST}
 SELECT unit, kind, round(sum(mw * epoch(q - p)) / 3600, 4) AS mwh, round(sum(epoch(q - p)) / 3600, 4)::DOUBLE AS hours FROM win GROUP BY 1, 2""")
 def latest_wins(t):
-    segs = I.resolve_latest(units(t), ["unit"], "start", "stop", RANK, {"mw": "mw", "kind": "kind"}, "90 days")
+    segs = I.resolve_latest(units(t), ["unit"], "start", "stop", RANK, {"mw": "mw", "kind": "kind"}, "20 days")
     hours = (T.micros("seg_end") - T.micros("seg_start")) / T.HOUR
     return rounded(segs.groupBy("unit", "kind").agg(F.sum(F.col("mw") * hours).alias("mwh"), F.sum(hours).alias("hours")), 4)
 
@@ -248,7 +248,7 @@ def _outages(t, always: bool):
     if always:
         w = w.withColumn("t0", F.lit("2100-01-01").cast("timestamp_ntz"))
     pairs = I.overlap_join(u, w, ("start", "stop"), ("bs", "be"), known=("created", "t0"), bin="30 days")
-    segs = I.resolve_latest(pairs, ["unit", "bs", "be"], "clip_start", "clip_end", RANK, {"mw": "mw", "kind": "kind"}, "30 days", ("bs", "be"))
+    segs = I.resolve_latest(pairs, ["unit", "bs", "be"], "clip_start", "clip_end", RANK, {"mw": "mw", "kind": "kind"}, "10 days", ("bs", "be"))
     return rounded(I.time_weighted(segs, "mw", ("bs", "be"), ["kind"], "mw"))
 
 
