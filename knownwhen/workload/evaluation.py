@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
 from ..operators import evaluate as E
+from ..operators.logistic import cross_logit
 from ..operators import sequences as Q
 from ..operators.aggregates import shares_of_total
 from ..session import cut_lineage
@@ -293,14 +294,31 @@ def ridge_backtest(t):
     return rounded(E.ridge_backtest(p, ["priority"], "fold", "y", MODELS, 10.0).where(F.col("fold") >= 0).select("priority", "day", "fold", "y", "p"), 4)
 
 
-@query("logistic_nested")
-def logistic_nested(t):
+def _labelled(t):
     x = t("documents").join(t("labels"), "doc_id").select(
         "doc_id", F.col("quality").cast("double").alias("quality"), F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", " ")).cast("double").alias("n_words"),
         F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("n_upper"))
-    train = F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0
-    out, _ = E.logistic_backtest(x.where(train), x.where(~train), "quality", {"length": ["n_chars", "n_words"], "case": ["n_upper"]}, 5.0)
-    return out.select("doc_id", "quality", "p_length", "p_case")
+    return x.withColumn("fold", F.col("doc_id") % 4)
+
+
+_BLOCKS = {"length": ["n_chars", "n_words"], "case": ["n_upper"]}
+
+
+@query("logistic_nested")
+def logistic_nested(t):
+    """Every labelled document, scored by the models of the other three folds."""
+    out, _ = cross_logit(_labelled(t), "fold", "quality", _BLOCKS, 5.0)
+    return out.select("doc_id", "fold", "quality", "p_length", "p_case")
+
+
+@query("logistic_score_equations", """WITH x AS (SELECT doc_id % 4 AS fold, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL), f AS (SELECT DISTINCT fold FROM x),
+n AS (SELECT f.fold, count(*) AS n_train, sum(quality)::BIGINT AS positives FROM f JOIN x ON x.fold <> f.fold GROUP BY 1)
+SELECT fold, model, feature, 0.0::DOUBLE AS score, true AS odds_fit, n_train, positives FROM n, (VALUES ('length', ''), ('length', 'n_chars'), ('length', 'n_words'), ('case', ''), ('case', 'n_chars'), ('case', 'n_words'), ('case', 'n_upper')) v(model, feature)""")
+def logistic_score_equations(t):
+    """The solutions of all folds and models: every penalised score equation is 0, which only the optimum satisfies."""
+    _, fits = cross_logit(_labelled(t), "fold", "quality", _BLOCKS, 5.0)
+    odds = F.abs(F.log("odds_ratio") - F.col("coef")) < 1e-9
+    return fits.select("fold", "model", "feature", (F.round("score", 6) + 0.0).alias("score"), odds.alias("odds_fit"), "n_train", "positives")
 
 
 _REC = """ev AS (SELECT c_mktsegment AS entity, o_orderpriority AS name, year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS s, CAST(min(o_orderkey) % 9 + 1 AS INTEGER) AS len FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2, 3)"""
