@@ -346,42 +346,6 @@ def calendar_lift(df: DataFrame, dims: Mapping[str, Column], outcome: Column) ->
     return out.join(F.broadcast(total)).withColumn("lift", F.col("share") / F.nullif(F.col("_kw_base"), F.lit(0.0))).drop("_kw_base")
 
 
-def exceedance_backtest(clusters: DataFrame, by: Sequence[str], start: str, end: str, excess: str, test_start: str, months: int,
-                        taus: Sequence[float], min_fit: int = 30, embargo_days: int = 0, recent_days: int | None = None) -> DataFrame:
-    """Out-of-sample quantile scores of the size of exceedances: empirical and exponential.
-
-    Folds of ``months``; a fold is predicted from the clusters that ended before it (optionally
-    only the most recent days). Clusters are few (one per event), so the fold membership of the
-    past is an explicit join on the fold table.
-    """
-    rows = clusters.withColumn("fold", fold_of(start, test_start, months))
-    folds = rows.where(F.col("fold") >= 0).select(*by, "fold").distinct().withColumn("_kw_start", fold_start("fold", test_start, months))
-    past = rows.select(*by, F.col(end).alias("_kw_end"), F.col(excess).cast("double").alias("x"))
-    member = F.col("_kw_end") < T.plus("_kw_start", -embargo_days * T.DAY)
-    fits = folds.transform(match, past, list(by)).where(member) if by else folds.join(F.broadcast(past)).where(member)
-    if recent_days:
-        recent = F.col("_kw_end") >= T.plus("_kw_start", -recent_days * T.DAY)
-        counts = fits.groupBy(*by, "fold").agg(F.count_if(recent).alias("_kw_recent"))
-        fits = fits.transform(match, counts, [*by, "fold"]).where((F.col("_kw_recent") < min_fit) | recent)
-    marks = F.array(*[F.lit(float(x)) for x in taus])
-    model = fits.groupBy(*by, "fold").agg(F.count(F.lit(1)).alias("n_fit"), F.avg("x").alias("_kw_mean"), F.percentile("x", marks).alias("q_emp"))
-    model = model.where(F.col("n_fit") >= min_fit).withColumn("q_exp", F.transform(marks, lambda u: -F.log(1 - u) * F.col("_kw_mean")))
-    test = rows.where(F.col("fold") >= 0).transform(match, model, [*by, "fold"]).withColumn("_kw_x", F.col(excess).cast("double"))
-
-    def score(q: str) -> Column:
-        loss = F.zip_with(F.col(q), marks, lambda v, u: F.greatest(u * (F.col("_kw_x") - v), (u - 1) * (F.col("_kw_x") - v)))
-        return F.aggregate(loss, F.lit(0.0), lambda a, b: a + b) / len(taus)
-
-    top = len(taus)
-    out = test.select(*by, "fold", "n_fit", score("q_emp").alias("s_emp"), score("q_exp").alias("s_exp"),
-                      (F.col("_kw_x") <= F.element_at("q_emp", top)).cast("double").alias("h_emp"),
-                      (F.col("_kw_x") <= F.element_at("q_exp", top)).cast("double").alias("h_exp"),
-                      (1 - F.exp(-F.col("_kw_x") / F.col("_kw_mean"))).alias("pit_exp"))
-    return out.groupBy(*by, "fold").agg(
-        F.count(F.lit(1)).alias("n_test"), F.first("n_fit").alias("n_fit"), F.avg("s_emp").alias("score_empirical"), F.avg("s_exp").alias("score_exponential"),
-        F.avg("h_emp").alias("hit_empirical"), F.avg("h_exp").alias("hit_exponential"), F.avg("pit_exp").alias("mean_pit"))
-
-
 def intervention_effect(df: DataFrame, by: Sequence[str], ts: str, value: str, date: str, days: int, q: float, above: bool = True,
                         placebo_days: int | None = None, chunk: str | int = "7 days") -> DataFrame:
     """Exceedances of a fixed pre-period threshold before and after a date, and their ratio.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
 from ..operators import evaluate as E
+from ..operators.exceedance import exceedance_backtest as scores_by_fold
 from ..operators.logistic import cross_logit
 from ..operators import sequences as Q
 from ..operators.aggregates import shares_of_total
@@ -251,16 +252,27 @@ _CLUSTERS = f"""{FULL_HOURS}, i AS (SELECT *, row_number() OVER (PARTITION BY ev
 cl AS (SELECT event_type, min(hour) AS start, max(hour) AS fin, max(excess) AS x FROM (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY hour) AS id FROM ex) GROUP BY event_type, id)"""
 
 
-@query("exceedance_backtest", f"""WITH {_CLUSTERS}, m AS (SELECT event_type, count(*) AS n_fit, avg(x) AS mu, quantile_cont(x, 0.5) AS a, quantile_cont(x, 0.9) AS b FROM cl WHERE fin < TIMESTAMP '2024-01-24' GROUP BY 1 HAVING count(*) >= 5),
-t AS (SELECT cl.event_type, x, n_fit, mu, a, b, -ln(0.5::DOUBLE) * mu AS c, -ln(1 - 0.9::DOUBLE) * mu AS d FROM cl JOIN m USING (event_type) WHERE start >= TIMESTAMP '2024-01-24')
-SELECT event_type, 0 AS fold, count(*) AS n_test, any_value(n_fit) AS n_fit, round(avg((greatest(0.5::DOUBLE * (x - a), -0.5::DOUBLE * (x - a)) + greatest(0.9::DOUBLE * (x - b), -0.1::DOUBLE * (x - b))) / 2), 6) AS score_empirical,
-  round(avg((greatest(0.5::DOUBLE * (x - c), -0.5::DOUBLE * (x - c)) + greatest(0.9::DOUBLE * (x - d), -0.1::DOUBLE * (x - d))) / 2), 6) AS score_exponential, round(avg(CASE WHEN x <= b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_empirical,
-  round(avg(CASE WHEN x <= d THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_exponential, round(avg(1 - exp(-x / mu)), 6) AS mean_pit FROM t GROUP BY 1""")
+def exceedance_sql(levels, min_fit: int) -> str:
+    """The past is all clusters before the test start, or those of its last ten days where they are enough."""
+    tail = [i for i, u in enumerate(levels, 1) if u >= 0.9]
+    loss = lambda q, among: f"(SELECT avg(greatest(l.u * (x - {q}), (l.u - 1) * (x - {q}))) FROM l WHERE l.i IN ({', '.join(map(str, among))}))"
+    every, k = list(range(1, len(levels) + 1)), len(levels)
+    return f"""WITH {_CLUSTERS}, l AS (SELECT unnest(range(1, {k + 1})) AS i, unnest([{", ".join(f"{u}::DOUBLE" for u in levels)}]) AS u),
+past AS (SELECT event_type, 'expanding' AS "window", x FROM cl WHERE fin < TIMESTAMP '2024-01-24' UNION ALL SELECT event_type, 'recent', x FROM cl WHERE fin < TIMESTAMP '2024-01-24'
+  AND (fin >= TIMESTAMP '2024-01-14' OR event_type NOT IN (SELECT event_type FROM cl WHERE fin < TIMESTAMP '2024-01-24' AND fin >= TIMESTAMP '2024-01-14' GROUP BY 1 HAVING count(*) >= {min_fit}))),
+m AS (SELECT event_type, "window", count(*) AS n_fit, avg(x) AS mu, quantile_cont(x, [{", ".join(map(str, levels))}]) AS q FROM past GROUP BY 1, 2 HAVING count(*) >= {min_fit}),
+t AS (SELECT cl.event_type, "window", x, n_fit, mu, q, (SELECT count(*) FROM past p WHERE p.event_type = cl.event_type AND p."window" = m."window" AND p.x <= cl.x) / n_fit AS pit FROM cl JOIN m USING (event_type) WHERE start >= TIMESTAMP '2024-01-24')
+SELECT event_type, 0 AS fold, "window", count(*) AS n_test, any_value(n_fit) AS n_fit, round(avg({loss("q[l.i]", every)}), 6) AS score_empirical, round(avg({loss("(-ln(1 - l.u) * mu)", every)}), 6) AS score_exponential,
+  round(avg({loss("q[l.i]", tail)}), 6) AS tail_empirical, round(avg({loss("(-ln(1 - l.u) * mu)", tail)}), 6) AS tail_exponential, round(avg(CASE WHEN x <= q[{k}] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_empirical,
+  round(avg(CASE WHEN x <= -ln(1 - {levels[-1]}::DOUBLE) * mu THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_exponential, round(avg(1 - exp(-x / mu)), 6) AS mean_pit, round(avg(pit), 6) AS mean_pit_empirical FROM t GROUP BY 1, 3"""
+
+
+@query("exceedance_backtest", exceedance_sql([0.5, 0.9], 5))
 def exceedance_backtest(t, levels=(0.5, 0.9), min_fit=5):
     cl = Q.decluster(full_hours(t), ["event_type"], "hour", "value", F.lit(50.0), 2)
     # The month is the fold unit; shift the sample so that its last week falls into a test month.
     moved = cl.withColumns({"start": T.plus("start", 8 * T.DAY), "end": T.plus("end", 8 * T.DAY)})
-    return rounded(E.exceedance_backtest(moved, ["event_type"], "start", "end", "excess", "2024-02-01", 1, levels, min_fit=min_fit, recent_days=365))
+    return rounded(scores_by_fold(moved, ["event_type"], "start", "end", "excess", "2024-02-01", 1, levels, min_fit=min_fit, recent_days=10))
 
 
 _IV = f"""WITH {FULL_HOURS}, w AS (SELECT design, event_type, hour, value, hour < brk AS pre FROM full_hours, (VALUES ('real', TIMESTAMP '2024-01-18'), ('placebo', TIMESTAMP '2024-01-11')) d(design, brk) WHERE hour >= brk - INTERVAL 10 DAY AND hour < brk + INTERVAL 10 DAY),

@@ -5,7 +5,7 @@ The queries of the same names without a number keep the few draws and levels tha
 
 from __future__ import annotations
 
-from .evaluation import _CLUSTERS, exceedance_backtest, paired_bootstrap
+from .evaluation import exceedance_backtest, exceedance_sql, paired_bootstrap
 from .policies import bid_moving_block_ci
 from .registry import ORACLES, query
 from .statistics import bootstrap_ci, moving_block_bootstrap
@@ -42,11 +42,6 @@ def bid_moving_block_ci_1000(t):
     return bid_moving_block_ci(t, DRAWS)
 
 
-@query("exceedance_backtest_99", f"""WITH {_CLUSTERS}, u AS (SELECT i, i / 100.0::DOUBLE AS u FROM (SELECT unnest(generate_series(1, 99)) AS i)),
-m AS (SELECT event_type, count(*) AS n_fit, avg(x) AS mu, quantile_cont(x, [{", ".join(map(str, LEVELS))}]) AS q FROM cl WHERE fin < TIMESTAMP '2024-01-24' GROUP BY 1 HAVING count(*) >= 30),
-t AS (SELECT cl.event_type, cl.start, x, n_fit, mu, q FROM cl JOIN m USING (event_type) WHERE cl.start >= TIMESTAMP '2024-01-24'),
-s AS (SELECT event_type, start, avg(greatest(u * (x - q[i]), (u - 1) * (x - q[i]))) AS e, avg(greatest(u * (x + ln(1 - u) * mu), (u - 1) * (x + ln(1 - u) * mu))) AS p FROM t, u GROUP BY 1, 2)
-SELECT event_type, 0 AS fold, count(*) AS n_test, any_value(n_fit) AS n_fit, round(avg(e), 6) AS score_empirical, round(avg(p), 6) AS score_exponential, round(avg(CASE WHEN x <= q[99] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_empirical,
-  round(avg(CASE WHEN x <= -ln(1 - 0.99::DOUBLE) * mu THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_exponential, round(avg(1 - exp(-x / mu)), 6) AS mean_pit FROM t JOIN s USING (event_type, start) GROUP BY 1""")
+@query("exceedance_backtest_99", exceedance_sql(LEVELS, 30))
 def exceedance_backtest_99(t):
     return exceedance_backtest(t, LEVELS, min_fit=30)
