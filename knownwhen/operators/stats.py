@@ -384,27 +384,6 @@ def dm_test(df: DataFrame, by: Sequence[str], order: str, difference: str, lags:
 
 
 # ---------------------------------------------------------------- resampling
-def block_bootstrap(blocks: DataFrame, by: Sequence[str], block: str, sums: Mapping[str, Column], statistic: Column, draws: int, seed: int,
-                    levels: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
-    """Percentile interval of a statistic of resampled block totals.
-
-    Rows are first summed per block (map-side). Every draw picks as many blocks as there are,
-    with replacement, through a reproducible digest, and looks them up by number: the work is
-    draws x blocks, independent of the number of rows.
-    """
-    totals = blocks.groupBy(*by, block).agg(*[e.alias(n) for n, e in sums.items()])
-    numbered = O.row_index(totals, by, block, "_kw_i", chunk="365 days").withColumn("_kw_i", F.col("_kw_i") - 1)
-    size = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_kw_n"))
-    point = totals.groupBy(*by).agg(*[F.sum(n).alias(n) for n in sums]).select(*by, statistic.alias("estimate"))
-    slots = (numbered.select(*by, "_kw_i").transform(match, size, list(by)) if by else numbered.select("_kw_i").join(F.broadcast(size)))
-    slots = slots.withColumn("_kw_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    slots = slots.select(*by, "_kw_b", draw(seed, F.col("_kw_n"), F.col("_kw_b"), F.col("_kw_i")).alias("_kw_i"))
-    picked = slots.transform(match, numbered.select(*by, "_kw_i", *sums), [*by, "_kw_i"])
-    stats = picked.groupBy(*by, "_kw_b").agg(*[F.sum(n).alias(n) for n in sums]).select(*by, statistic.alias("_kw_stat"))
-    ci = stats.groupBy(*by).agg(F.percentile("_kw_stat", F.lit(levels[0])).alias("ci_low"), F.percentile("_kw_stat", F.lit(levels[1])).alias("ci_high"))
-    return point.transform(match, ci, list(by)) if by else point.join(F.broadcast(ci))
-
-
 def moving_block_bootstrap(df: DataFrame, by: Sequence[str], order: str, value: str, length: int, draws: int, seed: int,
                            levels: tuple[float, float] = (0.025, 0.975), chunk: str | int = "365 days") -> DataFrame:
     """Percentile interval of the mean from blocks of ``length`` consecutive rows.

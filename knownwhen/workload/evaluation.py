@@ -218,13 +218,33 @@ k AS (SELECT event_type, b, CAST('0x' || substr(md5('3|' || b || '|' || i), 1, 8
 m AS (SELECT k.event_type, k.b, sum(s) / sum(c) AS m FROM k JOIN i ON i.event_type = k.event_type AND i.i = k.j GROUP BY 1, 2), e AS (SELECT event_type, sum(s) / sum(c) AS estimate FROM d GROUP BY 1)
 SELECT m.event_type, round(any_value(estimate), 6) AS estimate, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m JOIN e USING (event_type) GROUP BY 1""")
 def paired_bootstrap(t, draws=100):
-    from ..operators.stats import block_bootstrap
+    from ..operators.resample import block_bootstrap
 
     p = spike_probabilities(t).withColumn("day", T.floor_time("hour", "1 day"))
     diff = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y")) - (F.col("q") - F.col("y")) * (F.col("q") - F.col("y"))
     return rounded(block_bootstrap(p, ["event_type"], "day", {"s": F.sum(diff), "c": F.count(F.lit(1)).cast("double")}, F.col("s") / F.col("c"), draws, 3))
 
 
+@query("ap_bootstrap", f"""WITH {PROBS}, ap_r AS (SELECT event_type, date_trunc('day', hour) AS day, y, epoch_us(hour) AS id, p, q FROM probs WHERE y IS NOT NULL AND p IS NOT NULL AND q IS NOT NULL),
+ap_d AS (SELECT event_type, day, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS j, count(*) OVER (PARTITION BY event_type) AS n FROM (SELECT DISTINCT event_type, day FROM ap_r)),
+ap_k AS (SELECT event_type, b, CAST('0x' || substr(md5('4|' || b || '|' || j), 1, 8) AS BIGINT) % n AS j FROM ap_d, (SELECT unnest(generate_series(0, 299)) AS b)),
+ap_w AS (SELECT event_type, b, j, count(*) AS w FROM ap_k GROUP BY ALL),
+ap_l AS (SELECT event_type, day, y, id, 0 AS m, p AS s FROM ap_r UNION ALL SELECT event_type, day, y, id, 1, q FROM ap_r),
+ap_x AS (SELECT l.event_type, m, b, y, w, sum(w) OVER o AS upto, sum(w * y) OVER o AS found FROM ap_l l JOIN ap_d d USING (event_type, day) JOIN ap_w w ON w.event_type = l.event_type AND w.j = d.j WINDOW o AS (PARTITION BY l.event_type, m, b ORDER BY s DESC, id ROWS UNBOUNDED PRECEDING)),
+ap_a AS (SELECT event_type, m, b, sum(w * y) AS hits, sum(w * y * found / upto) / sum(w * y) AS ap FROM ap_x GROUP BY 1, 2, 3),
+ap_f AS (SELECT event_type, b, max(hits) AS hits, max(ap) FILTER (WHERE m = 1) - max(ap) FILTER (WHERE m = 0) AS d FROM ap_a GROUP BY 1, 2 HAVING max(hits) >= 5),
+ap_h AS (SELECT event_type, m, y, row_number() OVER (PARTITION BY event_type, m ORDER BY s DESC, id) AS i, sum(y) OVER (PARTITION BY event_type, m ORDER BY s DESC, id ROWS UNBOUNDED PRECEDING) AS g FROM ap_l),
+ap_e AS (SELECT event_type, avg(g / i) FILTER (WHERE m = 0) AS ap_first, avg(g / i) FILTER (WHERE m = 1) AS ap_second FROM ap_h WHERE y = 1 GROUP BY 1)
+SELECT event_type, round(any_value(ap_first), 6) AS ap_first, round(any_value(ap_second), 6) AS ap_second, round(any_value(ap_second - ap_first), 6) AS difference, count(*) AS draws, round(quantile_cont(d, 0.025), 6) AS ci_low, round(quantile_cont(d, 0.975), 6) AS ci_high
+FROM ap_f f JOIN ap_e e USING (event_type) GROUP BY 1""")
+def ap_bootstrap(t):
+    """300 draws, as many as the comparison it stands for takes for ranks."""
+    from ..operators.resample import ap_difference
+
+    p = spike_probabilities(t).withColumns({"day": T.floor_time("hour", "1 day"), "id": T.micros("hour")})
+    return rounded(ap_difference(p, ["event_type"], "day", "y", "p", "q", "id", 300, 4))
+
+
 @query("capture", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM events), s AS (SELECT unnest([0.01, 0.05, 0.2])::DOUBLE AS top_share)
 SELECT event_type, top_share, n, CAST(greatest(floor(n * top_share), 1) AS BIGINT) AS k, round(sum(CASE WHEN rk <= greatest(floor(n * top_share), 1) THEN value END) / sum(value), 6) AS captured,
   round(sum(CASE WHEN rk <= greatest(floor(n * top_share), 1) THEN value END) / greatest(floor(n * top_share), 1), 5) AS mean_in_top, round(sum(CASE WHEN rk <= greatest(floor(n * top_share), 1) THEN value END) / sum(value) * n / greatest(floor(n * top_share), 1), 5) AS lift FROM r, s GROUP BY 1, 2, 3""")
@@ -289,6 +309,39 @@ def intervention_effect(t):
     return rounded(E.intervention_effect(full_hours(t), ["event_type"], "hour", "value", "2024-01-18", 10, 0.9, placebo_days=7))
 
 
+def _effect_sql(draws: int) -> str:
+    fields = ["n", "exceed", "excess", "weeks", "episodes", "length"]
+    measures = {"share": ("exceed", "n"), "episodes_per_week": ("episodes", "weeks"), "mean_length": ("length", "episodes"), "mean_excess": ("excess", "exceed")}
+    total = ", ".join(f"sum({f})::DOUBLE AS {f}" for f in fields)
+    rows = " UNION ALL ".join(f"SELECT event_type, side, '{m}' AS measure, {{key}} {a} / nullif({b}, 0) AS v FROM {{source}}" for m, (a, b) in measures.items())
+    return f"""WITH {FULL_HOURS}, w AS (SELECT event_type, hour, value, CASE WHEN hour < TIMESTAMP '2024-01-16' THEN 'pre' ELSE 'post' END AS side, floor(datediff('day', DATE '2024-01-16', CAST(hour AS DATE)) / 7)::BIGINT AS week FROM full_hours
+  WHERE hour >= TIMESTAMP '2024-01-02' AND hour < TIMESTAMP '2024-01-30' AND value IS NOT NULL),
+th AS (SELECT event_type, quantile_cont(value, 0.9) AS thr FROM w WHERE side = 'pre' GROUP BY 1), x AS (SELECT w.*, value - thr AS ex, value > thr AS onx FROM w JOIN th USING (event_type)),
+s AS (SELECT *, CASE WHEN onx AND NOT coalesce(lag(onx) OVER (PARTITION BY event_type, side ORDER BY hour), false) THEN 1 ELSE 0 END AS st FROM x),
+i AS (SELECT *, sum(st) OVER (PARTITION BY event_type, side ORDER BY hour) AS id FROM s), ep AS (SELECT event_type, side, arg_min(week, hour) AS week, count(*) AS length FROM i WHERE onx GROUP BY event_type, side, id),
+wk AS (SELECT a.event_type, a.side, a.week, n, exceed, coalesce(excess, 0) AS excess, 1 AS weeks, coalesce(episodes, 0) AS episodes, coalesce(length, 0) AS length
+  FROM (SELECT event_type, side, week, count(*) AS n, count(*) FILTER (WHERE onx) AS exceed, sum(ex) FILTER (WHERE onx) AS excess FROM x GROUP BY 1, 2, 3) a
+  LEFT JOIN (SELECT event_type, side, week, count(*) AS episodes, sum(length) AS length FROM ep GROUP BY 1, 2, 3) e USING (event_type, side, week)),
+num AS (SELECT *, row_number() OVER (PARTITION BY event_type, side ORDER BY week) - 1 AS i, count(*) OVER (PARTITION BY event_type, side) AS k FROM wk),
+dr AS (SELECT event_type, side, b, CAST('0x' || substr(md5(CASE side WHEN 'pre' THEN '21|' ELSE '22|' END || b || '|' || i), 1, 8) AS BIGINT) % k AS j FROM num, (SELECT unnest(generate_series(0, {draws - 1})) AS b)),
+db AS (SELECT dr.event_type, dr.side, b, {total} FROM dr JOIN num ON num.event_type = dr.event_type AND num.side = dr.side AND num.i = dr.j GROUP BY 1, 2, 3), pt AS (SELECT event_type, side, {total} FROM wk GROUP BY 1, 2),
+lb AS ({rows.format(key="b,", source="db")}), lp AS ({rows.format(key="", source="pt")}),
+rb AS (SELECT p.event_type, p.measure, q.v / nullif(p.v, 0) AS r FROM lb p JOIN lb q ON p.event_type = q.event_type AND p.measure = q.measure AND p.b = q.b AND p.side = 'pre' AND q.side = 'post'),
+ci AS (SELECT event_type, measure, quantile_cont(r, 0.025) AS ci_low, quantile_cont(r, 0.975) AS ci_high FROM rb GROUP BY 1, 2),
+tl AS (SELECT event_type, side, quantile_cont(value, 0.9) AS tail, max(value) AS extreme FROM w GROUP BY 1, 2)
+SELECT p.event_type, p.measure, round(p.v, 6) AS pre, round(q.v, 6) AS post, round(q.v / nullif(p.v, 0), 6) AS effect, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high
+FROM lp p JOIN lp q ON p.event_type = q.event_type AND p.measure = q.measure AND p.side = 'pre' AND q.side = 'post' JOIN ci ON ci.event_type = p.event_type AND ci.measure = p.measure
+UNION ALL SELECT p.event_type, m, round(CASE m WHEN 'tail' THEN p.tail ELSE p.extreme END, 6), round(CASE m WHEN 'tail' THEN q.tail ELSE q.extreme END, 6), round(CASE m WHEN 'tail' THEN q.tail - p.tail ELSE q.extreme - p.extreme END, 6), NULL, NULL
+FROM tl p JOIN tl q ON p.event_type = q.event_type AND p.side = 'pre' AND q.side = 'post', (VALUES ('tail'), ('extreme')) v(m)"""
+
+
+@query("intervention_intervals", _effect_sql(1000))
+def intervention_intervals(t):
+    from ..operators.resample import effect_intervals
+
+    return rounded(effect_intervals(full_hours(t), ["event_type"], "hour", "value", "2024-01-16", 14, 0.9, 1000, 21))
+
+
 # ---------------------------------------------------------------- models and recurrence
 # A ridge penalty is a least-squares fit with one more row per feature; the forecast of a row is what sweeping takes out of it.
 _RIDGE = f"""WITH {PREDS}, f AS (SELECT DISTINCT priority, fold AS f FROM preds WHERE fold >= 0),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeaxis as T
 from ..operators import stats as S
+from ..operators.resample import block_bootstrap
 from ..session import cut_lineage
 from .evaluation import BLOCKS, naive_predictions
 from .quality import WIDE, wide_hours
@@ -222,7 +223,7 @@ SELECT m.event_type, round(any_value(estimate), 6) AS estimate, round(quantile_c
 def bootstrap_ci(t, draws=200):
     e = t("events").withColumn("day", T.floor_time("ts", "1 day"))
     sums = {"s": exact_sum("value"), "c": F.count(F.lit(1)).cast("double")}
-    return rounded(S.block_bootstrap(e, ["event_type"], "day", sums, F.col("s") / F.col("c"), draws, 11))
+    return rounded(block_bootstrap(e, ["event_type"], "day", sums, F.col("s") / F.col("c"), draws, 11))
 
 
 @query("moving_block_bootstrap", f"""WITH {DAILY_ORDERS}, i AS (SELECT priority, price, row_number() OVER (PARTITION BY priority ORDER BY day) AS i, count(*) OVER (PARTITION BY priority) AS n FROM daily), z AS (SELECT DISTINCT priority, n FROM i),
