@@ -168,11 +168,11 @@ def lagged_products(df: DataFrame, by: Sequence[str], order: str, columns: Seque
     return lagged_sums(rows, by, "_kw_i", columns, range(lags + 1))
 
 
-def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequence[str], lags: int, chunk: str | int = "30 days") -> DataFrame:
-    """OLS coefficients with Newey-West standard errors for a fixed set of regressors.
+def sandwich(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequence[str], lags: int, chunk: str | int = "30 days") -> DataFrame:
+    """(*by, beta, cov, n): OLS coefficients and their flattened Newey-West covariance.
 
-    Two reductions: Gram matrices give the coefficients, then the lagged products of the
-    scores (regressor times residual) give the middle of the sandwich.
+    Two reductions: Gram matrices give the coefficients, then the lagged products of the scores (regressor times residual) give the
+    middle of the sandwich.
     """
     k = len(xs)
     mats = gram(df, [y, *xs], by)
@@ -187,38 +187,84 @@ def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequenc
                 b, _ = _solve(g, list(range(1, k + 1)), 0)
                 inv = np.linalg.pinv(g[1:, 1:])
                 rows.append([*[rec[c] for c in by], b.tolist(), inv.ravel().tolist(), int(rec["n"])])
-            yield pd.DataFrame(rows, columns=[*by, "_kw_beta", "inv", "n"])
+            yield pd.DataFrame(rows, columns=[*by, "beta", "inv", "n"])
 
-    fits = mats.mapInPandas(coefficients, f"{lead}_kw_beta array<double>, inv array<double>, n bigint")
+    fits = cut_lineage(mats.mapInPandas(coefficients, f"{lead}beta array<double>, inv array<double>, n bigint"))
     complete = df
     for c in (y, *xs):
         complete = complete.where(F.col(c).isNotNull())
-    joined = complete.transform(match, fits.select(*by, "_kw_beta"), list(by)) if by else complete.join(F.broadcast(fits.select("_kw_beta")))
+    known = fits.select(*by, F.col("beta").alias("_kw_beta"))
+    joined = complete.transform(match, known, list(by)) if by else complete.join(F.broadcast(known))
     residual = F.col(y) - sum((F.col("_kw_beta")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
     joined = joined.withColumn("_kw_e", residual)
     scored = joined.select(*by, order, *[(F.col(x) * F.col("_kw_e")).alias(f"u{i}") for i, x in enumerate(xs)])
     products = lagged_products(scored, by, order, [f"u{i}" for i in range(k)], lags, chunk)
     packed = products.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("lag", "s"))).alias("p"))
     table = packed.transform(match, fits, list(by)) if by else packed.join(F.broadcast(fits))
-    names = list(xs)
 
-    def sandwich(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def middle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for rec in batch.to_dict("records"):
                 inv = np.asarray(rec["inv"], dtype=float).reshape(k, k)
-                middle = np.zeros((k, k))
+                meat = np.zeros((k, k))
                 for item in rec["p"]:
-                    s = np.asarray(item["s"], dtype=float).reshape(k, k)
+                    m = np.asarray(item["s"], dtype=float).reshape(k, k)
                     lag = int(item["lag"])
-                    middle += s if lag == 0 else (1 - lag / (lags + 1)) * (s + s.T)
+                    meat += m if lag == 0 else (1 - lag / (lags + 1)) * (m + m.T)
                 n = rec["n"]
-                se = np.sqrt(np.diag(inv @ middle @ inv) * n / max(n - k, 1))
-                for i, x in enumerate(names):
-                    rows.append([*[rec[c] for c in by], x, rec["_kw_beta"][i], se[i], rec["_kw_beta"][i] / se[i] if se[i] > 0 else None, int(n)])
-            yield pd.DataFrame(rows, columns=[*by, "feature", "coef", "se", "t", "n"])
+                rows.append([*[rec[c] for c in by], rec["beta"], (inv @ meat @ inv * n / max(n - k, 1)).ravel().tolist(), int(n)])
+            yield pd.DataFrame(rows, columns=[*by, "beta", "cov", "n"])
+
+    return table.mapInPandas(middle, f"{lead}beta array<double>, cov array<double>, n bigint")
+
+
+def newey_west(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequence[str], lags: int, chunk: str | int = "30 days") -> DataFrame:
+    """OLS coefficients with Newey-West standard errors for a fixed set of regressors."""
+    k = len(xs)
+    cells = F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col("beta")[i].alias("coef"), F.sqrt(F.greatest(F.col("cov")[i * k + i], F.lit(0.0))).alias("se")) for i, x in enumerate(xs)]))
+    out = sandwich(df, by, order, y, xs, lags, chunk).select(*by, cells.alias("c"), "n").select(*by, "c.*", "n")
+    return out.select(*by, "feature", "coef", "se", (F.col("coef") / F.nullif(F.col("se"), F.lit(0.0))).alias("t"), "n")
+
+
+def break_study(df: DataFrame, by: Sequence[str], order: str, y: str, xs: Sequence[str], at: str, effects: Sequence[str] = (),
+                placebo_days: Sequence[int] = (), lags: int = 7, chunk: str | int = "30 days") -> DataFrame:
+    """Did slopes change at a date? The model is y on [x, x * post], demeaned by the effects, with Newey-West covariances.
 
-    return table.mapInPandas(sandwich, f"{lead}feature string, coef double, se double, t double, n bigint")
+    One row per series, design (0: the date itself; d: a placebo d days earlier, on rows before the date only) and feature: slopes before and after, change, its t
+    and p-value, the joint robust Wald statistic ``wald_f`` of all changes with ``p_joint``, and ``q_bh`` over the joint tests of the
+    result. All designs are fitted together; rows travel once per design.
+    """
+    day = F.col(order).cast("date")
+    designs = F.explode(F.array(*[F.lit(int(d)) for d in (0, *placebo_days)]))
+    rows = df.withColumn("design", designs)
+    start = F.date_sub(F.lit(at).cast("date"), F.col("design"))
+    rows = rows.where((F.col("design") == 0) | (day < F.lit(at).cast("date"))).withColumn("_kw_post", (day >= start).cast("double"))
+    for c in (y, *xs):
+        rows = rows.where(F.col(c).isNotNull())
+    rows = rows.withColumns({f"{x}_post": F.col(x) * F.col("_kw_post") for x in xs})
+    names, keys = [y, *xs, *[f"{x}_post" for x in xs]], [*by, "design"]
+    rows = cut_lineage(within(rows, [*keys, *effects], names).select(*keys, order, *[f"{c}__w" for c in names]))
+    fits = sandwich(rows, keys, order, f"{y}__w", [f"{c}__w" for c in names[1:]], lags, chunk)
+    half, k = len(xs), 2 * len(xs)
+    lead = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fits.schema if f.name in keys)
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for rec in batch.to_dict("records"):
+                b, cov = np.asarray(rec["beta"], float), np.asarray(rec["cov"], float).reshape(k, k)
+                change, spread = b[half:], cov[half:, half:]
+                wald = float(change @ np.linalg.pinv(spread) @ change) / half
+                for i, x in enumerate(xs):
+                    se = math.sqrt(max(spread[i, i], 0.0))
+                    out.append([*[rec[c] for c in keys], x, b[i], b[i] + change[i], change[i], change[i] / se if se > 0 else None, wald, int(rec["n"])])
+            yield pd.DataFrame(out, columns=[*keys, "feature", "slope_before", "slope_after", "slope_change", "t_change", "wald_f", "n"])
+
+    found = cut_lineage(fits.mapInPandas(test, f"{lead}, feature string, slope_before double, slope_after double, slope_change double, t_change double, wald_f double, n bigint"))
+    found = found.withColumns({"p_change": normal_two_sided("t_change"), "p_joint": f_tail(F.col("wald_f"), F.lit(half), F.col("n") - k)})
+    joint = bh(found.select(*keys, "p_joint").distinct(), "p_joint").select(*keys, "q_bh")
+    return found.transform(match, joint, keys)
 
 
 def granger(df: DataFrame, by: Sequence[str], order: str, y: str, xs: str | Sequence[str], lags: Sequence[int], min_n: int = 30,

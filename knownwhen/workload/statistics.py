@@ -137,6 +137,27 @@ def break_test(t):
     return rounded(rounded(out, 4, "joint_f"), 5, "slope_before", "slope_change")
 
 
+_STUDY = f"""WITH {DAILY_ORDERS}, v AS (SELECT priority, design, day, (dayofweek(day) + 6) % 7 AS dow, price AS y, n::DOUBLE AS a, CASE WHEN day >= DATE '1998-06-11' - design THEN n::DOUBLE ELSE 0.0::DOUBLE END AS p
+  FROM daily, (SELECT unnest([0, 365, 730]) AS design) WHERE design = 0 OR day < DATE '1998-06-11'),
+d AS (SELECT priority, design, day, y - avg(y) OVER w AS y, a - avg(a) OVER w AS a, p - avg(p) OVER w AS p FROM v WINDOW w AS (PARTITION BY priority, design, dow)),
+g AS (SELECT priority, design, count(*) AS n, sum(a * a) AS aa, sum(a * p) AS ap, sum(p * p) AS pp, sum(a * y) AS ay, sum(p * y) AS py FROM d GROUP BY 1, 2),
+b AS (SELECT *, aa * pp - ap * ap AS det, (ay * pp - py * ap) / (aa * pp - ap * ap) AS b1, (py * aa - ay * ap) / (aa * pp - ap * ap) AS b2 FROM g),
+u AS (SELECT d.priority, d.design, a * (y - b1 * a - b2 * p) AS u1, p * (y - b1 * a - b2 * p) AS u2, row_number() OVER (PARTITION BY d.priority, d.design ORDER BY day) AS i FROM d JOIN b USING (priority, design)),
+m AS (SELECT u.priority, u.design, sum(w * u.u1 * z.u1) AS m11, sum(w * (u.u1 * z.u2 + u.u2 * z.u1) / 2) AS m12, sum(w * u.u2 * z.u2) AS m22
+  FROM u JOIN u z ON z.priority = u.priority AND z.design = u.design AND u.i - z.i BETWEEN 0 AND 7, LATERAL (SELECT CASE WHEN u.i = z.i THEN 1.0::DOUBLE ELSE 2 * (1 - (u.i - z.i) / 8.0::DOUBLE) END AS w) GROUP BY 1, 2),
+r AS (SELECT priority, design, n, b1, b2, (ap * ap * m11 - 2 * ap * aa * m12 + aa * aa * m22) / det / det * n / (n - 2) AS var FROM b JOIN m USING (priority, design)),
+f AS (SELECT *, b2 * b2 / var AS f FROM r), t AS (SELECT *, {f_tail_sql("f", "1", "(n - 2)")} AS p FROM f), q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS raw FROM t)
+SELECT priority, design, 'n_' AS feature, round(b1, 5) AS slope_before, round(b1 + b2, 5) AS slope_after, round(b2, 5) AS slope_change, round(b2 / sqrt(var), 4) AS t_change, round(f, 4) AS wald_f, n, round(p, 4) AS p_joint,
+  round(least(1, min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS q_bh FROM q"""
+
+
+@query("break_study", _STUDY)
+def break_study(t):
+    d = daily_orders(t).withColumns({"n_": F.col("n").cast("double"), "dow": F.weekday("day")})
+    out = S.break_study(d, ["priority"], "day", "price", ["n_"], "1998-06-11", ["dow"], [365, 730], 7, "365 days").drop("p_change")
+    return rounded(rounded(out, 5, "slope_before", "slope_after", "slope_change"), 4, "t_change", "wald_f", "p_joint", "q_bh")
+
+
 @query("before_after", f"""WITH {DAILY_ORDERS}, b AS (SELECT priority, CAST(d AS DATE) AS brk FROM (SELECT DISTINCT priority FROM daily), (SELECT unnest([DATE '1997-06-01', DATE '1998-01-01', DATE '2000-03-01']) AS d)),
 l AS (SELECT priority, brk, greatest(brk - 200, coalesce(lag(brk) OVER w, brk - 200)) AS lo, least(brk + 200, coalesce(lead(brk) OVER w, brk + 200)) AS hi FROM b WINDOW w AS (PARTITION BY priority ORDER BY brk)),
 s AS (SELECT priority, brk AS break_at, design, brk - shift AS brk, lo - shift AS lo, hi - shift AS hi FROM l, (VALUES ('break', 0), ('placebo', 365)) v(design, shift)),
