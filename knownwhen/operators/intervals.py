@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -216,45 +217,50 @@ def explode_intervals(df: DataFrame, start: str, end: str, step: str | int, name
     return df.withColumn(name, F.explode(instants(T.floor_time(start, step), F.col(end), step)))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_pos: tuple[str, str], right_pos: tuple[str, str],
-            left_id: str, right_id: str, k: int = 1, cells: Sequence[float] = (1.0, 6.0, 36.0)) -> DataFrame:
-    """The ``k`` nearest right points of every left point by great-circle distance, exactly.
+EARTH_KM = 6371.0
+
+
+def _cells(lat: str, lon: str, side: Column, around: bool) -> Column:
+    """Cube of the given side that holds the point on the unit sphere; with ``around``, that cube and its 26 neighbours."""
+    la, lo = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
+    own = [F.floor(c / side) for c in (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))]
+    if not around:
+        return F.struct(*[c.alias(n) for c, n in zip(own, "xyz")])
+    steps = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    return F.explode(F.transform(steps, lambda d: F.struct(*[(c + d[n]).alias(n) for c, n in zip(own, "xyz")])))
 
-    A pass hashes both sides on cells of some degrees and looks at the neighbouring cells. A
-    left point is settled once its k-th match is nearer than anything outside those cells can
-    be; the rest goes to the next, coarser pass, and what remains then (points with no right
-    point within a quarter of the globe, or close to a pole) meets the whole right table.
+
+def nearest(left: DataFrame, right: DataFrame, left_pos: tuple[str, str], right_pos: tuple[str, str],
+            left_id: str, right_id: str, k: int = 1, finest_km: float = 100.0) -> DataFrame:
+    """The ``k`` nearest right points of every left point by great-circle distance, exactly; all, if fewer. Points without position take no part.
+
+    Both sides lie in cubes around the unit sphere, whose sides double from ``finest_km`` on. Right points are counted per cube of every
+    size, and a left point takes the smallest of its cubes that holds ``k`` of them: no match can then be further than that cube's diagonal,
+    and the ring of cubes of twice the side reaches further. One equi-join at that size therefore sees every possible match, and
+    few others: a point in a crowded region looks at small cubes, a lonely one at large ones. Only a point with fewer than ``k`` right points in
+    its octant of the sphere looks at all of it.
     """
     from ..functions.numeric import haversine_km
     from .ranks import pick_top
 
-    km = haversine_km(F.col(left_pos[0]), F.col(left_pos[1]), F.col(right_pos[0]), F.col(right_pos[1]))
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        return pick_top(pairs.withColumn("km", km), [left_id], k, F.col("km"), F.col(right_id))
-
-    done: DataFrame | None = None
-    open_: DataFrame = left
-    for cell in (*cells, 360.0):
-        if cell >= 360:
-            found = ranked(open_.withColumn("_kw_all", F.lit(0)).join(right.withColumn("_kw_all", F.lit(0)), "_kw_all")
-                           .drop("_kw_all"))
-            return found if done is None else done.unionByName(found)
-        columns = int(360 / cell)
-        near = F.sequence(F.lit(-1), F.lit(1))
-        row = F.floor((F.col(left_pos[0]) + 90) / cell)
-        col_ = F.floor((F.col(left_pos[1]) + 180) / cell)
-        l = open_.withColumn("_kw_y", F.explode(F.transform(near, lambda d: row + d))).withColumn(
-            "_kw_x", F.explode(F.array_distinct(F.transform(near, lambda d: F.pmod(col_ + d, F.lit(columns))))))
-        r = right.withColumns({"_kw_y": F.floor((F.col(right_pos[0]) + 90) / cell),
-                               "_kw_x": F.pmod(F.floor((F.col(right_pos[1]) + 180) / cell), F.lit(columns))})
-        found = ranked(l.join(r, ["_kw_y", "_kw_x"]).drop("_kw_y", "_kw_x"))
-        width = F.radians(F.lit(float(cell)))
-        safe = 6371.0 * F.least(width, F.asin(F.cos(F.radians(left_pos[0])) * F.sin(F.least(width, F.lit(1.5)))))
-        settled = (found.withColumn("_kw_safe", safe).groupBy(left_id)
-                   .agg(F.count(F.lit(1)).alias("_kw_n"), F.max("km").alias("_kw_far"), F.first("_kw_safe").alias("_kw_safe"))
-                   .where((F.col("_kw_n") == k) & (F.col("_kw_far") <= F.col("_kw_safe"))).select(left_id))
-        part = found.join(settled, left_id, "left_semi")
-        done = part if done is None else done.unionByName(part)
-        open_ = open_.join(settled, left_id, "left_anti")
-    raise AssertionError("unreachable")
+    first = min(finest_km / EARTH_KM, 1.0)
+    last = max(0, math.ceil(math.log2(2.0 / first)))  # here the 27 cubes around any point hold the sphere
+    side_of = lambda level: F.lit(first) * F.pow(F.lit(2.0), level)
+    placed = lambda df, pos: df.where(F.col(pos[0]).isNotNull() & F.col(pos[1]).isNotNull())
+    levels = F.explode(F.sequence(F.lit(0), F.lit(last)))
+    points = placed(left, left_pos)
+    finest = placed(right, right_pos).select(_cells(*right_pos, F.lit(first), False).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("_kw_n"))
+    up = lambda c: F.floor(F.col("c")[c] / F.pow(F.lit(2.0), F.col("_kw_level"))).alias(c)
+    counts = finest.withColumn("_kw_level", levels).groupBy("_kw_level", F.struct(*[up(c) for c in "xyz"]).alias("_kw_c")).agg(F.sum("_kw_n").alias("_kw_n"))
+    own = points.select(left_id, *left_pos).distinct().withColumn("_kw_level", levels)
+    own = own.withColumn("_kw_c", _cells(*left_pos, side_of(F.col("_kw_level")), False)).join(counts.where(F.col("_kw_n") >= k), ["_kw_level", "_kw_c"], "left")
+    small = F.min(F.when(F.col("_kw_n").isNotNull(), F.col("_kw_level")))
+    settled = cut_lineage(own.groupBy(left_id, *left_pos).agg(F.least(F.coalesce(small + 1, F.lit(last)), F.lit(last)).alias("_kw_level")))
+    used = sorted(r[0] for r in settled.select("_kw_level").distinct().collect()) or [last]  # at most one per size
+    asked = settled.withColumn("_kw_c", _cells(*left_pos, side_of(F.col("_kw_level")), True)).select(F.col(left_id).alias("_kw_id"), *[F.col(c).alias(f"_kw_{i}") for i, c in enumerate(left_pos)], "_kw_level", "_kw_c")
+    offered = placed(right, right_pos).withColumn("_kw_level", F.explode(F.array(*[F.lit(u) for u in used])))
+    offered = offered.withColumn("_kw_c", _cells(*right_pos, side_of(F.col("_kw_level")), False))
+    km = haversine_km(F.col("_kw_0"), F.col("_kw_1"), F.col(right_pos[0]), F.col(right_pos[1]))
+    found = pick_top(asked.join(offered, ["_kw_level", "_kw_c"]).drop("_kw_c", "_kw_level").withColumn("km", km), ["_kw_id", "_kw_0", "_kw_1"], k, F.col("km"), F.col(right_id))
+    same = (F.col(left_id) == F.col("_kw_id")) & (F.col(left_pos[0]) == F.col("_kw_0")) & (F.col(left_pos[1]) == F.col("_kw_1"))
+    return points.join(found, same).drop("_kw_id", "_kw_0", "_kw_1")

@@ -87,7 +87,7 @@ def nearest_stations(t):
 
     c = place(t("customer"), "c_custkey", "id", "lat", "lon", 37, 91, 1700, 85.0)
     s = place(t("supplier"), "s_suppkey", "station", "slat", "slon", 53, 29, 1600, 80.0)
-    out = I.nearest(c, s, ("lat", "lon"), ("slat", "slon"), "id", "station", 3, cells=(12.0, 36.0))
+    out = I.nearest(c, s, ("lat", "lon"), ("slat", "slon"), "id", "station", 3, finest_km=1000.0)
     return rounded(out.select("id", "station", "km", F.col("rank").cast("long").alias("rank")), 4)
 
 
