@@ -87,24 +87,11 @@ def zero_if(df: DataFrame, column: str, pred: Column) -> DataFrame:
 
 def prune_columns(df: DataFrame, cols: Sequence[str], max_missing: float = 0.2, min_distinct: int = 3,
                   max_corr: float = 0.8) -> list[str]:
-    """Columns worth keeping: enough values, enough variation, not a near copy of an earlier one.
+    """Columns worth keeping: enough values, enough variation, not a near copy of an earlier one (see ``wide.column_report``)."""
+    from .wide import column_report
 
-    One aggregate pass returns one row (shares, distinct counts, pairwise correlations).
-    """
-    doubles = {c: F.col(c).cast("double") for c in cols}
-    aggs = [F.avg(F.col(c).isNull().cast("double")).alias(f"m_{c}") for c in cols]
-    aggs += [F.approx_count_distinct(c).alias(f"d_{c}") for c in cols]
-    aggs += [F.stddev_samp(doubles[c]).alias(f"s_{c}") for c in cols]
-    aggs += [corr(doubles[a], doubles[b]).alias(f"r_{i}_{j}")
-             for i, a in enumerate(cols) for j, b in enumerate(cols) if j < i]
-    row = df.agg(*aggs).first().asDict()
-    keep: list[int] = []
-    for i, c in enumerate(cols):
-        usable = (row[f"m_{c}"] is not None and row[f"m_{c}"] <= max_missing
-                  and row[f"d_{c}"] >= min_distinct and (row[f"s_{c}"] or 0) > 1e-9)
-        if usable and all(abs(row[f"r_{i}_{j}"] or 0) <= max_corr for j in keep):
-            keep.append(i)
-    return [cols[i] for i in keep]
+    report = column_report(df, cols, max_missing, min_distinct, max_corr)
+    return [r["column"] for r in report.where("kept").orderBy("position").collect()]
 
 
 def union_all(frames: Sequence[DataFrame], label: str | None = None, names: Sequence[str] = ()) -> DataFrame:

@@ -99,6 +99,27 @@ def gram_matrix(t):
     return m.select("l_returnflag", "n", at(0, 0, 0), at(0, 1, 0), at(0, 2, 2), at(1, 1, 0), at(1, 2, 2), at(2, 2, 4))
 
 
+_PRUNED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "twice", "gappy", "flat", "mixed"]
+_PRUNED_SQL = ", ".join(f"('{a}', '{b}', (SELECT corr({a}, {b}) FROM x))" for i, a in enumerate(_PRUNED) for b in _PRUNED[:i])
+
+
+@query("column_report", f"""WITH RECURSIVE x AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber, 2 * l_quantity AS twice, CASE WHEN l_orderkey % 4 = 0 THEN l_tax END AS gappy, 1.0::DOUBLE AS flat,
+  CASE WHEN l_orderkey % 10 = 0 THEN NULL ELSE l_discount + l_tax END AS mixed FROM lineitem),
+c(position, name, missing, sd, distinct_) AS ({" UNION ALL ".join(f"SELECT {i}, '{c}', avg(CASE WHEN {c} IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), stddev_samp({c}), count(DISTINCT {c}) FROM x" for i, c in enumerate(_PRUNED))}),
+r(a, b, r) AS (VALUES {_PRUNED_SQL}), u AS (SELECT c.*, missing <= 0.2 AND distinct_ >= 3 AND sd > 1e-9 AS usable, (SELECT list(b) FROM r WHERE a = c.name AND abs(r) > 0.8) AS near FROM c),
+k AS (SELECT -1 AS position, NULL::VARCHAR AS name, NULL::VARCHAR AS copy_of, false AS kept, []::VARCHAR[] AS names
+  UNION ALL SELECT u.position, u.name, CASE WHEN usable THEN e.copy END, usable AND e.copy IS NULL, CASE WHEN usable AND e.copy IS NULL THEN list_append(k.names, u.name) ELSE k.names END
+  FROM k JOIN u ON u.position = k.position + 1, LATERAL (SELECT list_filter(k.names, lambda n: list_contains(coalesce(u.near, []::VARCHAR[]), n))[1] AS copy) e)
+SELECT u.position, u.name AS "column", round(missing, 6) AS missing, round(sd, 6) AS sd, usable, copy_of, kept FROM k JOIN u ON u.position = k.position""")
+def column_report(t):
+    from ..operators.wide import column_report as report
+
+    key = F.col("l_orderkey")
+    x = t("lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", (2 * F.col("l_quantity")).alias("twice"), F.when(key % 4 == 0, F.col("l_tax")).alias("gappy"),
+                             F.lit(1.0).alias("flat"), F.when(key % 10 != 0, F.col("l_discount") + F.col("l_tax")).alias("mixed"))
+    return rounded(report(x, _PRUNED))
+
+
 @query("fe_slope", """WITH d AS (SELECT l_returnflag, l_extendedprice - avg(l_extendedprice) OVER w AS y, l_quantity - avg(l_quantity) OVER w AS x FROM lineitem WINDOW w AS (PARTITION BY l_returnflag, l_linenumber))
 SELECT l_returnflag, 'l_quantity' AS feature, round(sum(x * y) / sum(x * x), 4) AS coef, round(pow(sum(x * y), 2) / sum(x * x) / sum(y * y), 6) AS r2_within, count(*) AS n FROM d GROUP BY 1""")
 def fe_slope(t):
