@@ -86,14 +86,14 @@ def extreme_counts(t):
                                          "error_above": (F.col("event_type") == "error") & (F.col("value") > 150)})
 
 
-@query("family_availability", f"""WITH {FULL_HOURS}, w AS (SELECT hour, max(CASE WHEN event_type = 'click' THEN value END) AS click, max(CASE WHEN event_type = 'view' THEN value END) AS view,
-  max(CASE WHEN event_type = 'error' THEN value END) AS error FROM full_hours GROUP BY 1)
-SELECT date_trunc('day', hour) AS day, f.family, round(avg(CASE WHEN f.c = 'click' THEN CASE WHEN click IS NULL THEN 0 ELSE 1 END WHEN f.c = 'view' THEN CASE WHEN view IS NULL THEN 0 ELSE 1 END ELSE CASE WHEN error IS NULL THEN 0 ELSE 1 END END), 6) AS availability
-FROM w, (VALUES ('click', 'traffic'), ('view', 'traffic'), ('error', 'quality')) f(c, family) GROUP BY 1, 2""")
+@query("family_availability", f"""WITH {FULL_HOURS}, w AS (SELECT hour, event_type, max(value) AS v FROM full_hours GROUP BY 1, 2)
+SELECT date_trunc('day', hour) AS day, f.family, round(avg(CASE WHEN v IS NULL THEN 0 ELSE 1 END), 6) AS availability
+FROM w JOIN (VALUES ('click', 'traffic'), ('view', 'traffic'), ('error', 'quality'), ('purchase', 'sales'), ('signup', 'sales')) f(c, family) ON c = event_type GROUP BY 1, 2""")
 def family_availability(t):
-    w = A.pivot_sum(full_hours(t), ["hour"], "event_type", "value", ["click", "view", "error"])
+    families = {"click": "traffic", "view": "traffic", "error": "quality", "purchase": "sales", "signup": "sales"}
+    w = A.pivot_sum(full_hours(t), ["hour"], "event_type", "value", list(families))
     w = w.withColumn("day", F.date_trunc("day", "hour").cast("timestamp_ntz"))
-    return rounded(A.availability(w, {"click": "traffic", "view": "traffic", "error": "quality"}, ["day"]))
+    return rounded(A.availability(w, families, ["day"]))
 
 
 @query("flag_share_by_year", """SELECT year(l_shipdate) AS year, round(avg(CASE WHEN l_discount > 0.08 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 8) AS flag_discount, round(avg(CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 8) AS flag_return FROM lineitem GROUP BY 1""")

@@ -12,14 +12,16 @@ from .grids import FULL_HOURS, full_hours
 from .registry import DAILY_ORDERS, HOURLY, daily_orders, hourly, query, rounded
 
 
+FAMILIES = {"click": ("click", "purchase"), "view": ("view", "signup"), "error": ("error",)}
+
+
 def wide_hours(t):
-    """Hourly means of three event types side by side."""
-    h = full_hours(t)
-    cols = {k: F.max(F.when(F.col("event_type") == k, F.col("value"))) for k in ("click", "view", "error")}
-    return h.groupBy("hour").agg(*[c.alias(k) for k, c in cols.items()])
+    """Hourly means side by side: per family of event types the highest of them."""
+    cols = {k: F.max(F.when(F.col("event_type").isin(*types), F.col("value"))) for k, types in FAMILIES.items()}
+    return full_hours(t).groupBy("hour").agg(*[c.alias(k) for k, c in cols.items()])
 
 
-WIDE = f"""{FULL_HOURS}, wide AS (SELECT hour, max(CASE WHEN event_type = 'click' THEN value END) AS click, max(CASE WHEN event_type = 'view' THEN value END) AS view,
+WIDE = f"""{FULL_HOURS}, wide AS (SELECT hour, max(CASE WHEN event_type IN ('click', 'purchase') THEN value END) AS click, max(CASE WHEN event_type IN ('view', 'signup') THEN value END) AS view,
   max(CASE WHEN event_type = 'error' THEN value END) AS error FROM full_hours GROUP BY 1)"""
 
 
@@ -69,16 +71,19 @@ x AS (SELECT w.series, w.bucket, s.ts IS NOT NULL AS have FROM w LEFT JOIN s ON
 h AS (SELECT series, date_trunc('hour', bucket) AS hr, bool_or(have AND bucket = date_trunc('hour', bucket)) AND count(*) FILTER (WHERE NOT have) > 0 AS coarse FROM x GROUP BY 1, 2),
 g AS (SELECT *, count(*) FILTER (WHERE NOT coarse) OVER (PARTITION BY series ORDER BY hr) AS id FROM h),
 r AS (SELECT series, hr, coarse AND count(*) FILTER (WHERE coarse) OVER (PARTITION BY series, id) >= 6 AS res FROM g),
-y AS (SELECT x.*, res, date_trunc('hour', bucket) AS hr, CASE WHEN NOT have AND NOT res THEN 'gap' WHEN NOT have THEN 'resolution' END AS kind FROM x JOIN r ON r.series = x.series AND r.hr = date_trunc('hour', x.bucket))
-SELECT series, kind, CAST(count(*) AS BIGINT) AS n_missing FROM y WHERE kind IS NOT NULL GROUP BY 1, 2""")
+y AS (SELECT x.*, res, date_trunc('hour', bucket) AS hr, CASE WHEN NOT have AND NOT res THEN 'gap' WHEN NOT have THEN 'resolution' END AS kind FROM x JOIN r ON r.series = x.series AND r.hr = date_trunc('hour', x.bucket)),
+gr AS (SELECT series, bucket, CAST(epoch(bucket) / 900 AS BIGINT) - row_number() OVER (PARTITION BY series ORDER BY bucket) AS id FROM y WHERE kind = 'gap'),
+rh AS (SELECT series, hr, min(bucket) AS a, max(bucket) AS z, count(*) AS k, CAST(epoch(hr) / 3600 AS BIGINT) - row_number() OVER (PARTITION BY series ORDER BY hr) AS id FROM y WHERE kind = 'resolution' GROUP BY 1, 2)
+SELECT series, 'gap' AS kind, min(bucket) AS start_utc, max(bucket) + INTERVAL 15 MINUTE AS end_utc, count(*)::BIGINT AS n_missing FROM gr GROUP BY series, id
+UNION ALL SELECT series, 'resolution', min(a), max(z) + INTERVAL 15 MINUTE, sum(k)::BIGINT FROM rh GROUP BY series, id
+UNION ALL SELECT series, 'head', TIMESTAMP '1900-01-01', f, NULL FROM b UNION ALL SELECT series, 'tail', l + INTERVAL 15 MINUTE, TIMESTAMP '2100-01-01', NULL FROM b""")
 def gap_scan_resolution(t):
     hour = T.floor_time("ts", "1 hour")
     e = t("events").select((F.col("event_type") == "click").cast("int").alias("series"), hour.alias("ts"), F.dayofmonth("ts").alias("d"))
     offsets = F.when(F.col("d") % 10 > 3, F.array(*[F.lit(k) for k in range(4)])).otherwise(F.array(F.lit(0)))
     q = e.withColumn("k", F.explode(offsets)).select("series", T.plus("ts", F.col("k").cast("long") * 15 * T.MICROS["minute"]).alias("ts")).distinct()
     low, high = F.lit("1900-01-01").cast("timestamp_ntz"), F.lit("2100-01-01").cast("timestamp_ntz")
-    out = Y.gap_scan(q, ["series"], "ts", "15 minutes", low, high, resolution_hours=6, chunk="7 days")
-    return out.where(F.col("kind").isin("gap", "resolution")).groupBy("series", "kind").agg(F.sum("n_missing").alias("n_missing"))
+    return Y.gap_scan(q, ["series"], "ts", "15 minutes", low, high, resolution_hours=6, chunk="7 days")
 
 
 @query("interval_gaps", """WITH iv AS (SELECT l_suppkey, l_shipdate AS s, min(l_shipdate + l_linenumber * INTERVAL 1 DAY) AS e FROM lineitem GROUP BY 1, 2), l AS (SELECT *, lag(e) OVER (PARTITION BY l_suppkey ORDER BY s) AS p FROM iv)
@@ -151,14 +156,18 @@ def best_lag(t):
     return rounded(out.withColumn("best_lag", F.col("best_lag").cast("long")))
 
 
-@query("splice_report", f"""WITH {HOURLY}, a AS (SELECT * FROM hourly WHERE event_type = 'click'), b AS (SELECT * FROM hourly WHERE event_type = 'view'),
-c AS (SELECT a.hour, 'value' AS feature, a.value AS x, b.value AS y FROM a JOIN b USING (hour) UNION ALL SELECT a.hour, 'n', a.n, b.n FROM a JOIN b USING (hour))
-SELECT feature, date_trunc('week', hour) AS period, count(*) AS n, round(corr(x, y), 6) AS corr, round(avg(y) / avg(x) - 1, 6) AS relative_level FROM c GROUP BY 1, 2""")
+@query("splice_report", f"""WITH {HOURLY}, k AS (SELECT unnest(['click', 'view', 'error', 'purchase']) AS k, unnest(['view', 'error', 'purchase', 'signup']) AS l), a AS (SELECT k, hourly.* FROM hourly JOIN k ON event_type = k), b AS (SELECT k, hourly.* FROM hourly JOIN k ON event_type = l),
+c AS (SELECT k, a.hour, 'value' AS feature, a.value AS x, b.value AS y FROM a JOIN b USING (k, hour) UNION ALL SELECT k, a.hour, 'n', a.n, b.n FROM a JOIN b USING (k, hour))
+SELECT feature, k || ' ' || CAST(date_trunc('week', hour) AS DATE) AS period, count(*) AS n, round(corr(x, y), 6) AS corr, round(avg(y) / avg(x) - 1, 6) AS relative_level FROM c GROUP BY 1, 2""")
 def splice_report(t):
-    h = hourly(t)
-    pick = lambda k: h.where(F.col("event_type") == k).select("hour", "value", "n")
-    out = Y.splice_report(pick("click"), pick("view"), ["hour"], ["value", "n"], F.date_trunc("week", "hour").cast("timestamp_ntz"))
-    return rounded(out)
+    """Each event type spliced to the next one."""
+    kinds = ["click", "view", "error", "purchase", "signup"]
+    after = F.create_map(*[F.lit(x) for pair in zip(kinds[1:], kinds) for x in pair])
+    h = hourly(t).select("event_type", "hour", "value", "n")
+    a = h.where(F.col("event_type") != "signup").withColumnRenamed("event_type", "k")
+    b = h.select(F.get(F.array(after[F.col("event_type")]), F.lit(0)).alias("k"), "hour", "value", "n").where("k is not null")
+    period = F.concat_ws(" ", "k", F.date_trunc("week", "hour").cast("date").cast("string"))
+    return rounded(Y.splice_report(a, b, ["k", "hour"], ["value", "n"], period))
 
 
 @query("conflicting_copies", """SELECT l_orderkey, l_linenumber, count(*) AS copies, count(DISTINCT (l_quantity, l_discount)) AS variants FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -182,9 +191,11 @@ def conservation_check(t):
     return Y.conserved(li, per, {"offered": "s", "first_only": "m"})
 
 
-@query("spot_check", f"""WITH {DAILY_ORDERS} SELECT priority, day FROM daily WHERE false""")
+@query("spot_check", f"""WITH {DAILY_ORDERS}, s AS (SELECT priority, day FROM daily ORDER BY md5('3|' || priority || '|' || day), priority, day LIMIT 200) SELECT priority, day FROM s WHERE day(day) = 7""")
 def spot_check(t):
+    """The recomputation is off by a hair on the seventh of each month: exactly those of the sampled keys come back."""
     brute = t("orders").groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("date").alias("day")).agg((F.avg("o_totalprice") / 1083.7).alias("price"))
+    brute = brute.withColumn("price", F.col("price") + F.when(F.dayofmonth("day") == 7, 0.001).otherwise(0.0))
     return Y.spot_check(daily_orders(t), brute, ["priority", "day"], ["price"], n=200, seed=3).select("priority", "day")
 
 

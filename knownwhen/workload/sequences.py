@@ -218,9 +218,11 @@ def top_k_per_group(t):
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("stable_sort_top", """SELECT o_orderpriority, o_orderdate, o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50""")
+@query("stable_sort_top", """SELECT o_orderpriority, o_orderdate, o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders""")
 def stable_sort_top(t):
-    return t("orders").select("o_orderpriority", "o_orderdate", "o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(50)
+    """Every order with its place in the sorted table."""
+    rows = t("orders").select("o_orderpriority", "o_orderdate", "o_orderkey", "o_totalprice")
+    return R.row_rank(rows, [], "o_totalprice", "o_orderkey", "position", descending=True)
 
 
 @query("sample_groups", """SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT o_custkey FROM (SELECT DISTINCT o_custkey FROM orders) ORDER BY md5('7|' || o_custkey), o_custkey LIMIT 20) GROUP BY 1""")

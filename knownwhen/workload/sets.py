@@ -22,11 +22,13 @@ def missing_buckets(t):
     return Y.missing_buckets(span_grid(h, "hour", "1 hour", ["event_type"]), h, ["event_type", "hour"])
 
 
-@query("common_keys", """SELECT hour FROM (SELECT date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'click' INTERSECT SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'view' INTERSECT SELECT date_trunc('hour', ts) FROM events WHERE event_type = 'error')""")
+@query("common_keys", """SELECT hour FROM (SELECT date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'click' INTERSECT SELECT date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'view' INTERSECT SELECT date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'error' INTERSECT SELECT date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'purchase' INTERSECT SELECT date_trunc('hour', ts) AS hour FROM events WHERE event_type = 'signup')""")
 def common_keys(t):
     h = hourly(t)
-    hours = [h.where(F.col("event_type") == k).select("hour") for k in ("click", "view", "error")]
-    return hours[0].intersect(hours[1]).intersect(hours[2])
+    first, *rest = [h.where(F.col("event_type") == k).select("hour") for k in ("click", "view", "error", "purchase", "signup")]
+    for hours in rest:
+        first = first.intersect(hours)
+    return first
 
 
 @query("except_all_rows", """SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_tax < 0.05 EXCEPT ALL SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE l_discount < 0.05""")
