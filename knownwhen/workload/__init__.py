@@ -7,7 +7,7 @@ from importlib import import_module
 from .registry import ORACLES, QUERIES
 
 MODULES = ("grids", "shaping", "asof", "joins", "bids", "aggregates", "sequences", "sources", "quality", "evaluation",
-           "statistics", "policies", "sets", "streams", "resampled")
+           "statistics", "policies", "sets", "streams", "resampled", "landing")
 
 
 def load() -> tuple[dict, dict]:
