@@ -162,10 +162,17 @@ def test_top_k_equals_brute_force(spark, block, group, asked):
 def test_blocks_below_the_bound_are_skipped():
     near, far = np.full((4, 3), 90), np.full((4, 3), 1)
     ids = np.arange(4)
-    found, scored = topk._search([(np.array([99]), np.array([[1, 1, 1]]))], [(ids, near), (ids + 10, far), (ids + 20, far)], 3)
+    found, scored = topk._search([(np.array([99]), np.array([99]), np.array([[1, 1, 1]]))], [(ids, ids, near), (ids + 10, ids + 10, far), (ids + 20, ids + 20, far)], 3)
     assert scored == 1 and list(found.vec_id) == [0, 1, 2]
 
 
+def test_top_k_keeps_rows_that_repeat_an_id(spark):
+    clean = topk.integer_vectors(vectors(spark, [(0, [1.0, 0.0], "c", 0), (1, [1.0, 0.0], "c", 0), (1, [2.0, 0.0], "c", 0), (2, [0.5, 0.0], "c", 0), (0, [3.0, 0.0], "c", 0)]))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(clean, clean.where("vec_id = 0"), 3).collect())
+    one, three = 65536, 3 * 65536
+    assert got == sorted([(0, 1, 0, three), (0, 2, 1, 2 * one), (0, 3, 1, one), (0, 1, 1, 2 * three), (0, 2, 0, three), (0, 3, 1, three)])
+
+
 def test_top_k_of_nothing(spark):
     none = topk.integer_vectors(vectors(spark, []))
     assert topk.top_k(none, none, 5).collect() == []
