@@ -45,6 +45,19 @@ def test_stages_chain(spark):
     assert Counter(map(tuple, docs.collect())) == Counter(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect()))
 
 
+def test_rows_not_ids_and_columns_of_any_name(spark):
+    text = "One long first line of this text and some further words that make it longer"
+    rows = [(1, text), (2, text + " once more today"), (2, "Quite another text that merely shares its id with a copy of the first"), (5, text), (5, text), (None, text)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("copy", "shuffle_key", "n_lines", "n_removed", "component_id", "n_shingles"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    kept = corpus_pipeline.near_copies(spark, docs, SF_DIR)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[0], rows[2], rows[5]])
+    for stage in (corpus_pipeline.near_copies, corpus_pipeline.source_mixture, corpus_pipeline.repeated_lines):
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns and out.where("copy <> 'mine' or shuffle_key <> 'mine' or n_lines <> 'mine' or n_removed <> 'mine'").isEmpty()
+
+
 def test_stages_on_odd_documents(spark):
     text = "One long first line of this text\nand one more line that is not short"
     rows = [(1, text, "en", "a", 70), (2, text, "en", "a", 70), (3, text.replace("more", "mores"), "en", None, 71), (4, None, None, "a", None), (5, "", "de", "b", 0), (None, "Some other text in a row without id", "en", "b", 5), (1, text, "en", "a", 70)]
