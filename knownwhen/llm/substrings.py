@@ -247,4 +247,6 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", *, l
 
 @query("op7_suffix_dedup")
 def op7(t):
-    return remove_repeats(t("documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The contract's digest columns and the kept text itself; bytes of characters that were cut in two read as U+FFFD there."""
+    out = remove_repeats(t("documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
