@@ -220,6 +220,30 @@ def compare_runs(a: DataFrame, b: DataFrame, key: Sequence[str], y: str, p: str,
     return out.withColumn("change", 100 * (F.col("mae_b") / F.nullif(F.col("mae_a"), F.lit(0.0)) - 1))
 
 
+def compare_variants(df: DataFrame, by: Sequence[str], order: str, y: str, first: str, second: str, baseline: str, period: Column, lags: int,
+                     pooled: str = "all", alpha: float = 0.05, min_n: int = 30) -> DataFrame:
+    """Two forecasts on the rows where both and the baseline are known, per period and over all of it (``pooled``): errors, skill against the
+    baseline, the Diebold-Mariano statistic of their absolute errors and, for a period, whether it points the way of the pooled one
+    (``agrees``) and is beyond chance itself (``sure``); both NULL where either test is missing.
+    """
+    from .stats import dm_test
+
+    rows = df.where(F.col(y).isNotNull() & F.col(first).isNotNull() & F.col(second).isNotNull() & F.col(baseline).isNotNull())
+    error = lambda c: F.abs(F.col(c) - F.col(y))
+    rows = rows.withColumn("period", F.explode(F.array(F.lit(pooled), period.cast("string"))))
+    rows = cut_lineage(rows.select(*by, "period", order, error(first).alias("_kw_a"), error(second).alias("_kw_b"), error(baseline).alias("_kw_0"), (error(second) - error(first)).alias("_kw_d")))
+    keys = [*by, "period"]
+    mean = rows.groupBy(*keys).agg(F.avg("_kw_a").alias("mae_first"), F.avg("_kw_b").alias("mae_second"), F.avg("_kw_0").alias("_kw_base"))
+    skill = lambda c: 100 * (1 - F.col(c) / F.nullif(F.col("_kw_base"), F.lit(0.0)))
+    mean = mean.withColumns({"skill_first": skill("mae_first"), "skill_second": skill("mae_second")}).drop("_kw_base")
+    tests = cut_lineage(dm_test(rows, keys, order, "_kw_d", lags, min_n).select(*keys, "n", "stat", "p"))
+    whole = tests.where(F.col("period") == pooled).select(*by, F.col("stat").alias("_kw_all"))
+    out = mean.transform(match, tests, keys).transform(match, whole, list(by), "left")
+    part = F.col("period") != pooled
+    tested = F.col("stat").isNotNull() & F.col("_kw_all").isNotNull()
+    return out.withColumns({"agrees": F.when(part & tested, F.col("stat") * F.col("_kw_all") > 0), "sure": F.when(part & tested, F.col("p") < alpha)}).drop("_kw_all")
+
+
 def stability(metrics: DataFrame, by: Sequence[str], period: str, model: str, loss: str, pooled: str = "all") -> DataFrame:
     """Per series: pooled best model, how often it wins a sub-period, and its mean rank there."""
     w = Window.partitionBy(*by, period).orderBy(loss, model)

@@ -8,7 +8,7 @@ from ..functions import timeaxis as T
 from ..operators import stats as S
 from ..operators.resample import block_bootstrap
 from ..session import cut_lineage
-from .evaluation import BLOCKS, naive_predictions
+from .evaluation import BLOCKS, PREDS, naive_predictions
 from .quality import WIDE, wide_hours
 from .registry import DAILY_ORDERS, HOURLY, daily_orders, exact_sum, hourly, query, rounded, swept
 
@@ -257,6 +257,21 @@ def dm_test(t):
     return rounded(rounded(S.dm_test(d, ["priority"], "day", "d", 7), 3, "mean_diff"), 6, "stat", "p")
 
 
+@query("compare_variants", f"""WITH {PREDS}, c AS (SELECT priority, day, year(day)::VARCHAR AS period, abs(prev_slot - y) AS a, abs(roll_med - y) AS b, abs(prev_auction - y) AS z FROM preds WHERE y IS NOT NULL AND prev_slot IS NOT NULL AND roll_med IS NOT NULL AND prev_auction IS NOT NULL),
+e AS (SELECT * FROM c UNION ALL SELECT priority, day, 'all', a, b, z FROM c),
+m AS (SELECT priority, period, count(*) AS n, avg(a) AS a, avg(b) AS b, avg(z) AS z, avg(b - a) AS mu FROM e GROUP BY 1, 2),
+u AS (SELECT e.priority, e.period, e.b - e.a - mu AS d, row_number() OVER (PARTITION BY e.priority, e.period ORDER BY day) AS i FROM e JOIN m USING (priority, period)),
+v AS (SELECT u.priority, u.period, sum(u.d * w.d * CASE WHEN u.i = w.i THEN 1.0::DOUBLE ELSE 2 * (1 - (u.i - w.i) / 8.0::DOUBLE) END) AS v FROM u JOIN u w ON w.priority = u.priority AND w.period = u.period AND u.i - w.i BETWEEN 0 AND 7 GROUP BY 1, 2),
+s AS (SELECT m.*, CASE WHEN n >= 30 AND v / n > 0 THEN mu / sqrt(v / n / n) END AS z_ FROM m JOIN v USING (priority, period)), q AS (SELECT priority, z_ AS w FROM s WHERE period = 'all')
+SELECT s.priority, period, round(a, 3) AS mae_first, round(b, 3) AS mae_second, round(100 * (1 - a / z), 5) AS skill_first, round(100 * (1 - b / z), 5) AS skill_second, n, round(z_, 5) AS stat,
+  CASE WHEN period <> 'all' AND z_ IS NOT NULL AND w IS NOT NULL THEN z_ * w > 0 END AS agrees, CASE WHEN period <> 'all' AND z_ IS NOT NULL AND w IS NOT NULL THEN abs(z_) > 1.959963984540054 END AS sure FROM s JOIN q USING (priority)""")
+def compare_variants(t):
+    from ..operators.evaluate import compare_variants as compare
+
+    out = compare(naive_predictions(t), ["priority"], "day", "y", "prev_slot", "roll_med", "prev_auction", F.year("day"), 7).drop("p")
+    return rounded(rounded(out, 3, "mae_first", "mae_second"), 5, "skill_first", "skill_second", "stat")
+
+
 @query("bootstrap_ci", f"""WITH d AS (SELECT event_type, date_trunc('day', ts) AS day, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS s, count(*)::DOUBLE AS c FROM events GROUP BY 1, 2),
 i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM d),
 k AS (SELECT event_type, b, CAST('0x' || substr(md5('11|' || b || '|' || i), 1, 8) AS BIGINT) % n AS j FROM i, (SELECT unnest(generate_series(0, 199)) AS b)),
