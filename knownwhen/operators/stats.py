@@ -401,6 +401,13 @@ def ztest(df: DataFrame, by: Sequence[str], flag: Column, outcome: Column) -> Da
                             "p": normal_two_sided("z")})
 
 
+def binomial_ztest(df: DataFrame, by: Sequence[str], outcome: Column, expected: float, min_n: int = 30) -> DataFrame:
+    """Share of an outcome per group against a fixed expected share: z, two-sided p-value; NULL below ``min_n`` rows."""
+    share = df.where(outcome.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(outcome).alias("k"))
+    z = (F.col("k") / F.col("n") - expected) / F.sqrt(F.lit(expected * (1 - expected)) / F.col("n"))
+    return share.withColumn("share", F.col("k") / F.col("n")).withColumn("z", F.when(F.col("n") >= min_n, z)).withColumn("p", normal_two_sided("z"))
+
+
 def std_diff(df: DataFrame, by: Sequence[str], event: Column, xs: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """Standardised mean difference of every feature between event and other rows, optionally demeaned."""
     rows = df.withColumn("_kw_event", event)

@@ -233,6 +233,14 @@ def prop_ztest(t):
     return rounded(S.ztest(x, ["lang"], F.length("text") > 600, F.col("quality") == 1))
 
 
+@query("binomial_ztest", f"""WITH g AS (SELECT event_type, date_trunc('week', ts) AS week, count(*) AS n, count(*) FILTER (WHERE value > 50) AS k FROM events GROUP BY 1, 2),
+z AS (SELECT *, CASE WHEN n >= 30 THEN (k / n - 0.4::DOUBLE) / sqrt(0.24::DOUBLE / n) END AS z FROM g)
+SELECT event_type, week, n, k, round(k / n, 6) AS share, round(z, 6) AS z, round({_erfc_sql('z')}, 6) AS p FROM z""")
+def binomial_ztest(t):
+    e = t("events").withColumn("week", F.date_trunc("week", "ts").cast("timestamp_ntz"))
+    return rounded(S.binomial_ztest(e, ["event_type", "week"], F.col("value") > 50, 0.4))
+
+
 @query("std_diff", f"""WITH h AS (SELECT event_type, hour, n::DOUBLE AS n, value, total, value > 60 AS ev, CAST(hour(hour) AS INTEGER) AS hr FROM (WITH {HOURLY} SELECT * FROM hourly)),
 u AS (SELECT event_type, 'n' AS feature, n - avg(n) OVER (PARTITION BY event_type, hr) AS x, ev FROM h UNION ALL SELECT event_type, 'total', total - avg(total) OVER (PARTITION BY event_type, hr), ev FROM h)
 SELECT event_type, feature, count(x) FILTER (WHERE ev) AS n_event, count(x) FILTER (WHERE NOT ev) AS n_other, round(avg(x) FILTER (WHERE ev), 6) AS mean_event, round(avg(x) FILTER (WHERE NOT ev), 6) AS mean_other, round(stddev_samp(x), 6) AS sd,
