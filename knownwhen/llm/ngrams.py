@@ -12,7 +12,8 @@ Signatures that many sets share, as those of passages and lines found everywhere
 out for every set that keeps enough others for the guarantee (k + 1 where all partitions are enumerated, else ``NEEDED``); only the few
 that don't, such as members of a large group of near copies, still meet under them.
 
-Equal sets are one node. Sets under a signature are compared with its smallest member first. Where different components are
+Equal sets are one node. Candidate pairs first compare parity words, whose difference bounds that of the sets from below; feature arrays move
+for pairs that pass. Sets under a signature are compared with its smallest member first. Where different components are
 left under it after that, small buckets give their pairs, and large ones are compared block by block inside tasks.
 """
 
@@ -35,6 +36,7 @@ from .graph import components
 SIGNATURES = 64
 NEEDED = 48
 SEEDS = 4  # hashes tried for sets whose features crowd into few partitions
+PARITY = 1024  # bits of a set's parity word
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -199,16 +201,38 @@ def sketches(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.select("id", "text").transform(arrow_map, run, schema)
 
 
+def _parity(h: np.ndarray) -> bytes:
+    """Of each class of a set's features, whether their number is odd. Two sets differ in at least as many features as these words do in bits."""
+    return np.packbits(np.bincount((mix(h ^ _BASE) >> _U(32)) % _U(PARITY), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
 def _payload(docs: DataFrame, size: int) -> DataFrame:
-    """(text) -> (set, features binary)."""
+    """(text) -> (set, parity binary, features binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for _, texts in slices(batches, 0, 1 << 20):
                 sets = [h for h in feature_sets(texts, size) if len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["set", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in sets], pa.int64()), pa.array([_parity(h) for h in sets], pa.binary()),
+                                                  pa.array([h.tobytes() for h in sets], pa.binary())], ["set", "parity", "features"])
+
+    return docs.select("text").transform(arrow_map, run, "set long, parity binary, features binary")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) -> (a, b): without pairs whose parity words alone show that they differ in too many features. Never drops a linked pair;
+    it keeps the feature arrays of most candidates, which meet by chance, out of the shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, PARITY // 64) for k in (3, 4))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            keep = (100 + percent) * apart <= (100 - percent) * batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.select("text").transform(arrow_map, run, "set long, features binary")
+    side = lambda k, name: sets.select(F.col("set").alias(k), F.col("parity").alias(name))
+    met = pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("n")).join(side("b", "y"), "b").join(side("a", "x"), "a")
+    return met.select("a", "b", "n", "x", "y").transform(arrow_map, run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -305,8 +329,9 @@ def similar_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     sets = written(_payload(rows.join(hint(wanted.select(F.col("rep").alias("id")).distinct()), "id", "left_semi"), words).dropDuplicates(["set"]))
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     sizes = lambda side: wanted.select(F.col("set").alias(side), F.col("n").alias(f"n{side}"), F.col("rep").alias(f"rep_{side}"))
-    sized = lambda pairs: pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(fits).select("a", "b")
-    stars = written(sized(buckets.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()))
+    sized = lambda pairs: pairs.join(sizes("a"), "a").join(sizes("b"), "b").where(fits)
+    near = lambda pairs: _plausible(sized(pairs), sets, percent)
+    stars = written(near(buckets.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct()))
     linked = written(_verified(stars, sets, percent))
     labels = components(linked)
     marked = buckets.select("sig", "set").join(labels.select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
@@ -316,7 +341,7 @@ def similar_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     other = open_.select("sig", F.col("set").alias("b"), F.col("component").alias("cb"))
     rest = (open_.select("sig", F.col("set").alias("a"), F.col("component").alias("ca")).join(other, "sig").where("a < b and ca <> cb")
             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = _verified(sized(rest), sets, percent).union(_within_buckets(large, sets, percent, 1024))
+    more = _verified(near(rest), sets, percent).union(_within_buckets(large, sets, percent, 1024))
     links = linked.union(more).join(sizes("a"), "a").join(sizes("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     joined = components(links).select(F.col("id").alias("rep"), "component")
     known = reps.select("set", "rep").join(joined, "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
