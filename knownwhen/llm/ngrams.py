@@ -14,17 +14,17 @@ that don't, such as members of a large group of near copies, still meet under th
 
 Equal sets are one node. Candidate pairs first compare parity words, whose difference bounds that of the sets from below; feature arrays move
 for pairs that pass. Sets under a signature are compared with its smallest member first. Where different components are
-left under it after that, small buckets give their pairs, and large ones are compared block by block inside tasks.
+left under it after that, small buckets give their pairs. The sets of large ones, which common passages brought together, meet once more
+under their rarest features only (``_crowded``): exact, and without the pairs of the bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -252,53 +252,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").transform(arrow_map, run, "a long, b long")
 
 
-def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Intersection sizes of all sets of ``x`` with all of ``y``: product of incidence matrices, some thousand features at a time."""
-    flat = np.concatenate([*x, *y])
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(x) + len(y)), [len(h) for h in (*x, *y)])
-    keep = count[column] > 1  # a feature of one set is in no intersection
-    row, column = row[keep], np.unique(column[keep], return_inverse=True)[1]
-    out = np.zeros((len(x), len(y)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        part = slice(*np.searchsorted(column, [low, low + 4096]))
-        m = np.zeros((len(x) + len(y), 4096), np.float32)
-        m[row[part], column[part] - low] = 1
-        out += m[: len(x)] @ m[len(x):].T
-    return out
+def _rare_first(sets: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
+    """(set) -> (f, set, n, rest, own): the features under which linked sets of the crowd must meet.
+
+    Each set's features are ordered from the rarest in the crowd to the most frequent. If two sets link, the larger one's first n - ceil(p n) + 1
+    features and the smaller one's first n - ceil(2 p n / (1 + p)) + 1 (``own``) have one in common. ``rest`` counts the features from that place on.
+    Features of one set are no keys, they only take up places.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            count = np.array([len(r) // 8 for r in raw], np.int64)
+            columns = np.repeat(batch.column(0).to_numpy(), count), np.repeat(count, count), np.frombuffer(b"".join(raw), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["set", "n", "f"])
+
+    each = sets.join(crowd, "set", "left_semi").select("set", "features").transform(arrow_map, run, "set long, n long, f long")
+    often = each.groupBy("f").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    ordered = each.join(often, "f").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "f"))).alias("l")).withColumn("alone", F.col("n") - F.size("l"))
+    probe = f"n - (n * {percent} + 99) div 100 + 1"
+    own = f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1"
+    return (ordered.select("set", "n", "alone", F.posexplode(F.expr(f"slice(l, 1, cast(greatest({probe} - alone, 0) as int))")).alias("place", "x"))
+            .select(F.col("x.f").alias("f"), "set", "n", F.expr("n - alone - place").alias("rest"), F.expr(f"alone + place < {own}").alias("own")))
 
 
-def _within_buckets(open_: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """(sig, set, component, size) -> (a, b): links that join the components of large buckets.
+def _crowded(crowd: DataFrame, linked: DataFrame, sets: DataFrame, percent: int, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``linked`` and the further links (a, b) that join components of the crowd (set, component): sets that common signatures can't tell apart.
 
-    A bucket is cut into blocks of about ``block`` sets that meet pair by pair; a task compares its sets as matrices and returns
-    at most one link per set, enough to connect what is linked there.
+    Under each of its rare features a set first meets the smallest owner only; what still stands in different components then meets where sizes
+    and the features left at both places allow a link. No pair is made that these bounds exclude.
     """
-    own = F.pmod(F.xxhash64("set"), F.ceil(F.col("size") / block)).cast("int")
-    pairs = (open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / block).cast("int") - 1)))
-             .withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select("sig", "p", "q", "own", "set", "component"))
-    rows = pairs.join(sets, "set")
-
-    def run(key, found):
-        h = [np.frombuffer(f, np.uint64) for f in found["features"]]
-        ids, root, size = found["set"].to_numpy(), found["component"].to_numpy().copy(), np.array([len(x) for x in h])
-        left = np.flatnonzero(found["own"].to_numpy() == key[1])
-        right = np.flatnonzero(found["own"].to_numpy() == key[2])
-        a, b = [], []
-        for start in range(0, len(left), 256):
-            i = left[start: start + 256]
-            both = _shared([h[k] for k in i], [h[k] for k in right])
-            r, c = np.nonzero(100 * both >= percent * (size[i][:, None] + size[right][None, :] - both))
-            for u, v in zip(i[r], right[c]):
-                if root[u] != root[v]:
-                    root[root == root[v]] = root[u]
-                    a.append(ids[u])
-                    b.append(ids[v])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return rows.groupBy("sig", "p", "q").applyInPandas(run, "a long, b long")
+    keyed = written(_rare_first(sets, crowd, percent).join(crowd, "set"))
+    hubs = keyed.where("own").groupBy("f").agg(F.min(F.struct("set", "component")).alias("hub"))
+    stars = keyed.join(hubs, "f").where("component <> hub.component").select(F.col("hub.set").alias("a"), F.col("set").alias("b")).distinct()
+    linked = written(linked.union(_verified(near(stars), sets, percent)))
+    now = keyed.drop("component").join(components(linked).select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    now = written(now)
+    mixed = now.groupBy("f").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("f")
+    side = lambda k: now.select("f", *[F.col(c).alias(f"{c}{k}") for c in ("set", "n", "rest", "own", "component")])
+    met = side("a").where("owna").join(mixed, "f").join(side("b"), "f").where("componenta <> componentb and (na < nb or na = nb and seta < setb)")
+    met = met.where(f"100 * na >= {percent} * nb and least(resta, restb) * {100 + percent} >= {percent} * (na + nb)")
+    pairs = met.select(F.col("seta").alias("a"), F.col("setb").alias("b"), "na", "nb").distinct()
+    return linked.union(_verified(_plausible(pairs, sets, percent), sets, percent))
 
 
 def similar_components(docs: DataFrame, text: str = "text", id: str = "doc_id", *, words: int = 5, percent: int = 75, bucket: int = 64, small: int = 2_000_000) -> DataFrame:
@@ -337,12 +332,15 @@ def similar_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     marked = buckets.select("sig", "set").join(labels.select(F.col("id").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     counted = marked.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig", "size")
     mixed = written(marked.join(counted, "sig"))
-    open_, large = mixed.where(F.col("size") <= bucket), mixed.where(F.col("size") > bucket)
+    open_ = mixed.where(F.col("size") <= bucket)
     other = open_.select("sig", F.col("set").alias("b"), F.col("component").alias("cb"))
     rest = (open_.select("sig", F.col("set").alias("a"), F.col("component").alias("ca")).join(other, "sig").where("a < b and ca <> cb")
             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = _verified(near(rest), sets, percent).union(_within_buckets(large, sets, percent, 1024))
-    links = linked.union(more).join(sizes("a"), "a").join(sizes("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    linked = written(linked.union(_verified(near(rest), sets, percent)))
+    crowd = written(mixed.where(F.col("size") > bucket).select("set", "component").distinct())
+    if not crowd.isEmpty():
+        linked = _crowded(crowd, linked, sets, percent, near)
+    links = linked.join(sizes("a"), "a").join(sizes("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     joined = components(links).select(F.col("id").alias("rep"), "component")
     known = reps.select("set", "rep").join(joined, "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
     return (table.select("id", "n", "set").join(known, "set", "left")

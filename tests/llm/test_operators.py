@@ -249,10 +249,25 @@ def test_large_bucket_of_texts_that_almost_link(spark):
         for _ in range(rng.choice([1, 3, 5, 6, 7, 9])):
             w[rng.randrange(len(w))] = rng.choice(word)
         rows.append((i, " ".join(w), "s"))
+    passage = [letters(rng, 7, "abcdefgh") for _ in range(60)]
+    for i in range(120, 220):  # a passage that they share is most of these texts; some link beyond it
+        own = [letters(rng, 6, "ijklmnop") for _ in range(rng.randrange(4, 30))]
+        if i % 4 == 0:
+            own = rows[-1][1].split(" ")[60:]
+            own[rng.randrange(len(own))] = "changed"
+        rows.append((i, " ".join(passage + own), "s"))
     got = ngrams.similar_components(documents(spark, rows), bucket=5).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
-    x, y = [np.array(v, np.uint64) for v in ([1, 2, 3], [9], [])], [np.array(v, np.uint64) for v in ([2, 3, 4], [9, 1])]
-    assert ngrams._shared(x, y).tolist() == [[2, 1], [0, 1], [0, 0]]
+
+
+def test_parity_words_bound_the_difference():
+    rng = np.random.default_rng(9)
+    with np.errstate(over="ignore"):
+        for size in [0, 1, 5, 80, 900, 5000]:
+            a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+            for other in (a, a[: size // 2], np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)), np.concatenate([a[size // 9:], rng.integers(0, 2**64, 7, dtype=np.uint64)])):
+                x, y = (np.frombuffer(ngrams._parity(h), np.uint64) for h in (a, other))
+                assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, other))
 
 
 def test_components_of_paths_and_stars(spark):
