@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import match
 from ..functions import timeaxis as T
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import ordered as O
 
 _BIN = "_kw_bin"
@@ -220,47 +220,82 @@ def explode_intervals(df: DataFrame, start: str, end: str, step: str | int, name
 EARTH_KM = 6371.0
 
 
-def _cells(lat: str, lon: str, side: Column, around: bool) -> Column:
-    """Cube of the given side that holds the point on the unit sphere; with ``around``, that cube and its 26 neighbours."""
+def _xyz(lat: str, lon: str) -> list[Column]:
+    """The point on the unit sphere."""
     la, lo = F.radians(F.col(lat).cast("double")), F.radians(F.col(lon).cast("double"))
-    own = [F.floor(c / side) for c in (F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la))]
-    if not around:
-        return F.struct(*[c.alias(n) for c, n in zip(own, "xyz")])
+    return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
+
+
+def _cell(xyz: Sequence[Column], side: Column) -> Column:
+    """Cube of the given side that holds the point."""
+    return F.struct(*[F.floor(c / side).alias(n) for c, n in zip(xyz, "xyz")])
+
+
+def _cells_near(xyz: Sequence[Column], side: Column, reach: Column) -> Column:
+    """Those of the point's cube and its 26 neighbours that are at most ``reach`` away from it."""
+    own = F.struct(*[F.floor(c / side).alias(n) for c, n in zip(xyz, "xyz")], *[(c - F.floor(c / side) * side).alias(f"d{n}") for c, n in zip(xyz, "xyz")], side.alias("s"), (reach * reach).alias("r"))
     steps = F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    return F.explode(F.transform(steps, lambda d: F.struct(*[(c + d[n]).alias(n) for c, n in zip(own, "xyz")])))
 
+    def near(o: Column) -> Column:
+        off = lambda d, n: F.when(d[n] < 0, o[f"d{n}"]).when(d[n] > 0, o["s"] - o[f"d{n}"]).otherwise(F.lit(0.0))
+        kept = F.filter(steps, lambda d: off(d, "x") * off(d, "x") + off(d, "y") * off(d, "y") + off(d, "z") * off(d, "z") <= o["r"])
+        return F.transform(kept, lambda d: F.struct(*[(o[n] + d[n]).alias(n) for n in "xyz"]))
 
-def nearest(left: DataFrame, right: DataFrame, left_pos: tuple[str, str], right_pos: tuple[str, str],
-            left_id: str, right_id: str, k: int = 1, finest_km: float = 100.0) -> DataFrame:
-    """The ``k`` nearest right points of every left point by great-circle distance, exactly; all, if fewer. Points without position take no part.
+    return F.explode(F.element_at(F.transform(F.array(own), near), 1))
 
-    Both sides lie in cubes around the unit sphere, whose sides double from ``finest_km`` on. Right points are counted per cube of every
-    size, and a left point takes the smallest of its cubes that holds ``k`` of them: no match can then be further than that cube's diagonal,
-    and the ring of cubes of twice the side reaches further. One equi-join at that size therefore sees every possible match, and
-    few others: a point in a crowded region looks at small cubes, a lonely one at large ones. Only a point with fewer than ``k`` right points in
-    its octant of the sphere looks at all of it.
-    """
+
+def _close_pairs(left: DataFrame, right: DataFrame, left_pos: tuple[str, str], right_pos: tuple[str, str], right_id: str, k: int, finest_km: float) -> DataFrame:
+    """(_kw_0, _kw_1: left position, right columns, km): for each left position all right points that can be among its ``k`` nearest, and few others."""
     from ..functions.numeric import haversine_km
     from .ranks import pick_top
 
-    first = min(finest_km / EARTH_KM, 1.0)
-    last = max(0, math.ceil(math.log2(2.0 / first)))  # here the 27 cubes around any point hold the sphere
+    coarse = min(finest_km / EARTH_KM, 1.0)
+    last = max(0, math.ceil(math.log2(2.0 / coarse)))  # here the 27 cubes around any point hold the sphere
+    below = max(0, math.floor(math.log2(coarse * EARTH_KM * 200)))  # halvings down to some 5 m
+    first, last = coarse / 2.0**below, last + below
     side_of = lambda level: F.lit(first) * F.pow(F.lit(2.0), level)
     placed = lambda df, pos: df.where(F.col(pos[0]).isNotNull() & F.col(pos[1]).isNotNull())
-    levels = F.explode(F.sequence(F.lit(0), F.lit(last)))
-    points = placed(left, left_pos)
-    finest = placed(right, right_pos).select(_cells(*right_pos, F.lit(first), False).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("_kw_n"))
+    here, there = ["_kw_0", "_kw_1"], ["_kw_2", "_kw_3"]
+    places = cut_lineage(placed(left, left_pos).select(*[F.col(c).alias(n) for c, n in zip(left_pos, here)]).distinct())
+    offers = placed(right, right_pos).withColumns({n: F.col(c) for c, n in zip(right_pos, there)})
+    offers = cut_lineage(pick_top(offers, there, k, F.col(right_id)).drop("rank"))
+    finest = offers.select(*there).distinct().select(_cell(_xyz(*there), F.lit(first)).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("_kw_n"))
     up = lambda c: F.floor(F.col("c")[c] / F.pow(F.lit(2.0), F.col("_kw_level"))).alias(c)
-    counts = finest.withColumn("_kw_level", levels).groupBy("_kw_level", F.struct(*[up(c) for c in "xyz"]).alias("_kw_c")).agg(F.sum("_kw_n").alias("_kw_n"))
-    own = points.select(left_id, *left_pos).distinct().withColumn("_kw_level", levels)
-    own = own.withColumn("_kw_c", _cells(*left_pos, side_of(F.col("_kw_level")), False)).join(counts.where(F.col("_kw_n") >= k), ["_kw_level", "_kw_c"], "left")
-    small = F.min(F.when(F.col("_kw_n").isNotNull(), F.col("_kw_level")))
-    settled = cut_lineage(own.groupBy(left_id, *left_pos).agg(F.least(F.coalesce(small + 1, F.lit(last)), F.lit(last)).alias("_kw_level")))
-    used = sorted(r[0] for r in settled.select("_kw_level").distinct().collect()) or [last]  # at most one per size
-    asked = settled.withColumn("_kw_c", _cells(*left_pos, side_of(F.col("_kw_level")), True)).select(F.col(left_id).alias("_kw_id"), *[F.col(c).alias(f"_kw_{i}") for i, c in enumerate(left_pos)], "_kw_level", "_kw_c")
-    offered = placed(right, right_pos).withColumn("_kw_level", F.explode(F.array(*[F.lit(u) for u in used])))
-    offered = offered.withColumn("_kw_c", _cells(*right_pos, side_of(F.col("_kw_level")), False))
-    km = haversine_km(F.col("_kw_0"), F.col("_kw_1"), F.col(right_pos[0]), F.col(right_pos[1]))
-    found = pick_top(asked.join(offered, ["_kw_level", "_kw_c"]).drop("_kw_c", "_kw_level").withColumn("km", km), ["_kw_id", "_kw_0", "_kw_1"], k, F.col("km"), F.col(right_id))
-    same = (F.col(left_id) == F.col("_kw_id")) & (F.col(left_pos[0]) == F.col("_kw_0")) & (F.col(left_pos[1]) == F.col("_kw_1"))
-    return points.join(found, same).drop("_kw_id", "_kw_0", "_kw_1")
+    counts = finest.withColumn("_kw_level", F.explode(F.sequence(F.lit(0), F.lit(last)))).groupBy("_kw_level", F.struct(*[up(c) for c in "xyz"]).alias("_kw_c")).agg(F.sum("_kw_n").alias("_kw_n"))
+    full = cut_lineage(counts.where(F.col("_kw_n") >= k).select("_kw_level", "_kw_c"))
+    sizes = sorted(r[0] for r in full.select("_kw_level").distinct().collect())  # at most one per size
+    own = places.withColumn("_kw_level", F.explode(F.array(*[F.lit(u) for u in sizes]) if sizes else F.array().cast("array<int>")))
+    own = own.withColumn("_kw_c", _cell(_xyz(*here), side_of(F.col("_kw_level")))).join(full, ["_kw_level", "_kw_c"])
+    own = cut_lineage(own.groupBy(*here).agg(F.min("_kw_level").alias("_kw_level")))
+    km = haversine_km(*[F.col(c) for c in (*here, *there)])
+
+    def met(asked: DataFrame, cell: Column) -> DataFrame:
+        """The asked cubes beside the offers in them, of every size in use."""
+        used = sorted(r[0] for r in asked.select("_kw_level").distinct().collect()) or [last]
+        at = offers.withColumn("_kw_level", F.explode(F.array(*[F.lit(u) for u in used])))
+        return spread(asked, *here).withColumn("_kw_c", cell).join(at.withColumn("_kw_c", _cell(_xyz(*there), side_of(F.col("_kw_level")))), ["_kw_level", "_kw_c"]).drop("_kw_level", "_kw_c").withColumn("km", km)
+
+    inside = met(own, _cell(_xyz(*here), side_of(F.col("_kw_level"))))
+    bound = pick_top(inside, here, k, F.col("km")).groupBy(*here).agg(F.max("km").alias("_kw_bound"))
+    asked = cut_lineage(places.join(own, here, "left").join(bound, here, "left").withColumn("_kw_level", F.least(F.coalesce(F.col("_kw_level") + 1, F.lit(last)), F.lit(last))))
+    reach = F.coalesce(2 * F.sin(F.col("_kw_bound") / (2 * EARTH_KM)) * (1 + 1e-9) + 1e-9, F.lit(4.0))
+    return met(asked, _cells_near(_xyz(*here), side_of(F.col("_kw_level")), reach)).where(F.col("_kw_bound").isNull() | (F.col("km") <= F.col("_kw_bound"))).drop("_kw_bound", *there)
+
+
+def nearest(left: DataFrame, right: DataFrame, left_pos: tuple[str, str], right_pos: tuple[str, str],
+            left_id: str, right_id: str, k: int = 1, finest_km: float = 100.0) -> DataFrame:
+    """The ``k`` nearest right points of every left point by great-circle distance, exactly; all, if fewer. Points without position take no part.
+
+    Both sides lie in cubes around the unit sphere, whose sides are ``finest_km`` times powers of two, down to the size at which no cube holds ``k``
+    right positions any more (some 5 m at least). Of the right points at one position only the ``k`` smallest ids can ever be found, so crowded positions
+    count once; left points at one position are answered together. A left position takes the smallest of its cubes that holds ``k``
+    right positions. The k-th distance inside that cube bounds the answer: one equi-join with the neighbouring cubes of twice the side that the bound
+    reaches sees every possible match, and only pairs within the bound are ranked. A position in a crowded region looks at small cubes, a lonely one at large ones;
+    only a position with fewer than ``k`` right positions in its octant of the sphere looks at all of them.
+    """
+    from .ranks import pick_top
+
+    here = ["_kw_0", "_kw_1"]
+    found = pick_top(_close_pairs(left, right, left_pos, right_pos, right_id, k, finest_km), here, k, F.col("km"), F.col(right_id))
+    points = left.where(F.col(left_pos[0]).isNotNull() & F.col(left_pos[1]).isNotNull())
+    return points.join(found, (F.col(left_pos[0]) == F.col("_kw_0")) & (F.col(left_pos[1]) == F.col("_kw_1"))).drop(*here)

@@ -30,3 +30,21 @@ def test_nearest(spark, n_right):
     assert got.keys() == want.keys()
     for key, (s, d) in want.items():
         assert got[key][1] == pytest.approx(d, abs=1e-6)
+
+
+def test_nearest_crowded_positions(spark):
+    """Points that share positions, and regions far denser than the finest size, meet few others: no join makes more than some pairs a position."""
+    left = spark.range(4000).select(F.col("id"), (F.col("id") % 400 / 4000).alias("lat"), (F.col("id") % 97 / 970).alias("lon"))
+    right = spark.range(3000).select(F.col("id").alias("station"), (F.col("id") % 300 / 3000).alias("slat"), (F.col("id") % 89 / 890).alias("slon"), (F.col("id") * 2).alias("more"))
+    found = I.nearest(left, right, ("lat", "lon"), ("slat", "slon"), "id", "station", 3, finest_km=1000.0)
+    got = {}
+    for r in found.collect():
+        assert r.more == 2 * r.station
+        got.setdefault(r.id, []).append((r["rank"], r.station, r.km))
+    places = [(r.station, r.slat, r.slon) for r in right.collect()]
+    for r in left.where("id % 211 = 0").collect():
+        want = sorted((round(km((r.lat, r.lon), (la, lo)), 7), s) for s, la, lo in places)[:3]
+        assert [(round(d, 7), s) for _, s, d in sorted(got[r.id])] == want
+    assert len(got) == 4000
+    close = I._close_pairs(left, right, ("lat", "lon"), ("slat", "slon"), "station", 3, 1000.0).groupBy("_kw_0", "_kw_1").count().agg(F.max("count"), F.avg("count")).first()
+    assert close[0] <= 100 and close[1] <= 30  # of 3,000 within one cube of 1,000 km
