@@ -15,8 +15,9 @@ from ..functions.distributions import f_tail
 from ..functions.numeric import corr, draw, normal_two_sided
 from ..session import cut_lineage
 from . import ordered as O
+from .ordered import group_key
 from .lags import lagged_grams, lagged_sums
-from .ranks import average_ranks, quantiles
+from .ranks import average_ranks, quantiles, ranked_values
 from .shaping import within
 
 
@@ -35,29 +36,43 @@ def driver_correlations(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[s
 
     Within groups, ranks and values are demeaned per group; features that vary in too few
     groups are left out.
+
+    No row is given a rank of y. Features are ranked on their counts of values, the rows are collapsed to one per value of y with the
+    sums of the features' ranks, and running counts rank those. Pooled correlations are sums of the groups' central moments.
     """
-    keys = [*by, "feature"]
-    rows = feature_rows(df, [*by, *group], y, xs)
-    cells = [*keys, *group]
-    if group:
-        size = rows.groupBy(*cells).agg(F.count(F.lit(1)).alias("_kw_k"), F.min("x").alias("_kw_lo"), F.max("x").alias("_kw_hi"))
-        rows = rows.transform(match, size.where(F.col("_kw_k") >= min_group).select(*cells), cells, "left_semi")
-        varying = size.where(F.col("_kw_k") >= min_group).groupBy(*keys).agg(
-            F.avg((F.col("_kw_lo") < F.col("_kw_hi")).cast("double")).alias("varying"))
-    rows = cut_lineage(rows)                # the unpivoted pairs are read once per rank table and once more
-    ranked = average_ranks(rows, cells, {"x": "rx", "y": "ry"})
-    if group:
-        ranked = cut_lineage(ranked)        # ranks are costly and the demeaning below reads them twice
-        ranked = within(ranked, cells, ["x", "y", "rx", "ry"])
-        sp, pe = corr("rx__w", "ry__w"), corr("x__w", "y__w")
-    else:
-        sp, pe = corr("rx", "ry"), corr("x", "y")
-    out = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sp.alias("spearman"), pe.alias("pearson"),
-                                    F.count_distinct("x").alias("n_distinct"))
-    out = out.where((F.col("n") >= min_n) & (F.col("n_distinct") >= min_distinct))
-    if group:
-        out = out.transform(match, varying, keys).where(F.col("varying") >= min_varying)
-    return out
+    cells = [*by, *group]
+    names = list(xs)
+    wide = df.where(F.col(y).isNotNull()).select(*cells, F.col(y).cast("double").alias("_kw_y"), *[F.col(x).cast("double").alias(f"_kw_x{i}") for i, x in enumerate(names)])
+    values = wide.unpivot(cells, [F.col(f"_kw_x{i}").alias(x) for i, x in enumerate(names)], "feature", "x").where(F.col("x").isNotNull())
+    least = min_group if group else 1
+    # One row per value of a feature in a cell: how many rows have it, and its rank about the mean rank of the cell.
+    table = ranked_values(values, [*cells, "feature"], "x").where(F.col("all_n") >= least)
+    table = cut_lineage(table.select(*cells, "feature", "x", "n", "all_n", (F.col("before_n") + (F.col("n") + 1) / 2 - (F.col("all_n") + 1) / 2).alias("r")))
+    for i, x in enumerate(names):
+        ranks = table.where(F.col("feature") == x).select(group_key(cells).alias("_kw_g"), F.col("x").alias("_kw_v"), F.col("r").alias(f"_kw_r{i}"))
+        wide = wide.withColumn("_kw_k", group_key(cells)).join(ranks, (F.col("_kw_k") == F.col("_kw_g")) & (F.col(f"_kw_x{i}") == F.col("_kw_v")), "left").drop("_kw_k", "_kw_g", "_kw_v")
+    used = {i: F.col(f"_kw_r{i}").isNotNull() for i in range(len(names))}
+    per_y = {f"n{i}": F.when(used[i], F.lit(1)).otherwise(F.lit(0)).cast("long") for i in used}
+    per_y |= {f"r{i}": F.coalesce(F.col(f"_kw_r{i}"), F.lit(0.0)) for i in used}
+    at = ranked_values(wide, cells, "_kw_y", per_y)
+    # The moments of values take one pass over the rows, those of ranks one over the values.
+    here = {i: {c: F.when(used[i], F.col(c)) for c in ("_kw_y", f"_kw_x{i}")} for i in used}
+    pearson = wide.groupBy(*cells).agg(*[F.struct(F.count(F.when(used[i], F.lit(1))).alias("k"), F.covar_pop(*here[i].values()).alias("xy"), F.var_pop(here[i][f"_kw_x{i}"]).alias("xx"),
+                                                  F.var_pop(here[i]["_kw_y"]).alias("yy")).alias(f"p{i}") for i in used])
+    rank = {i: F.col(f"before_n{i}") + (F.col(f"n{i}") + 1) / 2 - (F.col(f"all_n{i}") + 1) / 2 for i in used}
+    spearman = at.groupBy(*cells).agg(*[F.struct(F.sum(rank[i] * F.col(f"r{i}")).alias("xy"), F.sum(F.col(f"n{i}") * rank[i] * rank[i]).alias("yy")).alias(f"s{i}") for i in used])
+    moments = pearson.transform(match, spearman, cells)
+    moments = moments.select(*cells, F.inline(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(f"p{i}").alias("p"), F.col(f"s{i}").alias("s")) for i, x in enumerate(names)]))).where("p.k > 0")
+    size = table.groupBy(*cells, "feature").agg(F.sum(F.col("n") * F.col("r") * F.col("r")).alias("rxx"), F.count(F.lit(1)).alias("kinds"))
+    k = F.col("p.k")
+    ratio = lambda xy, xx, yy: F.sum(xy) / F.nullif(F.sqrt(F.sum(xx)) * F.sqrt(F.sum(yy)), F.lit(0.0))
+    out = moments.transform(match, size, [*cells, "feature"]).groupBy(*by, "feature").agg(
+        F.sum(k).alias("n"), ratio(F.col("s.xy"), F.col("rxx"), F.col("s.yy")).alias("spearman"), ratio(k * F.col("p.xy"), k * F.col("p.xx"), k * F.col("p.yy")).alias("pearson"),
+        F.avg((F.col("kinds") > 1).cast("double")).alias("varying"))
+    distinct = table.groupBy(*by, "feature", "x").agg(F.lit(1).alias("one")).groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n_distinct"))
+    out = out.transform(match, distinct, [*by, "feature"]).where((F.col("n") >= min_n) & (F.col("n_distinct") >= min_distinct))
+    out = out.select(*by, "feature", "n", "spearman", "pearson", "n_distinct", *(["varying"] if group else []))
+    return out.where(F.col("varying") >= min_varying) if group else out
 
 
 def corr_stability(df: DataFrame, by: Sequence[str], y: str, xs: Sequence[str], period: Column, top: int) -> DataFrame:

@@ -129,3 +129,34 @@ def test_corr_of_a_constant_is_null(spark):
 
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "x double, y double")
     assert df.agg(corr("x", "y").alias("r")).first().r is None
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_driver_correlations_keep_counts_only(spark, monkeypatch, group):
+    """Against pandas, with missing values and a group of one row; what is written is one row per feature value, not one per row and feature."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": rng.integers(0, 2, 900), "g": rng.integers(0, 4, 900), "a": rng.integers(0, 6, 900).astype(float), "b": rng.integers(0, 9, 900).astype(float)})
+    pdf["y"] = np.round(pdf.a + rng.normal(0, 3, 900), 1)
+    pdf.loc[pdf.index[-1], "g"] = 9
+    pdf.loc[::17, "a"] = np.nan
+    pdf.loc[::29, "y"] = np.nan
+    written = []
+
+    def counted(df):
+        written.append(df.count())
+        return df
+
+    monkeypatch.setattr(S, "cut_lineage", counted)
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "k int, g int, a double, b double, y double")
+    got = {(r.k, r.feature): r for r in S.driver_correlations(df, ["k"], "y", ["a", "b"], group).collect()}
+    assert sum(written) < 200
+    assert len(got) == 4
+    for (k, f), r in got.items():
+        x = pdf[(pdf.k == k) & pdf[f].notna() & pdf.y.notna()].copy()
+        x = x[x.groupby("g")[f].transform("size") >= 2] if group else x
+        cols = {"x": x[f], "y": x.y}
+        ranks = {c: (v.groupby(x.g).rank() if group else v.rank()) for c, v in cols.items()}
+        less = lambda v: v - v.groupby(x.g).transform("mean") if group else v
+        assert r.n == len(x) and r.n_distinct == x[f].nunique()
+        assert r.pearson == pytest.approx(np.corrcoef(less(cols["x"]), less(cols["y"]))[0, 1], abs=1e-9)
+        assert r.spearman == pytest.approx(np.corrcoef(less(ranks["x"]), less(ranks["y"]))[0, 1], abs=1e-9)
