@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import match
 from ..functions import timeaxis as T
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import ordered as O
 
 
@@ -31,7 +31,7 @@ def steps_between(df: DataFrame, keep: Sequence[str], first: str, end: str, step
     us = T.span(step)
     coarse = df.select(*keep, T.micros(first).alias("_kw_a"), T.micros(end).alias("_kw_b")).where(F.col("_kw_a") < F.col("_kw_b"))
     coarse = coarse.select(*keep, "_kw_b", F.explode(F.sequence("_kw_a", F.col("_kw_b") - 1, F.lit(us * block))).alias("_kw_a"))
-    coarse = coarse.repartition(*keep, "_kw_a")
+    coarse = spread(coarse, *keep, "_kw_a")
     fine = F.sequence("_kw_a", F.least(F.col("_kw_b") - 1, F.col("_kw_a") + us * (block - 1)), F.lit(us))
     return coarse.select(*keep, F.explode(fine).alias("_kw_us")).select(*keep, T.from_micros("_kw_us").alias(name))
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.timeaxis import floor_div, key_width, order_key
+from ..session import WIDE, spread
 
 GROUP, CHUNK, KEY, OWN, INDEX = "_kw_group", "_kw_chunk", "_kw_key", "_kw_own", "_kw_index"
 _FIRST_CHUNK = -(2**62)
@@ -179,6 +180,22 @@ def following(df: DataFrame, by: Sequence[str], order: str, values: Values, ties
     return scan(df, by, order, after=values, ties=ties, chunk=chunk)
 
 
+def steps(df: DataFrame, by: Sequence[str], order: str, name: str, chunk: str | int = "1 day") -> DataFrame:
+    """(by, order, name): every distinct value of the axis once per series, beside the next larger one (NULL beside the largest).
+
+    Equal values are neighbours once a chunk is sorted, so they are dropped there instead of in a hash table: rows are shuffled and sorted once.
+    """
+    rows = keyed(df.select(*by, order), by, order, chunk)
+    later = Window.partitionBy(GROUP).orderBy(F.col(CHUNK).desc()).rowsBetween(UNBOUNDED, -1)
+    heads = rows.groupBy(GROUP, CHUNK).agg(F.min(order).alias("_kw_head"))
+    heads = heads.select(F.col(GROUP).alias("_kw_g"), F.col(CHUNK).alias("_kw_c"), F.last("_kw_head").over(later).alias("_kw_head"))
+    near = inside([order])
+    rows = spread(rows, GROUP, CHUNK, least=WIDE).withColumns({"_kw_n": F.row_number().over(near), "_kw_p": F.lag(order, 1).over(near)})
+    rows = rows.where((F.col("_kw_n") == 1) | ~F.col(order).eqNullSafe(F.col("_kw_p"))).withColumn(name, F.lead(order, 1).over(near))
+    rows = rows.join(heads, (F.col(GROUP) == F.col("_kw_g")) & (F.col(CHUNK) == F.col("_kw_c")))
+    return rows.select(*by, order, F.coalesce(name, "_kw_head").alias(name))
+
+
 def halo(df: DataFrame, by: Sequence[str], order: str, before: int, after: int,
          width: int) -> DataFrame:
     """Copies each row into every chunk whose moving frames can reach it.

@@ -18,7 +18,7 @@ from .aggregates import dedup
 from .grid import steps_between
 from .lags import by_chunk
 from .ranks import pick_top
-from .sequences import episodes
+from .sequences import episodes, label_episodes
 from .shaping import union_all
 
 
@@ -170,38 +170,38 @@ def gap_scan(df: DataFrame, by: Sequence[str], ts: str, step: str | int, start:
     of resolution, not a gap. ``start`` / ``end`` bound the sample.
     """
     us = T.span(step)
-    have = df.where(F.col(ts).isNotNull()).select(*by, T.floor_time(ts, us).alias("bucket")).distinct()
+    have = df.where(F.col(ts).isNotNull()).select(*by, T.floor_time(ts, us).alias("bucket"))
     span = have.groupBy(*by).agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
-    wanted = steps_between(span.withColumn("_kw_stop", T.plus("last", us)), by, "first", "_kw_stop", us, "bucket")
-    full = wanted.transform(match, have.withColumn("_kw_have", F.lit(True)), [*by, "bucket"], "left").withColumn("_kw_have", F.coalesce("_kw_have", F.lit(False)))
     if resolution_hours:
-        full = cut_lineage(full)
-        hours = full.groupBy(*by, T.floor_time("bucket", "1 hour").alias("hour")).agg(
-            F.bool_or((F.col("bucket") == T.floor_time("bucket", "1 hour")) & F.col("_kw_have")).alias("top"),
-            F.count_if(~F.col("_kw_have")).alias("missing"))
-        coarse = F.col("top") & (F.col("missing") > 0)
-        from .sequences import label_episodes
-
-        marked = label_episodes(hours, by, "hour", coarse, chunk)
-        marked = marked.select(*by, "hour", (F.coalesce("episode_length", F.lit(0)) >= resolution_hours).alias("_kw_res"))
-        full = cut_lineage(full.withColumn("hour", T.floor_time("bucket", "1 hour")).transform(match, marked, [*by, "hour"]).drop("hour"))
+        out = _grid_runs(have.distinct(), span, by, us, resolution_hours, chunk)
     else:
-        full = full.withColumn("_kw_res", F.lit(False))
-
-    def runs(pred: Column, kind: str) -> DataFrame:
-        r = episodes(full, by, "bucket", pred, chunk=chunk)
-        return r.select(*by, F.lit(kind).alias("kind"), F.col("start").alias("start_utc"), T.plus("end", us).alias("end_utc"),
-                        F.col("length").alias("n_missing"))
-
-    out = runs(~F.col("_kw_have") & ~F.col("_kw_res"), "gap")
-    if resolution_hours:
-        out = out.unionByName(_resolution_runs(full, by, us, chunk))
+        # Missing buckets lie between neighbours that are there: no bucket of the grid is made.
+        rows = O.steps(have, by, "bucket", "next", chunk).where(T.micros("next") - T.micros("bucket") > us)
+        out = rows.select(*by, F.lit("gap").alias("kind"), T.plus("bucket", us).alias("start_utc"), F.col("next").alias("end_utc"),
+                          (T.floor_div(T.micros("next") - T.micros("bucket"), us) - 1).alias("n_missing"))
     null_count = F.lit(None).cast("long").alias("n_missing")
     head = span.where(F.col("first") > start).select(*by, F.lit("head").alias("kind"), start.alias("start_utc"), F.col("first").alias("end_utc"), null_count)
     tail = span.where(T.plus("last", us) < end).select(*by, F.lit("tail").alias("kind"), T.plus("last", us).alias("start_utc"), end.alias("end_utc"), null_count)
     return out.unionByName(head).unionByName(tail)
 
 
+def _grid_runs(have: DataFrame, span: DataFrame, by: Sequence[str], us: int, resolution_hours: int, chunk: str | int) -> DataFrame:
+    """Runs ``gap`` and ``resolution`` on the full grid of each series."""
+    wanted = steps_between(span.withColumn("_kw_stop", T.plus("last", us)), by, "first", "_kw_stop", us, "bucket")
+    full = wanted.transform(match, have.withColumn("_kw_have", F.lit(True)), [*by, "bucket"], "left").withColumn("_kw_have", F.coalesce("_kw_have", F.lit(False)))
+    full = cut_lineage(full)
+    hours = full.groupBy(*by, T.floor_time("bucket", "1 hour").alias("hour")).agg(
+        F.bool_or((F.col("bucket") == T.floor_time("bucket", "1 hour")) & F.col("_kw_have")).alias("top"),
+        F.count_if(~F.col("_kw_have")).alias("missing"))
+    coarse = F.col("top") & (F.col("missing") > 0)
+    marked = label_episodes(hours, by, "hour", coarse, chunk)
+    marked = marked.select(*by, "hour", (F.coalesce("episode_length", F.lit(0)) >= resolution_hours).alias("_kw_res"))
+    full = cut_lineage(full.withColumn("hour", T.floor_time("bucket", "1 hour")).transform(match, marked, [*by, "hour"]).drop("hour"))
+    gaps = episodes(full, by, "bucket", ~F.col("_kw_have") & ~F.col("_kw_res"), chunk=chunk)
+    gaps = gaps.select(*by, F.lit("gap").alias("kind"), F.col("start").alias("start_utc"), T.plus("end", us).alias("end_utc"), F.col("length").alias("n_missing"))
+    return gaps.unionByName(_resolution_runs(full, by, us, chunk))
+
+
 def _resolution_runs(full: DataFrame, by: Sequence[str], us: int, chunk: str | int) -> DataFrame:
     hours = full.where(F.col("_kw_res") & ~F.col("_kw_have")).groupBy(*by, T.floor_time("bucket", "1 hour").alias("hour")).agg(
         F.count(F.lit(1)).alias("k"), F.min("bucket").alias("a"), F.max("bucket").alias("z"))
