@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import match
 from ..functions import timeaxis as T
 from ..functions.numeric import vwmean
-from ..session import cut_lineage
+from ..session import WIDE, cut_lineage, spread
 from . import ordered as O
 from .ranks import quantiles
 
@@ -160,7 +160,9 @@ def latest_revision(df: DataFrame, doc: str, revision: str, status: str | None =
 
 def revision_stats(df: DataFrame, doc: str, revision: str, created: str, start: str, group: Sequence[str] = ()) -> DataFrame:
     """Revisions per document, share known before the start, and the lead of the first revision."""
-    per = df.groupBy(*group, doc).agg(
+    # A wide exchange by document: the distinct counts then need no other, and no hash table grows with the table.
+    rows = spread(df.select(*{c: None for c in (*group, doc, revision, created, start)}), doc, least=WIDE)
+    per = rows.groupBy(*group, doc).agg(
         F.count_distinct(revision).alias("revisions"), F.bool_or(F.col(revision) == 1).alias("has_original"),
         F.min(created).alias("first_created"), F.min(start).alias("starts"))
     lead = (T.micros("starts") - T.micros("first_created")) / T.HOUR

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import ordered as O
+from ..session import WIDE, spread
 from .registry import query, rounded
 
 
@@ -105,7 +106,10 @@ p AS (SELECT kind, doc, count(DISTINCT revision) AS r, bool_or(revision = 1) AS
 SELECT kind, count(*) AS documents, round(avg(r), 6) AS mean_revisions, round(avg(CASE WHEN o THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share_original, round(avg(CASE WHEN c <= s THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share_ex_ante,
   round(avg((epoch(s) - epoch(c)) / 3600), 4) AS mean_lead_hours FROM p GROUP BY 1""")
 def revision_stats(t):
-    d = t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+    # Dealt widely by document before the join: the operator asks for the same exchange and finds it.
+    lines = spread(t("lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_shipdate"), "l_orderkey", least=WIDE)
+    orders = spread(t("orders").select("o_orderkey", "o_orderdate"), "o_orderkey", least=WIDE)
+    d = lines.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("l_returnflag").alias("kind"), F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("revision"),
         F.col("o_orderdate").alias("created"), F.col("l_shipdate").alias("starts"))
     return rounded(rounded(A.revision_stats(d, "doc", "revision", "created", "starts", ["kind"]), 4, "mean_lead_hours"), 6)
