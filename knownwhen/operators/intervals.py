@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import match
 from ..functions import timeaxis as T
-from ..session import cut_lineage, spread
+from ..session import WIDE, cut_lineage, spread
 from . import ordered as O
 
 _BIN = "_kw_bin"
@@ -67,8 +67,8 @@ def overlap_join(events: DataFrame, windows: DataFrame, event: tuple[str, str],
 
 def segments(df: DataFrame, by: Sequence[str], start: str, end: str, chunk: str | int = "30 days") -> DataFrame:
     """Consecutive segments ``[p, q)`` between all start and end points of a key."""
-    points = df.select(*by, F.col(start).alias("p")).union(df.select(*by, F.col(end).alias("p"))).distinct()
-    return O.following(points, by, "p", {"q": "p"}, chunk=chunk).where(F.col("q").isNotNull())
+    points = df.select(*by, F.col(start).alias("p")).union(df.select(*by, F.col(end).alias("p")))
+    return O.steps(points, by, "p", "q", chunk).where(F.col("q").isNotNull())
 
 
 def concurrency(df: DataFrame, start: str, end: str, by: Sequence[str] = (), chunk: str | int = "30 days") -> DataFrame:
