@@ -122,7 +122,7 @@ def _parts(pieces: DataFrame) -> DataFrame:
 def _elementary(leaves: DataFrame) -> DataFrame:
     """(_kw_k, seg_start, seg_end, _kw_v): in each bin the segments between neighbouring ends, each with its highest ranked piece;
     neighbours with the same piece are joined. A bin is one row of at most ``LEAF`` pieces."""
-    bins = leaves.groupBy("_kw_k", "_kw_lo", "_kw_hi").agg(F.collect_list(F.struct("_kw_s", "_kw_e", "_kw_rank", "_kw_v")).alias("_kw_p"))
+    bins = spread(leaves, "_kw_k", "_kw_lo", "_kw_hi", least=WIDE).groupBy("_kw_k", "_kw_lo", "_kw_hi").agg(F.collect_list(F.struct("_kw_s", "_kw_e", "_kw_rank", "_kw_v")).alias("_kw_p"))
     p = F.col("_kw_p")
     bins = bins.withColumn("_kw_t", F.array_sort(F.array_distinct(F.concat(F.transform(p, lambda x: x["_kw_s"]), F.transform(p, lambda x: x["_kw_e"])))))
     t = F.col("_kw_t")
@@ -146,7 +146,7 @@ def resolve_latest(df: DataFrame, key: Sequence[str], start: str, end: str, rank
                    values: Mapping[str, str], bin: str | int, window: tuple[str, str] | None = None) -> DataFrame:
     """Segments of each key on which the interval with the highest ``rank`` wins; segments end at bin borders.
 
-    Intervals are cut at bin borders. Of those that cover a whole bin only the highest ranked one can ever be visible, and it is found by a
+    Intervals are cut at bin borders. Bins of up to ``LEAF`` pieces are resolved as they are. In a bin with more, of those that cover all of it only the highest ranked one can ever be visible, and it is found by a
     map-side ``max_by``; an interval keeps at most two other pieces. Bins that still hold more than ``LEAF`` pieces are
     cut into ``FAN`` parts, again and again, where the same holds; so neither a key with very many intervals nor a crowded moment
     gathers in one task, and no pair of intervals is formed outside a bin of ``LEAF`` pieces.
@@ -164,14 +164,16 @@ def resolve_latest(df: DataFrame, key: Sequence[str], start: str, end: str, rank
         high = F.least(high, T.micros(window[1]))
     rows = rows.select(F.struct(*key).alias("_kw_k"), low.alias("_kw_lo"), high.alias("_kw_hi"), F.greatest("_kw_s", low).alias("_kw_s"),
                        F.least("_kw_e", high).alias("_kw_e"), "_kw_rank", "_kw_v").where("_kw_s < _kw_e")
-    pieces, at, done = cut_lineage(_visible_only(rows)), ["_kw_k", "_kw_lo", "_kw_hi"], []
+    pieces, at, done = cut_lineage(rows), ["_kw_k", "_kw_lo", "_kw_hi"], []
+    hidden = True  # only crowded bins are searched for hidden pieces, before they are cut; the others move once, to be resolved
     while True:
-        crowded = pieces.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > LEAF) & (F.col("_kw_hi") - F.col("_kw_lo") > 1)).select(*at)
+        crowded = cut_lineage(pieces.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > LEAF) & (F.col("_kw_hi") - F.col("_kw_lo") > 1)).select(*at))
         if crowded.isEmpty():
             break
-        crowded = cut_lineage(crowded)
         done.append(pieces.join(crowded, at, "left_anti"))
-        pieces = cut_lineage(_visible_only(_parts(pieces.join(crowded, at, "left_semi"))))
+        among = pieces.join(crowded, at, "left_semi")
+        pieces = cut_lineage(_visible_only(among if hidden else _parts(among)))
+        hidden = False
     for other in done:
         pieces = pieces.unionByName(other)
     return _elementary(pieces).select(*[F.col("_kw_k")[c].alias(c) for c in key], *[F.col("_kw_v")[n].alias(n) for n in values], "seg_start", "seg_end")

@@ -9,6 +9,7 @@ from ..operators import intervals as I
 from ..operators import ordered as O
 from ..operators import pit
 from ..operators.asof import asof_join
+from ..session import cut_lineage
 from .grids import FULL_HOURS, full_hours
 from .registry import DAILY_ORDERS, HOURLY, RATE, UNITS, daily_orders, hourly, query, rounded, units
 
@@ -247,6 +248,7 @@ def _outages(t, always: bool):
         "be": F.add_months(F.col("bs").cast("date"), 1).cast("timestamp_ntz"), "t0": T.plus("bs", -36 * T.HOUR)})
     if always:
         w = w.withColumn("t0", F.lit("2100-01-01").cast("timestamp_ntz"))
+    w = cut_lineage(w)  # a row a month: its size is known when the join is planned
     pairs = I.overlap_join(u, w, ("start", "stop"), ("bs", "be"), known=("created", "t0"), bin="30 days")
     segs = I.resolve_latest(pairs, ["unit", "bs", "be"], "clip_start", "clip_end", RANK, {"mw": "mw", "kind": "kind"}, "10 days", ("bs", "be"))
     return rounded(I.time_weighted(segs, "mw", ("bs", "be"), ["kind"], "mw"))

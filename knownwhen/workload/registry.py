@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timeaxis import floor_time
-from ..session import cut_lineage, utc_session
+from ..session import WIDE, cut_lineage, spread, utc_session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,7 +78,9 @@ DAILY_ORDERS = """daily AS (
 def units(t) -> DataFrame:
     """lineitem joined to orders -> bitemporal intervals of a unit with a knowledge time."""
     ship = F.col("l_shipdate")
-    return (t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice")
+    # Both sides are dealt widely, so that the sorts of the join fit in memory whatever the tables hold.
+    return (spread(lines, "l_orderkey", least=WIDE).join(spread(t("orders").select("o_orderkey", "o_orderdate"), "o_orderkey", least=WIDE), F.col("l_orderkey") == F.col("o_orderkey"))
             .select(F.col("l_suppkey").alias("unit"), F.col("l_returnflag").alias("kind"),
                     ship.cast("timestamp_ntz").alias("start"),
                     (ship + F.make_dt_interval(F.col("l_linenumber"))).cast("timestamp_ntz").alias("stop"),

@@ -41,3 +41,17 @@ def test_segments_and_revisions_use_wide_exchanges(spark):
     assert f", {WIDE}), REPARTITION_BY_NUM" in _plan(stats) and "ENSURE_REQUIREMENTS" not in _plan(stats).replace("SinglePartition, ENSURE_REQUIREMENTS", "")
     r = stats.first()
     assert (r.documents, r.mean_revisions, r.mean_lead_hours) == (5, 3.0, 24.0)
+
+
+def test_resolve_latest_searches_crowded_bins_only(spark, monkeypatch):
+    """Bins of few pieces move once; a crowded bin still loses its hidden pieces before it is cut."""
+    searched = []
+    search = I._visible_only
+    monkeypatch.setattr(I, "_visible_only", lambda pieces: searched.append(pieces.count()) or search(pieces))
+    t = "timestamp_micros(({0}) * 86400000000L)"
+    few = spark.range(40).selectExpr("id % 4 AS u", f"CAST({t.format('id')} AS TIMESTAMP_NTZ) AS s", f"CAST({t.format('id + 3')} AS TIMESTAMP_NTZ) AS e", "id AS created", "id AS mw")
+    out = I.resolve_latest(few, ["u"], "s", "e", ["created"], {"mw": "mw"}, "20 days").collect()
+    assert not searched and sorted(r.mw for r in out if r.u == 0) == sorted([*range(0, 40, 4)] + [m for m in range(0, 40, 4) if m // 20 != (m + 2) // 20])
+    many = few.where("u = 0").unionByName(spark.range(100, 400).selectExpr("9L AS u", f"CAST({t.format('id % 5')} AS TIMESTAMP_NTZ) AS s", f"CAST({t.format('20')} AS TIMESTAMP_NTZ) AS e", "id AS created", "id AS mw"))
+    out = I.resolve_latest(many, ["u"], "s", "e", ["created"], {"mw": "mw"}, "20 days").where("u = 9").collect()
+    assert searched == [300] and sorted((r.seg_start.day, r.mw) for r in out) == [(1, 395), (2, 396), (3, 397), (4, 398), (5, 399)]
