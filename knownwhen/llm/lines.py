@@ -10,12 +10,14 @@ and one step over a character moves all of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import WIDE, spread
 from .common import query, written
 
 LETTERS = "enri"  # their counts make up the filter word, a byte each
@@ -140,28 +142,55 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
-def _share_keys(per: int, whole: int = 3, q: int = 10) -> str:
-    """SQL: the keys of a line (``line``, its length ``n``) under which every pair within one edit for each ``per`` characters of the longer line meets.
+WIDER = 1.3  # a class of lengths is that much wider than the last
+COMMON = 3  # keys that a near pair has in common
+MISS = 1e-9  # up to this chance of fewer
+PARTS = 4  # of a class's keys
 
-    Up to ``whole`` edits these are the segments of ``keys``. Beyond, k edits leave ``t = (per - 1) k / (k + 1)`` characters in a row
-    alike: of each window of ``t`` characters the grams with the smallest hash are taken, so that equal windows give an equal gram.
-    Grams meet per class of lengths, each 1.3 times as wide as the last; a line whose longer partner may be in the next class is in both.
+
+def _classes(per: int, whole: int) -> list[tuple[int, int]]:
+    """(q, limit) for each class of lengths: the size of its grams, and below which of 2**24 places a gram's hash must fall to be a key.
+
+    A line of n characters and another within ``n div per`` edits have at least n - q + 1 - q (n div per) grams of q characters in common, the j-th
+    equal gram of a line counted as another one than the first. Each is a key with the same chance; ``COMMON`` and ``MISS`` fix that chance.
     """
-    parts = [f"if(n between {(per - 1) * k} and {per * (k + 1) - 1}, transform(filter({keys(k)}, x -> x is not null), x -> x.key), array())" for k in range(1, whole + 1)]
-    for least, most in ((whole + 1, 8), (9, None)):
-        t = (per - 1) * least // (least + 1)
-        slack = max(0, t - q)
-        size, w = t - slack, slack + 1
-        # Pieces keep substring(), which counts characters from the start, short; they overlap so that no window is lost.
-        piece = f"transform(sequence(0, n - {t}, 256), o -> substring(line, o + 1, {256 + t - 1}))"
-        grams = f"transform(sequence(1, length(p) - {size - 1}), i -> xxhash64(substring(p, i, {size})))"
-        mins = f"flatten(transform({piece}, p -> element_at(transform(array({grams}), g -> array_distinct(transform(sequence(1, size(g) - {slack}), i -> array_min(slice(g, i, {w}))))), 1)))"
-        sized = lambda x: f"cast(floor(ln({x}) / ln(1.3D)) as int)"
-        top = sized(f"n * {per}D / {per - 1}D + 1")
-        both = f"flatten(transform(sequence({sized('n')}, {top}), c -> transform(array_distinct({mins}), h -> xxhash64(h, c, {t}))))"
-        inside = f"n >= {(per - 1) * least}" + (f" and n < {per * (most + 1)}" if most else "")
-        parts.append(f"if({inside}, {both}, array())")
-    return f"array_distinct(flatten(array({', '.join(parts)})))"
+    out = []
+    for c in range(84):
+        n = max(WIDER ** c, (whole + 1) * per)
+        q = per // 2 if n < 9 * per else 3 * per // 5
+        common = int(n * (1 - q / per)) - q
+        few = lambda r: sum(math.exp(math.lgamma(common + 1) - math.lgamma(j + 1) - math.lgamma(common - j + 1) + j * math.log(r) + (common - j) * math.log1p(-r)) for j in range(COMMON))  # noqa: B023, E731
+        low, high = 0, (1 << 24) - 1
+        while low + 1 < high:
+            low, high = (low, mid) if few((mid := (low + high) // 2) / (1 << 24)) <= MISS else (mid, high)
+        out.append((q, high))
+    return out
+
+
+def _share_keys(per: int, whole: int = 3) -> str:
+    """SQL: (slot, keys) of a line (``line``, its length ``n``): every pair within one edit for each ``per`` characters of the longer line has ``COMMON``
+    keys in common, up to a chance of ``MISS``.
+
+    Up to ``whole`` edits these are the segments of ``keys``, of which one is enough, under slots below ``PARTS * (whole + 1)``. Beyond, they are the grams with a small hash, per class of lengths; a
+    line whose longer partner may be in the next class is in both. A slot holds one of ``PARTS`` parts of the keys of a class, so that what else is known
+    of a line travels once for some keys.
+    """
+    found = [f"if(n between {(per - 1) * k} and {per * (k + 1) - 1}, array(struct({k} as c, array_distinct(transform(filter({keys(k)}, x -> x is not null), x -> x.key)) as h)), array())" for k in range(1, whole + 1)]
+    sized = lambda x: f"cast(floor(ln({x}) / ln({WIDER}D)) as int)"
+    table = lambda k: f"element_at(array({', '.join(str(x[k]) for x in _classes(per, whole))}), c + 1)"
+    let = lambda value, name, use: f"element_at(transform(array({value}), {name} -> {use}), 1)"
+    # Pieces keep substring(), which counts characters from the start, short; they overlap so that no gram is lost.
+    pieces = "transform(sequence(0, n - q, 32), o -> substring(line, o + 1, 31 + q))"
+    grams = f"flatten(transform({pieces}, p -> transform(sequence(1, length(p) - q + 1), i -> xxhash64(substring(p, i, q)))))"
+    small = "shiftrightunsigned(x, 40) < t"
+    before = f"aggregate(array({', '.join(str(1 << k) for k in range(20, -1, -1))}), 0, (m, t) -> if(get(s, i - m - t) = x, m + t, m))"
+    again = let("sort_array(a)", "s", f"filter(transform(s, (x, i) -> if(i > 0 and get(s, i - 1) = x, xxhash64(x, {before}), null)), x -> x is not null and {small})")
+    chosen = let("array_distinct(a)", "d", f"concat(filter(d, x -> {small}), if(size(d) = size(a), array(), {again}))")
+    own = let(table(0), "q", let(table(1), "t", let(grams, "a", chosen)))
+    found.append(f"if(n >= {(per - 1) * (whole + 1)}, transform(sequence({sized('n')}, {sized(f'n * {per}D / {per - 1}D + 1')}), c -> struct(c as c, {own} as h)), array())")
+    part = f"transform(filter(e.h, x -> (shiftright(x, 32) & {PARTS - 1}) = b), x -> cast((x & 4294967295) - 2147483648 as int))"
+    slots = f"transform(sequence(0, {PARTS - 1}), b -> struct(e.c * {PARTS} + b as slot, {part} as keys))"
+    return f"filter(flatten(transform(concat({', '.join(found)}), e -> {slots})), e -> size(e.keys) > 0)"
 
 
 def _near(x: str, y: str, per: int) -> Column:
@@ -171,31 +200,56 @@ def _near(x: str, y: str, per: int) -> Column:
         lambda r: F.call_function("levenshtein", r["s"]["p"], r["s"]["t"], r["k"])) >= 0)
 
 
-def near_by_share(lines: DataFrame, per: int) -> DataFrame:
+def _counts(letters: str, line: str = "line") -> str:
+    """SQL: the counts of four letters, each as 16 bits of which n and n + d for d up to 16 differ in d."""
+    codes = ", ".join(f"{(1 << r) - 1 if r <= 16 else 65536 - (1 << r - 16)}L" for r in range(32))
+    return " | ".join(f"shiftleft(get(array({codes}), (octet_length({line}) - octet_length(replace({line}, '{c}', ''))) % 32), {16 * k})" for k, c in enumerate(letters))
+
+
+def near_by_share(lines: DataFrame, per: int, whole: int = 3, group: int = 32) -> DataFrame:
     """(id, pos, line) -> (line): lines with a different line at an earlier place within one edit for each ``per`` characters of the longer one.
 
-    Under each key a line is first compared with the earliest line only, which settles groups of near copies in as many pairs as
-    lines; lines that this leaves meet all earlier ones that have about their length and letters.
+    Lines meet under their keys once, with their lengths and letter counts. Pairs that these allow are counted, and verified if they have enough keys in
+    common. Under a key of more than ``group`` lines a line first meets the earliest one only, which settles groups of near copies in as many pairs as
+    lines; lines that this leaves meet all others there.
     """
     place = F.struct("id", "pos")
-    # Only hashes travel with the keys; what a line weighs is fetched for lines that share a key.
-    keyed = lines.select("line", F.length("line").alias("n"), F.xxhash64("line").alias("h")).select("h", F.explode(F.expr(_share_keys(per))).alias("key")).repartition(F.col("key")).distinct()
-    met = written(keyed.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1").drop("c"))
-    about = lines.select(F.xxhash64("line").alias("h"), place.alias("at"), F.length("line").alias("n"), F.expr(_letters()).alias("letters")).groupBy("h", "n", "letters").agg(F.min("at").alias("at"))
-    shared = written(met.join(about, "h").withColumn("lead", F.min(F.struct("at", "h", "n", "letters")).over(Window.partitionBy("key"))))
-    fits = lambda n, m, a, b: f"abs({n} - {m}) <= greatest({n}, {m}) div {per} and {_close(a, b, f'(greatest({n}, {m}) div {per})')}"
+    about = ["id", "h", "n", "w0", "w1"]
+    told = lines.select("id", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"), F.expr(_counts("etao")).alias("w0"), F.expr(_counts("inr ")).alias("w1"))
+    slots = told.select(*about, F.expr(f"inline({_share_keys(per, whole)})")).transform(spread, "slot", least=WIDE)
+    # Sorted by key first, whose values differ; both stay within the tasks of the slots.
+    by = Window.partitionBy("key", "slot").orderBy("id", "h")
+    met = slots.select("slot", *about, F.explode("keys").alias("key"))
+    met = met.withColumn("size", F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    met = met.withColumn("prior", F.collect_list(F.struct(*about)).over(by.rowsBetween(1 - group, -1))).where("size > 1")
+    sized = f"e.h <> h and abs(e.n - n) <= greatest(e.n, n) div {per}"
+    alike = F.expr(f"bit_count(w0 ^ e.w0) + bit_count(w1 ^ e.w1) <= 2 * (greatest(e.n, n) div {per})")
+    met = met.select("*", F.expr(f"explode(if(size > {group}, array(struct({', '.join(about)})), filter(prior, e -> {sized})))").alias("e"))
+    crowded = F.col("size") > group
+    met = written(met.where(crowded | alike).select("h", F.when(~crowded, F.col("e.h")).alias("y"), "slot", *[F.when(crowded, F.col(c)).alias(c) for c in ("key", "id", "n", "w0", "w1")]))
+    weight = F.when(F.col("slot") < PARTS * (whole + 1), COMMON).otherwise(1).alias("weight")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs.distinct())
+        """(x, y) -> (h, line): of each near pair the line whose first place is later."""
+        pairs = written(pairs)
         wanted = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
         found = written(lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").groupBy("h", "line").agg(F.min(place).alias("at")))
         x, y = [found.select(F.col("h").alias(s), F.col("line").alias(f"l{s}"), F.col("at").alias(f"a{s}")) for s in ("x", "y")]
-        return pairs.join(x, "x").join(y, "y").where((F.col("ay") < F.col("ax")) & _near("lx", "ly", per)).select("x", F.col("lx").alias("line")).distinct()
-
-    star = written(verified(shared.where("h <> lead.h").where(fits("n", "lead.n", "letters", "lead.letters")).select(F.col("h").alias("x"), F.col("lead.h").alias("y"))))
-    left = shared.where("h <> lead.h").join(star.select(F.col("x").alias("h")), "h", "left_anti").select("key", F.col("h").alias("x"), F.col("n").alias("n1"), F.col("letters").alias("w1"), F.col("at").alias("a1"))
-    others = shared.select("key", F.col("h").alias("y"), F.col("n").alias("n2"), F.col("letters").alias("w2"), F.col("at").alias("a2"))
-    rest = verified(left.join(others, "key").where("a2 < a1 and x <> y").where(fits("n1", "n2", "w1", "w2")).select("x", "y"))
+        near = pairs.join(x, "x").join(y, "y").where(_near("lx", "ly", per))
+        return near.select(F.when(F.col("ay") < F.col("ax"), F.struct(F.col("x").alias("h"), F.col("lx").alias("line"))).otherwise(F.struct(F.col("y").alias("h"), F.col("ly").alias("line"))).alias("v")).select("v.*").distinct()
+
+    crowd = met.where("y is null").select("slot", "key", *about)
+    other = crowd.select("slot", "key", F.struct(*about).alias("e"))
+    first = other.groupBy("slot", "key").agg(F.min("e").alias("e"))
+    fits = F.expr(f"{sized} and struct(e.id, e.h) < struct(id, h)") & alike
+    pair = [F.col("h").alias("x"), F.col("e.h").alias("y"), weight]
+    enough = lambda pairs: pairs.groupBy("x", "y").agg(F.sum("weight").alias("weight")).where(f"weight >= {COMMON}").select("x", "y")
+    small = written(met.where("y is not null").select(F.col("h").alias("x"), "y", weight).groupBy("x", "y").agg(F.sum("weight").alias("weight")))
+    tried = written(enough(small.union(crowd.join(first, ["slot", "key"]).where(fits).select(*pair))))
+    star = written(verified(tried))
+    left = crowd.join(star.select("h"), "h", "left_anti").select("slot", "key", *about)
+    rest = small.union(left.join(other, ["slot", "key"]).where(fits).select(*pair))
+    rest = verified(enough(rest).join(tried, ["x", "y"], "left_anti").join(star.select(F.col("h").alias("x")), "x", "left_anti"))
     return star.select("line").union(rest.select("line")).distinct()
 
 

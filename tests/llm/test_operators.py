@@ -125,6 +125,32 @@ def test_allowed_edits_follow_the_length_of_a_line(spark):
     assert len(gone) > 40 and {r.doc_id for r in kept if r.n_removed} == gone
 
 
+def test_keys_of_a_line_do_not_grow_with_its_length(spark):
+    rng = random.Random(13)
+    rows = [(n, letters(rng, n, "abcdefghijklmnopqrstuvwxyz é")) for n in (300, 1000, 5000, 20000)]
+    told = spark.createDataFrame(rows, "n int, line string").select("n", F.expr(f"inline({lines._share_keys(20)})")).select("n", F.explode("keys"))
+    assert all(20 < r["count"] < 250 for r in told.groupBy("n").count().collect())
+
+
+@pytest.mark.parametrize("group", [2, 32])
+def test_crowded_keys_and_repeated_grams(spark, group):
+    rng = random.Random(14)
+    passage = letters(rng, 90, "abcdefghijklmnopqrstuvwxyz ")
+    texts = [letters(rng, 60, "abcdefghijkl ") + passage + letters(rng, 60, "abcdefghijkl ") for _ in range(40)]
+    texts += ["ab " * 70, "ab " * 69 + "ab", "x" * 300, "x" * 290, "x" * 280, "ab " * 60 + "cd " * 10]
+    for t in texts[:30]:
+        for edits in (4, 10, 11):
+            found = list(t)
+            for place in range(edits):
+                found[(2 * place + 1) * len(t) // (2 * edits)] = "#"
+            texts.append("".join(found))
+    rows = [(i, 0, t) for i, t in enumerate(texts)]
+    near = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) // 20 and edit(a, b) <= max(len(a), len(b)) // 20
+    gone = {y for i, y in enumerate(texts) if any(x != y and near(x, y) for x in texts[:i])}
+    found = lines.near_by_share(spark.createDataFrame(rows, "id long, pos int, line string").repartition(3), 20, group=group)
+    assert len(gone) > 50 and {r.line for r in found.collect()} == gone
+
+
 def test_one_line_in_every_row(spark):
     rows = [(i, f"the same long line in every row\nown line number {i} of this table {i * i}", "s") for i in range(300)]
     kept = lines.dedup_lines(documents(spark, rows), edits=0).select("doc_id", "n_removed").collect()
