@@ -146,13 +146,16 @@ WIDER = 1.3  # a class of lengths is that much wider than the last
 COMMON = 3  # keys that a near pair has in common
 MISS = 1e-9  # up to this chance of fewer
 PARTS = 4  # of a class's keys
+STRETCH = 4  # size of a stretch, in edits that a line may have
 
 
-def _classes(per: int, whole: int) -> list[tuple[int, int]]:
-    """(q, limit) for each class of lengths: the size of its grams, and below which of 2**24 places a gram's hash must fall to be a key.
+def _classes(per: int, whole: int) -> list[tuple[int, int, int, int]]:
+    """(q, limit, edits, width) for each class of lengths: the size of its grams, below which of 2**24 places a key's hash must fall, the edits
+    that its longest lines allow, and the size of the stretches that places are told by.
 
-    A line of n characters and another within ``n div per`` edits have at least n - q + 1 - q (n div per) grams of q characters in common, the j-th
-    equal gram of a line counted as another one than the first. Each is a key with the same chance; ``COMMON`` and ``MISS`` fix that chance.
+    A line of n characters and another within ``n div per`` edits have at least n - q + 1 - q (n div per) grams of q characters in common whose places
+    are at most the edits apart, the j-th equal gram of a stretch counted as another one than the first. Each is a key with the same chance; ``COMMON``
+    and ``MISS`` fix that chance.
     """
     out = []
     for c in range(84):
@@ -163,7 +166,8 @@ def _classes(per: int, whole: int) -> list[tuple[int, int]]:
         low, high = 0, (1 << 24) - 1
         while low + 1 < high:
             low, high = (low, mid) if few((mid := (low + high) // 2) / (1 << 24)) <= MISS else (mid, high)
-        out.append((q, high))
+        edits = min(math.ceil(WIDER ** (c + 1)), (1 << 31) - 1) // per + 1
+        out.append((q, high, edits, STRETCH * edits))
     return out
 
 
@@ -171,22 +175,27 @@ def _share_keys(per: int, whole: int = 3) -> str:
     """SQL: (slot, keys) of a line (``line``, its length ``n``): every pair within one edit for each ``per`` characters of the longer line has ``COMMON``
     keys in common, up to a chance of ``MISS``.
 
-    Up to ``whole`` edits these are the segments of ``keys``, of which one is enough, under slots below ``PARTS * (whole + 1)``. Beyond, they are the grams with a small hash, per class of lengths; a
-    line whose longer partner may be in the next class is in both. A slot holds one of ``PARTS`` parts of the keys of a class, so that what else is known
+    Up to ``whole`` edits these are the segments of ``keys``, of which one is enough, under slots below ``PARTS * (whole + 1)``. Beyond, they are the grams, each told
+    also by the stretch of the line that it starts in, whose hash is small, per class of lengths; a line whose longer partner may be in the next class is in both.
+    A gram that starts as many places before the next stretch as there may be edits is in both, too: of two grams that an alignment pairs, the
+    earlier one is also in the stretch of the later one. A slot holds one of ``PARTS`` parts of the keys of a class, so that what else is known
     of a line travels once for some keys.
     """
     found = [f"if(n between {(per - 1) * k} and {per * (k + 1) - 1}, array(struct({k} as c, array_distinct(transform(filter({keys(k)}, x -> x is not null), x -> x.key)) as h)), array())" for k in range(1, whole + 1)]
     sized = lambda x: f"cast(floor(ln({x}) / ln({WIDER}D)) as int)"
     table = lambda k: f"element_at(array({', '.join(str(x[k]) for x in _classes(per, whole))}), c + 1)"
     let = lambda value, name, use: f"element_at(transform(array({value}), {name} -> {use}), 1)"
-    # Pieces keep substring(), which counts characters from the start, short; they overlap so that no gram is lost.
-    pieces = "transform(sequence(0, n - q, 32), o -> substring(line, o + 1, 31 + q))"
-    grams = f"flatten(transform({pieces}, p -> transform(sequence(1, length(p) - q + 1), i -> xxhash64(substring(p, i, q)))))"
+    # Of each stretch b the grams that start there or up to k places before it. Pieces keep substring(), which counts characters from the start,
+    # short; they overlap so that no gram is lost.
+    pieces = "transform(sequence(0, length(s) - q, 32), o -> substring(s, o + 1, 31 + q))"
+    stretch = "if(b = 0, left(line, w + q - 1), substring(line, b * w - k + 1, k + w + q - 1))"
+    told = f"transform({pieces}, p -> transform(sequence(1, length(p) - q + 1), i -> xxhash64(substring(p, i, q), b)))"
+    grams = f"flatten(flatten(transform(sequence(0, (n - q + k) div w), b -> {let(stretch, 's', told)})))"
     small = "shiftrightunsigned(x, 40) < t"
     before = f"aggregate(array({', '.join(str(1 << k) for k in range(20, -1, -1))}), 0, (m, t) -> if(get(s, i - m - t) = x, m + t, m))"
     again = let("sort_array(a)", "s", f"filter(transform(s, (x, i) -> if(i > 0 and get(s, i - 1) = x, xxhash64(x, {before}), null)), x -> x is not null and {small})")
     chosen = let("array_distinct(a)", "d", f"concat(filter(d, x -> {small}), if(size(d) = size(a), array(), {again}))")
-    own = let(table(0), "q", let(table(1), "t", let(grams, "a", chosen)))
+    own = let(table(0), "q", let(table(1), "t", let(table(2), "k", let(table(3), "w", let(grams, "a", chosen)))))
     found.append(f"if(n >= {(per - 1) * (whole + 1)}, transform(sequence({sized('n')}, {sized(f'n * {per}D / {per - 1}D + 1')}), c -> struct(c as c, {own} as h)), array())")
     part = f"transform(filter(e.h, x -> (shiftright(x, 32) & {PARTS - 1}) = b), x -> cast((x & 4294967295) - 2147483648 as int))"
     slots = f"transform(sequence(0, {PARTS - 1}), b -> struct(e.c * {PARTS} + b as slot, {part} as keys))"
@@ -194,39 +203,54 @@ def _share_keys(per: int, whole: int = 3) -> str:
 
 
 def _near(x: str, y: str, per: int) -> Column:
-    """Whether two columns of strings are within one edit for each ``per`` characters of the longer one."""
+    """Whether two columns of strings are within one edit for each ``per`` characters of the longer one.
+
+    What precedes any place of one string is within twice the edits of what precedes the same place of the other: long strings that differ throughout
+    mostly fail by their beginnings."""
     allowed = f"cast(greatest(length({x}), length({y})) div {per} as int)"
-    return F.expr(f"abs(length({x}) - length({y})) <= {allowed}") & (_let(F.struct(_stripped(F.col(x), F.col(y)).alias("s"), F.expr(allowed).alias("k")),
-        lambda r: F.call_function("levenshtein", r["s"]["p"], r["s"]["t"], r["k"])) >= 0)
+    distance = lambda p, t, k: F.call_function("levenshtein", p, t, k)
+    begins = lambda r: distance(F.left(r["s"]["p"], r["k"] * 4), F.left(r["s"]["t"], r["k"] * 4), r["k"] * 2) >= 0
+    differ = lambda r: (F.least(F.length(r["s"]["p"]), F.length(r["s"]["t"])) < r["k"] * 8) | begins(r)
+    return F.expr(f"abs(length({x}) - length({y})) <= {allowed}") & _let(F.struct(_stripped(F.col(x), F.col(y)).alias("s"), F.expr(allowed).alias("k")),
+        lambda r: F.when(differ(r), distance(r["s"]["p"], r["s"]["t"], r["k"]) >= 0).otherwise(False))
+
+
+OFTEN = ("etao", "inr ")  # characters whose counts are compared, a word for four
 
 
 def _counts(letters: str, line: str = "line") -> str:
-    """SQL: the counts of four letters, each as 16 bits of which n and n + d for d up to 16 differ in d."""
+    """SQL: the counts of four characters, each as 16 bits of which n and n + d for d up to 16 differ in d."""
     codes = ", ".join(f"{(1 << r) - 1 if r <= 16 else 65536 - (1 << r - 16)}L" for r in range(32))
     return " | ".join(f"shiftleft(get(array({codes}), (octet_length({line}) - octet_length(replace({line}, '{c}', ''))) % 32), {16 * k})" for k, c in enumerate(letters))
 
 
+def _alike(x: str, y: str, edits: str) -> str:
+    """SQL: whether the counts of two lines differ by at most two for each edit; an edit changes them by no more."""
+    return f"{' + '.join(f'bit_count({x}w{k} ^ {y}w{k})' for k in range(len(OFTEN)))} <= 2 * ({edits})"
+
+
 def near_by_share(lines: DataFrame, per: int, whole: int = 3, group: int = 32) -> DataFrame:
     """(id, pos, line) -> (line): lines with a different line at an earlier place within one edit for each ``per`` characters of the longer one.
 
-    Lines meet under their keys once, with their lengths and letter counts. Pairs that these allow are counted, and verified if they have enough keys in
-    common. Under a key of more than ``group`` lines a line first meets the earliest one only, which settles groups of near copies in as many pairs as
+    Lines meet under their keys once, with their lengths and letter counts. Pairs that these allow are counted, and may be near if they have enough keys in
+    common. Of these a line's best pair is verified first, the others if the line stays. Under a key of more than ``group`` lines a line first meets the earliest one only, which settles groups of near copies in as many pairs as
     lines; lines that this leaves meet all others there.
     """
     place = F.struct("id", "pos")
-    about = ["id", "h", "n", "w0", "w1"]
-    told = lines.select("id", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"), F.expr(_counts("etao")).alias("w0"), F.expr(_counts("inr ")).alias("w1"))
+    words = [f"w{k}" for k in range(len(OFTEN))]
+    about = ["id", "pos", "h", "n", *words]
+    told = lines.select("id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"), *[F.expr(_counts(letters)).alias(w) for w, letters in zip(words, OFTEN)])
     slots = told.select(*about, F.expr(f"inline({_share_keys(per, whole)})")).transform(spread, "slot", least=WIDE)
     # Sorted by key first, whose values differ; both stay within the tasks of the slots.
-    by = Window.partitionBy("key", "slot").orderBy("id", "h")
+    by = Window.partitionBy("key", "slot").orderBy("id", "pos", "h")
     met = slots.select("slot", *about, F.explode("keys").alias("key"))
     met = met.withColumn("size", F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    met = met.withColumn("prior", F.collect_list(F.struct(*about)).over(by.rowsBetween(1 - group, -1))).where("size > 1")
+    met = met.where("size > 1").withColumn("prior", F.collect_list(F.when(F.col("size") <= group, F.struct(*about))).over(by.rowsBetween(1 - group, -1)))
     sized = f"e.h <> h and abs(e.n - n) <= greatest(e.n, n) div {per}"
-    alike = F.expr(f"bit_count(w0 ^ e.w0) + bit_count(w1 ^ e.w1) <= 2 * (greatest(e.n, n) div {per})")
+    alike = F.expr(_alike("", "e.", f"greatest(e.n, n) div {per}"))
     met = met.select("*", F.expr(f"explode(if(size > {group}, array(struct({', '.join(about)})), filter(prior, e -> {sized})))").alias("e"))
     crowded = F.col("size") > group
-    met = written(met.where(crowded | alike).select("h", F.when(~crowded, F.col("e.h")).alias("y"), "slot", *[F.when(crowded, F.col(c)).alias(c) for c in ("key", "id", "n", "w0", "w1")]))
+    met = written(met.where(crowded | alike).select("h", F.when(~crowded, F.col("e.h")).alias("y"), "slot", *[F.when(crowded, F.col(c)).alias(c) for c in ("key", "id", "pos", "n", *words)]))
     weight = F.when(F.col("slot") < PARTS * (whole + 1), COMMON).otherwise(1).alias("weight")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -234,22 +258,24 @@ def near_by_share(lines: DataFrame, per: int, whole: int = 3, group: int = 32) -
         pairs = written(pairs)
         wanted = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
         found = written(lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").groupBy("h", "line").agg(F.min(place).alias("at")))
-        x, y = [found.select(F.col("h").alias(s), F.col("line").alias(f"l{s}"), F.col("at").alias(f"a{s}")) for s in ("x", "y")]
+        x, y = [found.select(F.col("h").alias(s), *[F.col(c).alias(f"{c[0]}{s}") for c in ("line", "at")]) for s in ("x", "y")]
         near = pairs.join(x, "x").join(y, "y").where(_near("lx", "ly", per))
         return near.select(F.when(F.col("ay") < F.col("ax"), F.struct(F.col("x").alias("h"), F.col("lx").alias("line"))).otherwise(F.struct(F.col("y").alias("h"), F.col("ly").alias("line"))).alias("v")).select("v.*").distinct()
 
     crowd = met.where("y is null").select("slot", "key", *about)
     other = crowd.select("slot", "key", F.struct(*about).alias("e"))
     first = other.groupBy("slot", "key").agg(F.min("e").alias("e"))
-    fits = F.expr(f"{sized} and struct(e.id, e.h) < struct(id, h)") & alike
+    fits = F.expr(f"{sized} and struct(e.id, e.pos, e.h) < struct(id, pos, h)") & alike
     pair = [F.col("h").alias("x"), F.col("e.h").alias("y"), weight]
-    enough = lambda pairs: pairs.groupBy("x", "y").agg(F.sum("weight").alias("weight")).where(f"weight >= {COMMON}").select("x", "y")
+    enough = lambda pairs: pairs.groupBy("x", "y").agg(F.sum("weight").alias("weight")).where(f"weight >= {COMMON}")
     small = written(met.where("y is not null").select(F.col("h").alias("x"), "y", weight).groupBy("x", "y").agg(F.sum("weight").alias("weight")))
-    tried = written(enough(small.union(crowd.join(first, ["slot", "key"]).where(fits).select(*pair))))
+    # y is at an earlier place than x: once x is known to go, its other pairs tell nothing. So each x first tries the y it has most keys in common with.
+    tried = written(enough(small.union(crowd.join(first, ["slot", "key"]).where(fits).select(*pair))).groupBy("x").agg(F.max_by("y", F.struct("weight", "y")).alias("y")))
     star = written(verified(tried))
+    gone = star.select(F.col("h").alias("x"))
     left = crowd.join(star.select("h"), "h", "left_anti").select("slot", "key", *about)
-    rest = small.union(left.join(other, ["slot", "key"]).where(fits).select(*pair))
-    rest = verified(enough(rest).join(tried, ["x", "y"], "left_anti").join(star.select(F.col("h").alias("x")), "x", "left_anti"))
+    rest = small.join(gone, "x", "left_anti").union(left.join(other, ["slot", "key"]).where(fits).select(*pair))
+    rest = verified(enough(rest).select("x", "y").join(tried, ["x", "y"], "left_anti"))
     return star.select("line").union(rest.select("line")).distinct()
 
 

@@ -151,6 +151,30 @@ def test_crowded_keys_and_repeated_grams(spark, group):
     assert len(gone) > 50 and {r.line for r in found.collect()} == gone
 
 
+def test_keys_tell_where_a_passage_stands(spark):
+    rng = random.Random(15)
+    passage, other = letters(rng, 200, "abcdefghijklmnopqrstuvwxyz "), [letters(rng, 600, "abcdefghijklmnopqrstuvwxyz ") for _ in range(2)]
+    rows = [(0, 800, passage + other[0]), (1, 800, other[1] + passage)]
+    told = spark.createDataFrame(rows, "id int, n int, line string").select("id", F.expr(f"inline({lines._share_keys(20)})")).select("id", "slot", F.explode("keys").alias("key")).collect()
+    first, second = [{(r.slot, r.key) for r in told if r.id == i} for i in range(2)]
+    assert len(first) > 20 and len(second) > 20 and not first & second
+
+
+@pytest.mark.parametrize("group", [2, 32])
+def test_near_lines_of_one_document_go_by_their_place(spark, group):
+    rng = random.Random(16)
+    base = letters(rng, 400, "abcdefghijklmnopqrstuvwxyz ")
+    texts = []
+    for i in range(40):
+        found = list(base)
+        for place in rng.sample(range(400), rng.choice([3, 9, 14])):
+            found[place] = "#"
+        texts.append("".join(found))
+    gone = {y for i, y in enumerate(texts) if any(x != y and edit(x, y) <= 20 for x in texts[:i])}
+    found = lines.near_by_share(spark.createDataFrame([(7, i, t) for i, t in enumerate(texts)], "id long, pos int, line string").repartition(3), 20, group=group)
+    assert 0 < len(gone) < 40 and {r.line for r in found.collect()} == gone
+
+
 def test_one_line_in_every_row(spark):
     rows = [(i, f"the same long line in every row\nown line number {i} of this table {i * i}", "s") for i in range(300)]
     kept = lines.dedup_lines(documents(spark, rows), edits=0).select("doc_id", "n_removed").collect()
