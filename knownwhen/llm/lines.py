@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,36 +147,52 @@ COMMON = 3  # keys that a near pair has in common
 MISS = 1e-9  # up to this chance of fewer
 PARTS = 4  # of a class's keys
 STRETCH = 4  # size of a stretch, in edits that a line may have
+EXACT = 500  # numbers of common keys whose limits are tabled
 
 
-def _classes(per: int, whole: int) -> list[tuple[int, int, int, int]]:
-    """(q, limit, edits, width) for each class of lengths: the size of its grams, below which of 2**24 places a key's hash must fall, the edits
-    that its longest lines allow, and the size of the stretches that places are told by.
-
-    A line of n characters and another within ``n div per`` edits have at least n - q + 1 - q (n div per) grams of q characters in common whose places
-    are at most the edits apart, the j-th equal gram of a stretch counted as another one than the first. Each is a key with the same chance; ``COMMON``
-    and ``MISS`` fix that chance.
-    """
+def _classes(per: int, whole: int) -> list[tuple[int, int]]:
+    """(q, width) for each class of lengths: the size of its grams, and the size of the stretches that places are told by."""
     out = []
     for c in range(84):
         n = max(WIDER ** c, (whole + 1) * per)
-        q = per // 2 if n < 9 * per else 3 * per // 5
-        common = int(n * (1 - q / per)) - q
-        few = lambda r: sum(math.exp(math.lgamma(common + 1) - math.lgamma(j + 1) - math.lgamma(common - j + 1) + j * math.log(r) + (common - j) * math.log1p(-r)) for j in range(COMMON))  # noqa: B023, E731
-        low, high = 0, (1 << 24) - 1
-        while low + 1 < high:
-            low, high = (low, mid) if few((mid := (low + high) // 2) / (1 << 24)) <= MISS else (mid, high)
         edits = min(math.ceil(WIDER ** (c + 1)), (1 << 31) - 1) // per + 1
-        out.append((q, high, edits, STRETCH * edits))
+        out.append((per // 2 if n < 9 * per else 3 * per // 5, STRETCH * edits))
     return out
 
 
+def _fewer(common: int, rate: float) -> float:
+    """The chance that of ``common`` keys, each taken at ``rate``, fewer than ``COMMON`` are taken."""
+    choose = lambda j: math.lgamma(common + 1) - math.lgamma(j + 1) - math.lgamma(common - j + 1)
+    return sum(math.exp(choose(j) + j * math.log(rate) + (common - j) * math.log1p(-rate)) for j in range(min(COMMON, common + 1)))
+
+
+@lru_cache(maxsize=1)
+def _limits() -> tuple[list[int], float]:
+    """Below which of 2**24 places a key's hash must fall where lines have 1, 2, ... ``EXACT`` keys in common, so that fewer than ``COMMON`` are taken of them
+    with a chance of at most ``MISS``; never rising. For more common keys: how many must be taken on average, by Poisson's law, whose chance is larger."""
+    out = []
+    for common in range(1, EXACT + 1):
+        low, high = 0, (1 << 24) - 1
+        while low + 1 < high:
+            low, high = (low, mid) if _fewer(common, (mid := (low + high) // 2) / (1 << 24)) <= MISS else (mid, high)
+        out.append(high)
+    low, high = 1.0, 1000.0
+    while high - low > 1e-6:
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(math.exp(j * math.log(mid) - math.lgamma(j + 1) - mid) for j in range(COMMON)) > MISS else (low, mid)
+    return out, high
+
+
 def _share_keys(per: int, whole: int = 3) -> str:
     """SQL: (slot, keys) of a line (``line``, its length ``n``): every pair within one edit for each ``per`` characters of the longer line has ``COMMON``
     keys in common, up to a chance of ``MISS``.
 
     Up to ``whole`` edits these are the segments of ``keys``, of which one is enough, under slots below ``PARTS * (whole + 1)``. Beyond, they are the grams, each told
     also by the stretch of the line that it starts in, whose hash is small, per class of lengths; a line whose longer partner may be in the next class is in both.
+
+    A line of n characters and a shorter one within ``n div per`` edits have at least n - q + 1 - q (n div per) grams of q characters in common whose places
+    are at most the edits apart, the j-th equal gram of a stretch counted as another one than the first. How small a hash must be follows a line's own
+    length: a shorter line takes all that a longer one would, so the longer one's limit holds for both.
     A gram that starts as many places before the next stretch as there may be edits is in both, too: of two grams that an alignment pairs, the
     earlier one is also in the stretch of the later one. A slot holds one of ``PARTS`` parts of the keys of a class, so that what else is known
     of a line travels once for some keys.
@@ -187,7 +203,7 @@ def _share_keys(per: int, whole: int = 3) -> str:
     let = lambda value, name, use: f"element_at(transform(array({value}), {name} -> {use}), 1)"
     # Of each stretch b the grams that start there or up to k places before it. Pieces keep substring(), which counts characters from the start,
     # short; they overlap so that no gram is lost.
-    pieces = "transform(sequence(0, length(s) - q, 32), o -> substring(s, o + 1, 31 + q))"
+    pieces = "transform(sequence(0, length(s) - q, 16), o -> substring(s, o + 1, 15 + q))"
     stretch = "if(b = 0, left(line, w + q - 1), substring(line, b * w - k + 1, k + w + q - 1))"
     told = f"transform({pieces}, p -> transform(sequence(1, length(p) - q + 1), i -> xxhash64(substring(p, i, q), b)))"
     grams = f"flatten(flatten(transform(sequence(0, (n - q + k) div w), b -> {let(stretch, 's', told)})))"
@@ -195,7 +211,11 @@ def _share_keys(per: int, whole: int = 3) -> str:
     before = f"aggregate(array({', '.join(str(1 << k) for k in range(20, -1, -1))}), 0, (m, t) -> if(get(s, i - m - t) = x, m + t, m))"
     again = let("sort_array(a)", "s", f"filter(transform(s, (x, i) -> if(i > 0 and get(s, i - 1) = x, xxhash64(x, {before}), null)), x -> x is not null and {small})")
     chosen = let("array_distinct(a)", "d", f"concat(filter(d, x -> {small}), if(size(d) = size(a), array(), {again}))")
-    own = let(table(0), "q", let(table(1), "t", let(table(2), "k", let(table(3), "w", let(grams, "a", chosen)))))
+    limits, average = _limits()
+    limit = f"if(m > {EXACT}, cast(ceil({average * (1 << 24)}D / m) as int), element_at(array({', '.join(map(str, limits))}), greatest(m, 1)))"
+    edits = f"cast(n div {per - 1} as int)"  # of the longest line that this one may be near
+    least = f"cast(n - n * cast(q as bigint) div {per} as int) - q - 1"
+    own = let(table(0), "q", let(let(least, "m", limit), "t", let(edits, "k", let(table(1), "w", let(grams, "a", chosen)))))
     found.append(f"if(n >= {(per - 1) * (whole + 1)}, transform(sequence({sized('n')}, {sized(f'n * {per}D / {per - 1}D + 1')}), c -> struct(c as c, {own} as h)), array())")
     part = f"transform(filter(e.h, x -> (shiftright(x, 32) & {PARTS - 1}) = b), x -> cast((x & 4294967295) - 2147483648 as int))"
     slots = f"transform(sequence(0, {PARTS - 1}), b -> struct(e.c * {PARTS} + b as slot, {part} as keys))"
@@ -218,10 +238,15 @@ def _near(x: str, y: str, per: int) -> Column:
 OFTEN = ("etao", "inr ")  # characters whose counts are compared, a word for four
 
 
-def _counts(letters: str, line: str = "line") -> str:
-    """SQL: the counts of four characters, each as 16 bits of which n and n + d for d up to 16 differ in d."""
+def _counts(line: str = "line") -> str:
+    """SQL: the counts of the characters of ``OFTEN`` modulo 32, in 5 bits each: as they travel."""
+    return " | ".join(f"shiftleft(cast((octet_length({line}) - octet_length(replace({line}, '{c}', ''))) % 32 as bigint), {5 * k})" for k, c in enumerate("".join(OFTEN)))
+
+
+def _word(k: int, counts: str = "counts") -> str:
+    """SQL: word ``k`` of four of the counts, each as 16 bits of which n and n + d for d up to 16 differ in d: as they are compared."""
     codes = ", ".join(f"{(1 << r) - 1 if r <= 16 else 65536 - (1 << r - 16)}L" for r in range(32))
-    return " | ".join(f"shiftleft(get(array({codes}), (octet_length({line}) - octet_length(replace({line}, '{c}', ''))) % 32), {16 * k})" for k, c in enumerate(letters))
+    return " | ".join(f"shiftleft(get(array({codes}), cast(shiftright({counts}, {5 * (4 * k + j)}) & 31 as int)), {16 * j})" for j in range(4))
 
 
 def _alike(x: str, y: str, edits: str) -> str:
@@ -239,13 +264,13 @@ def near_by_share(lines: DataFrame, per: int, whole: int = 3, group: int = 32) -
     place = F.struct("id", "pos")
     words = [f"w{k}" for k in range(len(OFTEN))]
     about = ["id", "pos", "h", "n", *words]
-    told = lines.select("id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"), *[F.expr(_counts(letters)).alias(w) for w, letters in zip(words, OFTEN)])
-    slots = told.select(*about, F.expr(f"inline({_share_keys(per, whole)})")).transform(spread, "slot", least=WIDE)
+    told = lines.select("id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"), F.expr(_counts()).alias("counts"))
+    slots = told.select("id", "pos", "h", "n", "counts", F.expr(f"inline({_share_keys(per, whole)})")).transform(spread, "slot", least=WIDE)
     # Sorted by key first, whose values differ; both stay within the tasks of the slots.
     by = Window.partitionBy("key", "slot").orderBy("id", "pos", "h")
-    met = slots.select("slot", *about, F.explode("keys").alias("key"))
+    met = slots.select("slot", "id", "pos", "h", "n", "counts", F.explode("keys").alias("key"))
     met = met.withColumn("size", F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    met = met.where("size > 1").withColumn("prior", F.collect_list(F.when(F.col("size") <= group, F.struct(*about))).over(by.rowsBetween(1 - group, -1)))
+    met = met.where("size > 1").withColumns({w: F.expr(_word(k)) for k, w in enumerate(words)}).drop("counts").withColumn("prior", F.collect_list(F.when(F.col("size") <= group, F.struct(*about))).over(by.rowsBetween(1 - group, -1)))
     sized = f"e.h <> h and abs(e.n - n) <= greatest(e.n, n) div {per}"
     alike = F.expr(_alike("", "e.", f"greatest(e.n, n) div {per}"))
     met = met.select("*", F.expr(f"explode(if(size > {group}, array(struct({', '.join(about)})), filter(prior, e -> {sized})))").alias("e"))

@@ -132,6 +132,18 @@ def test_keys_of_a_line_do_not_grow_with_its_length(spark):
     assert all(20 < r["count"] < 250 for r in told.groupBy("n").count().collect())
 
 
+def test_keys_of_a_line_follow_its_own_length(spark):
+    rng = random.Random(17)
+    rows = [(n, i, letters(rng, n, "abcdefghijklmnopqrstuvwxyz ")) for n in (550, 660) for i in range(60)]  # the ends of one class of lengths
+    told = spark.createDataFrame(rows, "n int, i int, line string").select("n", F.expr(f"inline({lines._share_keys(20)})")).select("n", F.explode("keys"))
+    count = {r.n: r["count"] / 60 for r in told.groupBy("n").count().collect()}
+    assert 40 < count[550] < 120 and abs(count[660] / count[550] - 1) < 0.1
+    limits, average = lines._limits()
+    assert all(x >= y for x, y in zip(limits, limits[1:]))
+    assert all(lines._fewer(m, limits[m - 1] / 2**24) <= lines.MISS for m in range(30, lines.EXACT + 1))
+    assert all(lines._fewer(m, average / m) <= lines.MISS for m in (lines.EXACT + 1, 1000, 20_000, 10**6))
+
+
 @pytest.mark.parametrize("group", [2, 32])
 def test_crowded_keys_and_repeated_grams(spark, group):
     rng = random.Random(14)
