@@ -146,6 +146,7 @@ WIDER = 1.3  # a class of lengths is that much wider than the last
 COMMON = 3  # keys that a near pair has in common
 MISS = 1e-9  # up to this chance of fewer
 PARTS = 4  # of a class's keys
+TURNS = 4  # parts of a slot's keys that are sorted one after the other
 STRETCH = 4  # size of a stretch, in edits that a line may have
 EXACT = 500  # numbers of common keys whose limits are tabled
 
@@ -268,14 +269,19 @@ def near_by_share(lines: DataFrame, per: int, whole: int = 3, group: int = 32) -
     slots = told.select("id", "pos", "h", "n", "counts", F.expr(f"inline({_share_keys(per, whole)})")).transform(spread, "slot", least=WIDE)
     # Sorted by key first, whose values differ; both stay within the tasks of the slots.
     by = Window.partitionBy("key", "slot").orderBy("id", "pos", "h")
-    met = slots.select("slot", "id", "pos", "h", "n", "counts", F.explode("keys").alias("key"))
-    met = met.withColumn("size", F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    met = met.where("size > 1").withColumns({w: F.expr(_word(k)) for k, w in enumerate(words)}).drop("counts").withColumn("prior", F.collect_list(F.when(F.col("size") <= group, F.struct(*about))).over(by.rowsBetween(1 - group, -1)))
     sized = f"e.h <> h and abs(e.n - n) <= greatest(e.n, n) div {per}"
     alike = F.expr(_alike("", "e.", f"greatest(e.n, n) div {per}"))
-    met = met.select("*", F.expr(f"explode(if(size > {group}, array(struct({', '.join(about)})), filter(prior, e -> {sized})))").alias("e"))
     crowded = F.col("size") > group
-    met = written(met.where(crowded | alike).select("h", F.when(~crowded, F.col("e.h")).alias("y"), "slot", *[F.when(crowded, F.col(c)).alias(c) for c in ("key", "id", "pos", "n", *words)]))
+
+    def meet(turn: int) -> DataFrame:
+        """The pairs and the crowds under the keys of one turn. Turns read the same exchange, each sorts a part of it."""
+        met = slots.select("slot", "id", "pos", "h", "n", "counts", F.explode("keys").alias("key")).where(f"(key & {TURNS - 1}) = {turn}")
+        met = met.withColumn("size", F.count(F.lit(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        met = met.where("size > 1").withColumns({w: F.expr(_word(k)) for k, w in enumerate(words)}).drop("counts").withColumn("prior", F.collect_list(F.when(F.col("size") <= group, F.struct(*about))).over(by.rowsBetween(1 - group, -1)))
+        met = met.select("*", F.expr(f"explode(if(size > {group}, array(struct({', '.join(about)})), filter(prior, e -> {sized})))").alias("e"))
+        return met.where(crowded | alike).select("h", F.when(~crowded, F.col("e.h")).alias("y"), "slot", *[F.when(crowded, F.col(c)).alias(c) for c in ("key", "id", "pos", "n", *words)])
+
+    met = written(reduce(DataFrame.unionAll, [meet(turn) for turn in range(TURNS)]))
     weight = F.when(F.col("slot") < PARTS * (whole + 1), COMMON).otherwise(1).alias("weight")
 
     def verified(pairs: DataFrame) -> DataFrame:

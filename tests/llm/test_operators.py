@@ -187,6 +187,21 @@ def test_near_lines_of_one_document_go_by_their_place(spark, group):
     assert 0 < len(gone) < 40 and {r.line for r in found.collect()} == gone
 
 
+@pytest.mark.parametrize("turns", [1, 8])
+def test_turns_share_one_exchange_and_lose_no_key(spark, turns, monkeypatch):
+    made = []
+    monkeypatch.setattr(lines, "TURNS", turns)
+    monkeypatch.setattr(lines, "written", lambda df, real=lines.written: made.append(df) or real(df))
+    rng = random.Random(18)
+    texts = [letters(rng, 200, "abcdefghijklmnopqrstuvwxyz ") for _ in range(30)]
+    texts += [t[:50] + "##" + t[52:120] + t[123:] for t in texts]
+    found = lines.near_by_share(spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, pos int, line string"), 20)
+    assert {r.line for r in found.collect()} == set(texts[30:])
+    made[0].collect()
+    plan = made[0]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == turns - 1
+
+
 def test_one_line_in_every_row(spark):
     rows = [(i, f"the same long line in every row\nown line number {i} of this table {i * i}", "s") for i in range(300)]
     kept = lines.dedup_lines(documents(spark, rows), edits=0).select("doc_id", "n_removed").collect()
