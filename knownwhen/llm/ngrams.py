@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -268,8 +268,8 @@ def _rare_first(sets: DataFrame, crowd: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["set", "n", "f"])
 
     each = sets.join(crowd, "set", "left_semi").select("set", "features").transform(arrow_map, run, "set long, n long, f long")
-    often = each.groupBy("f").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ordered = each.join(often, "f").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "f"))).alias("l")).withColumn("alone", F.col("n") - F.size("l"))
+    often = each.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy("f"))).where("often > 1")
+    ordered = often.groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "f"))).alias("l")).withColumn("alone", F.col("n") - F.size("l"))
     probe = f"n - (n * {percent} + 99) div 100 + 1"
     own = f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1"
     return (ordered.select("set", "n", "alone", F.posexplode(F.expr(f"slice(l, 1, cast(greatest({probe} - alone, 0) as int))")).alias("place", "x"))
@@ -290,7 +290,12 @@ def _crowded(crowd: DataFrame, linked: DataFrame, sets: DataFrame, percent: int,
     now = written(now)
     mixed = now.groupBy("f").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("f")
     side = lambda k: now.select("f", *[F.col(c).alias(f"{c}{k}") for c in ("set", "n", "rest", "own", "component")])
-    met = side("a").where("owna").join(mixed, "f").join(side("b"), "f").where("componenta <> componentb and (na < nb or na = nb and seta < setb)")
+    # The features left at its place bound the larger set that a set may meet; both meet under the narrow bands of sizes in question only.
+    size = lambda n: f"cast(floor(ln({n}) / ln(1.02D)) as int)"
+    most = f"least(resta * {100 + percent} div {percent} - na, na * 100 div {percent})"
+    owners = side("a").where("owna").join(mixed, "f").where(f"{most} >= na").withColumn("band", F.expr(f"explode(sequence({size('na')}, {size(most)}))"))
+    others = side("b").where(f"restb * {100 + percent} div {percent} - nb >= nb * {percent} div 100").withColumn("band", F.expr(size("nb")))
+    met = owners.join(others, ["f", "band"]).where("componenta <> componentb and (na < nb or na = nb and seta < setb)")
     met = met.where(f"100 * na >= {percent} * nb and least(resta, restb) * {100 + percent} >= {percent} * (na + nb)")
     pairs = met.select(F.col("seta").alias("a"), F.col("setb").alias("b"), "na", "nb").distinct()
     return linked.union(_verified(_plausible(pairs, sets, percent), sets, percent))

@@ -202,6 +202,21 @@ def test_turns_share_one_exchange_and_lose_no_key(spark, turns, monkeypatch):
     assert plan.count("ReusedExchange") == turns - 1
 
 
+def test_rare_features_are_ranked_without_joining_every_feature(spark):
+    rng = random.Random(19)
+    raw = {i: sorted(rng.sample(range(1, 60), 20)) for i in range(12)} | {12: sorted(range(100, 120))}
+    often = Counter(f for fs in raw.values() for f in fs)
+    rows = [(i, b"", b"".join(f.to_bytes(8, "little") for f in fs)) for i, fs in raw.items()]
+    sets = spark.createDataFrame(rows, "set long, parity binary, features binary")
+    told = ngrams._rare_first(sets, sets.select("set"), 75)
+    wanted = set()
+    for i, fs in raw.items():
+        order = sorted(fs, key=lambda f: (often[f], f))
+        wanted |= {(f, i, 20, 20 - place, place < 20 - 18 + 1) for place, f in enumerate(order[:20 - 15 + 1]) if often[f] > 1}
+    assert {(r.f, r.set, r.n, r.rest, r.own) for r in told.collect()} == wanted
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # the sets of the crowd
+
+
 def test_one_line_in_every_row(spark):
     rows = [(i, f"the same long line in every row\nown line number {i} of this table {i * i}", "s") for i in range(300)]
     kept = lines.dedup_lines(documents(spark, rows), edits=0).select("doc_id", "n_removed").collect()
