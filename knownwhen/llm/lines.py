@@ -17,7 +17,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import WIDE, spread
+from ..session import WIDE, discard, spread
 from .common import query, written
 
 LETTERS = "enri"  # their counts make up the filter word, a byte each
@@ -30,7 +30,8 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _stripped(a: Column, b: Column) -> Column:
     """Struct (p, t): what is left of two different strings without their common prefix and suffix. Bisects on whole comparisons."""
-    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    most = F.length(F.bin(F.least(F.length(a), F.length(b)))) - 1
+    steps = F.transform(F.sequence(most, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k))
     common = lambda x, y, end: F.aggregate(steps, F.lit(0), lambda n, s: F.when(end(x, n + s) == end(y, n + s), n + s).otherwise(n))
     rest = _let(common(a, b, F.left), lambda n: F.struct(F.substring(a, n + 1, F.lit(1 << 30)).alias("p"), F.substring(b, n + 1, F.lit(1 << 30)).alias("t")))
     cut = lambda x, n: F.left(x, F.length(x) - n)
@@ -142,22 +143,27 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct()
 
 
-WIDER = 1.3  # a class of lengths is that much wider than the last
+WIDER = 1.5  # a class of lengths is that much wider than the last
 COMMON = 3  # keys that a near pair has in common
 MISS = 1e-9  # up to this chance of fewer
-PARTS = 4  # of a class's keys
+PARTS = 8  # slots of a class of lengths
 TURNS = 4  # parts of a slot's keys that are sorted one after the other
-STRETCH = 4  # size of a stretch, in edits that a line may have
+STRETCH = 6  # size of a stretch, in edits that a line may have
+KEY = "cast((x & 4294967295) - 2147483648 as int)"  # what travels of a hash x
 EXACT = 500  # numbers of common keys whose limits are tabled
+GRAMS = ((0, 11), (4.3, 12), (6.4, 13), (9.7, 14), (49, 15), (110, 16))  # sizes of grams for 20 characters an edit, from a length in edits on
 
 
 def _classes(per: int, whole: int) -> list[tuple[int, int]]:
-    """(q, width) for each class of lengths: the size of its grams, and the size of the stretches that places are told by."""
+    """(q, width) for each class of lengths: the size of its grams, and the size of the stretches that places are told by.
+
+    Long grams seldom meet by chance, but edits leave fewer of them alone: the longer a line, the longer its grams may be."""
     out = []
-    for c in range(84):
+    for c in range(54):
         n = max(WIDER ** c, (whole + 1) * per)
         edits = min(math.ceil(WIDER ** (c + 1)), (1 << 31) - 1) // per + 1
-        out.append((per // 2 if n < 9 * per else 3 * per // 5, STRETCH * edits))
+        q = max(size for start, size in GRAMS if n >= start * per)
+        out.append((max(1, q * per // 20), STRETCH * edits))
     return out
 
 
@@ -184,6 +190,13 @@ def _limits() -> tuple[list[int], float]:
     return out, high
 
 
+def _wide(line: str = "line") -> str:
+    """SQL: a line as four bytes a character, so that a piece of it is found without a walk. What is no character counts as one, as in ``length``."""
+    odd = f"transform(sequence(1, length({line})), i -> substring({line}, i, 1))"
+    odd = f"unhex(array_join(transform({odd}, x -> if(is_valid_utf8(x), hex(encode(x, 'UTF-32')), left(md5(x), 8))), ''))"
+    return f"if(is_valid_utf8({line}), encode({line}, 'UTF-32'), {odd})"
+
+
 def _share_keys(per: int, whole: int = 3) -> str:
     """SQL: (slot, keys) of a line (``line``, its length ``n``): every pair within one edit for each ``per`` characters of the longer line has ``COMMON``
     keys in common, up to a chance of ``MISS``.
@@ -192,48 +205,50 @@ def _share_keys(per: int, whole: int = 3) -> str:
     also by the stretch of the line that it starts in, whose hash is small, per class of lengths; a line whose longer partner may be in the next class is in both.
 
     A line of n characters and a shorter one within ``n div per`` edits have at least n - q + 1 - q (n div per) grams of q characters in common whose places
-    are at most the edits apart, the j-th equal gram of a stretch counted as another one than the first. How small a hash must be follows a line's own
-    length: a shorter line takes all that a longer one would, so the longer one's limit holds for both.
+    are at most the edits apart. Of lines with few repeated grams only different ones count, which are fewer in common by no more than either line repeats;
+    beyond a quarter the j-th equal gram of a stretch counts as another one than the first, and the limit is that of a line with a quarter repeated. How small
+    a hash must be follows a line's own length: a shorter line takes all that a longer one would, so the longer one's limit holds for both.
     A gram that starts as many places before the next stretch as there may be edits is in both, too: of two grams that an alignment pairs, the
-    earlier one is also in the stretch of the later one. A slot holds one of ``PARTS`` parts of the keys of a class, so that what else is known
+    earlier one is also in the stretch of the later one. A slot holds the keys of a stretch, or some of the segments', so that what else is known
     of a line travels once for some keys.
     """
-    found = [f"if(n between {(per - 1) * k} and {per * (k + 1) - 1}, array(struct({k} as c, array_distinct(transform(filter({keys(k)}, x -> x is not null), x -> x.key)) as h)), array())" for k in range(1, whole + 1)]
+    part = lambda c: f"transform(sequence(0, 3), b -> struct({c} * {PARTS} + b as slot, transform(filter(h, x -> (shiftright(x, 32) & 3) = b), x -> {KEY}) as keys))"
+    segments = lambda c: f"array_distinct(transform(filter({keys(c)}, x -> x is not null), x -> x.key))"
+    let = lambda value, name, use: f"element_at(transform(array({value}), {name} -> {use}), 1)"
+    found = [f"if(n between {(per - 1) * c} and {per * (c + 1) - 1}, {let(segments(c), 'h', part(c))}, array())" for c in range(1, whole + 1)]
     sized = lambda x: f"cast(floor(ln({x}) / ln({WIDER}D)) as int)"
     table = lambda k: f"element_at(array({', '.join(str(x[k]) for x in _classes(per, whole))}), c + 1)"
-    let = lambda value, name, use: f"element_at(transform(array({value}), {name} -> {use}), 1)"
-    # Of each stretch b the grams that start there or up to k places before it. Pieces keep substring(), which counts characters from the start,
-    # short; they overlap so that no gram is lost.
-    pieces = "transform(sequence(0, length(s) - q, 16), o -> substring(s, o + 1, 15 + q))"
-    stretch = "if(b = 0, left(line, w + q - 1), substring(line, b * w - k + 1, k + w + q - 1))"
-    told = f"transform({pieces}, p -> transform(sequence(1, length(p) - q + 1), i -> xxhash64(substring(p, i, q), b)))"
-    grams = f"flatten(flatten(transform(sequence(0, (n - q + k) div w), b -> {let(stretch, 's', told)})))"
-    small = "shiftrightunsigned(x, 40) < t"
+    # Of each stretch b the grams that start there or up to k places before it, cut out of four bytes a character.
+    told = "transform(sequence(4 * greatest(b * w - k, 0) + 1, 4 * least((b + 1) * w, n - q + 1) - 3, 4), i -> xxhash64(substring(p, i, z), b))"
+    grams = f"transform(sequence(0, (n - q + k) div w), b -> {let(told, 'a', 'struct(a as a, array_distinct(a) as d)')})"
+    grams = let("4 * q", "z", grams)
     before = f"aggregate(array({', '.join(str(1 << k) for k in range(20, -1, -1))}), 0, (m, t) -> if(get(s, i - m - t) = x, m + t, m))"
-    again = let("sort_array(a)", "s", f"filter(transform(s, (x, i) -> if(i > 0 and get(s, i - 1) = x, xxhash64(x, {before}), null)), x -> x is not null and {small})")
-    chosen = let("array_distinct(a)", "d", f"concat(filter(d, x -> {small}), if(size(d) = size(a), array(), {again}))")
+    again = let("sort_array(g.a)", "s", f"filter(transform(s, (x, i) -> if(i > 0 and get(s, i - 1) = x, xxhash64(x, {before}), null)), x -> x is not null)")
     limits, average = _limits()
     limit = f"if(m > {EXACT}, cast(ceil({average * (1 << 24)}D / m) as int), element_at(array({', '.join(map(str, limits))}), greatest(m, 1)))"
     edits = f"cast(n div {per - 1} as int)"  # of the longest line that this one may be near
     least = f"cast(n - n * cast(q as bigint) div {per} as int) - q - 1"
-    own = let(table(0), "q", let(let(least, "m", limit), "t", let(edits, "k", let(table(1), "w", let(grams, "a", chosen)))))
-    found.append(f"if(n >= {(per - 1) * (whole + 1)}, transform(sequence({sized('n')}, {sized(f'n * {per}D / {per - 1}D + 1')}), c -> struct(c as c, {own} as h)), array())")
-    part = f"transform(filter(e.h, x -> (shiftright(x, 32) & {PARTS - 1}) = b), x -> cast((x & 4294967295) - 2147483648 as int))"
-    slots = f"transform(sequence(0, {PARTS - 1}), b -> struct(e.c * {PARTS} + b as slot, {part} as keys))"
-    return f"filter(flatten(transform(concat({', '.join(found)}), e -> {slots})), e -> size(e.keys) > 0)"
+    below = let(let("cast(m - least(r, m div 4) as int)", "m", limit), "t", f"(cast(t as bigint) - {1 << 23}) * {1 << 40}")  # of hashes as signed numbers
+    taken = f"transform(filter(if(r <= m div 4, g.d, concat(g.d, {again})), x -> x < t), x -> {KEY})"
+    slots = f"transform(a, (g, b) -> struct(c * {PARTS} + least(b, {PARTS - 1}) as slot, {taken} as keys))"
+    own = let("aggregate(a, 0, (r, g) -> r + size(g.a) - size(g.d))", "r", let(below, "t", slots))
+    own = let(table(0), "q", let(least, "m", let(edits, "k", let(table(1), "w", let(grams, "a", own)))))
+    grouped = f"flatten(transform(sequence({sized('n')}, {sized(f'n * {per}D / {per - 1}D + 1')}), c -> {own}))"
+    found.append(f"if(n >= {(per - 1) * (whole + 1)}, {let(_wide(), 'p', grouped)}, array())")
+    return f"filter(concat({', '.join(found)}), e -> size(e.keys) > 0)"
 
 
 def _near(x: str, y: str, per: int) -> Column:
     """Whether two columns of strings are within one edit for each ``per`` characters of the longer one.
 
-    What precedes any place of one string is within twice the edits of what precedes the same place of the other: long strings that differ throughout
-    mostly fail by their beginnings."""
+    Of two ends of a string that don't overlap one has at most half of the edits, so that it is within all of them of as long an end of the other
+    string: strings that differ throughout mostly fail by their ends, as they are or without what they begin and end with in common."""
     allowed = f"cast(greatest(length({x}), length({y})) div {per} as int)"
     distance = lambda p, t, k: F.call_function("levenshtein", p, t, k)
-    begins = lambda r: distance(F.left(r["s"]["p"], r["k"] * 4), F.left(r["s"]["t"], r["k"] * 4), r["k"] * 2) >= 0
-    differ = lambda r: (F.least(F.length(r["s"]["p"]), F.length(r["s"]["t"])) < r["k"] * 8) | begins(r)
-    return F.expr(f"abs(length({x}) - length({y})) <= {allowed}") & _let(F.struct(_stripped(F.col(x), F.col(y)).alias("s"), F.expr(allowed).alias("k")),
-        lambda r: F.when(differ(r), distance(r["s"]["p"], r["s"]["t"], r["k"]) >= 0).otherwise(False))
+    ends = lambda p, t, k, size: (F.least(F.length(p), F.length(t)) < 2 * size) | (distance(F.left(p, size), F.left(t, size), k) >= 0) | (distance(F.right(p, size), F.right(t, size), k) >= 0)
+    rest = lambda s, k: F.when(ends(s["p"], s["t"], k, k * 4), distance(s["p"], s["t"], k) >= 0).otherwise(False)
+    whole = lambda k: F.when(ends(F.col(x), F.col(y), k, k * 3), _let(_stripped(F.col(x), F.col(y)), lambda s: rest(s, k))).otherwise(False)
+    return F.expr(f"abs(length({x}) - length({y})) <= {allowed}") & _let(F.expr(allowed), whole)
 
 
 OFTEN = ("etao", "inr ")  # characters whose counts are compared, a word for four
@@ -256,13 +271,19 @@ def _alike(x: str, y: str, edits: str) -> str:
 
 
 def near_by_share(lines: DataFrame, per: int, whole: int = 3, group: int = 32) -> DataFrame:
-    """(id, pos, line) -> (line): lines with a different line at an earlier place within one edit for each ``per`` characters of the longer one.
+    """(id, pos, line) -> (line), written: lines with a different line at an earlier place within one edit for each ``per`` characters of the longer one.
 
     Lines meet under their keys once, with their lengths and letter counts. Pairs that these allow are counted, and may be near if they have enough keys in
     common. Of these a line's best pair is verified first, the others if the line stays. Under a key of more than ``group`` lines a line first meets the earliest one only, which settles groups of near copies in as many pairs as
     lines; lines that this leaves meet all others there.
     """
     place = F.struct("id", "pos")
+    made = []  # stage results that go when the lines are found
+
+    def stage(df: DataFrame) -> DataFrame:
+        made.append(written(df))
+        return made[-1]
+
     words = [f"w{k}" for k in range(len(OFTEN))]
     about = ["id", "pos", "h", "n", *words]
     told = lines.select("id", "pos", "line", F.length("line").alias("n"), F.xxhash64("line").alias("h"), F.expr(_counts()).alias("counts"))
@@ -281,14 +302,14 @@ def near_by_share(lines: DataFrame, per: int, whole: int = 3, group: int = 32) -
         met = met.select("*", F.expr(f"explode(if(size > {group}, array(struct({', '.join(about)})), filter(prior, e -> {sized})))").alias("e"))
         return met.where(crowded | alike).select("h", F.when(~crowded, F.col("e.h")).alias("y"), "slot", *[F.when(crowded, F.col(c)).alias(c) for c in ("key", "id", "pos", "n", *words)])
 
-    met = written(reduce(DataFrame.unionAll, [meet(turn) for turn in range(TURNS)]))
+    met = stage(reduce(DataFrame.unionAll, [meet(turn) for turn in range(TURNS)]))
     weight = F.when(F.col("slot") < PARTS * (whole + 1), COMMON).otherwise(1).alias("weight")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(x, y) -> (h, line): of each near pair the line whose first place is later."""
-        pairs = written(pairs)
+        pairs = stage(pairs)
         wanted = pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()
-        found = written(lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").groupBy("h", "line").agg(F.min(place).alias("at")))
+        found = stage(lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").groupBy("h", "line").agg(F.min(place).alias("at")))
         x, y = [found.select(F.col("h").alias(s), *[F.col(c).alias(f"{c[0]}{s}") for c in ("line", "at")]) for s in ("x", "y")]
         near = pairs.join(x, "x").join(y, "y").where(_near("lx", "ly", per))
         return near.select(F.when(F.col("ay") < F.col("ax"), F.struct(F.col("x").alias("h"), F.col("lx").alias("line"))).otherwise(F.struct(F.col("y").alias("h"), F.col("ly").alias("line"))).alias("v")).select("v.*").distinct()
@@ -299,15 +320,17 @@ def near_by_share(lines: DataFrame, per: int, whole: int = 3, group: int = 32) -
     fits = F.expr(f"{sized} and struct(e.id, e.pos, e.h) < struct(id, pos, h)") & alike
     pair = [F.col("h").alias("x"), F.col("e.h").alias("y"), weight]
     enough = lambda pairs: pairs.groupBy("x", "y").agg(F.sum("weight").alias("weight")).where(f"weight >= {COMMON}")
-    small = written(met.where("y is not null").select(F.col("h").alias("x"), "y", weight).groupBy("x", "y").agg(F.sum("weight").alias("weight")))
+    small = stage(met.where("y is not null").select(F.col("h").alias("x"), "y", weight).groupBy("x", "y").agg(F.sum("weight").alias("weight")))
     # y is at an earlier place than x: once x is known to go, its other pairs tell nothing. So each x first tries the y it has most keys in common with.
-    tried = written(enough(small.union(crowd.join(first, ["slot", "key"]).where(fits).select(*pair))).groupBy("x").agg(F.max_by("y", F.struct("weight", "y")).alias("y")))
-    star = written(verified(tried))
+    tried = stage(enough(small.union(crowd.join(first, ["slot", "key"]).where(fits).select(*pair))).groupBy("x").agg(F.max_by("y", F.struct("weight", "y")).alias("y")))
+    star = stage(verified(tried))
     gone = star.select(F.col("h").alias("x"))
     left = crowd.join(star.select("h"), "h", "left_anti").select("slot", "key", *about)
     rest = small.join(gone, "x", "left_anti").union(left.join(other, ["slot", "key"]).where(fits).select(*pair))
     rest = verified(enough(rest).select("x", "y").join(tried, ["x", "y"], "left_anti"))
-    return star.select("line").union(rest.select("line")).distinct()
+    found = written(star.select("line").union(rest.select("line")).distinct())
+    discard(*made)
+    return found
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", *, edits: int | None = None, per: int = 20, least: int = 20, hot: int = 10_000, small: int = 2_000_000) -> DataFrame:
@@ -330,7 +353,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", id: str = "doc_id", *, edit
     long = lines.where(F.length("line") >= max(least, (edits or 0) + 1))
     fresh = long.join(F.broadcast(frequent), digest == F.col("d"), "left").where(F.col("d").isNull() | (F.struct("id", "pos") == F.col("f")))
     if edits is None:
-        near = written(near_by_share(fresh.select("id", "pos", "line"), per).select(digest.alias("digest")))
+        near = near_by_share(fresh.select("id", "pos", "line"), per).select(digest.alias("digest"))
     else:
         pairs = written(near_pairs(fresh.select("line"), edits))
         wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct())

@@ -202,6 +202,48 @@ def test_turns_share_one_exchange_and_lose_no_key(spark, turns, monkeypatch):
     assert plan.count("ReusedExchange") == turns - 1
 
 
+def test_lines_of_common_syllables_seldom_meet_and_leave_no_stages(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(lines, "written", lambda df, real=lines.written: made.append(real(df)) or made[-1])
+    monkeypatch.setattr(lines, "discard", lambda *frames, real=lines.discard: (met.append(made[0].count()), real(*frames)))
+    rng, met = random.Random(20), []
+    texts = ["".join(rng.choice(["the ", "er", "on", "tion ", "a", "ing ", "re", "st ", "ha", "ble"]) for _ in range(170)) for _ in range(400)]
+    found = lines.near_by_share(spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, pos int, line string"), 20)
+    assert found.isEmpty() and met[0] < 7_500
+    for df in made[:-1]:
+        with pytest.raises(Exception, match="(?i)path|file"):
+            df.collect()
+
+
+def test_near_lines_with_some_repeated_grams(spark):
+    rng = random.Random(21)
+    texts = []
+    for share in (0, 2, 3, 4, 5, 6, 8, 10):  # of ten pieces, as many repeat; about a quarter is where repeats begin to count
+        for n in (90, 400):
+            piece = letters(rng, n // 10, "abcdefghijklmnopqrstuvwxyz é")
+            line = "".join(piece if i < share else letters(rng, n // 10, "abcdefghijklmnopqrstuvwxyz é") for i in range(10))
+            texts.append(line)
+            for edits in (len(line) // 20, len(line) // 20 + 2):
+                near = list(line)
+                for place in range(edits):
+                    near[(2 * place + 1) * len(line) // (2 * edits)] = rng.choice("#é")
+                texts.append("".join(near))
+    near = lambda a, b: abs(len(a) - len(b)) <= max(len(a), len(b)) // 20 and edit(a, b) <= max(len(a), len(b)) // 20
+    gone = {y for i, y in enumerate(texts) if any(x != y and near(x, y) for x in texts[:i])}
+    found = lines.near_by_share(spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "id long, pos int, line string").repartition(3), 20)
+    assert len(gone) >= 16 and {r.line for r in found.collect()} == gone
+
+
+def test_lines_that_are_not_valid_text_are_told_by_their_characters(spark):
+    rng = random.Random(22)
+    base = [letters(rng, 200, "abcdefghijklmnopqrstuvwxyz").encode() for _ in range(6)]
+    rows = [(i, 0, t) for i, t in enumerate(base + [t[:50] + b"\xff" + t[50:120] + b"\xf0\x9f\x98\x80" + t[120:] for t in base])]
+    given = spark.createDataFrame(rows, "id long, pos int, line binary").withColumn("line", F.col("line").cast("string"))
+    assert given.where(F.expr(f"length({lines._wide()}) <> 4 * length(line)")).isEmpty()
+    found = lines.near_by_share(given, 20)
+    assert {bytes(r.line) for r in found.select(F.col("line").cast("binary").alias("line")).collect()} == {t for _, _, t in rows[6:]}
+
+
 def test_rare_features_are_ranked_without_joining_every_feature(spark):
     rng = random.Random(19)
     raw = {i: sorted(rng.sample(range(1, 60), 20)) for i in range(12)} | {12: sorted(range(100, 120))}
