@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -215,6 +216,19 @@ def test_lines_of_common_syllables_seldom_meet_and_leave_no_stages(spark, monkey
             df.collect()
 
 
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    out = lines.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3, "count"))
+    for _ in range(50):  # they go in the background
+        if files() - before:
+            time.sleep(0.2)
+    assert not files() - before and out.count() == 7 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_near_lines_with_some_repeated_grams(spark):
     rng = random.Random(21)
     texts = []
